@@ -1 +1,169 @@
-"""Registered checks."""
+"""Registered checks: sequence features and fitted scalers (WIN-02..12,
+ML-01..04, ML-06)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from verdigris.operators import features as FE
+from verdigris.plans import logical as L
+from verdigris.plans.catalog import register
+from verdigris.plans.rounding import r, sql_r
+
+W_EU = "PARTITION BY facility_id ORDER BY ts"
+
+
+@register("win02_lag_features", "WIN-02", L.with_ctes(f"""
+SELECT ts, facility_id, {', '.join(f'lag(kwh, {k}) OVER ({W_EU}) AS kwh_lag_{k}' for k in (1, 2, 3, 24, 168))}
+FROM eu""", eu=L.ENERGY_USAGE_SQL))
+def win02(spark, d):
+    out = FE.lag_features(L.energy_usage(spark, d), {"kwh": [1, 2, 3, 24, 168]})
+    return out.select("ts", "facility_id", *[f"kwh_lag_{k}" for k in (1, 2, 3, 24, 168)])
+
+
+def _roll_sql():
+    cols = []
+    for n in (6, 24, 168):
+        w = f"({W_EU} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        cols.append(f"{sql_r(f'CASE WHEN count(kwh) OVER {w} = {n} THEN avg(kwh) OVER {w} END')} AS kwh_roll_mean_{n}")
+    for n in (24, 168):
+        w = f"({W_EU} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        cols.append(f"{sql_r(f'CASE WHEN count(kwh) OVER {w} = {n} THEN stddev_samp(kwh) OVER {w} END')} AS kwh_roll_std_{n}")
+    return L.with_ctes(f"SELECT ts, facility_id, {', '.join(cols)} FROM eu", eu=L.ENERGY_USAGE_SQL)
+
+
+@register("win03_rolling_features", "WIN-03", _roll_sql())
+def win03(spark, d):
+    out = FE.rolling_features(L.energy_usage(spark, d), "kwh")
+    return out.select("ts", "facility_id", *[r(c).alias(c) for c in out.columns if "_roll_" in c])
+
+
+@register("win04_05_pulse_flow", "WIN-04", L.with_ctes(f"""
+SELECT reading_id, {sql_r("0.00225 / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000.0, 0) * 60")} AS flow_lpm,
+       {sql_r("count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 0.00225")} AS total_litres
+FROM sf WHERE kind = 'click'
+WINDOW w AS (PARTITION BY sensor_id ORDER BY ts, reading_id)""", sf=L.SENSOR_FEED_SQL))
+def win04(spark, d):
+    p = L.sensor_feed(spark, d).filter(F.col("kind") == "click")
+    out = FE.pulse_flow(p, key="sensor_id", tiebreak="reading_id")
+    return out.select("reading_id", r("flow_lpm").alias("flow_lpm"), r("total_litres").alias("total_litres"))
+
+
+@register("win08_time_linear_interpolation", "WIN-08", L.with_ctes(f"""
+SELECT reading_id, {sql_r('''CASE WHEN value IS NOT NULL THEN value
+  WHEN pv IS NOT NULL AND nv IS NOT NULL THEN
+    CASE WHEN nt = pt THEN pv ELSE pv + (nv - pv) * ((epoch_us(ts) - pt) / (nt - pt)) END END''')} AS value
+FROM (SELECT *,
+   last_value(value IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
+   last_value(CASE WHEN value IS NOT NULL THEN CAST(epoch_us(ts) AS DOUBLE) END IGNORE NULLS)
+       OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pt,
+   first_value(value IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,
+   first_value(CASE WHEN value IS NOT NULL THEN CAST(epoch_us(ts) AS DOUBLE) END IGNORE NULLS)
+       OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nt
+ FROM sf WINDOW w AS (PARTITION BY sensor_id ORDER BY ts, reading_id))""", sf=L.SENSOR_FEED_SQL))
+def win08(spark, d):
+    out = FE.interpolate_linear(L.sensor_feed(spark, d), "value", key="sensor_id", tiebreak="reading_id")
+    return out.select("reading_id", r("value").alias("value"))
+
+
+def _windows_sql(window, horizon, drop_last=False):
+    extra = f" AND i < n - {window} - {horizon} + 1" if drop_last else ""
+    return L.with_ctes(f"""
+SELECT facility_id, window_start, x_co2, y FROM (
+  SELECT facility_id, ts AS window_start,
+         list(co2_kg) OVER (w ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS x_co2,
+         list(co2_kg) OVER (w ROWS BETWEEN {window} FOLLOWING AND {window + horizon - 1} FOLLOWING) AS y,
+         row_number() OVER w AS i, count(*) OVER (PARTITION BY facility_id) AS n
+  FROM em WINDOW w AS (PARTITION BY facility_id ORDER BY ts))
+WHERE len(x_co2) = {window} AND len(y) = {horizon}{extra}""", em=L.EMISSION_METRICS_SQL)
+
+
+def _windows(spark, d, window, horizon, drop_last=False):
+    out = FE.training_windows(L.emission_metrics(spark, d), ["co2_kg", "anomaly_score"], "co2_kg",
+                              window, horizon, drop_last=drop_last)
+    return out.select("facility_id", "window_start", F.transform("x", lambda e: e["co2_kg"]).alias("x_co2"), "y")
+
+
+@register("win09_training_windows", "WIN-09", _windows_sql(24, 6))
+def win09(spark, d):
+    return _windows(spark, d, 24, 6)
+
+
+@register("win10_windows_drop_last", "WIN-10", _windows_sql(24, 1, drop_last=True))
+def win10(spark, d):
+    return _windows(spark, d, 24, 1, drop_last=True)
+
+
+@register("win11_multi_horizon", "WIN-11", L.with_ctes("""
+SELECT facility_id, ts AS window_start, lead(co2_kg, 24) OVER w AS y_h1, lead(co2_kg, 29) OVER w AS y_h6,
+       lead(co2_kg, 47) OVER w AS y_h24
+FROM em WINDOW w AS (PARTITION BY facility_id ORDER BY ts)
+QUALIFY lead(co2_kg, 47) OVER w IS NOT NULL""", em=L.EMISSION_METRICS_SQL))
+def win11(spark, d):
+    return FE.multi_horizon_targets(L.emission_metrics(spark, d), "co2_kg", 24, (1, 6, 24))
+
+
+@register("win12_chronological_split", "WIN-12", L.with_ctes("""
+SELECT ts, facility_id, i < s + 24 AS in_train, i >= s AS in_test FROM (
+  SELECT ts, facility_id, row_number() OVER (PARTITION BY facility_id ORDER BY ts) - 1 AS i,
+         floor((count(*) OVER (PARTITION BY facility_id) - 24 - 1 + 1) * (1 - 0.2)) AS s
+  FROM em)""", em=L.EMISSION_METRICS_SQL))
+def win12(spark, d):
+    out = FE.chronological_split(L.emission_metrics(spark, d), 24, 0.2)
+    return out.select("ts", "facility_id", "in_train", "in_test")
+
+
+@register("ml01_iqr_capping", "ML-01", L.with_ctes(f"""
+SELECT ts, facility_id,
+  {sql_r('least(greatest(co2_kg, b.q1c - 1.5 * (b.q3c - b.q1c)), b.q3c + 1.5 * (b.q3c - b.q1c))')} AS co2_kg,
+  {sql_r('least(greatest(anomaly_score, b.q1a - 1.5 * (b.q3a - b.q1a)), b.q3a + 1.5 * (b.q3a - b.q1a))')} AS anomaly_score
+FROM em, (SELECT quantile_cont(co2_kg, 0.25) AS q1c, quantile_cont(co2_kg, 0.75) AS q3c,
+                 quantile_cont(anomaly_score, 0.25) AS q1a, quantile_cont(anomaly_score, 0.75) AS q3a FROM em) b""",
+    em=L.EMISSION_METRICS_SQL))
+def ml01(spark, d):
+    em = L.emission_metrics(spark, d)
+    cols = ["co2_kg", "anomaly_score"]
+    out = FE.apply_iqr_caps(em, FE.fit_iqr_caps(em, cols), cols)
+    return out.select("ts", "facility_id", *[r(c).alias(c) for c in cols])
+
+
+@register("ml02_median_impute_robust_scale", "ML-02", L.with_ctes(f"""
+SELECT reading_id, {sql_r('(coalesce(value, m.med) - q.m2) / CASE WHEN q.q3 - q.q1 = 0 THEN 1.0 ELSE q.q3 - q.q1 END')} AS value
+FROM sf, (SELECT median(value) AS med FROM sf) m,
+     (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS m2, quantile_cont(v, 0.75) AS q3
+      FROM (SELECT coalesce(value, (SELECT median(value) FROM sf)) AS v FROM sf)) q""", sf=L.SENSOR_FEED_SQL))
+def ml02(spark, d):
+    sf = L.sensor_feed(spark, d)
+    out = FE.apply_robust(sf, FE.fit_robust(sf, ["value"]), ["value"])
+    return out.select("reading_id", r("value").alias("value"))
+
+
+@register("ml03_one_hot_unknown_zero", "ML-03", L.with_ctes("""
+SELECT reading_id, """ + ", ".join(
+    f"CASE WHEN coalesce(kind, 'missing') = '{k}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS kind_{k}"
+    for k in ("click", "purchase", "signup", "view")) + " FROM sf", sf=L.SENSOR_FEED_SQL))
+def ml03(spark, d):
+    sf = L.sensor_feed(spark, d)
+    vocab = FE.fit_categories(sf.filter(F.col("value").isNotNull()), ["kind"])
+    return FE.one_hot(sf.select("reading_id", "kind"), vocab)
+
+
+@register("ml04_standard_scaling", "ML-04", L.with_ctes(f"""
+SELECT ts, facility_id,
+  {sql_r('(co2_kg - s.mc) / CASE WHEN s.sc = 0 THEN 1.0 ELSE s.sc END')} AS co2_kg,
+  {sql_r('(anomaly_score - s.ma) / CASE WHEN s.sa = 0 THEN 1.0 ELSE s.sa END')} AS anomaly_score
+FROM em, (SELECT avg(co2_kg) AS mc, stddev_pop(co2_kg) AS sc, avg(anomaly_score) AS ma,
+                 stddev_pop(anomaly_score) AS sa FROM em) s""", em=L.EMISSION_METRICS_SQL))
+def ml04(spark, d):
+    em = L.emission_metrics(spark, d)
+    cols = ["co2_kg", "anomaly_score"]
+    out = FE.apply_standard(em, FE.fit_standard(em, cols), cols)
+    return out.select("ts", "facility_id", *[r(c).alias(c) for c in cols])
+
+
+@register("ml06_window_augmentation", "ML-06")
+def ml06(spark, d):
+    w = FE.training_windows(L.emission_metrics(spark, d), ["co2_kg"], "co2_kg", 24, 1)
+    w = w.withColumn("x_values", F.transform("x", lambda e: e["co2_kg"]))
+    out = FE.augment_windows(w, seed=7)
+    return out.select("facility_id", "window_start", "x_values", "y")

@@ -1 +1,190 @@
-"""Registered checks."""
+"""Registered checks: table maintenance (SNK-01..13, JOIN-07, FLT-06)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from verdigris.operators import tables as TB
+from verdigris.operators.timeseries import active_rows
+from verdigris.plans import logical as L
+from verdigris.plans.catalog import register
+from verdigris.plans.cat_timeseries import RECORDS_CO2E_SQL
+from verdigris.plans.rounding import r, sql_r
+
+AS_OF = "2024-06-01 00:00:00"
+
+
+def _staged(spark, d):
+    o = L.table(spark, d, "orders")
+    return o.select(F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("facility_id"),
+                    F.col("o_totalprice").alias("kwh"), F.col("o_orderpriority").alias("source"),
+                    F.col("o_orderkey").alias("row_no"), F.col("o_orderstatus").alias("status"))
+
+
+STAGED_SQL = """
+SELECT o_orderdate AS ts, o_custkey AS facility_id, o_totalprice AS kwh, o_orderpriority AS source,
+       o_orderkey AS row_no, o_orderstatus AS status FROM orders"""
+
+
+@register("snk01_join07_insert_ignore", "SNK-01", L.with_ctes("""
+SELECT ts, facility_id, kwh, row_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY ts, facility_id ORDER BY row_no) AS rn FROM st) f
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM st t WHERE t.status = 'F' AND t.ts = f.ts AND t.facility_id = f.facility_id)""",
+    st=STAGED_SQL))
+def snk01(spark, d):
+    st = _staged(spark, d)
+    target = st.filter(F.col("status") == "F")
+    return TB.insert_ignore(target, st, ["ts", "facility_id"], ["row_no"]).select("ts", "facility_id", "kwh", "row_no")
+
+
+def _stamped(spark, d):
+    rc = L.emission_records(spark, d).join(L.record_owners(spark, d), "order_key")
+    return TB.stamp_new_records(rc, F.col("created_by"), AS_OF)
+
+
+STAMPED_SQL = f"""
+SELECT rc.*, o_custkey AS created_by, TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at,
+       1 AS version, CAST(NULL AS TIMESTAMP) AS deleted_at
+FROM ({RECORDS_CO2E_SQL}) rc JOIN orders ON order_key = o_orderkey"""
+
+
+@register("snk02_bulk_append_stamps", "SNK-02", L.with_ctes(f"""
+SELECT record_id, {sql_r('co2e_kg')} AS co2e_kg, created_by, created_at, updated_at, version FROM sr""",
+    sr=STAMPED_SQL))
+def snk02(spark, d):
+    return _stamped(spark, d).select("record_id", r("co2e_kg").alias("co2e_kg"), "created_by", "created_at",
+                                     "updated_at", "version")
+
+
+@register("snk03_single_create", "SNK-03", L.with_ctes(f"""
+SELECT record_id, {sql_r('co2e_kg')} AS co2e_kg, 99 AS created_by, TIMESTAMP '{AS_OF}' AS created_at
+FROM rc ORDER BY ts DESC, record_id LIMIT 1""", rc=RECORDS_CO2E_SQL))
+def snk03(spark, d):
+    one = L.emission_records(spark, d).orderBy(F.desc("ts"), "record_id").limit(1)
+    out = TB.stamp_new_records(one, 99, AS_OF)
+    return out.select("record_id", r("co2e_kg").alias("co2e_kg"), "created_by", "created_at")
+
+
+def _updates(spark, d):
+    rc = L.emission_records(spark, d).filter(F.col("source_type") == "RF")
+    return rc.select("record_id", (F.col("co2_kg") * 0.9).alias("co2_kg"),
+                     F.lit(None).cast("double").alias("energy_kwh"), F.col("energy_kwh").alias("water_l"))
+
+
+UPDATES_SQL = """SELECT record_id, co2_kg * 0.9 AS co2_kg, CAST(NULL AS DOUBLE) AS energy_kwh, energy_kwh AS water_l
+FROM rc WHERE source_type = 'RF'"""
+UPDATE_AT = "2024-07-01 00:00:00"
+
+
+def _update_sql(admin: bool, user: int):
+    allow = "u.record_id IS NOT NULL" + ("" if admin else f" AND s.created_by = {user}")
+    return L.with_ctes(f"""
+SELECT s.record_id, {sql_r(f'CASE WHEN {allow} THEN coalesce(u.co2_kg, s.co2_kg) ELSE s.co2_kg END')} AS co2_kg,
+       CASE WHEN {allow} THEN coalesce(u.water_l, s.water_l) ELSE s.water_l END AS water_l,
+       CASE WHEN {allow} THEN s.version + 1 ELSE s.version END AS version,
+       CASE WHEN {allow} THEN TIMESTAMP '{UPDATE_AT}' ELSE s.updated_at END AS updated_at
+FROM sr s LEFT JOIN up u USING (record_id)""", rc=L.EMISSION_RECORDS_SQL, sr=STAMPED_SQL, up=UPDATES_SQL)
+
+
+@register("snk04_partial_update_owner", "SNK-04", _update_sql(False, 7))
+def snk04(spark, d):
+    out = TB.apply_updates(_stamped(spark, d), _updates(spark, d), user_id=7, is_admin=False, as_of=UPDATE_AT)
+    return out.select("record_id", r("co2_kg").alias("co2_kg"), "water_l", "version", "updated_at")
+
+
+@register("snk04_partial_update_admin", "SNK-04", _update_sql(True, 7))
+def snk04a(spark, d):
+    out = TB.apply_updates(_stamped(spark, d), _updates(spark, d), user_id=7, is_admin=True, as_of=UPDATE_AT)
+    return out.select("record_id", r("co2_kg").alias("co2_kg"), "water_l", "version", "updated_at")
+
+
+DELETE_AT = "2024-08-01 00:00:00"
+DELETE_KEYS_SQL = "SELECT record_id FROM rc WHERE source_type = 'AF' AND ts < TIMESTAMP '1996-01-01 00:00:00'"
+
+
+def _delete_keys(spark, d):
+    rc = L.emission_records(spark, d)
+    return rc.filter((F.col("source_type") == "AF") & (F.col("ts") < F.lit("1996-01-01").cast("timestamp_ntz")))
+
+
+@register("snk05_flt06_soft_delete", "SNK-05", L.with_ctes(f"""
+SELECT s.record_id, CASE WHEN k.record_id IS NOT NULL THEN TIMESTAMP '{DELETE_AT}' END AS deleted_at
+FROM sr s LEFT JOIN dk k USING (record_id) WHERE k.record_id IS NULL""",
+    rc=L.EMISSION_RECORDS_SQL, sr=STAMPED_SQL, dk=DELETE_KEYS_SQL))
+def snk05(spark, d):
+    t = TB.soft_delete(_stamped(spark, d), _delete_keys(spark, d), is_admin=True, as_of=DELETE_AT)
+    return active_rows(t, include_deleted=False).select("record_id", "deleted_at")
+
+
+@register("snk06_audit_trail", "SNK-06", L.with_ctes(f"""
+SELECT coalesce(o.record_id, n.record_id) AS record_id,
+       CASE WHEN o.record_id IS NULL THEN 'C' WHEN n.record_id IS NULL THEN 'D'
+            WHEN k.record_id IS NOT NULL THEN 'D' ELSE 'U' END AS operation_type
+FROM (SELECT * FROM sr WHERE ts < TIMESTAMP '2001-10-01 00:00:00') o
+FULL JOIN (SELECT record_id FROM sr WHERE ts >= TIMESTAMP '1995-02-01 00:00:00') n USING (record_id)
+LEFT JOIN dk k ON k.record_id = coalesce(o.record_id, n.record_id)
+LEFT JOIN up u ON u.record_id = coalesce(o.record_id, n.record_id)
+WHERE o.record_id IS NULL OR n.record_id IS NULL OR k.record_id IS NOT NULL
+   OR (u.record_id IS NOT NULL AND (u.co2_kg IS NOT NULL OR u.water_l IS NOT NULL))""",
+    rc=L.EMISSION_RECORDS_SQL, sr=STAMPED_SQL, dk=DELETE_KEYS_SQL, up=UPDATES_SQL))
+def snk06(spark, d):
+    st = _stamped(spark, d)
+    old = st.filter(F.col("ts") < F.lit("2001-10-01").cast("timestamp_ntz"))
+    new = st.filter(F.col("ts") >= F.lit("1995-02-01").cast("timestamp_ntz"))
+    new = TB.apply_updates(new, _updates(spark, d), user_id=0, is_admin=True, as_of=UPDATE_AT)
+    new = TB.soft_delete(new, _delete_keys(spark, d), is_admin=True, as_of=DELETE_AT)
+    cols = ["co2_kg", "energy_kwh", "water_l", "deleted_at"]
+    a = TB.audit_trail(old, new, "record_id", cols, changed_by=0, as_of=DELETE_AT)
+    return a.select("record_id", "operation_type")
+
+
+@register("snk07_time_chunked_layout", "SNK-07")
+def snk07(spark, d):
+    path = TB.scratch_path(spark, "energy_usage")
+    TB.write_chunked(L.energy_usage(spark, d), path, "1 day")
+    back = spark.read.parquet(path)
+    return back.filter(F.col("chunk") >= F.lit("2024-01-20").cast("date")).groupBy("chunk").agg(
+        F.count("*").alias("n"))
+
+
+@register("snk08_compact_cold_chunks", "SNK-08")
+def snk08(spark, d):
+    path = TB.scratch_path(spark, "emission_metrics")
+    em = L.emission_metrics(spark, d)
+    TB.write_chunked(em, path, "1 day")
+    TB.compact_cold(em, path, as_of="2024-01-30 00:00:00", older_than_days=14)
+    return spark.read.parquet(path).groupBy("chunk").agg(F.count("*").alias("n"))
+
+
+@register("snk09_retention", "SNK-09", L.with_ctes("""
+SELECT record_id, ts FROM rc WHERE ts >= (SELECT max(ts) FROM rc) - INTERVAL 365 DAY""", rc=L.EMISSION_RECORDS_SQL))
+def snk09(spark, d):
+    rc = L.emission_records(spark, d)
+    return TB.retain(rc, rc.select(F.max("ts")).scalar(), TB.RETENTION_DAYS["raw"]).select("record_id", "ts")
+
+
+@register("snk10_prediction_rows", "SNK-10")
+def snk10(spark, d):
+    em = L.emission_metrics(spark, d)
+    scored = em.select("ts", "facility_id", F.col("co2_kg").alias("co2e_kg"),
+                       F.create_map(F.lit("anomaly_score"), F.col("anomaly_score")).alias("explanations"))
+    return TB.prediction_rows(scored, "baseline-v1")
+
+
+@register("snk11_run_log", "SNK-11", L.with_ctes("""
+SELECT 'run-1' AS run_id, 'batch' AS kind, count(*) AS batch_size, count_if(value IS NOT NULL) AS success_count
+FROM sf""", sf=L.SENSOR_FEED_SQL))
+def snk11(spark, d):
+    res = L.sensor_feed(spark, d).withColumn("ok", F.col("value").isNotNull())
+    return TB.run_log(res, "run-1", "batch", "ok")
+
+
+@register("snk12_report_export", "SNK-12")
+def snk12(spark, d):
+    from verdigris.operators.reports import esg_daily, esg_period_totals
+    eu, wu, em = L.energy_usage(spark, d), L.water_usage(spark, d), L.emission_metrics(spark, d)
+    table = esg_daily(eu, wu, em, 7, "2024-01-01 00:00:00", "2024-01-30 23:59:59")
+    totals = esg_period_totals(eu, wu, em, "month")
+    path = TB.scratch_path(spark, "report")
+    TB.export_report(table, totals, path)
+    return spark.read.option("header", True).csv(f"{path}/table")

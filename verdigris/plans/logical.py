@@ -207,6 +207,7 @@ def credit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(kind == "transfer", peer).alias("to_acct"),
         F.col("o_custkey").alias("operator"),
         wei.alias("amount_wei"),
+        F.col("o_orderpriority").alias("memo"),
     )
 
 
@@ -221,7 +222,8 @@ SELECT o_orderkey AS seq,
             WHEN o_orderstatus = 'O' THEN (o_custkey + o_orderkey + 1) % (SELECT max(c_custkey) + 1 FROM customer)
        END AS to_acct,
        o_custkey AS operator,
-       CAST(CAST(round(o_totalprice * 100) AS DECIMAL(38,0)) * CAST(10000000000000000 AS DECIMAL(38,0)) AS DECIMAL(38,0)) AS amount_wei
+       CAST(CAST(round(o_totalprice * 100) AS DECIMAL(38,0)) * CAST(10000000000000000 AS DECIMAL(38,0)) AS DECIMAL(38,0)) AS amount_wei,
+       o_orderpriority AS memo
 FROM orders"""
 
 
