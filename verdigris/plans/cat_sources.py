@@ -1 +1,125 @@
-"""Registered checks."""
+"""Registered checks: file sources and sensor feeds (SRC-01..09, SET-01).
+
+The file checks first write files derived from the driver tables into the
+shared checkpoint folder, then load them back through the source."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from verdigris.operators.tables import scratch_path
+from verdigris.plans import logical as L
+from verdigris.plans.catalog import register
+from verdigris.sources import files as SF
+from verdigris.sources import sensors as SS
+
+
+def _historical_rows(spark, d):
+    """orders -> historical meter export rows with mixed timestamp layouts and
+    some non-numeric kWh values."""
+    o = L.table(spark, d, "orders")
+    t = o.o_orderdate + F.make_dt_interval(mins=(F.col("o_orderkey") % 720).cast("int"))
+    k = F.col("o_orderkey") % 3
+    ts = (F.when(k == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+           .when(k == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+           .otherwise(F.date_format(t, "M/d/yyyy h:mm a")))
+    kwh = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    return o.select(ts.alias("Timestamp"), F.col("o_custkey").cast("string").alias("FacilityID"),
+                    kwh.alias("Energy_kWh"), F.col("o_orderpriority").alias("Source"),
+                    F.col("o_orderstatus").alias("_part"))
+
+
+HISTORICAL_SQL = """
+SELECT o_orderdate + INTERVAL (o_orderkey % 720) MINUTE AS ts, o_custkey AS facility_id,
+       CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice END AS kwh, o_orderpriority AS source,
+       o_orderstatus AS part
+FROM orders"""
+
+
+def _write_landing(spark, d):
+    root = scratch_path(spark, "landing")
+    rows = _historical_rows(spark, d)
+    for status in ("F", "O"):     # two sub-folders of CSV files
+        (rows.filter(F.col("_part") == status).drop("_part").write.option("header", True)
+             .csv(f"{root}/csv/status={status}"))
+    rows.filter(F.col("_part") == "P").drop("_part").write.json(f"{root}/json")
+    rows.filter(F.col("_part") == "P").select(F.concat_ws("|", "Timestamp", "FacilityID").alias("v")) \
+        .write.text(f"{root}/txt")
+    return root
+
+
+@register("src01_set01_historical_csv", "SRC-01", L.with_ctes("""
+SELECT ts, facility_id, kwh, source FROM h WHERE part IN ('F', 'O') AND kwh IS NOT NULL""", h=HISTORICAL_SQL))
+def src01(spark, d):
+    root = _write_landing(spark, d)
+    ok, _ = SF.load_historical_csv(spark, f"{root}/csv")
+    return ok.select("ts", "facility_id", "kwh", "source")
+
+
+@register("src01_val14_rejects", "VAL-14", L.with_ctes("""
+SELECT ts, facility_id, source FROM h WHERE part IN ('F', 'O') AND kwh IS NULL""", h=HISTORICAL_SQL))
+def src01r(spark, d):
+    root = _write_landing(spark, d)
+    _, bad = SF.load_historical_csv(spark, f"{root}/csv")
+    return bad.select("ts", "facility_id", "source")
+
+
+@register("src02_historical_json", "SRC-02", L.with_ctes("""
+SELECT ts, facility_id, kwh, source FROM h WHERE part = 'P' AND kwh IS NOT NULL""", h=HISTORICAL_SQL))
+def src02(spark, d):
+    root = _write_landing(spark, d)
+    ok, _ = SF.load_historical_json(spark, f"{root}/json")
+    return ok.select("ts", "facility_id", "kwh", "source")
+
+
+@register("src03_file_inventory", "SRC-03")
+def src03(spark, d):
+    root = _write_landing(spark, d)
+    inv = SF.file_inventory(spark, root)
+    return inv.groupBy("extension", "supported").agg(F.count("*").alias("files"))
+
+
+@register("src04_raw_staging", "SRC-04")
+def src04(spark, d):
+    root = _write_landing(spark, d)
+    return SF.stage_raw(spark, f"{root}/json", "2024-06-01 00:00:00", "*.json")
+
+
+@register("src05_parquet_columns", "SRC-05", L.with_ctes("SELECT l_orderkey, l_quantity FROM lineitem"))
+def src05(spark, d):
+    return SF.read_parquet(spark, f"{d}/lineitem.parquet", ["l_orderkey", "l_quantity"])
+
+
+@register("src07_bulk_read", "SRC-07", L.with_ctes("""
+SELECT reading_id, sensor_id, value FROM sf WHERE kind IN ('click', 'view', 'purchase', 'signup')""",
+    sf=L.SENSOR_FEED_SQL))
+def src07(spark, d):
+    sf = L.sensor_feed(spark, d)
+    batches = [sf.filter(F.col("kind") == k).withColumn(
+        "status", F.when(F.col("error").isNotNull(), F.lit("failed"))) for k in
+        ("click", "view", "purchase", "signup", "error")]
+    ok, _ = SS.bulk_read(batches)
+    return ok.select("reading_id", "sensor_id", "value")
+
+
+@register("src08_failed_readings", "SRC-08", L.with_ctes("""
+SELECT reading_id, sensor_id, error FROM sf WHERE error IS NOT NULL""", sf=L.SENSOR_FEED_SQL))
+def src08(spark, d):
+    _, failed = SS.split_failed_readings(L.sensor_feed(spark, d))
+    return failed.select("reading_id", "sensor_id", "error")
+
+
+KINDS = ("click", "view", "purchase", "signup")
+
+
+@register("src09_long_to_wide", "SRC-09", L.with_ctes("""
+SELECT facility_id, hour, """ + ", ".join(
+    f"arg_max(CASE WHEN event_type = '{k}' THEN value END, CASE WHEN event_type = '{k}' THEN ts END) AS {k}"
+    for k in KINDS) + """
+FROM (SELECT user_id AS facility_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, ts, event_type, value
+      FROM events WHERE event_type <> 'error') GROUP BY 1, 2""", ))
+def src09(spark, d):
+    e = L.table(spark, d, "events").filter(F.col("event_type") != "error")
+    long = e.select(F.col("user_id").alias("facility_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
+                    "ts", F.col("event_type").alias("sensor_kind"), "value")
+    return SF.long_to_wide(long, KINDS, keys=["facility_id", "hour"])
