@@ -1 +1,88 @@
-"""Registered checks."""
+"""Registered checks: forecasting (ML-05, ML-07..16, WIN-13, AGG-17).
+Model outputs have no SQL twin; these are rows-only checks, with
+properties asserted in tests/."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from verdigris.operators import forecast as FC
+from verdigris.operators.carbon import with_interval
+from verdigris.operators.tables import scratch_path
+from verdigris.plans import logical as L
+from verdigris.plans.catalog import register
+
+
+def _features(spark, d):
+    return FC.forecast_features(L.emission_metrics(spark, d), "co2_kg")
+
+
+@register("ml05_preprocessor_fit_transform", "ML-05")
+def ml05(spark, d):
+    em = L.emission_metrics(spark, d).join(
+        L.sensor_feed(spark, d).select(F.col("ts"), F.col("sensor_id").alias("facility_id"), "kind"),
+        ["ts", "facility_id"])
+    pre = FC.TelemetryPreprocessor(numericCols=["co2_kg", "anomaly_score"], categoricalCols=["kind"])
+    model = pre.fit(em)
+    path = scratch_path(spark, "preprocessor")
+    model.write().overwrite().save(path)
+    back = FC.TelemetryPreprocessorModel.load(path)
+    return back.transform(em)
+
+
+@register("ml07_ml14_train_linear", "ML-07")
+def ml07(spark, d):
+    feats, cols = _features(spark, d)
+    res = FC.train_forecaster(feats, cols, "co2_kg", "linear")
+    return res["metrics"].withColumn("sigma", F.lit(res["sigma"]))
+
+
+@register("ml08_gbt_early_stopping", "ML-08")
+def ml08(spark, d):
+    feats, cols = _features(spark, d)
+    res = FC.train_forecaster(feats, cols, "co2_kg", "gbt", max_iter=20)
+    return res["metrics"]
+
+
+@register("ml09_grid_search", "ML-09")
+def ml09(spark, d):
+    feats, cols = _features(spark, d)
+    tvs = FC.tune(feats, cols, "co2_kg", parallelism=2)
+    return spark.createDataFrame([(float(m),) for m in tvs.validationMetrics], "rmse double")
+
+
+@register("ml10_ml11_ml15_versioned_registry", "ML-10")
+def ml10(spark, d):
+    feats, cols = _features(spark, d)
+    root = scratch_path(spark, "models")
+    res = FC.train_forecaster(feats, cols, "co2_kg", "linear")
+    m = res["metrics"].first()
+    FC.save_version(spark, res["model"], root, "v1", {"rmse": m["rmse"], "mae": m["mae"]})
+    FC.promote(spark, root, None, {"version": "v1", "rmse": m["rmse"]})
+    data_path = scratch_path(spark, "scoring")
+    feats.write.parquet(data_path)
+    model = FC.load_version(spark, root, "production")
+    return FC.score_parquet(spark, model, data_path).select("ts", "facility_id", "co2_kg", "prediction")
+
+
+@register("ml12_win13_recursive_forecast", "ML-12")
+def ml12(spark, d):
+    em = L.emission_metrics(spark, d)
+    daily = em.groupBy("facility_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(
+        F.sum("co2_kg").alias("co2_kg"))
+    feats, cols = FC.forecast_features(daily, "co2_kg", lags=(1, 2, 3), means=())
+    res = FC.train_forecaster(feats, ["co2_kg_lag_1", "co2_kg_lag_2", "co2_kg_lag_3"], "co2_kg", "linear")
+    b, coefs = FC.linear_coefficients(res["model"])
+    fc = FC.recursive_forecast(daily, "co2_kg", b, coefs, steps=7, step_interval="1 day")
+    return with_interval(fc.withColumn("sigma", F.lit(res["sigma"])), pred="forecast")
+
+
+@register("ml13_ml16_agg17_attributions", "ML-13")
+def ml13(spark, d):
+    feats, cols = _features(spark, d)
+    res = FC.train_forecaster(feats, cols, "co2_kg", "linear")
+    scored = res["model"].transform(feats)
+    bg = FC.background_means(feats, cols, 0.2)
+    contrib = FC.linear_contributions(scored, res["model"], cols, bg, ["ts", "facility_id"])
+    from verdigris.operators.monitor import feature_importance
+    return feature_importance(contrib)

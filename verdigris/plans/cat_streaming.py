@@ -1 +1,121 @@
-"""Registered checks."""
+"""Registered checks: streaming twins of batch operators (SRC-06, STR-01..07).
+
+Each check runs a real Structured Streaming query with an ``availableNow``
+trigger over the events file, writes every micro-batch to its own folder
+(idempotent by batch id), and reads back the newest row per key, which is
+what an update-mode consumer materialises.  The SQL twin is the batch
+answer on the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from verdigris.operators.tables import scratch_path
+from verdigris.plans import logical as L
+from verdigris.plans.catalog import register
+from verdigris.plans.rounding import r, sql_r
+from verdigris.streaming import ingest as S
+
+
+def _events_stream(spark, d):
+    schema = L.table(spark, d, "events").schema
+    return S.read_stream(spark, d, schema, "parquet", pathGlobFilter="events.parquet")
+
+
+def _run_batches(spark, df: DataFrame, mode: str, name: str) -> DataFrame:
+    out = scratch_path(spark, f"stream-{name}")
+    S.run_available_now(df, scratch_path(spark, f"ckpt-{name}"), mode=mode,
+                        foreach_batch=S.idempotent_parquet_sink(out))
+    return spark.read.parquet(out)
+
+
+def _latest_per_key(df: DataFrame, keys) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "batch_id")
+
+
+def _feed(stream):
+    return stream.select(F.col("event_id").alias("reading_id"), "ts", F.col("user_id").alias("sensor_id"),
+                         F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
+                         F.col("event_type").alias("kind"))
+
+
+@register("str01_src06_stream_ingest", "STR-01", L.with_ctes("""
+SELECT reading_id, sensor_id, value FROM sf WHERE value IS NOT NULL""", sf=L.SENSOR_FEED_SQL))
+def str01(spark, d):
+    from verdigris.operators.validate import required_present
+    tagged = S.validated(_feed(_events_stream(spark, d)), required_present(["value"]))
+    valid = tagged.filter(F.size("failed_rules") == 0).drop("failed_rules")
+    got = _run_batches(spark, valid, "append", "ingest")
+    return got.select("reading_id", "sensor_id", "value")
+
+
+@register("str03_live_overload_alerts", "STR-03", L.with_ctes("""
+SELECT ts, facility_id, kwh AS power FROM eu WHERE kwh > 40.0""", eu=L.ENERGY_USAGE_SQL))
+def str03(spark, d):
+    from verdigris.operators.anomaly import overload_alerts
+    s = _events_stream(spark, d).filter(F.col("event_type").isin("click", "view")).select(
+        "ts", F.col("user_id").alias("facility_id"), F.col("value").alias("power"))
+    got = _run_batches(spark, overload_alerts(s, 40.0), "append", "alerts")
+    return got.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "facility_id", "power")
+
+
+@register("str04_tumbling_daily_totals", "STR-04", L.with_ctes(f"""
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, facility_id, {sql_r('sum(co2_kg)')} AS total, count(*) AS n
+FROM em GROUP BY 1, 2""", em=L.EMISSION_METRICS_SQL))
+def str04(spark, d):
+    s = _events_stream(spark, d).select("ts", F.col("user_id").alias("facility_id"), F.col("value").alias("co2_kg"))
+    agg = S.tumbling_totals(s, "co2_kg", "1 day", "1 hour")
+    got = _latest_per_key(_run_batches(spark, agg, "update", "tumbling"), ["bucket", "facility_id"])
+    return got.select("bucket", "facility_id", r("total").alias("total"), "n")
+
+
+@register("str05_dedupe_sensor_minute", "STR-05", L.with_ctes("""
+SELECT DISTINCT sensor_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS slot FROM sf""", sf=L.SENSOR_FEED_SQL))
+def str05(spark, d):
+    s = _feed(_events_stream(spark, d))
+    got = _run_batches(spark, S.deduplicate(s, "sensor_id", "minute"), "append", "dedupe")
+    return got.select("sensor_id", F.col("_slot").cast("timestamp_ntz").alias("slot"))
+
+
+@register("str06_keyed_pulse_state", "STR-06", L.with_ctes(f"""
+SELECT sensor_id, count(*) AS pulses, {sql_r('count(*) * 0.00225')} AS total_litres, max(ts) AS last_ts
+FROM sf WHERE kind = 'click' GROUP BY sensor_id""", sf=L.SENSOR_FEED_SQL))
+def str06(spark, d):
+    s = _feed(_events_stream(spark, d)).filter(F.col("kind") == "click")
+    got = _latest_per_key(_run_batches(spark, S.pulse_state(s), "update", "pulses"), ["sensor_id"])
+    return got.select("sensor_id", "pulses", r("total_litres").alias("total_litres"),
+                      F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+@register("str07_stream_static_flags", "STR-07", L.with_ctes(f"""
+SELECT e.ts, e.facility_id, {sql_r('abs(e.co2_kg - s.median_co2) / nullif(s.mad_co2, 0)')} AS z_score
+FROM em e JOIN stats s USING (facility_id)
+WHERE abs(e.co2_kg - s.median_co2) / nullif(s.mad_co2, 0) > 3""", em=L.EMISSION_METRICS_SQL, stats="""
+SELECT facility_id, median(co2_kg) AS median_co2, mad(co2_kg) AS mad_co2
+FROM em WHERE ts > (SELECT max(ts) FROM em) - INTERVAL 7 DAY GROUP BY facility_id"""))
+def str07(spark, d):
+    from verdigris.operators.anomaly import facility_stats
+    stats = facility_stats(L.emission_metrics(spark, d), days=7)
+    stats_path = scratch_path(spark, "stats")
+    stats.write.parquet(stats_path)                      # the stored, slowly changing table
+    s = _events_stream(spark, d).select("ts", F.col("user_id").alias("facility_id"), F.col("value").alias("co2_kg"))
+    got = _run_batches(spark, S.flag_against_stats(s, spark.read.parquet(stats_path)), "append", "flags")
+    return got.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "facility_id", r("z_score").alias("z_score"))
+
+
+@register("str02_stream_scoring", "STR-02")
+def str02(spark, d):
+    from verdigris.operators import features as FE
+    from verdigris.operators import forecast as FC
+    cols = ["hour_sin", "hour_cos", "anomaly_score"]
+
+    def prep(df):
+        return FE.cyclical_hour(df.select("ts", F.col("user_id").alias("facility_id"), F.col("value").alias("co2_kg"),
+                                          (F.get_json_object("props", "$.k").cast("double") / 100).alias("anomaly_score")))
+    batch = prep(L.table(spark, d, "events"))
+    res = FC.train_forecaster(batch, cols, "co2_kg", "linear", split="random")
+    scored = S.score_stream(prep(_events_stream(spark, d)), res["model"], cols)
+    got = _run_batches(spark, scored, "append", "scoring")
+    return got.select("facility_id", "co2_kg", "prediction", "error")
