@@ -173,3 +173,21 @@ def export_report(table: DataFrame, totals: DataFrame, path: str) -> None:
     Both are small aggregates (one row per day / one row)."""
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/table")
     totals.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+# ---------------------------------------------------------------- PRJ-18
+def protect_column(df: DataFrame, col: str, key_hex: str, out: str | None = None) -> DataFrame:
+    """PRJ-18: AES-GCM encrypt a JSON/text payload column (base64 text out).
+    The key is passed in by the caller (from the cluster's secret store),
+    never stored with the data."""
+    out = out or col
+    key = F.unhex(F.lit(key_hex))
+    payload = F.col(col) if dict(df.dtypes)[col] == "string" else F.to_json(F.col(col))
+    return df.withColumn(out, F.base64(F.aes_encrypt(payload, key, F.lit("GCM"))))
+
+
+def reveal_column(df: DataFrame, col: str, key_hex: str, out: str | None = None) -> DataFrame:
+    """PRJ-18: inverse of ``protect_column``; a wrong key gives NULL."""
+    out = out or col
+    key = F.unhex(F.lit(key_hex))
+    return df.withColumn(out, F.try_aes_decrypt(F.unbase64(F.col(col)), key, F.lit("GCM")).cast("string"))

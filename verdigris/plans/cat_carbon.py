@@ -301,3 +301,12 @@ SELECT r.record_id, c.co2e_factor FROM rc r LEFT JOIN cat c
 def join05(spark, d):
     out = CO.factor_lookup(L.emission_records(spark, d), categories_frame(spark))
     return out.select("record_id", "co2e_factor")
+
+
+@register("prj18_protect_reveal_payload", "PRJ-18", L.with_ctes("""
+SELECT event_id, props AS raw_data FROM events"""))
+def prj18(spark, d):
+    from verdigris.operators.tables import protect_column, reveal_column
+    key = "000102030405060708090a0b0c0d0e0f"
+    e = L.table(spark, d, "events").select("event_id", F.col("props").alias("raw_data"))
+    return reveal_column(protect_column(e, "raw_data", key), "raw_data", key)
