@@ -98,11 +98,14 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str | Column,
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str,
                    median_alias: str = "median", mad_alias: str = "mad",
                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Per-group median and unscaled MAD = median(|x - median|)."""
+    """Per-group median and unscaled MAD = median(|x - median|).
+
+    The median is computed once and carried as an extra grouping column of
+    the deviation pass (it is constant per group), so no join back is
+    needed."""
     keys = list(keys)
     med = exact_median(df, keys, value, median_alias, accuracy)
     dev_src = df.select(*keys, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
     dev_src = dev_src.join(med, keys) if keys else dev_src.crossJoin(F.broadcast(med))
-    dev = dev_src.select(*keys, F.abs(F.col("_x") - F.col(median_alias)).alias("_d"))
-    mad = exact_median(dev, keys, "_d", mad_alias, accuracy)
-    return med.join(mad, keys) if keys else med.crossJoin(mad)
+    dev = dev_src.select(*keys, median_alias, F.abs(F.col("_x") - F.col(median_alias)).alias("_d"))
+    return exact_median(dev, keys + [median_alias], "_d", mad_alias, accuracy)
