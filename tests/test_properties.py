@@ -138,3 +138,46 @@ def test_preprocessor_save_load(spark, tmp_path):
     b = sorted(tuple(r) for r in back.transform(df).collect())
     assert a == b
     assert {"c_a", "c_missing"} <= set(back.transform(df).columns)
+
+
+def _hot_series(spark, n=6000, seed=5):
+    rnd = random.Random(seed)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(n):
+        k = 0 if i % 3 == 0 else rnd.randint(1, 6)           # series 0 holds a third of the rows
+        ts = t0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 3))
+        rows.append((k, ts, i, None if i % 9 == 0 else rnd.gauss(10, 3)))
+    return spark.createDataFrame(rows, "k int, ts timestamp_ntz, id int, v double")
+
+
+@pytest.mark.parametrize("bucket", ["hour", "minute"])
+def test_bucketed_windows_equal_plain_windows(spark, bucket):
+    from verdigris.operators import features as FE
+    df = _hot_series(spark)
+    kw = dict(key="k", tiebreak="id")
+    a = FE.lag_features(df, {"v": [1, 5, 40]}, bucket=bucket, **kw)
+    b = FE.lag_features(df, {"v": [1, 5, 40]}, bucket=None, **kw)
+    assert sorted(map(tuple, a.select("id", "v_lag_1", "v_lag_5", "v_lag_40").collect())) == \
+        sorted(map(tuple, b.select("id", "v_lag_1", "v_lag_5", "v_lag_40").collect()))
+    a = FE.rolling_features(df, "v", (3, 30), (30,), bucket=bucket, **kw).select("id", "v_roll_mean_30", "v_roll_std_30")
+    b = FE.rolling_features(df, "v", (3, 30), (30,), bucket=None, **kw).select("id", "v_roll_mean_30", "v_roll_std_30")
+    ra, rb = sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
+    for x, y in zip(ra, rb):
+        assert x[0] == y[0] and x[1:] == pytest.approx(y[1:], abs=1e-9)
+    a = FE.training_windows(df, ["v"], "v", 12, 3, bucket=bucket, drop_last=True, **kw)
+    b = FE.training_windows(df, ["v"], "v", 12, 3, bucket=None, drop_last=True, **kw)
+    key = lambda r: (r.k, r.window_start, str(r.x), str(r.y))
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+    a = FE.interpolate_linear(df, "v", key="k", tiebreak="id", bucket=bucket).select("id", "v")
+    b = FE.interpolate_linear(df, "v", key="k", tiebreak="id", bucket=None).select("id", "v")
+    ra, rb = sorted(map(tuple, a.collect()), key=lambda r: r[0]), sorted(map(tuple, b.collect()), key=lambda r: r[0])
+    assert [r[0] for r in ra] == [r[0] for r in rb]
+    for x, y in zip(ra, rb):
+        assert (x[1] is None and y[1] is None) or x[1] == pytest.approx(y[1], abs=1e-9)
+    a = FE.pulse_flow(df, key="k", tiebreak="id", bucket=bucket).select("id", "total_litres")
+    b = FE.pulse_flow(df, key="k", tiebreak="id", bucket=None).select("id", "total_litres")
+    assert sorted((r[0], round(r[1], 9)) for r in a.collect()) == sorted((r[0], round(r[1], 9)) for r in b.collect())
+    a = FE.chronological_split(df, 12, key="k", tiebreak="id", bucket=bucket).select("id", "in_train", "in_test")
+    b = FE.chronological_split(df, 12, key="k", tiebreak="id", bucket=None)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select("id", "in_train", "in_test").collect()))

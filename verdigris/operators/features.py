@@ -1,9 +1,12 @@
 """Feature construction: calendar features, lags, rolling statistics,
 interpolation, training windows and fitted scalers.
 
-Series windows are partitioned by the series key (facility/sensor) and
-ordered by event time with a tie-breaker, so each series is processed in one
-sorted partition and the table as a whole is spread over all tasks.
+Series features are ordered by event time (plus a tie-breaker) within the
+series key.  They run through ``operators.series``: each series is cut into
+time buckets (``bucket``, default one day) and every bucket gets the few
+neighbouring rows its frames need, so a very long or very hot series is
+spread over many tasks and the result is still exactly that of the unsplit
+window.  ``bucket=None`` gives the plain per-series window.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.quantiles import DEFAULT_ACCURACY, exact_quantiles
 from verdigris.functions.time import col_, epoch_hours
+from verdigris.operators import series as S
+from verdigris.operators.series import DEFAULT_BUCKET
 
 
 def _order(ts: str, tiebreak: str | None) -> list[Column]:
@@ -72,33 +77,40 @@ def fourier_features(df: DataFrame, ts: str = "ts", periods: Sequence[float] = (
 
 # ---------------------------------------------------------------- WIN-02/03
 def lag_features(df: DataFrame, lags: Mapping[str, Sequence[int]], key: str = "facility_id",
-                 ts: str = "ts", tiebreak: str | None = None) -> DataFrame:
+                 ts: str = "ts", tiebreak: str | None = None, bucket=DEFAULT_BUCKET) -> DataFrame:
     """WIN-02: ``{col}_lag_{k}`` per series."""
-    w = series_window(key, ts, tiebreak)
-    return df.select("*", *[F.lag(c, k).over(w).alias(f"{c}_lag_{k}") for c, ks in lags.items() for k in ks])
+    back = max(k for ks in lags.values() for k in ks)
+    return S.apply_framed(
+        df, key, _order(ts, tiebreak),
+        lambda w: [F.lag(c, k).over(w).alias(f"{c}_lag_{k}") for c, ks in lags.items() for k in ks],
+        back=back, bucket=bucket, ts=ts)
 
 
 def rolling_features(df: DataFrame, value: str, means: Sequence[int] = (6, 24, 168),
                      stds: Sequence[int] = (24, 168), key: str = "facility_id", ts: str = "ts",
-                     tiebreak: str | None = None) -> DataFrame:
+                     tiebreak: str | None = None, bucket=DEFAULT_BUCKET) -> DataFrame:
     """WIN-03: rolling mean / sample std over the last n rows, NULL until the
     window holds n values."""
-    base = series_window(key, ts, tiebreak)
-    cols = []
-    for n in means:
-        w = base.rowsBetween(-(n - 1), 0)
-        cols.append(F.when(F.count(value).over(w) == n, F.avg(value).over(w)).alias(f"{value}_roll_mean_{n}"))
-    for n in stds:
-        w = base.rowsBetween(-(n - 1), 0)
-        cols.append(F.when(F.count(value).over(w) == n, F.stddev_samp(value).over(w)).alias(f"{value}_roll_std_{n}"))
-    return df.select("*", *cols)
+    def build(base):
+        cols = []
+        for n in means:
+            w = base.rowsBetween(-(n - 1), 0)
+            cols.append(F.when(F.count(value).over(w) == n, F.avg(value).over(w)).alias(f"{value}_roll_mean_{n}"))
+        for n in stds:
+            w = base.rowsBetween(-(n - 1), 0)
+            cols.append(F.when(F.count(value).over(w) == n, F.stddev_samp(value).over(w))
+                        .alias(f"{value}_roll_std_{n}"))
+        return cols
+    back = max(list(means) + list(stds)) - 1
+    return S.apply_framed(df, key, _order(ts, tiebreak), build, back=back, bucket=bucket, ts=ts)
 
 
 def meter_deltas(df: DataFrame, value: str, key: str = "sensor_id", ts: str = "ts",
-                 tiebreak: str | None = None, out: str = "delta") -> DataFrame:
+                 tiebreak: str | None = None, out: str = "delta", bucket=DEFAULT_BUCKET) -> DataFrame:
     """Difference to the previous reading of the same series."""
-    w = series_window(key, ts, tiebreak)
-    return df.withColumn(out, F.col(value) - F.lag(value).over(w))
+    return S.apply_framed(df, key, _order(ts, tiebreak),
+                          lambda w: [(F.col(value) - F.lag(value).over(w)).alias(out)],
+                          back=1, bucket=bucket, ts=ts)
 
 
 # ---------------------------------------------------------------- WIN-04/05
@@ -106,84 +118,100 @@ PULSE_LITRES = 0.00225  # fixed value: litres per flow-meter pulse
 
 
 def pulse_flow(pulses: DataFrame, key: str = "sensor_id", ts: str = "ts", tiebreak: str | None = None,
-               litres_per_pulse: float = PULSE_LITRES) -> DataFrame:
+               litres_per_pulse: float = PULSE_LITRES, bucket=DEFAULT_BUCKET) -> DataFrame:
     """WIN-04 flow rate (L/min) from the gap to the previous pulse (NULL for
-    the first pulse or a zero gap) and WIN-05 running volume."""
-    w = series_window(key, ts, tiebreak)
-    dt = (F.unix_micros(F.col(ts).cast("timestamp"))
-          - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1_000_000
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (pulses.withColumn("flow_lpm", F.try_divide(F.lit(litres_per_pulse), dt) * 60)
-                  .withColumn("total_litres", F.count(F.lit(1)).over(running) * litres_per_pulse))
+    the first pulse or a zero gap) and WIN-05 running volume (the pulse's
+    position in the series times the litres per pulse)."""
+    def build(w):
+        dt = (F.unix_micros(F.col(ts).cast("timestamp"))
+              - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1_000_000
+        return [(F.try_divide(F.lit(litres_per_pulse), dt) * 60).alias("flow_lpm")]
+    if bucket is None:
+        w = series_window(key, ts, tiebreak)
+        running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return pulses.select("*", *build(w), (F.count(F.lit(1)).over(running) * litres_per_pulse)
+                             .alias("total_litres"))
+    out = S.apply_framed(pulses, key, _order(ts, tiebreak), build, back=1, bucket=bucket, ts=ts,
+                         keep_positions=True)
+    return out.withColumn("total_litres", (F.col("_i") + 1) * litres_per_pulse).drop("_i", "_n")
 
 
 # ---------------------------------------------------------------- WIN-08
 def interpolate_linear(df: DataFrame, value: str, key=None, ts: str = "ts", tiebreak: str | None = None,
-                       out: str | None = None) -> DataFrame:
+                       out: str | None = None, bucket=DEFAULT_BUCKET) -> DataFrame:
     """WIN-08: time-linear interpolation between the previous and next known
-    values; leading/trailing gaps stay NULL."""
+    values; leading/trailing gaps stay NULL.  The nearest known values are
+    found across buckets through a per-bucket summary, so a long gap costs
+    nothing extra."""
     out = out or value
-    keys = [] if key is None else ([key] if isinstance(key, str) else list(key))
-    order = _order(ts, tiebreak)
-    wb = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    wf = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double") if ts else None
-    known_t = F.when(F.col(value).isNotNull(), t)
-    prev_v, prev_t = F.last(value, True).over(wb), F.last(known_t, True).over(wb)
-    next_v, next_t = F.first(value, True).over(wf), F.first(known_t, True).over(wf)
-    frac = F.try_divide(t - prev_t, next_t - prev_t)
+    if key is None:
+        df = df.withColumn("_series", F.lit(0))
+        key = "_series"
+    t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    payload = F.struct(t.alias("t"), F.col(value).alias("v"))
+    x = S.carry_known(df, key, _order(ts, tiebreak), value, payload, bucket=bucket, ts=ts)
+    pv, pt, nv, nt = F.col("_prev.v"), F.col("_prev.t"), F.col("_next.v"), F.col("_next.t")
+    frac = F.try_divide(t - pt, nt - pt)
     interp = F.when(F.col(value).isNotNull(), F.col(value)).when(
-        prev_v.isNotNull() & next_v.isNotNull(),
-        F.when(next_t == prev_t, prev_v).otherwise(prev_v + (next_v - prev_v) * frac))
-    return df.withColumn(out, interp)
+        F.col("_prev").isNotNull() & F.col("_next").isNotNull(),
+        F.when(nt == pt, pv).otherwise(pv + (nv - pv) * frac))
+    res = x.withColumn(out, interp).drop("_prev", "_next")
+    return res.drop("_series") if key == "_series" else res
 
 
 # ---------------------------------------------------------------- WIN-09..12
 def training_windows(df: DataFrame, features: Sequence[str], target: str, window: int, horizon: int,
                      key: str = "facility_id", ts: str = "ts", tiebreak: str | None = None,
-                     drop_last: bool = False) -> DataFrame:
+                     drop_last: bool = False, bucket=DEFAULT_BUCKET) -> DataFrame:
     """WIN-09 / WIN-10: for each start row, ``window`` rows of features and the
     next ``horizon`` targets; only complete windows are kept, giving
     n - window - horizon + 1 samples per series (one fewer with
     ``drop_last``).  Arrays are built after column pruning."""
-    w = series_window(key, ts, tiebreak)
-    fw = w.rowsBetween(0, window - 1)
-    tw = w.rowsBetween(window, window + horizon - 1)
     feat = F.struct(*[F.col(c) for c in features])
-    out = df.select(key, F.col(ts).alias("window_start"),
-                    F.collect_list(feat).over(fw).alias("x"),
-                    F.collect_list(F.col(target)).over(tw).alias("y"),
-                    F.row_number().over(w).alias("_i"),
-                    F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n"))
+    src = df.select(key, ts, *([tiebreak] if tiebreak else []), *{*features, target})
+
+    def build(w):
+        return [F.collect_list(feat).over(w.rowsBetween(0, window - 1)).alias("x"),
+                F.collect_list(F.col(target)).over(w.rowsBetween(window, window + horizon - 1)).alias("y")]
+    if bucket is None:
+        w = series_window(key, ts, tiebreak)
+        out = src.select("*", *build(w), (F.row_number().over(w) - 1).alias("_i"),
+                         F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n"))
+    else:
+        out = S.apply_framed(src, key, _order(ts, tiebreak), build, ahead=window + horizon - 1,
+                             bucket=bucket, ts=ts, keep_positions=True)
     out = out.filter((F.size("x") == window) & (F.size("y") == horizon))
     if drop_last:
-        out = out.filter(F.col("_i") < F.col("_n") - window - horizon + 1)
-    return out.drop("_i", "_n")
+        out = out.filter(F.col("_i") + 1 < F.col("_n") - window - horizon + 1)
+    return out.select(key, F.col(ts).alias("window_start"), "x", "y")
 
 
 def multi_horizon_targets(df: DataFrame, target: str, window: int, horizons: Sequence[int] = (1, 6, 24),
-                          key: str = "facility_id", ts: str = "ts", tiebreak: str | None = None) -> DataFrame:
+                          key: str = "facility_id", ts: str = "ts", tiebreak: str | None = None,
+                          bucket=DEFAULT_BUCKET) -> DataFrame:
     """WIN-11: target h steps after the window's last row, for each h."""
-    w = series_window(key, ts, tiebreak)
-    cols = [F.lead(target, window - 1 + h).over(w).alias(f"y_h{h}") for h in horizons]
-    out = df.select(key, F.col(ts).alias("window_start"), *cols)
+    src = df.select(key, ts, *([tiebreak] if tiebreak else []), target)
+    out = S.apply_framed(
+        src, key, _order(ts, tiebreak),
+        lambda w: [F.lead(target, window - 1 + h).over(w).alias(f"y_h{h}") for h in horizons],
+        ahead=window - 1 + max(horizons), bucket=bucket, ts=ts)
+    out = out.select(key, F.col(ts).alias("window_start"), *[f"y_h{h}" for h in horizons])
     return out.filter(F.col(f"y_h{max(horizons)}").isNotNull())
 
 
 def chronological_split(df: DataFrame, window: int, test_size: float = 0.2, key: str = "facility_id",
-                        ts: str = "ts", tiebreak: str | None = None, horizon: int = 1) -> DataFrame:
+                        ts: str = "ts", tiebreak: str | None = None, horizon: int = 1,
+                        bucket=DEFAULT_BUCKET) -> DataFrame:
     """WIN-12: per series, samples = n - window - horizon + 1,
     s = int(samples (1 - test_size)); train rows [0, s + window), test rows
-    [s, n).  Rows in the overlap carry both flags."""
-    w = series_window(key, ts, tiebreak)
-    i = F.row_number().over(w) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    samples = n - window - horizon + 1
-    s = F.floor(samples * (1 - test_size))
-    return (df.withColumn("_i", i).withColumn("_s", s)
-              .withColumn("in_train", F.col("_i") < F.col("_s") + window)
-              .withColumn("in_test", F.col("_i") >= F.col("_s"))
-              .drop("_i", "_s"))
+    [s, n).  Rows in the overlap carry both flags.  Positions come from
+    bucket-local row numbers plus prefix counts, not a series-wide sort."""
+    x = S.positions(df, key, _order(ts, tiebreak), bucket, ts)
+    s = F.floor((F.col("_n") - window - horizon + 1) * (1 - test_size))
+    return (x.withColumn("_s", s)
+             .withColumn("in_train", F.col("_i") < F.col("_s") + window)
+             .withColumn("in_test", F.col("_i") >= F.col("_s"))
+             .drop("_i", "_n", "_s"))
 
 
 # ---------------------------------------------------------------- ML-01..04

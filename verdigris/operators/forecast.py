@@ -114,14 +114,17 @@ def forecast_features(df: DataFrame, value: str, key: str = "facility_id", ts: s
     """Lag and rolling-mean features of the *previous* rows (no leakage of
     the target) plus calendar/cyclical hour; rows without full history are
     dropped."""
-    out = FE.lag_features(df, {value: list(lags)}, key, ts, tiebreak)
-    prev = FE.series_window(key, ts, tiebreak)
-    cols = [f"{value}_lag_{k}" for k in lags]
-    for n in means:
-        w = prev.rowsBetween(-n, -1)
-        out = out.withColumn(f"{value}_prev_mean_{n}",
-                             F.when(F.count(value).over(w) == n, F.avg(value).over(w)))
-        cols.append(f"{value}_prev_mean_{n}")
+    from verdigris.operators import series as S
+    cols = [f"{value}_lag_{k}" for k in lags] + [f"{value}_prev_mean_{n}" for n in means]
+
+    def build(w):
+        out = [F.lag(value, k).over(w).alias(f"{value}_lag_{k}") for k in lags]
+        for n in means:
+            wn = w.rowsBetween(-n, -1)
+            out.append(F.when(F.count(value).over(wn) == n, F.avg(value).over(wn)).alias(f"{value}_prev_mean_{n}"))
+        return out
+    order = [F.col(ts)] + ([F.col(tiebreak)] if tiebreak else [])
+    out = S.apply_framed(df, key, order, build, back=max(list(lags) + list(means)), ts=ts)
     out = FE.cyclical_hour(FE.calendar_features(out, ts), ts)
     cols += ["hour_sin", "hour_cos", "day_of_week"]
     out = out.withColumn("day_of_week", F.col("day_of_week").cast("double"))
@@ -142,9 +145,9 @@ def train_forecaster(features: DataFrame, feature_cols: Sequence[str], label: st
         train, test = features.randomSplit([1 - test_size, test_size], seed)
         data = train.withColumn("is_val", F.lit(False)).unionByName(test.withColumn("is_val", F.lit(True)))
     else:
-        w = Window.partitionBy(key).orderBy(ts)
-        n = F.count(F.lit(1)).over(Window.partitionBy(key))
-        data = features.withColumn("is_val", F.row_number().over(w) > F.floor(n * (1 - test_size)))
+        from verdigris.operators import series as S
+        pos = S.positions(features, key, [F.col(ts)], ts=ts)
+        data = pos.withColumn("is_val", F.col("_i") + 1 > F.floor(F.col("_n") * (1 - test_size))).drop("_i", "_n")
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="skip")
     if algo == "gbt":
         reg = GBTRegressor(labelCol=label, maxIter=max_iter, seed=seed, validationIndicatorCol="is_val",

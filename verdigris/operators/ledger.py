@@ -44,18 +44,24 @@ def total_supply(events: DataFrame) -> DataFrame:
         .alias("total_supply_wei"))
 
 
-def overdraft_screen(events: DataFrame) -> DataFrame:
+def overdraft_screen(events: DataFrame, seq_per_bucket: int = 1 << 20) -> DataFrame:
     """LED-03: running balance per account in event order; flags the first
     event that takes an account below zero (the event a checked subtraction
-    would revert).  Flags only; exact replay with reverts is sequential."""
+    would revert).  Flags only; exact replay with reverts is sequential.
+
+    The running balance is an exact prefix sum computed per (account, range
+    of ``seq_per_bucket`` log positions) plus the totals of earlier ranges,
+    so a very active account is spread over many tasks."""
+    from verdigris.operators.series import running_sum
     d = deltas(events)
-    w = Window.partitionBy("account").orderBy("seq", F.col("delta").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = d.withColumn("running_wei", F.sum("delta").over(w).cast(DEC))
+    bucket = F.floor(F.col("seq") / seq_per_bucket)
+    order = [F.col("seq"), F.col("delta").desc()]
+    run = running_sum(d, "account", order, "delta", "running_wei", bucket=bucket)
+    run = run.withColumn("running_wei", F.col("running_wei").cast(DEC))
     neg = run.filter(F.col("running_wei") < 0)
-    first = neg.groupBy("account").agg(F.min("seq").alias("seq"))
-    return first.join(run, ["account", "seq"]).filter(F.col("running_wei") < 0) \
-                .select("account", "seq", "kind", "delta", "running_wei")
+    first = neg.groupBy("account").agg(F.min_by(F.struct("seq", "kind", "delta", "running_wei"),
+                                                F.struct("seq", (-F.col("delta")).alias("nd"))).alias("_f"))
+    return first.select("account", "_f.*")
 
 
 def refuse_zero_address(events: DataFrame) -> tuple[DataFrame, DataFrame]:

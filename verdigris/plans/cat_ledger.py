@@ -40,7 +40,7 @@ SELECT account, seq, kind, CAST(running_wei AS VARCHAR) AS running_wei FROM (
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_wei FROM dl)
   WHERE running_wei < 0) WHERE rn = 1""", ce=L.CREDIT_EVENTS_SQL, dl=DELTAS_SQL))
 def led03(spark, d):
-    o = LG.overdraft_screen(L.credit_events(spark, d))
+    o = LG.overdraft_screen(L.credit_events(spark, d), seq_per_bucket=4096)
     return o.select("account", "seq", "kind", F.col("running_wei").cast("string").alias("running_wei"))
 
 
