@@ -181,3 +181,13 @@ def test_bucketed_windows_equal_plain_windows(spark, bucket):
     a = FE.chronological_split(df, 12, key="k", tiebreak="id", bucket=bucket).select("id", "in_train", "in_test")
     b = FE.chronological_split(df, 12, key="k", tiebreak="id", bucket=None)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select("id", "in_train", "in_test").collect()))
+
+
+def test_approximate_quantiles_within_rank_error(spark):
+    df = _skewed(spark)
+    exact = {r.k: r.med for r in exact_quantiles(df, ["k"], "v", {"med": 0.5}).collect()}
+    approx = {r.k: r.med for r in exact_quantiles(df, ["k"], "v", {"med": 0.5}, approximate=True).collect()}
+    assert exact.keys() == approx.keys()
+    # rank error n/accuracy: for these sizes the sketch is (near) exact
+    for k in exact:
+        assert abs(exact[k] - approx[k]) < 5.0

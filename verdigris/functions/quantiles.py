@@ -28,15 +28,24 @@ _MARGIN = 8.0
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-                    probs: Mapping[str, float], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                    probs: Mapping[str, float], accuracy: int = DEFAULT_ACCURACY,
+                    approximate: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``keys``.
 
     Returns one row per group with a column per entry of ``probs`` plus
-    ``_n`` (non-null count).  NULL values are ignored.
+    ``_n`` (non-null count).  NULL values are ignored.  ``approximate=True``
+    stops after the sketch pass (``percentile_approx``, rank error
+    n / accuracy, no interpolation) -- one partial aggregate, for callers
+    that accept that error.
     """
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if approximate:
+        names = list(probs)
+        agg = base.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(
+            "_v", [float(probs[n]) for n in names], accuracy).alias("_a"))
+        return agg.select(*keys, "_n", *[F.col("_a")[i].alias(n) for i, n in enumerate(names)])
     names = list(probs)
     margin = _MARGIN / accuracy
     fracs: list[float] = []
@@ -91,21 +100,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str | Column,
-                 alias: str = "median", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    return exact_quantiles(df, keys, value, {alias: 0.5}, accuracy).drop("_n")
+                 alias: str = "median", accuracy: int = DEFAULT_ACCURACY, approximate: bool = False) -> DataFrame:
+    return exact_quantiles(df, keys, value, {alias: 0.5}, accuracy, approximate).drop("_n")
 
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str,
                    median_alias: str = "median", mad_alias: str = "mad",
-                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                   accuracy: int = DEFAULT_ACCURACY, approximate: bool = False) -> DataFrame:
     """Per-group median and unscaled MAD = median(|x - median|).
 
     The median is computed once and carried as an extra grouping column of
     the deviation pass (it is constant per group), so no join back is
     needed."""
     keys = list(keys)
-    med = exact_median(df, keys, value, median_alias, accuracy)
+    med = exact_median(df, keys, value, median_alias, accuracy, approximate)
     dev_src = df.select(*keys, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
     dev_src = dev_src.join(med, keys) if keys else dev_src.crossJoin(F.broadcast(med))
     dev = dev_src.select(*keys, median_alias, F.abs(F.col("_x") - F.col(median_alias)).alias("_d"))
-    return exact_median(dev, keys + [median_alias], "_d", mad_alias, accuracy)
+    return exact_median(dev, keys + [median_alias], "_d", mad_alias, accuracy, approximate)

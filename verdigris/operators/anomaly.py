@@ -10,13 +10,14 @@ from verdigris.operators.timeseries import resolve_as_of, trailing
 
 
 def facility_stats(metrics: DataFrame, as_of=None, days: int = 7, value: str = "co2_kg",
-                   key: str = "facility_id", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                   key: str = "facility_id", accuracy: int = DEFAULT_ACCURACY,
+                   approximate: bool = False) -> DataFrame:
     """AGG-05: per-facility median and unscaled MAD over ``ts > as_of - days``.
 
     Exact, and safe for a facility holding a large share of rows (see
     ``functions.quantiles``)."""
     recent = trailing(metrics, days, as_of)
-    return median_and_mad(recent, [key], value, "median_co2", "mad_co2", accuracy)
+    return median_and_mad(recent, [key], value, "median_co2", "mad_co2", accuracy, approximate)
 
 
 def robust_anomalies(metrics: DataFrame, as_of=None, stats_days: int = 7, recent_days: int = 1,
@@ -55,9 +56,10 @@ def leak_alerts(readings: DataFrame, flow: str = "flow_rate", valve_open: str =
 
 
 def iqr_bounds(df: DataFrame, value: str, keys=(), k: float = 1.5,
-               accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """q1, q3 and the Tukey fences per group (exact, linear interpolation)."""
-    q = exact_quantiles(df, list(keys), value, {"q1": 0.25, "q3": 0.75}, accuracy).drop("_n")
+               accuracy: int = DEFAULT_ACCURACY, approximate: bool = False) -> DataFrame:
+    """q1, q3 and the Tukey fences per group (exact, linear interpolation;
+    ``approximate=True`` uses the sketch alone)."""
+    q = exact_quantiles(df, list(keys), value, {"q1": 0.25, "q3": 0.75}, accuracy, approximate).drop("_n")
     iqr = F.col("q3") - F.col("q1")
     return q.withColumn("lower", F.col("q1") - k * iqr).withColumn("upper", F.col("q3") + k * iqr)
 

@@ -216,11 +216,12 @@ def chronological_split(df: DataFrame, window: int, test_size: float = 0.2, key:
 
 # ---------------------------------------------------------------- ML-01..04
 def fit_iqr_caps(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-                 accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """ML-01 fit: one row per column with lower/upper caps (exact quantiles)."""
+                 accuracy: int = DEFAULT_ACCURACY, approximate: bool = False) -> DataFrame:
+    """ML-01 fit: one row per column with lower/upper caps (exact quantiles;
+    ``approximate=True`` for the sketch alone)."""
     parts = []
     for c in cols:
-        q = exact_quantiles(df, [], c, {"q1": 0.25, "q3": 0.75}, accuracy).drop("_n")
+        q = exact_quantiles(df, [], c, {"q1": 0.25, "q3": 0.75}, accuracy, approximate).drop("_n")
         parts.append(q.select(F.lit(c).alias("column"),
                               (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower"),
                               (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper")))

@@ -106,10 +106,14 @@ def audit_trail(old: DataFrame, new: DataFrame, key: str, compare: Sequence[str]
     j = o.join(n, key, "full")
     soft_deleted = (F.col("_old.deleted_at").isNull() & F.col("_new.deleted_at").isNotNull()
                     if "deleted_at" in compare else F.lit(False))
+    changed = F.lit(False)
+    for c in compare:                      # null-safe, column by column
+        changed = changed | ~F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}"))
     op = (F.when(F.col("_old").isNull(), F.lit("C"))
            .when(F.col("_new").isNull(), F.lit("D"))
            .when(soft_deleted, F.lit("D"))
-           .when(F.to_json("_old") != F.to_json("_new"), F.lit("U")))
+           .when(changed, F.lit("U")))
+    # JSON text is produced only for the rows that are written.
     return (j.withColumn("operation_type", op).filter(F.col("operation_type").isNotNull())
              .select(F.col(key).alias("record_id"), "operation_type",
                      F.to_json("_old").alias("old_values"), F.to_json("_new").alias("new_values"),
