@@ -63,6 +63,8 @@ def main():
     if args and args[0].startswith("/"):
         sf_dir, args = args[0], args[1:]
     spark = get_spark("local[8]", 8)
+    if os.environ.get("ORACLE_TZ"):          # run under a non-UTC session zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_TZ"])
     con = duckdb.connect()
     for t in L.TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")

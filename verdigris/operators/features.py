@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.quantiles import DEFAULT_ACCURACY, exact_quantiles
-from verdigris.functions.time import col_, epoch_hours
+from verdigris.functions.time import col_, epoch_hours, epoch_micros
 from verdigris.operators import series as S
 from verdigris.operators.series import DEFAULT_BUCKET
 
@@ -123,8 +123,8 @@ def pulse_flow(pulses: DataFrame, key: str = "sensor_id", ts: str = "ts", tiebre
     the first pulse or a zero gap) and WIN-05 running volume (the pulse's
     position in the series times the litres per pulse)."""
     def build(w):
-        dt = (F.unix_micros(F.col(ts).cast("timestamp"))
-              - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1_000_000
+        dt = (epoch_micros(ts)
+              - epoch_micros(F.lag(ts).over(w))) / 1_000_000
         return [(F.try_divide(F.lit(litres_per_pulse), dt) * 60).alias("flow_lpm")]
     if bucket is None:
         w = series_window(key, ts, tiebreak)
@@ -147,7 +147,7 @@ def interpolate_linear(df: DataFrame, value: str, key=None, ts: str = "ts", tieb
     if key is None:
         df = df.withColumn("_series", F.lit(0))
         key = "_series"
-    t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    t = epoch_micros(ts).cast("double")
     payload = F.struct(t.alias("t"), F.col(value).alias("v"))
     x = S.carry_known(df, key, _order(ts, tiebreak), value, payload, bucket=bucket, ts=ts)
     pv, pt, nv, nt = F.col("_prev.v"), F.col("_prev.t"), F.col("_next.v"), F.col("_next.t")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.functions.time import col_, interval
+from verdigris.functions.time import col_, epoch_micros, interval
 
 Rule = tuple[str, Column]
 
@@ -126,7 +126,8 @@ def parse_raw_reading(raw: DataFrame, ts_format: str = "yyyy-MM-dd'T'HH:mm:ss'Z'
                       ts: str = "timestamp", kwh: str = "kwh") -> DataFrame:
     """VAL-13 input side: typed columns from strings, NULL when unparseable
     (the raw strings are kept so rejects can be reported)."""
-    return (raw.withColumn("ts_parsed", F.try_to_timestamp(F.col(ts), F.lit(ts_format)).cast("timestamp_ntz"))
+    from verdigris.functions.time import try_parse_ntz
+    return (raw.withColumn("ts_parsed", try_parse_ntz(ts, ts_format))
                .withColumn("kwh_parsed", F.col(kwh).try_cast("double")))
 
 
@@ -202,7 +203,7 @@ def successive_steps(df: DataFrame, ts: str = "ts", keys: Sequence[str] = (),
     """
     from pyspark.sql import Window
     keys = list(keys)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = epoch_micros(ts)
     b = F.date_trunc(bucket, ts)
     base = df.select(*keys, us.alias("_t"), b.alias("_b")).filter(F.col("_t").isNotNull())
     w_in = Window.partitionBy(*keys, "_b").orderBy("_t")

@@ -37,9 +37,9 @@ def _raw_ts(spark, d):
     o = L.table(spark, d, "orders")
     t = F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 720).cast("int"))
     k = F.col("o_orderkey") % 4
-    raw = (F.when(k == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
-            .when(k == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-            .when(k == 2, F.date_format(t, "M/d/yyyy h:mm a"))
+    raw = (F.when(k == 0, TF.format_ntz(t, TF.TIMESTAMP_FORMATS[0]))
+            .when(k == 1, TF.format_ntz(t, TF.TIMESTAMP_FORMATS[1]))
+            .when(k == 2, TF.format_ntz(t, TF.TIMESTAMP_FORMATS[2]))
             .otherwise(F.col("o_orderpriority")))
     return o.select(F.col("o_orderkey").alias("row_id"), raw.alias("raw_ts"))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdigris.functions import time as TF
 from verdigris.operators.tables import scratch_path
 from verdigris.plans import logical as L
 from verdigris.plans.catalog import register
@@ -20,9 +21,9 @@ def _historical_rows(spark, d):
     o = L.table(spark, d, "orders")
     t = o.o_orderdate + F.make_dt_interval(mins=(F.col("o_orderkey") % 720).cast("int"))
     k = F.col("o_orderkey") % 3
-    ts = (F.when(k == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
-           .when(k == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-           .otherwise(F.date_format(t, "M/d/yyyy h:mm a")))
+    ts = (F.when(k == 0, TF.format_ntz(t, TF.TIMESTAMP_FORMATS[0]))
+           .when(k == 1, TF.format_ntz(t, TF.TIMESTAMP_FORMATS[1]))
+           .otherwise(TF.format_ntz(t, TF.TIMESTAMP_FORMATS[2])))
     kwh = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
     return o.select(ts.alias("Timestamp"), F.col("o_custkey").cast("string").alias("FacilityID"),
                     kwh.alias("Energy_kWh"), F.col("o_orderpriority").alias("Source"),

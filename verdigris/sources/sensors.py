@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdigris.functions.time import try_parse_ntz
+
 # Generic sensor message (ts, value, unit, optional status and metadata).
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("ts", T.StringType()), T.StructField("value", T.StringType()),
@@ -32,7 +34,7 @@ def normalise_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
     an empty metadata map.  Unparseable values become NULL (reject later)."""
     m = F.from_json(F.col(payload), MESSAGE_SCHEMA)
     return (df.withColumn("_m", m)
-              .withColumn("ts", F.try_to_timestamp(F.col("_m.ts")).cast("timestamp_ntz"))
+              .withColumn("ts", try_parse_ntz(F.col("_m.ts")))
               .withColumn("value", F.col("_m.value").try_cast("double"))
               .withColumn("unit", F.col("_m.unit"))
               .withColumn("status", F.coalesce(F.col("_m.status"), F.lit("ok")))
