@@ -201,12 +201,18 @@ def agg07m(spark, d):
     return _period(spark, d, "month")
 
 
-@register("agg19_nightly_rollup", "AGG-19")
+@register("agg19_nightly_rollup", "AGG-19", L.with_ctes(f"""
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, facility_id, {sql_r('sum(co2_kg)')} AS total_co2,
+       {sql_r('avg(anomaly_score)')} AS avg_anomaly, CAST(ts AS DATE) AS day
+FROM em WHERE ts > (SELECT max(ts) FROM em) - INTERVAL 30 DAY
+GROUP BY 1, 2, 5""", em=L.EMISSION_METRICS_SQL))
 def agg19(spark, d):
     from verdigris.operators.tables import scratch_path
     path = scratch_path(spark, "daily_rollup")
     RP.nightly_rollup(L.emission_metrics(spark, d), path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("bucket", "facility_id", r("total_co2").alias("total_co2"),
+                       r("avg_anomaly").alias("avg_anomaly"), "day")
 
 
 @register("join03_record_owner", "JOIN-03", L.with_ctes("""

@@ -138,7 +138,9 @@ def snk06(spark, d):
     return a.select("record_id", "operation_type")
 
 
-@register("snk07_time_chunked_layout", "SNK-07")
+@register("snk07_time_chunked_layout", "SNK-07", L.with_ctes("""
+SELECT CAST(ts AS DATE) AS chunk, count(*) AS n FROM eu WHERE CAST(ts AS DATE) >= DATE '2024-01-20' GROUP BY 1""",
+    eu=L.ENERGY_USAGE_SQL))
 def snk07(spark, d):
     path = TB.scratch_path(spark, "energy_usage")
     TB.write_chunked(L.energy_usage(spark, d), path, "1 day")
@@ -147,7 +149,8 @@ def snk07(spark, d):
         F.count("*").alias("n"))
 
 
-@register("snk08_compact_cold_chunks", "SNK-08")
+@register("snk08_compact_cold_chunks", "SNK-08", L.with_ctes("""
+SELECT CAST(ts AS DATE) AS chunk, count(*) AS n FROM em GROUP BY 1""", em=L.EMISSION_METRICS_SQL))
 def snk08(spark, d):
     path = TB.scratch_path(spark, "emission_metrics")
     em = L.emission_metrics(spark, d)

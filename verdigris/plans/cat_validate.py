@@ -192,7 +192,18 @@ def val09g(spark, d):
     return V.step_mode(L.emission_metrics(spark, d))
 
 
-@register("val10_overall_verdict", "VAL-10")
+@register("val10_overall_verdict", "VAL-10", L.with_ctes("""
+SELECT m.missing_ok, r.ranges_ok, t.dtypes_ok, st.steps_ok,
+       m.missing_ok AND r.ranges_ok AND t.dtypes_ok AND st.steps_ok AS valid
+FROM (SELECT bool_and(share <= 0.05) AS missing_ok FROM (
+        SELECT avg(CASE WHEN ts IS NULL THEN 1.0 ELSE 0.0 END) AS share FROM sf
+        UNION ALL SELECT avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) FROM sf)) m,
+     (SELECT coalesce(bool_and(coalesce(co2_kg BETWEEN 0 AND 500, false)), true) AS ranges_ok FROM em) r,
+     (SELECT bool_and(typeof(co2_kg) = 'DOUBLE') AS dtypes_ok FROM (SELECT co2_kg FROM em LIMIT 1)) t,
+     (SELECT coalesce(bool_and(us / 1000000 = 3600.0), false) AS steps_ok FROM (
+        SELECT us FROM (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY facility_id ORDER BY ts) AS us FROM h)
+        WHERE us IS NOT NULL GROUP BY us ORDER BY count(*) DESC, us ASC LIMIT 1)) st""",
+    sf=L.SENSOR_FEED_SQL, em=L.EMISSION_METRICS_SQL, eu=L.ENERGY_USAGE_SQL, h=HOURLY_SQL))
 def val10(spark, d):
     sf = L.sensor_feed(spark, d)
     em = L.emission_metrics(spark, d)
