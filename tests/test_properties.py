@@ -191,3 +191,26 @@ def test_approximate_quantiles_within_rank_error(spark):
     # rank error n/accuracy: for these sizes the sketch is (near) exact
     for k in exact:
         assert abs(exact[k] - approx[k]) < 5.0
+
+
+def test_factor_lookup_bucketed_fallback_equals_broadcast(spark):
+    from verdigris.operators.carbon import factor_lookup
+    from verdigris.plans.cat_carbon import categories_frame
+    from verdigris.plans.logical import emission_records
+    from conftest import SF_SMALL
+    rec = emission_records(spark, SF_SMALL)
+    cats = categories_frame(spark)
+    a = factor_lookup(rec, cats).select("record_id", "co2e_factor")
+    b = factor_lookup(rec, cats, max_broadcast_rows=1).select("record_id", "co2e_factor")
+    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_scenarios_from_frame_or_list(spark):
+    from verdigris.operators.carbon import scenario_analysis
+    base = spark.createDataFrame([(1, 100.0, 10.0)], "id int, energy_usage double, water_usage double")
+    sc = [("a", 0.1, 0.0), ("b", 0.0, 0.5)]
+    x = scenario_analysis(base, sc)
+    y = scenario_analysis(base, spark.createDataFrame(sc, "name string, efficiency double, renewable double"))
+    assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+    assert x.count() == 3

@@ -69,11 +69,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
         hi = none if hi_f >= 1 else F.when(small, none).otherwise(F.col("_a")[2 * i + 1])
         band_items.append(F.struct(F.lit(i).alias("_qi"), F.lit(q).alias("_q"),
                                    lo.alias("_lo"), hi.alias("_hi")))
-    band = stats.select(*keys, "_n", F.inline(F.array(*band_items)))
-
     below = F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))
     inside = ~below & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-    cand = (base.join(band, keys) if keys else base.crossJoin(F.broadcast(band)))
+    if keys:
+        band = stats.select(*keys, "_n", F.inline(F.array(*band_items)))
+        cand = base.join(band, keys)
+    else:
+        # One group: the band is a scalar (one row); each value is paired
+        # with the k requested quantiles by an explode, not a join.
+        s = stats.select(F.struct("_n", F.array(*band_items).alias("_items")).alias("_s")).scalar()
+        cand = base.select("_v", s["_n"].alias("_n"), F.inline(s["_items"]))
     cand = (cand.filter(below | inside)
                 .groupBy(*keys, "_qi", "_q", "_n", F.when(inside, F.col("_v")).alias("_vv"))
                 .agg(F.count("*").alias("_c")))
@@ -115,6 +120,9 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: str,
     keys = list(keys)
     med = exact_median(df, keys, value, median_alias, accuracy, approximate)
     dev_src = df.select(*keys, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
-    dev_src = dev_src.join(med, keys) if keys else dev_src.crossJoin(F.broadcast(med))
+    if keys:
+        dev_src = dev_src.join(med, keys)
+    else:
+        dev_src = dev_src.withColumn(median_alias, med.select(median_alias).scalar())
     dev = dev_src.select(*keys, median_alias, F.abs(F.col("_x") - F.col(median_alias)).alias("_d"))
     return exact_median(dev, keys + [median_alias], "_d", mad_alias, accuracy, approximate)

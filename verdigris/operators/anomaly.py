@@ -68,6 +68,10 @@ def iqr_filter(df: DataFrame, value: str, keys=(), k: float = 1.5) -> DataFrame:
     """FLT-09: drop missing values and values outside the Tukey fences."""
     keys = list(keys)
     b = iqr_bounds(df, value, keys, k).select(*keys, "lower", "upper")
-    j = df.join(b, keys) if keys else df.crossJoin(F.broadcast(b))
+    if not keys:                                   # one row: a scalar, no join
+        from verdigris.operators.joins import one_row
+        s = one_row(b)
+        return df.filter(F.col(value).isNotNull() & F.col(value).between(s["lower"], s["upper"]))
+    j = df.join(b, keys)
     return (j.filter(F.col(value).isNotNull() & F.col(value).between(F.col("lower"), F.col("upper")))
              .drop("lower", "upper"))

@@ -16,33 +16,53 @@ def with_co2e(records: DataFrame, gwp_ch4: float = C.GWP_CH4, gwp_n2o: float = C
 
 
 def factor_lookup(records: DataFrame, categories: DataFrame, ts: str = "ts",
-                  key: str = "source_type") -> DataFrame:
+                  key: str = "source_type", max_broadcast_rows: int = 100_000) -> DataFrame:
     """JOIN-05: validity-dated factor: effective_from <= ts < effective_to
     (NULL = open), left outer.
 
-    The category table is a dimension (one row per category version).  It is
-    joined on the equality key so Spark can pick a broadcast hash join when
-    its size estimate is under the threshold, and a shuffled join otherwise.
-    """
-    c = categories.alias("c")
+    The join key (a source type) has few values, so a shuffle on it alone
+    would put all records into a handful of tasks.  The category table is
+    therefore broadcast once its row count is proven small; beyond that
+    bound each category version is exploded over the years it is valid and
+    the join runs on (type, year), which spreads the shuffle."""
+    from verdigris.operators.joins import broadcast_if_small
     cond = ((F.col(f"r.{key}") == F.col("c.category_code"))
             & (F.col(f"r.{ts}") >= F.col("c.effective_from"))
             & (F.col("c.effective_to").isNull() | (F.col(f"r.{ts}") < F.col("c.effective_to"))))
-    return records.alias("r").join(c, cond, "left").select("r.*", F.col("c.co2e_factor"))
+    small, ok = broadcast_if_small(categories, max_broadcast_rows)
+    if ok:
+        return records.alias("r").join(small.alias("c"), cond, "left").select("r.*", F.col("c.co2e_factor"))
+    last = records.select(F.max(ts)).scalar()
+    cats = categories.withColumn("_y", F.explode(F.sequence(
+        F.year("effective_from"), F.year(F.coalesce(F.col("effective_to"), last)))))
+    rec = records.withColumn("_y", F.year(ts))
+    return (rec.alias("r").join(cats.alias("c"), cond & (F.col("r._y") == F.col("c._y")), "left")
+               .select("r.*", F.col("c.co2e_factor")).drop("_y"))
 
 
-def scenario_analysis(base: DataFrame, scenarios: DataFrame) -> DataFrame:
+MAX_SCENARIOS = 1000
+
+
+def scenario_analysis(base: DataFrame, scenarios) -> DataFrame:
     """JOIN-06 + PRJ-13 + SET-02: each base case unchanged (scenario
     'base') plus every base case adjusted by every scenario.
 
-    Scenarios are a user-supplied list (the reference caps a request at a
-    handful); the product is sized base x scenarios by definition.
-    """
-    adj = base.crossJoin(F.broadcast(scenarios)).select(
-        *[c for c in base.columns if c not in ("energy_usage", "water_usage")],
-        F.col("name").alias("scenario"),
-        C.scenario_energy("energy_usage", "efficiency", "renewable").alias("energy_usage"),
-        C.scenario_water("water_usage", "efficiency").alias("water_usage"))
+    Scenarios are request parameters -- (name, efficiency, renewable)
+    tuples, or a small DataFrame of them, size-checked -- so they become a
+    literal array exploded on each base row: no join, no shuffle."""
+    if isinstance(scenarios, DataFrame):
+        rows = scenarios.select("name", "efficiency", "renewable").limit(MAX_SCENARIOS + 1).collect()
+        if len(rows) > MAX_SCENARIOS:
+            raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
+        scenarios = [tuple(r) for r in rows]
+    arr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(e)).alias("efficiency"),
+                             F.lit(float(r)).alias("renewable")) for n, e, r in scenarios])
+    keep = [c for c in base.columns if c not in ("energy_usage", "water_usage")]
+    exp = base.select("*", F.explode(arr).alias("_s"))
+    adj = exp.select(
+        *keep, F.col("_s.name").alias("scenario"),
+        C.scenario_energy("energy_usage", "_s.efficiency", "_s.renewable").alias("energy_usage"),
+        C.scenario_water("water_usage", "_s.efficiency").alias("water_usage"))
     base_rows = base.withColumn("scenario", F.lit("base"))
     return base_rows.unionByName(adj)
 

@@ -43,9 +43,11 @@ def calendar_features(df: DataFrame, ts: str = "ts") -> DataFrame:
 def holiday_flag(df: DataFrame, holidays: DataFrame, country: str, ts: str = "ts") -> DataFrame:
     """PRJ-09: left join to a (country, date) holiday table.  The table is a
     calendar (a few rows per country-year), so its broadcast is bounded."""
+    from verdigris.operators.joins import broadcast_if_small
     h = (holidays.filter(F.col("country") == country)
                  .select(F.col("date").alias("_hd")).distinct().withColumn("is_holiday", F.lit(True)))
-    return (df.join(F.broadcast(h), F.to_date(F.col(ts)) == F.col("_hd"), "left")
+    h, _ = broadcast_if_small(h)           # a calendar: broadcast once its size is proven
+    return (df.join(h, F.to_date(F.col(ts)) == F.col("_hd"), "left")
               .withColumn("is_holiday", F.coalesce("is_holiday", F.lit(False))).drop("_hd"))
 
 
@@ -238,12 +240,12 @@ def _wide(stats: DataFrame, cols: Sequence[str], fields: Sequence[str]) -> DataF
 
 
 def apply_iqr_caps(df: DataFrame, caps: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """ML-01 transform: clip to the fitted caps (one-row broadcast)."""
-    wide = _wide(caps, cols, ["lower", "upper"])
-    j = df.crossJoin(F.broadcast(wide))
+    """ML-01 transform: clip to the fitted caps (a one-row scalar, no join)."""
+    from verdigris.operators.joins import one_row
+    s = one_row(_wide(caps, cols, ["lower", "upper"]))
     for c in cols:
-        j = j.withColumn(c, F.least(F.greatest(F.col(c), F.col(f"{c}__lower")), F.col(f"{c}__upper")))
-    return j.drop(*[f"{c}__{f}" for c in cols for f in ("lower", "upper")])
+        df = df.withColumn(c, F.least(F.greatest(F.col(c), s[f"{c}__lower"]), s[f"{c}__upper"]))
+    return df
 
 
 def fit_robust(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
@@ -252,13 +254,12 @@ def fit_robust(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCUR
     and the IQR is recomputed on the imputed values)."""
     parts = []
     for c in cols:
-        med = exact_quantiles(df, [], c, {"median": 0.5}, accuracy).drop("_n")
-        imputed = df.select(F.col(c).alias("_x")).crossJoin(F.broadcast(med)).select(
-            F.coalesce("_x", "median").alias("_x"))
+        med = exact_quantiles(df, [], c, {"median": 0.5}, accuracy).select("median").scalar()
+        imputed = df.select(F.coalesce(F.col(c).cast("double"), med).alias("_x"))
         q = exact_quantiles(imputed, [], "_x", {"q1": 0.25, "m2": 0.5, "q3": 0.75}, accuracy).drop("_n")
         iqr = F.col("q3") - F.col("q1")
-        parts.append(med.crossJoin(q).select(
-            F.lit(c).alias("column"), F.col("median").alias("fill"), F.col("m2").alias("center"),
+        parts.append(q.select(
+            F.lit(c).alias("column"), med.alias("fill"), F.col("m2").alias("center"),
             F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale")))
     out = parts[0]
     for p in parts[1:]:
@@ -267,12 +268,11 @@ def fit_robust(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCUR
 
 
 def apply_robust(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
-    wide = _wide(stats, cols, ["fill", "center", "scale"])
-    j = df.crossJoin(F.broadcast(wide))
+    from verdigris.operators.joins import one_row
+    s = one_row(_wide(stats, cols, ["fill", "center", "scale"]))
     for c in cols:
-        j = j.withColumn(c, (F.coalesce(F.col(c), F.col(f"{c}__fill")) - F.col(f"{c}__center"))
-                         / F.col(f"{c}__scale"))
-    return j.drop(*[f"{c}__{f}" for c in cols for f in ("fill", "center", "scale")])
+        df = df.withColumn(c, (F.coalesce(F.col(c), s[f"{c}__fill"]) - s[f"{c}__center"]) / s[f"{c}__scale"])
+    return df
 
 
 def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> dict[str, list[str]]:
@@ -309,11 +309,12 @@ def fit_standard(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def apply_standard(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
-    j = df.crossJoin(F.broadcast(stats))
+    from verdigris.operators.joins import one_row
+    s = one_row(stats)
     for c in cols:
-        sd = F.col(f"{c}__std")
-        j = j.withColumn(c, (F.col(c) - F.col(f"{c}__mean")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd))
-    return j.drop(*[f"{c}__{f}" for c in cols for f in ("mean", "std")])
+        sd = s[f"{c}__std"]
+        df = df.withColumn(c, (F.col(c) - s[f"{c}__mean"]) / F.when(sd == 0, F.lit(1.0)).otherwise(sd))
+    return df
 
 
 # ---------------------------------------------------------------- ML-06

@@ -268,9 +268,9 @@ def linear_contributions(scored: DataFrame, model: PipelineModel, feature_cols:
     """ML-13: contribution_j = coef_j (x_j - mean_j), long format; per row
     the contributions sum to prediction - prediction(mean)."""
     _, coefs = linear_coefficients(model)
-    bg = background.select(*[F.col(c).alias(f"_m_{c}") for c in feature_cols])
-    j = scored.crossJoin(F.broadcast(bg))                    # one-row frame
+    from verdigris.operators.joins import one_row
+    bg = one_row(background.select(*feature_cols))            # per-feature means, one row
     items = F.array(*[F.struct(F.lit(c).alias("feature"),
-                               (F.lit(coefs[i]) * (F.col(c) - F.col(f"_m_{c}"))).alias("contribution"))
+                               (F.lit(coefs[i]) * (F.col(c) - bg[c])).alias("contribution"))
                       for i, c in enumerate(feature_cols)])
-    return j.select(*id_cols, "prediction", F.inline(items))
+    return scored.select(*id_cols, "prediction", F.inline(items))

@@ -12,6 +12,23 @@ from pyspark.sql import functions as F
 
 from verdigris.operators.timeseries import latest_per_key, newest
 
+DIMENSION_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows
+    (a bounded ``limit(max_rows + 1).count()``); otherwise return it
+    unchanged so the caller takes its shuffle-based path."""
+    n = df.limit(max_rows + 1).count()
+    return (F.broadcast(df), True) if n <= max_rows else (df, False)
+
+
+def one_row(df: DataFrame):
+    """The single row of a one-row frame (e.g. fitted statistics) as a
+    struct-valued scalar subquery Column: attached to other rows without a
+    join, computed once."""
+    return df.select(F.struct(*df.columns).alias("_s")).scalar()
+
 
 def latest_energy_water(energy: DataFrame, water: DataFrame, per_facility: bool = True) -> DataFrame:
     """JOIN-02.  ``per_facility=False`` is the literal reading: one newest

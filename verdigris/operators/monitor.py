@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,15 +68,14 @@ def _binned(df: DataFrame, value: str, lo, hi, bins: int) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """AGG-08: equal-width histogram over [min, max] (numpy-style: last bin
     closed).  All bins are returned, empty ones with count 0."""
-    rng = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    lo, hi = F.col("lo"), F.col("hi")
-    counts = _binned(df.crossJoin(F.broadcast(rng)), value, lo, hi, bins).groupBy("bin").agg(
-        F.count("*").alias("count"))
-    spine = rng.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "lo", "hi")
-    w = (F.col("hi") - F.col("lo")) / bins
-    return (spine.join(counts, "bin", "left")
-                 .select("bin", (F.col("lo") + (F.col("bin") - 1) * w).alias("lower"),
-                         (F.col("lo") + F.col("bin") * w).alias("upper"),
+    from verdigris.operators.joins import one_row
+    rng = one_row(df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
+    lo, hi = rng["lo"], rng["hi"]
+    counts = _binned(df, value, lo, hi, bins).groupBy("bin").agg(F.count("*").alias("count"))
+    spine = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    w = (hi - lo) / bins
+    return (spine.join(counts, "bin", "left")                     # at most `bins` rows each side
+                 .select("bin", (lo + (F.col("bin") - 1) * w).alias("lower"), (lo + F.col("bin") * w).alias("upper"),
                          F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
@@ -89,17 +88,16 @@ def drift(reference: DataFrame, current: DataFrame, value: str, bins: int = 10,
     edges (current values outside are clamped into the end bins), bin masses,
     empty current bins smoothed to ``eps``.  ``aligned=False`` reproduces the
     source: each sample on its own range, densities (count / (n width))."""
+    from verdigris.operators.joins import one_row
+
     def dist(df, rng, tag):
-        lo, hi = F.col("lo"), F.col("hi")
-        b = _binned(df.crossJoin(F.broadcast(rng)), value, lo, hi, bins)
-        c = b.groupBy("bin").agg(F.count("*").alias("c"))
-        tot = c.agg(F.sum("c").alias("n"))
-        width = rng.select(((F.col("hi") - F.col("lo")) / bins).alias("w"))
-        out = c.crossJoin(F.broadcast(tot)).crossJoin(F.broadcast(width))
-        share = (F.col("c") / F.col("n")) if aligned else F.try_divide(F.col("c"), F.col("n") * F.col("w"))
-        return out.select("bin", share.alias(tag))
-    ref_rng = reference.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    cur_rng = ref_rng if aligned else current.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        lo, hi = rng["lo"], rng["hi"]
+        c = _binned(df, value, lo, hi, bins).groupBy("bin").agg(F.count("*").alias("c"))
+        n = F.sum("c").over(Window.partitionBy())        # over at most `bins` rows
+        share = (F.col("c") / n) if aligned else F.try_divide(F.col("c"), n * ((hi - lo) / bins))
+        return c.select("bin", share.alias(tag))
+    ref_rng = one_row(reference.agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
+    cur_rng = ref_rng if aligned else one_row(current.agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
     p = dist(reference, ref_rng, "p")
     q = dist(current, cur_rng, "q")
     j = p.join(q, "bin", "full")

@@ -33,11 +33,13 @@ def esg_period_totals(energy: DataFrame, water: DataFrame, metrics: DataFrame, p
 
     def keep(df):
         return df.filter(F.col("ts").between(start, a))
-    e = keep(energy).agg(F.sum("kwh").alias("total_energy"))
-    w = keep(water).agg(F.sum("cubic_meters").alias("total_water"))
-    m = keep(metrics).agg(F.sum("co2_kg").alias("total_emissions"), F.avg("anomaly_score").alias("avg_anomaly"))
-    return (e.crossJoin(w).crossJoin(m)
-             .withColumn("period_start", start.cast("timestamp_ntz")).withColumn("period_end", a))
+    from verdigris.operators.joins import one_row
+    m = one_row(keep(metrics).agg(F.sum("co2_kg").alias("e"), F.avg("anomaly_score").alias("a")))
+    return metrics.sparkSession.range(1).select(
+        keep(energy).agg(F.sum("kwh")).scalar().alias("total_energy"),
+        keep(water).agg(F.sum("cubic_meters")).scalar().alias("total_water"),
+        m["e"].alias("total_emissions"), m["a"].alias("avg_anomaly"),
+        start.cast("timestamp_ntz").alias("period_start"), a.alias("period_end"))
 
 
 def nightly_rollup(metrics: DataFrame, path: str | None = None, as_of=None, days: int = 30) -> DataFrame:

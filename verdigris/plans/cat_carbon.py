@@ -193,8 +193,7 @@ SELECT facility_id, name AS scenario,
        {sql_r('water_usage * (1 - efficiency)')} AS water_usage
 FROM bc CROSS JOIN sc""", bc=BASE_CASES_SQL, sc=SCENARIOS_SQL))
 def prj13(spark, d):
-    sc = spark.createDataFrame(SCENARIOS, "name string, efficiency double, renewable double")
-    out = CO.scenario_analysis(base_cases(spark, d), sc)
+    out = CO.scenario_analysis(base_cases(spark, d), SCENARIOS)
     return out.select("facility_id", "scenario", r("energy_usage").alias("energy_usage"),
                       r("water_usage").alias("water_usage"))
 
