@@ -19,14 +19,15 @@ from verdigris.functions.time import col_
 DEC = "decimal(38,0)"
 
 
-def deltas(events: DataFrame) -> DataFrame:
+def deltas(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per (account, event): +amount to the receiver, -amount from
-    the sender (mint has no sender, burn no receiver)."""
+    the sender (mint has no sender, burn no receiver).  ``carry`` columns of
+    the event ride along, so callers never join back to the event log."""
     amt = F.col("amount_wei").cast(DEC)
     items = F.array(
         F.struct(F.col("to_acct").alias("account"), amt.alias("delta")),
         F.struct(F.col("from_acct").alias("account"), (-amt).cast(DEC).alias("delta")))
-    return (events.select("seq", "block", "kind", F.inline(items))
+    return (events.select("seq", "block", "kind", *carry, F.inline(items))
                   .filter(F.col("account").isNotNull()))
 
 
@@ -102,7 +103,7 @@ def statement(events: DataFrame, blocks: DataFrame | None = None, account=None,
     ev = events
     if blocks is not None:                                       # JOIN-09
         ev = ev.drop("block_time").join(blocks, "block", "left")
-    d = deltas(ev).join(ev.select("seq", "tx_hash", "block_time", "from_acct", "to_acct"), "seq")
+    d = deltas(ev, ("tx_hash", "block_time", "from_acct", "to_acct"))
     if account is not None:
         d = d.filter(F.col("account") == F.lit(account))
     w = Window.partitionBy("account").orderBy(F.desc("seq"), F.asc("delta"))
