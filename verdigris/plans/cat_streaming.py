@@ -119,3 +119,17 @@ def str02(spark, d):
     scored = S.score_stream(prep(_events_stream(spark, d)), res["model"], cols)
     got = _run_batches(spark, scored, "append", "scoring")
     return got.select("facility_id", "co2_kg", "prediction", "error")
+
+
+@register("str06_last30_buffer", "STR-06", L.with_ctes("""
+SELECT ts, facility_id, kwh FROM (
+  SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY ts DESC) AS rn FROM eu) WHERE rn <= 30""",
+    eu=L.ENERGY_USAGE_SQL))
+def str06b(spark, d):
+    s = _events_stream(spark, d).filter(F.col("event_type").isin("click", "view")).select(
+        F.col("user_id").alias("facility_id"), "ts", F.col("value").alias("kwh"))
+    got = _run_batches(spark, S.last_n_buffer(s, 30), "update", "buffer")
+    # the newest emitted buffer of each facility is its current panel
+    last = got.withColumn("_m", F.max("batch_id").over(Window.partitionBy("facility_id"))) \
+              .filter(F.col("batch_id") == F.col("_m"))
+    return last.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "facility_id", "kwh")

@@ -142,3 +142,27 @@ def run_available_now(query_df: DataFrame, checkpoint: str, mode: str = "append"
         q.stop()
         raise TimeoutError("stream did not finish")
     return q
+
+
+BUFFER_OUT = "facility_id long, ts timestamp, kwh double"
+BUFFER_STATE = "ts array<timestamp>, kwh array<double>"
+
+
+def last_n_buffer(stream: DataFrame, n: int = 30, key: str = "facility_id", ts: str = "ts",
+                  value: str = "kwh") -> DataFrame:
+    """STR-06: keyed state holding the last ``n`` readings per facility (the
+    live-metrics panel); each trigger emits the current buffer of the keys it
+    touched.  State is at most ``n`` values per key."""
+    def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            old_ts, old_v = state.get
+            buf = pd.DataFrame({ts: list(old_ts), value: list(old_v)})
+        else:
+            buf = pd.DataFrame({ts: pd.Series([], dtype="datetime64[us]"), value: pd.Series([], dtype="float64")})
+        for pdf in pdfs:
+            buf = pd.concat([buf, pdf[[ts, value]]], ignore_index=True)
+        buf = buf.sort_values(ts, kind="stable").tail(n)
+        state.update((buf[ts].tolist(), buf[value].tolist()))
+        yield pd.DataFrame({key: k[0], ts: buf[ts].tolist(), value: buf[value].tolist()})
+    return stream.groupBy(key).applyInPandasWithState(step, BUFFER_OUT, BUFFER_STATE, "update",
+                                                      GroupStateTimeout.NoTimeout)
