@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.quantiles import DEFAULT_ACCURACY, exact_quantiles
-from verdigris.functions.time import col_, epoch_hours, epoch_micros
+from verdigris.functions.time import epoch_hours, epoch_micros
 from verdigris.operators import series as S
 from verdigris.operators.series import DEFAULT_BUCKET
 

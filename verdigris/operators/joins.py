@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.operators.timeseries import latest_per_key, newest
+from verdigris.operators.timeseries import newest
 
 DIMENSION_MAX_ROWS = 100_000
 

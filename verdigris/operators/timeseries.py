@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.time import bucket_step, col_, interval, time_bucket
+from verdigris.functions.time import bucket_step, interval, time_bucket
 
 
 def resolve_as_of(df: DataFrame, as_of=None, ts: str = "ts") -> Column:

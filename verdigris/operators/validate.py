@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.functions.time import col_, epoch_micros, interval
+from verdigris.functions.time import epoch_micros, interval
 
 Rule = tuple[str, Column]
 
