@@ -214,3 +214,18 @@ def test_scenarios_from_frame_or_list(spark):
     y = scenario_analysis(base, spark.createDataFrame(sc, "name string, efficiency double, renewable double"))
     assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
     assert x.count() == 3
+
+
+def test_trailing_window_prunes_chunks_and_pushes_time_filter(spark):
+    import re
+    from conftest import SF_SMALL
+    from verdigris.operators import tables as TB, timeseries as T
+    from verdigris.plans import logical as L
+    path = TB.scratch_path(spark, "chunked-test")
+    TB.write_chunked(L.emission_metrics(spark, SF_SMALL), path, "1 day")
+    df = spark.read.parquet(path)
+    q = T.trailing(df, 3)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "chunk" in re.search(r"PartitionFilters: (\[[^\]]*\])", plan).group(1)
+    assert "GreaterThan(ts" in re.search(r"PushedFilters: (\[[^\]]*\])", plan).group(1)
+    assert q.count() == T.trailing(L.emission_metrics(spark, SF_SMALL), 3).count()

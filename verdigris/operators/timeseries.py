@@ -1,8 +1,11 @@
 """Trailing windows, bucketed roll-ups, gap fill, paging and latest rows.
 
 Every function takes explicit ``as_of`` (a literal or Column); ``None``
-means ``max(ts)`` of the input, evaluated inside the plan as a scalar
-subquery (no driver round trip).
+means ``max(ts)`` of the input.  For batch inputs that maximum is computed
+first (one aggregate on the executors, one value back) and used as a
+literal, so the time predicate is pushed into the parquet scan (row-group
+skipping) and, on a time-chunked table, prunes whole partitions -- a scalar
+subquery would do neither.  Streaming inputs keep the in-plan form.
 """
 
 from __future__ import annotations
@@ -13,9 +16,21 @@ from pyspark.sql import functions as F
 from verdigris.functions.time import bucket_step, interval, time_bucket
 
 
-def resolve_as_of(df: DataFrame, as_of=None, ts: str = "ts") -> Column:
+def _ntz_literal(v) -> Column:
+    return F.lit(v.isoformat(sep=" ") if hasattr(v, "isoformat") else str(v)).cast("timestamp_ntz")
+
+
+def resolve_as_of(df: DataFrame, as_of=None, ts: str = "ts", eager: bool = True) -> Column:
     if as_of is None:
-        return df.select(F.max(ts)).scalar()
+        if df.isStreaming or not eager:
+            return df.select(F.max(ts)).scalar()
+        src = df
+        if CHUNK_COL in df.columns:            # newest partition first, then max(ts) inside it
+            top = df.select(F.max(CHUNK_COL)).first()[0]
+            if top is not None:
+                src = df.filter(F.col(CHUNK_COL) == F.lit(top))
+        v = src.select(F.max(F.col(ts).cast("timestamp_ntz"))).first()[0]
+        return _ntz_literal(v) if v is not None else F.lit(None).cast("timestamp_ntz")
     if isinstance(as_of, Column):
         return as_of
     return F.lit(as_of).cast("timestamp_ntz")
@@ -27,11 +42,28 @@ def trailing(df: DataFrame, days: int, as_of=None, ts: str = "ts",
     """FLT-02 (strict ``ts > as_of - N days``) / FLT-03 (inclusive BETWEEN)."""
     a = resolve_as_of(df, as_of, ts)
     start = a - interval(f"{int(days)} DAYS")
+    df = prune_chunks(df, start, a)
     if inclusive:
         return df.filter(F.col(ts).between(start, a))
     return df.filter(F.col(ts) > start)
 
 
+CHUNK_COL = "chunk"
+MAX_CHUNK_DAYS = 7
+
+
+def prune_chunks(df: DataFrame, start, end=None) -> DataFrame:
+    """On a time-chunked table (SNK-07: partition column ``chunk`` = bucket
+    start date, buckets of at most 7 days), add the partition predicate
+    implied by a time range so whole folders are skipped; no-op otherwise."""
+    if CHUNK_COL not in df.columns:
+        return df
+    cond = F.col(CHUNK_COL) >= F.date_sub(F.to_date(start), MAX_CHUNK_DAYS - 1)
+    if end is not None:
+        cond = cond & (F.col(CHUNK_COL) <= F.to_date(end))
+    return df.filter(cond)
+
+
 CHART_RANGES = {"24h": 1, "7d": 7, "30d": 30}
 
 

@@ -73,6 +73,22 @@ def stage_raw(spark: SparkSession, path: str, ingested_at, pattern: str | None =
                                t.alias("ingested_at"))
 
 
+def read_chunked(spark: SparkSession, path: str, start=None, end=None, ts: str = "ts") -> DataFrame:
+    """Read a SNK-07 time-chunked table; a [start, end] range is applied to
+    both the partition column (folder pruning) and the timestamp."""
+    from verdigris.operators.timeseries import prune_chunks
+    df = spark.read.parquet(path)
+    if start is None and end is None:
+        return df
+    lo = F.lit(start).cast("timestamp_ntz") if start is not None else None
+    hi = F.lit(end).cast("timestamp_ntz") if end is not None else None
+    if lo is not None:
+        df = prune_chunks(df, lo, hi).filter(F.col(ts) >= lo)
+    if hi is not None:
+        df = df.filter((F.col("chunk") <= F.to_date(hi)) & (F.col(ts) <= hi))
+    return df
+
+
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """SRC-05: feature / scoring input; selecting columns early lets the scan
     read only those column chunks."""
