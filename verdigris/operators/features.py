@@ -221,16 +221,16 @@ def fit_iqr_caps(df: DataFrame, cols: Sequence[str], k: float = 1.5,
                  accuracy: int = DEFAULT_ACCURACY, approximate: bool = False) -> DataFrame:
     """ML-01 fit: one row per column with lower/upper caps (exact quantiles;
     ``approximate=True`` for the sketch alone)."""
-    parts = []
-    for c in cols:
-        q = exact_quantiles(df, [], c, {"q1": 0.25, "q3": 0.75}, accuracy, approximate).drop("_n")
-        parts.append(q.select(F.lit(c).alias("column"),
-                              (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower"),
-                              (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    q = exact_quantiles(_stacked(df, cols), ["column"], "_x", {"q1": 0.25, "q3": 0.75}, accuracy, approximate)
+    return q.select("column", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower"),
+                    (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper"))
+
+
+def _stacked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value) rows for all ``cols``: one grouped pass fits every
+    column instead of one pass per column."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x"))
+                                        for c in cols])))
 
 
 def _wide(stats: DataFrame, cols: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -252,19 +252,14 @@ def fit_robust(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCUR
     """ML-02 fit: median for imputation, then median and IQR of the
     imputed column (imputation fills the median, so the median is the same
     and the IQR is recomputed on the imputed values)."""
-    parts = []
-    for c in cols:
-        med = exact_quantiles(df, [], c, {"median": 0.5}, accuracy).select("median").scalar()
-        imputed = df.select(F.coalesce(F.col(c).cast("double"), med).alias("_x"))
-        q = exact_quantiles(imputed, [], "_x", {"q1": 0.25, "m2": 0.5, "q3": 0.75}, accuracy).drop("_n")
-        iqr = F.col("q3") - F.col("q1")
-        parts.append(q.select(
-            F.lit(c).alias("column"), med.alias("fill"), F.col("m2").alias("center"),
-            F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    stacked = _stacked(df, cols)
+    med = exact_quantiles(stacked, ["column"], "_x", {"fill": 0.5}, accuracy).select("column", "fill")
+    med = F.broadcast(med)                               # one row per fitted column
+    imputed = stacked.join(med, "column").select("column", F.coalesce("_x", "fill").alias("_x"))
+    q = exact_quantiles(imputed, ["column"], "_x", {"q1": 0.25, "m2": 0.5, "q3": 0.75}, accuracy)
+    iqr = F.col("q3") - F.col("q1")
+    return q.join(med, "column").select(
+        "column", "fill", F.col("m2").alias("center"), F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale"))
 
 
 def apply_robust(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
