@@ -106,8 +106,8 @@ def emission_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey",
-                    F.format_string("%04d%02d%02d", F.year("l_shipdate"), F.month("l_shipdate"),
-                                    F.dayofmonth("l_shipdate"))).alias("record_id"),
+                    (F.year("l_shipdate") * 10000 + F.month("l_shipdate") * 100
+                     + F.dayofmonth("l_shipdate")).cast("string")).alias("record_id"),
         F.col("l_shipdate").alias("ts"),
         (F.col("l_extendedprice") / 1000).alias("co2_kg"),
         (F.col("l_tax") * 100).alias("ch4_g"),
