@@ -133,3 +133,15 @@ def str06b(spark, d):
     last = got.withColumn("_m", F.max("batch_id").over(Window.partitionBy("facility_id"))) \
               .filter(F.col("batch_id") == F.col("_m"))
     return last.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "facility_id", "kwh")
+
+
+@register("str06_pulse_state_batched", "STR-06", L.with_ctes(f"""
+SELECT sensor_id, count(*) AS pulses, {sql_r('count(*) * 0.00225')} AS total_litres, max(ts) AS last_ts
+FROM sf WHERE kind = 'click' GROUP BY sensor_id""", sf=L.SENSOR_FEED_SQL))
+def str06c(spark, d):
+    s = _feed(_events_stream(spark, d)).filter(F.col("kind") == "click")
+    state, out = scratch_path(spark, "pulse-state"), scratch_path(spark, "pulse-out")
+    S.run_available_now(s, scratch_path(spark, "ckpt-pulse-batched"), mode="append",
+                        foreach_batch=S.pulse_state_batched(state, out))
+    got = _latest_per_key(spark.read.parquet(out), ["sensor_id"])
+    return got.select("sensor_id", "pulses", r("total_litres").alias("total_litres"), "last_ts")
