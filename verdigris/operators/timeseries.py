@@ -123,25 +123,29 @@ def bucket_totals(df: DataFrame, value: str, width: str = "1 hour", ts: str = "t
 
 
 def gapfilled_daily_stats(records: DataFrame, days: int, as_of=None, ts: str = "ts",
-                          width: str = "1 day") -> DataFrame:
+                          width: str = "1 day", keys: tuple[str, ...] = ()) -> DataFrame:
     """AGG-02: avg co2e, sum energy, sum water per bucket over the inclusive
     trailing window; buckets without rows appear with NULLs.
 
-    The spine is generated from two scalars (one row per bucket), so it is as
-    small as the number of buckets; the aggregate is computed before the join.
+    The aggregate is computed before the join.  Without ``keys`` the spine is
+    one row per bucket, generated from two scalars.  With ``keys`` (e.g. per
+    facility) each key present in the window gets its own spine by exploding
+    the bucket sequence on its row -- output-sized, no cross join.
     """
     a = resolve_as_of(records, as_of, ts)
     start = a - interval(f"{int(days)} DAYS")
     recent = records.filter(F.col(ts).between(start, a))
-    agg = (recent.groupBy(time_bucket(width, ts).alias("bucket"))
+    agg = (recent.groupBy(*keys, time_bucket(width, ts).alias("bucket"))
                  .agg(F.avg("co2e_kg").alias("avg_co2e"),
                       F.sum("energy_kwh").alias("total_energy"),
                       F.sum("water_l").alias("total_water")))
-    spark = records.sparkSession
-    spine = spark.range(1).select(F.explode(F.sequence(
-        time_bucket(width, start), time_bucket(width, a),
-        interval(bucket_step(width)))).alias("bucket"))
-    return spine.join(agg, "bucket", "left").orderBy("bucket")
+    buckets = F.explode(F.sequence(time_bucket(width, start), time_bucket(width, a),
+                                   interval(bucket_step(width)))).alias("bucket")
+    if keys:
+        spine = recent.select(*keys).distinct().select(*keys, buckets)
+    else:
+        spine = records.sparkSession.range(1).select(buckets)
+    return spine.join(agg, [*keys, "bucket"], "left").orderBy(*keys, "bucket")
 
 
 def period_stats(records: DataFrame, ts: str = "ts") -> DataFrame:

@@ -298,3 +298,21 @@ def flt08(spark, d):
     rd = (L.water_usage(spark, d).withColumnRenamed("cubic_meters", "flow_rate")
           .withColumn("valve_open", F.col("source") == "purchase"))
     return leak_alerts(rd).select("ts", "facility_id", "flow_rate")
+
+
+@register("agg02_gapfilled_daily_per_facility", "AGG-02", L.with_ctes("""
+SELECT f.facility_id, s.bucket, (floor((a.avg_co2e) * 10000 + 0.5001) / 10000) AS avg_co2e,
+       (floor((a.total_energy) * 10000 + 0.5001) / 10000) AS total_energy
+FROM (SELECT DISTINCT facility_id FROM rc
+      WHERE ts BETWEEN (SELECT max(ts) FROM rc) - INTERVAL 30 DAY AND (SELECT max(ts) FROM rc)) f
+CROSS JOIN (SELECT CAST(generate_series AS TIMESTAMP) AS bucket FROM generate_series(
+        date_trunc('day', (SELECT max(ts) FROM rc) - INTERVAL 30 DAY),
+        date_trunc('day', (SELECT max(ts) FROM rc)), INTERVAL 1 DAY)) s
+LEFT JOIN (SELECT facility_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, avg(co2e_kg) AS avg_co2e,
+                  sum(energy_kwh) AS total_energy
+           FROM rc WHERE ts BETWEEN (SELECT max(ts) FROM rc) - INTERVAL 30 DAY AND (SELECT max(ts) FROM rc)
+           GROUP BY 1, 2) a ON a.facility_id = f.facility_id AND a.bucket = s.bucket""", rc=RECORDS_CO2E_SQL))
+def agg02f(spark, d):
+    out = T.gapfilled_daily_stats(records_co2e(spark, d), days=30, keys=("facility_id",))
+    return out.select("facility_id", "bucket", r("avg_co2e").alias("avg_co2e"),
+                      r("total_energy").alias("total_energy"))
