@@ -33,6 +33,20 @@ def test_exact_quantiles_match_percentile_under_skew(spark, accuracy):
             assert got[r.k][n] == pytest.approx(r[n], abs=1e-9), (r.k, n)
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_band_refinement_stays_exact(spark, keys):
+    # accuracy 50 and max_band 30 force histogram refinement rounds
+    df = _skewed(spark)
+    probs = {"q1": 0.25, "med": 0.5, "q3": 0.9}
+    got = exact_quantiles(df, keys, "v", probs, accuracy=50, max_band=30).collect()
+    ref = (df.groupBy(*keys) if keys else df.groupBy()).agg(
+        *[F.percentile("v", q).alias(n) for n, q in probs.items()]).collect()
+    g = {tuple(r[k] for k in keys): r for r in got}
+    for r in ref:
+        for n in probs:
+            assert g[tuple(r[k] for k in keys)][n] == pytest.approx(r[n], abs=1e-9)
+
+
 def test_global_quantiles_and_mad(spark):
     df = _skewed(spark)
     got = median_and_mad(df, [], "v", accuracy=64).first()

@@ -12,6 +12,13 @@ which breaks when one key holds a large share of the rows.  Here:
    hot value cost nothing;
 3. a running sum over the small per-group band finds the exact ranks.
 
+When a group is so large that even its band holds more than ``MAX_BAND``
+distinct values (about 16 n / accuracy), the band is narrowed first: an
+equi-width histogram of the band (``REFINE_BINS`` bins, counted with partial
+aggregation) locates the bins holding the target ranks, and the new band
+edges are the actual smallest/largest values of those bins, so membership
+stays exact.  Each round shrinks a spread band about a thousandfold.
+
 Interpolation matches ``percentile`` / ``quantile_cont``:
 ``p = q (n-1)``, result ``v[floor p] + (p - floor p)(v[ceil p] - v[floor p])``.
 """
@@ -25,11 +32,49 @@ from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
 _MARGIN = 8.0
+MAX_BAND = 2_000_000        # distinct values one task may rank
+REFINE_BINS = 1024
+
+
+def _refine(attach, band: DataFrame, keys: list[str], below: Column, inside: Column, max_band: int,
+            max_rounds: int = 8) -> DataFrame:
+    """Narrow bands holding more than ``max_band`` distinct values (see the
+    module doc).  Checks run as small aggregates; groups already small pass
+    through unchanged."""
+    gk = [*keys, "_qi"]
+    p = F.col("_q") * (F.col("_n") - 1)
+    for _ in range(max_rounds):
+        j = attach(band)
+        st = j.groupBy(*gk).agg(F.count_if(below).alias("_below"),
+                                F.approx_count_distinct(F.when(inside, F.col("_v"))).alias("_d"),
+                                F.min(F.when(inside, F.col("_v"))).alias("_bmin"),
+                                F.max(F.when(inside, F.col("_v"))).alias("_bmax"))
+        big = st.filter(F.col("_d") > max_band)
+        if big.limit(1).count() == 0:
+            return band
+        jb = j.join(big, gk).filter(inside)
+        w = (F.col("_bmax") - F.col("_bmin")) / REFINE_BINS
+        b = F.least(F.lit(REFINE_BINS - 1), F.floor(F.try_divide(F.col("_v") - F.col("_bmin"), w)).cast("int"))
+        hist = jb.groupBy(*gk, "_n", "_q", "_below", b.alias("_bin")).agg(
+            F.count("*").alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+        wc = Window.partitionBy(*gk).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("_end", F.col("_below") + F.sum("_c").over(wc))
+        hist = hist.withColumn("_start", F.col("_end") - F.col("_c"))
+        r0, r1 = F.floor(p), F.ceil(p)
+        new = hist.groupBy(*gk, "_n", "_q").agg(
+            F.min(F.when((F.col("_end") > r0), F.col("_mn"))).alias("_lo2"),
+            F.max(F.when((F.col("_start") <= r1), F.col("_mx"))).alias("_hi2"))
+        band = (band.join(new.select(*gk, "_lo2", "_hi2"), gk, "left")
+                    .withColumn("_lo", F.coalesce("_lo2", "_lo")).withColumn("_hi", F.coalesce("_hi2", "_hi"))
+                    .drop("_lo2", "_hi2"))
+        from verdigris.session import cut_lineage
+        band = cut_lineage(band)
+    return band
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
                     probs: Mapping[str, float], accuracy: int = DEFAULT_ACCURACY,
-                    approximate: bool = False) -> DataFrame:
+                    approximate: bool = False, max_band: int = MAX_BAND) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``keys``.
 
     Returns one row per group with a column per entry of ``probs`` plus
@@ -73,12 +118,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     inside = ~below & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
     if keys:
         band = stats.select(*keys, "_n", F.inline(F.array(*band_items)))
-        cand = base.join(band, keys)
+
+        def attach(b):
+            return base.join(b, keys)
     else:
-        # One group: the band is a scalar (one row); each value is paired
-        # with the k requested quantiles by an explode, not a join.
-        s = stats.select(F.struct("_n", F.array(*band_items).alias("_items")).alias("_s")).scalar()
-        cand = base.select("_v", s["_n"].alias("_n"), F.inline(s["_items"]))
+        band = stats.select("_n", F.inline(F.array(*band_items)))
+
+        def attach(b):
+            # One group: the band is a scalar (a few rows packed in one);
+            # each value is paired with the requested quantiles by an explode.
+            s = b.select(F.struct(F.first("_n").alias("_n"), F.collect_list(
+                F.struct("_qi", "_q", "_lo", "_hi")).alias("_items")).alias("_s")).scalar()
+            return base.select("_v", s["_n"].alias("_n"), F.inline(s["_items"]))
+    # The band table (one row per group and quantile) is small; persisting it
+    # lets the size test below and the final pass share one sketch pass
+    # (a lost block is recomputed from lineage).
+    band = band.persist()
+    largest = band.agg(F.max("_n")).first()[0] or 0
+    if largest * (2 * _MARGIN + 2) / accuracy > max_band:     # a band could exceed the bound
+        band = _refine(attach, band, keys, below, inside, max_band)
+    cand = attach(band)
     cand = (cand.filter(below | inside)
                 .groupBy(*keys, "_qi", "_q", "_n", F.when(inside, F.col("_v")).alias("_vv"))
                 .agg(F.count("*").alias("_c")))
