@@ -138,9 +138,18 @@ def compact_cold(df: DataFrame, path: str, as_of, older_than_days: int = 30, ts:
                  segment_by: str = "facility_id", width: str = "1 day") -> DataFrame:
     """SNK-08: rewrite chunks older than the cut-off, clustered by the segment
     key and ordered newest first within files (zstd).  Only those chunks are
-    overwritten (dynamic partition overwrite); returns the rewritten rows."""
+    overwritten (dynamic partition overwrite); returns the rewritten rows.
+
+    ``df`` is usually the table at ``path`` itself, so the cold rows are
+    first materialised with a reliable checkpoint in the shared checkpoint
+    folder: the overwrite then reads the checkpoint, not the files it
+    replaces, and a lost executor recomputes from the checkpoint."""
+    from verdigris.session import cut_lineage
     cut = _ts(as_of) - F.expr(f"INTERVAL {int(older_than_days)} DAYS")
-    cold = df.filter(F.col(ts) < cut).withColumn("chunk", F.to_date(time_bucket(width, ts)))
+    cold = df.filter(F.col(ts) < cut)
+    if "chunk" not in cold.columns:
+        cold = cold.withColumn("chunk", F.to_date(time_bucket(width, ts)))
+    cold = cut_lineage(cold)
     (cold.repartition("chunk", segment_by).sortWithinPartitions(segment_by, F.desc(ts))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
          .partitionBy("chunk").parquet(path))
