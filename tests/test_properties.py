@@ -261,3 +261,18 @@ def test_batched_pulse_state_across_micro_batches(spark, tmp_path):
     assert out[1].pulses == 3 and out[1].last_ts == t + dt.timedelta(seconds=90)
     assert out[1].last_flow_lpm == pytest.approx(0.00225 / 60 * 60)
     assert 2 not in out
+
+
+def test_merge_into_chunks_rewrites_only_touched_chunks(spark):
+    from verdigris.operators import tables as TB
+    t = dt.datetime(2024, 1, 1)
+    rows = [(f"r{i}", t + dt.timedelta(days=i % 3, hours=i), float(i)) for i in range(12)]
+    base = spark.createDataFrame(rows, "record_id string, ts timestamp_ntz, co2_kg double")
+    path = TB.scratch_path(spark, "merge-test")
+    TB.write_chunked(base, path, "1 day")
+    changed = spark.createDataFrame([("r0", t, 100.0), ("new", t + dt.timedelta(hours=5), 7.0)],
+                                    "record_id string, ts timestamp_ntz, co2_kg double")
+    TB.merge_into_chunks(path, changed, "record_id")
+    after = {r.record_id: r.co2_kg for r in spark.read.parquet(path).collect()}
+    assert len(after) == 13 and after["r0"] == 100.0 and after["new"] == 7.0
+    assert all(after[f"r{i}"] == float(i) for i in range(1, 12))

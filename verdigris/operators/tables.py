@@ -204,3 +204,24 @@ def reveal_column(df: DataFrame, col: str, key_hex: str, out: str | None = None)
     out = out or col
     key = F.unhex(F.lit(key_hex))
     return df.withColumn(out, F.try_aes_decrypt(F.unbase64(F.col(col)), key, F.lit("GCM")).cast("string"))
+
+
+# ---------------------------------------------------------------- merge by partition rewrite
+def merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str = "ts", width: str = "1 day") -> DataFrame:
+    """Upsert ``changed`` rows (updated, soft-deleted or new) into the
+    time-chunked table at ``path`` (SNK-07 layout) without a table format:
+    only the chunks the changes touch are rewritten, by dynamic partition
+    overwrite.  Rows of those chunks are (existing rows minus changed keys)
+    plus the changed rows; they are checkpointed before the overwrite because
+    the job reads the folders it replaces.  Returns the rewritten rows."""
+    from verdigris.session import cut_lineage
+    spark = changed.sparkSession
+    table = spark.read.parquet(path)
+    ch = changed if "chunk" in changed.columns else changed.withColumn("chunk", F.to_date(time_bucket(width, ts)))
+    touched = ch.select("chunk").distinct()
+    keep = (table.join(touched, "chunk", "left_semi")
+                 .join(ch.select(key), key, "left_anti"))
+    rows = cut_lineage(keep.unionByName(ch.select(*table.columns)))
+    (rows.repartition("chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("chunk").parquet(path))
+    return rows

@@ -192,3 +192,19 @@ def snk12(spark, d):
     path = TB.scratch_path(spark, "report")
     TB.export_report(table, totals, path)
     return spark.read.option("header", True).csv(f"{path}/table")
+
+
+@register("snk04_merge_written_table", "SNK-04", L.with_ctes(f"""
+SELECT s.record_id, {sql_r('CASE WHEN u.record_id IS NOT NULL THEN coalesce(u.co2_kg, s.co2_kg) ELSE s.co2_kg END')} AS co2_kg,
+       CASE WHEN u.record_id IS NOT NULL THEN s.version + 1 ELSE s.version END AS version
+FROM sr s LEFT JOIN up u USING (record_id)""", rc=L.EMISSION_RECORDS_SQL, sr=STAMPED_SQL, up=UPDATES_SQL))
+def snk04m(spark, d):
+    path = TB.scratch_path(spark, "records")
+    st = _stamped(spark, d)
+    TB.write_chunked(st, path, "7 days")
+    table = spark.read.parquet(path)
+    changed = TB.apply_updates(table.join(_updates(spark, d).select("record_id"), "record_id", "left_semi"),
+                               _updates(spark, d), user_id=0, is_admin=True, as_of=UPDATE_AT)
+    TB.merge_into_chunks(path, changed, "record_id", width="7 days")
+    back = spark.read.parquet(path)
+    return back.select("record_id", r("co2_kg").alias("co2_kg"), "version")
