@@ -139,3 +139,20 @@ def test_exact_replay_moves_flags(spark):
     assert converged and sorted((r.seq, r.round) for r in rev.collect()) == [(2, 1), (3, 2)]
     groups = {r.account: r.group_id for r in ledger.account_groups(ev).collect()}
     assert len(set(groups.values())) == 1
+
+
+def test_multi_format_timestamps_zone_free(spark):
+    from verdigris.functions.time import parse_timestamp
+    rows = [("2024-01-05 15:04:00",), ("2024-01-05T15:04:00Z",), ("1/5/2024 3:04 PM",), ("01/05/2024 03:04 PM",),
+            ("2024-03-10 02:30:00",), ("not a date",), ("2024-01-05 25:00:00",)]
+    df = spark.createDataFrame(rows, "raw string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")   # 02:30 on 2024-03-10 is a DST gap
+        got = [r.ts for r in df.select(parse_timestamp("raw").alias("ts")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    want = dt.datetime(2024, 1, 5, 15, 4)
+    assert got[:4] == [want] * 4
+    assert got[4] == dt.datetime(2024, 3, 10, 2, 30)
+    assert got[5] is None and got[6] is None
