@@ -80,6 +80,17 @@ def src03(spark, d):
     return inv.groupBy("extension", "supported").agg(F.count("*").alias("files"))
 
 
+@register("src03_ingest_report", "SRC-03", L.with_ctes("""
+SELECT 'csv' AS extension, true AS supported, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS rows_loaded
+FROM orders
+UNION ALL SELECT 'json', true, count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders
+UNION ALL SELECT 'txt', false, 0"""))
+def src03r(spark, d):
+    root = _write_landing(spark, d)
+    rep = SF.ingest_report(spark, root)
+    return rep.groupBy("extension", "supported").agg(F.sum("rows_loaded").alias("rows_loaded"))
+
+
 @register("src04_raw_staging", "SRC-04")
 def src04(spark, d):
     root = _write_landing(spark, d)

@@ -102,3 +102,21 @@ def long_to_wide(df: DataFrame, kinds: Sequence[str], keys: Sequence[str] = ("ti
     value per key and kind).  ``kinds`` is given, so the pivot needs no
     distinct pass; it is a single partial aggregate."""
     return df.groupBy(*keys).pivot(kind, list(kinds)).agg(F.max_by(value, order))
+
+
+def ingest_report(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-03: one row per file under ``path``: extension, whether it is
+    loaded, and the rows it contributed (0 for skipped, unsupported files).
+    Row counts are partial aggregates over ``_metadata.file_path``."""
+    inv = file_inventory(spark, path)
+    csv_rows = (spark.read.schema(CSV_SCHEMA).option("header", True).option("recursiveFileLookup", True)
+                     .option("pathGlobFilter", "*.csv").csv(path)
+                     .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("_r")))
+    json_rows = (spark.read.schema(CSV_SCHEMA).option("recursiveFileLookup", True)
+                      .option("pathGlobFilter", "*.json").json(path)
+                      .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("_r")))
+    counts = csv_rows.unionByName(json_rows)
+    return (inv.join(counts, "path", "left")
+               .select("path", "extension", "supported",
+                       F.when(F.col("supported"), F.coalesce("_r", F.lit(0))).otherwise(F.lit(0))
+                       .cast("bigint").alias("rows_loaded")))
