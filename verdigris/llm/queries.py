@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import byte_bpe, exact_dedup, secret_scan, token_count, url_filter, warc
+from verdigris.llm import byte_bpe, decontaminate, exact_dedup, quality, secret_scan, token_count, url_filter, warc
 from verdigris.llm.common import table
 
 #: The URL rules of the contract (host, path, verdict).
@@ -47,8 +47,24 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = quality.train(docs, labels.where(quality.training_fold(F.col("doc_id"))))
+    return (quality.score(docs, weights, keep=["doc_id"])
+            .select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
+                    "judged.score", "judged.predicted"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return marked.select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
+                         F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
+                         "found.contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_url_filter, op4_token_count, op5_warc, op7_secret_scan)
+    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_url_filter, op4_token_count, op5_warc, op7_secret_scan,
+                              op8_quality, op9_decontaminate)
 }
 
 OP2_SQL = """
@@ -95,4 +111,25 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM coded JOIN firsts USING (h)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op5_warc": OP5_SQL}
+OP9_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+im AS (SELECT item_id, w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM iw WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM im),
+lengths AS (SELECT DISTINCT m FROM windows),
+dm AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw JOIN lengths ON len(w) >= m),
+hits AS (SELECT DISTINCT doc_id, i, m, item_id FROM (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM dm)
+         JOIN windows USING (m, s)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(t, ',' ORDER BY t) AS l
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+       sha256(coalesce(found.l, '')) AS items_sha256,
+       coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(dw.w) AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op5_warc": OP5_SQL,
+                              "op9_decontaminate": OP9_SQL}
