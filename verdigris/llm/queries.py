@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import byte_bpe, decontaminate, exact_dedup, quality, secret_scan, token_count, url_filter, warc
+from verdigris.llm import byte_bpe, decontaminate, exact_dedup, quality, secret_scan, substring_dedup, token_count, url_filter, warc
 from verdigris.llm.common import table
 
 #: The URL rules of the contract (host, path, verdict).
@@ -43,6 +43,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return (substring_dedup.dedup(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", n_removed.alias("n_removed"),
+                    F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -63,7 +70,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_url_filter, op4_token_count, op5_warc, op7_secret_scan,
+    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_url_filter, op4_token_count, op5_warc, op6_substring_dedup, op7_secret_scan,
                               op8_quality, op9_decontaminate)
 }
 
@@ -111,6 +118,18 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM coded JOIN firsts USING (h)
 """
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM r),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM words ANTI JOIN c USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -131,5 +150,5 @@ SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op5_warc": OP5_SQL,
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL,
                               "op9_decontaminate": OP9_SQL}
