@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import byte_bpe, decontaminate, exact_dedup, quality, secret_scan, substring_dedup, token_count, url_filter, warc
+from verdigris.llm import (byte_bpe, decontaminate, exact_dedup, jaccard_join, quality, secret_scan, substring_dedup,
+                           token_count, url_filter, warc)
 from verdigris.llm.common import table
 
 #: The URL rules of the contract (host, path, verdict).
@@ -69,9 +70,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "found.contaminated")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_url_filter, op4_token_count, op5_warc, op6_substring_dedup, op7_secret_scan,
-                              op8_quality, op9_decontaminate)
+                              op8_quality, op9_decontaminate, op10_jaccard_join)
 }
 
 OP2_SQL = """
@@ -150,5 +155,19 @@ SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, least(5, len(w)) AS m, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + m - 1], ' ') AS s FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+          WHERE 100 * o >= 75 * (nx.n + ny.n - o)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.y) AS component_id
+FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL,
-                              "op9_decontaminate": OP9_SQL}
+                              "op9_decontaminate": OP9_SQL, "op10_jaccard_join": OP10_SQL}
