@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verdigris.llm.common import vocabulary
+from verdigris.llm.common import named, vocabulary
 
 #: Unicode white space, as the pattern's \s has it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -94,7 +94,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
                 [batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
                  pa.array([i.tobytes() for i in ids], pa.binary())], ["id", "n_tokens", "ids"])
 
-    narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    narrow = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     return (narrow.mapInArrow(task, f"id {kind}, n_tokens long, ids binary")
             .withColumnRenamed("id", id_col))
@@ -113,7 +113,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
                  pa.array([encoder.decode_bytes(i.tolist()) for i in ids], pa.binary())],
                 ["id", "n_tokens", "ids", "decoded"])
 
-    narrow = df.select(df[id_col].alias("id"), df[ids_col].alias("ids"))
+    narrow = df.select(named(id_col).alias("id"), named(ids_col).alias("ids"))
     kind = narrow.schema["id"].dataType.simpleString()
     return (narrow.mapInArrow(task, f"id {kind}, n_tokens long, ids binary, decoded binary")
             .withColumnRenamed("id", id_col))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bounded_broadcast, bytes_of, row_slices, stored
+from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, row_slices, stored
 
 WINDOW, GRAM = 13, 5
 BLOCK_WINDOWS = 400_000
@@ -136,18 +136,18 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def mark(df: DataFrame, items: DataFrame, text_col: str = "text", keep: list[str] | None = None,
          item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
-         block_windows: int = BLOCK_WINDOWS, share: int = SHARE) -> DataFrame:
+         block_windows: int = BLOCK_WINDOWS, share: int = SHARE, result: str = "found") -> DataFrame:
     """The ``keep`` columns of each row (default: all) and, in a struct
-    ``found``: n_words, hits (word spans), items (sorted as strings), n_hit,
+    ``result``: n_words, hits (word spans), items (sorted as strings), n_hit,
     contaminated."""
     spark = df.sparkSession
     keep = df.columns if keep is None else keep
     windows = benchmark_windows(items, item_col, item_text_col, window, gram)
     blocks = max(1, -(-windows.count() // block_windows))
     names = [f"_{i}" for i in range(len(keep))]  # plain names within: the columns' own may clash
-    out = df.select(F.struct(*(df[c].alias(n) for c, n in zip(keep, names, strict=True)),
+    out = df.select(F.struct(*(named(c).alias(n) for c, n in zip(keep, names, strict=True)),
                              F.lit(None).cast("int").alias("none")).alias("kept"),
-                    df[text_col].alias("text"), F.lit(0).cast("long").alias("n_words"),
+                    named(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
                     F.array().cast("array<struct<start:int,end:int>>").alias("hits"),
                     F.array().cast("array<string>").alias("items"))
     schema = out.schema
@@ -160,7 +160,14 @@ def mark(df: DataFrame, items: DataFrame, text_col: str = "text", keep: list[str
             .select(*(F.col(f"kept.{n}").alias(c) for c, n in zip(keep, names, strict=True)),
                     F.struct("n_words", "hits", "items", "n_hit",
                              ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
-                    .alias("found")))
+                    .alias(result)))
+
+
+def clean(df: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, with its columns, that aren't contaminated."""
+    result = free_name(df, "found")
+    marked = mark(df, items, text_col, result=result, **options)
+    return marked.where(~F.col(f"{result}.contaminated")).select(*(named(c) for c in df.columns))
 
 
 def _pass(block):

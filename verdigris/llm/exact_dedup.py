@@ -24,10 +24,10 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import partitions_for, stored
+from verdigris.llm.common import free_name, named, partitions_for, stored
 
 #: Digests that one bucket is meant to hold.
 BUCKET_DIGESTS = 100_000
@@ -128,19 +128,21 @@ def _order(keep: tuple):
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored rows of id, row (a number of its own) and the normalised text's SHA-256."""
-    narrow = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
-                       F.col(text_col).alias("text"))
+    """Stored rows of id, row (a number of its own), t (a hash of the text as
+    it is) and the normalised text's SHA-256."""
+    text = F.coalesce(named(text_col), F.lit(""))
+    narrow = df.select(named(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
+                       F.xxhash64(text).alias("t"), text.alias("text"))
 
     def task(batches):
         for batch in batches:
-            texts = batch.column(2).cast(pa.large_binary()).fill_null(b"").to_pylist()
+            texts = batch.column(3).cast(pa.large_binary()).to_pylist()
             marks = [hashlib.sha256(t.translate(_UPPER_TO_LOWER)).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())],
-                                             ["id", "row", "digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.binary())],
+                                             ["id", "row", "t", "digest"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    return stored(narrow.mapInArrow(task, f"id {kind}, row long, digest binary"), "digests")
+    return stored(narrow.mapInArrow(task, f"id {kind}, row long, t long, digest binary"), "digests")
 
 
 def changes(rows: DataFrame, buckets: int) -> DataFrame:
@@ -242,11 +244,28 @@ def live_groups(index: DataFrame) -> DataFrame:
     return index.mapInArrow(task, f"digest binary, keep_id {kind}, keep_row long, group_size long")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256."""
+def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``digests`` with the group of each: keep_id, keep_row, group_size."""
     rows = digests(df, id_col, text_col)
     index = updated(None, changes(rows, buckets_for(rows.count())))
-    groups = live_groups(index)
-    return (rows.join(groups, "digest", "left")
+    return rows.join(live_groups(index), "digest", "left")
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256."""
+    return (judged(df, id_col, text_col)
             .select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
+
+
+def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``df``, with its columns, for each group of equal texts."""
+    kept = judged(df, id_col, text_col).where("row = keep_row").select(F.col("id").alias("keep_id"), F.col("t").alias("keep_t"))
+    t, number = free_name(df, "t"), free_name(df, "number")
+    joined = (df.withColumn(t, F.xxhash64(F.coalesce(named(text_col), F.lit("")))).alias("d")
+              .join(kept.alias("k"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.keep_id"))
+                    & (F.col(f"d.`{t}`") == F.col("k.keep_t"))).select("d.*"))
+    repeated = Window.partitionBy(named(id_col), named(t)).orderBy(F.to_json(F.struct(*(named(c) for c in df.columns
+                                                                                     if c != text_col))))
+    return (joined.withColumn(number, F.row_number().over(repeated)).where(named(number) == 1)
+            .select(*(named(c) for c in df.columns)))

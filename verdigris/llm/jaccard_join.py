@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bounded_broadcast, bytes_of, partitions_for, row_slices, stored
+from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, partitions_for, row_slices, stored
 from verdigris.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -101,8 +101,8 @@ def _sliced(batch, column: int, hasher: wordhash.Hasher, size: int):
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    text = F.coalesce(named(text_col), F.lit(""))
+    return df.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def _surveyed(docs: DataFrame, size: int) -> DataFrame:
@@ -464,3 +464,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
     return (rows.join(named, ["k1", "k2"], "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(own))
             .select(F.col("id").alias(id_col), "t", F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"),
                     (F.col("least") == own).alias("representative")))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, with its columns, that represent their class."""
+    kept = (join(df, id_col, text_col, **options).where("representative")
+            .select(F.col(id_col).alias("keep_id"), F.col("t").alias("keep_t")).distinct())
+    t = free_name(df, "t")
+    return (df.withColumn(t, F.xxhash64(F.coalesce(named(text_col), F.lit("")))).alias("d")
+            .join(kept.alias("k"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.keep_id"))
+                  & (F.col(f"d.`{t}`") == F.col("k.keep_t")), "left_semi")
+            .select(*(named(c) for c in df.columns)))

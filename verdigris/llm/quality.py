@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bounded_broadcast, bytes_of, row_slices
+from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, row_slices
 
 BITS, MAX_ROWS, EPOCHS = 18, 12_000, 5
 #: FTRL-proximal: learning rate, its offset, and the L1 and L2 weights.
@@ -136,15 +136,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: list[str] | None = None,
-          threshold: float = 0.5) -> DataFrame:
-    """The ``keep`` columns of each row (default: all) and a struct ``judged``
+          threshold: float = 0.5, result: str = "judged") -> DataFrame:
+    """The ``keep`` columns of each row (default: all) and a struct ``result``
     of score and predicted."""
     spark, bits = df.sparkSession, int(len(weights) - 1).bit_length() - 1
     shared = bounded_broadcast(spark, np.asarray(weights, dtype=np.float64), 8 * len(weights))
     keep = df.columns if keep is None else keep
     names = [f"_{i}" for i in range(len(keep))]
-    rows = df.select(F.struct(*(df[c].alias(n) for c, n in zip(keep, names, strict=True)),
-                              F.lit(None).cast("int").alias("none")).alias("kept"), df[text_col].alias("text"))
+    rows = df.select(F.struct(*(named(c).alias(n) for c, n in zip(keep, names, strict=True)),
+                              F.lit(None).cast("int").alias("none")).alias("kept"), named(text_col).alias("text"))
 
     def task(batches):
         hasher, w = wordhash.Hasher(), shared.value
@@ -161,7 +161,14 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: list
     kind = rows.schema["kept"].dataType.simpleString()
     return (rows.mapInArrow(task, f"kept {kind}, score double")
             .select(*(F.col(f"kept.{n}").alias(c) for c, n in zip(keep, names, strict=True)),
-                    F.struct("score", (F.col("score") >= threshold).cast("int").alias("predicted")).alias("judged")))
+                    F.struct("score", (F.col("score") >= threshold).cast("int").alias("predicted")).alias(result)))
+
+
+def accepted(df: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df``, with its columns, that score at least ``threshold``."""
+    result = free_name(df, "judged")
+    scored = score(df, weights, text_col, threshold=threshold, result=result)
+    return scored.where(F.col(f"{result}.predicted") == 1).select(*(named(c) for c in df.columns))
 
 
 def training_fold(id_column):

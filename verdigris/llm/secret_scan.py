@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import stored
+from verdigris.llm.common import named, stored
 
 #: The kinds in their order; the pattern, the group with the value and the least length of the value.
 KINDS = (
@@ -76,9 +76,9 @@ def _looks_live(value: Column, live_chars: int) -> Column:
 def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
              owner_col: str = "source", live_chars: int = LIVE_CHARS) -> DataFrame:
     """Stored: row, id, repo, owner, base (kind order, start, end, hash, live) and words (start, end, hash)."""
-    scan = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-                     F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"),
-                     F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    scan = df.select(F.monotonically_increasing_id().alias("row"), named(id_col).alias("id"),
+                     named(repo_col).cast("string").alias("repo"), named(owner_col).cast("string").alias("owner"),
+                     F.coalesce(named(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     for k, (kind, pattern, group, _) in enumerate(KINDS):
         scan = scan.withColumn(f"_{k}", _matches(text, pattern, group))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bytes_of, partitions_for, row_slices
+from verdigris.llm.common import bytes_of, named, partitions_for, row_slices
 
 WINDOW = 20
 #: A perfect difference set: each remainder modulo 13 is a difference of two of its members.
@@ -224,8 +224,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     exclusive), kept_text (the other words, joined by one blank)."""
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or window < period:
         raise ValueError("not a difference cover of a period within the window")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    text = F.coalesce(named(text_col), F.lit(""))
+    docs = df.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = partitions_for(df, size, BUCKET_BYTES)
     unmarked = docs.withColumn("marks", F.lit(None).cast("array<binary>"))

@@ -30,7 +30,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verdigris.llm.common import vocabulary
+from verdigris.llm.common import named, vocabulary
 
 #: Characters of a chunk, and of the first overlap between two chunks.
 CHUNK_CHARS = 32768
@@ -173,7 +173,7 @@ def count_tokens(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()),
                  pa.array([c > limit for c in counts], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    narrow = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
     return (narrow.mapInArrow(task, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
             .withColumnRenamed("id", id_col))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import lower_ascii
+from verdigris.llm.common import lower_ascii, named
 
 #: Hexadecimal digits of the digest that the join key holds (32 bits).
 PREFIX_DIGITS = 8
@@ -61,7 +61,7 @@ def judge(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str
     """One row per input row: the id, host, path, rule (null if none fits) and verdict."""
     compiled = compile_rules(rules)
     shapes = compiled.agg(F.sort_array(F.collect_set(F.struct("labels", "path_length"))).alias("shapes"))
-    urls = (df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
+    urls = (df.select(named(id_col).alias("_id"), named(url_col).alias("_url"))
             .select(F.monotonically_increasing_id().alias("_row"), "_id",
                     host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"),
                     shapes.scalar().alias("_shapes")))

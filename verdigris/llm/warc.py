@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import scratch_path, stored
+from verdigris.llm.common import named, scratch_path, stored
 
 #: Rows of one archive file at most, so that a file fits in a reader's memory.
 ARCHIVE_RECORDS = 5_000
@@ -45,8 +45,8 @@ def payload_digest(payload: bytes) -> str:
 
 def headers(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """id, url, payload, SHA-1 (hexadecimal) and size of each page."""
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    return (pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
+    payload = F.coalesce(named(payload_col).cast("binary"), F.lit(b""))
+    return (pages.select(named(id_col).cast("long").alias("id"), named(url_col).cast("string").alias("url"),
                          payload.alias("payload"))
             .withColumn("sha1", F.sha1("payload")).withColumn("size", F.length("payload").cast("long")))
 
