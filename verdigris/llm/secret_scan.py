@@ -148,7 +148,10 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     base = F.transform("base", lambda b: plain(b, b["kind"]))
     extra = F.transform("reuse", lambda r: plain(r, F.lit(len(KINDS))))
-    counts = [F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, (name, *_) in enumerate(KINDS)]
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("base", lambda b: b["kind"] == number)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)]
     return scanned.select(id_col, *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
                           listed(F.array_sort(F.concat(base, extra))).alias("spans"), "n_live", "n_example")
