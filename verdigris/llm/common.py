@@ -89,3 +89,13 @@ def row_slices(offs: np.ndarray, limit: int):
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def small_batches(batches, column: int, limit: int = 4 << 20):
+    """The rows of Arrow batches in batches whose ``column`` (texts or binary)
+    has up to ``limit`` bytes (one row at least), which bounds what a task
+    holds at a time."""
+    for batch in batches:
+        _, offs = bytes_of(batch.column(column))
+        for i, j in row_slices(offs, limit):
+            yield batch.slice(i, j - i)

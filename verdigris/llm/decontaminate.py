@@ -12,8 +12,10 @@ to their length, which keeps each of a document's k-grams.
 
 The benchmark is a stated query set: its windows are dealt by hash into blocks
 of about ``BLOCK_WINDOWS``, each block is broadcast (size-checked), and the
-documents pass by each block in turn within their own partitions.  Documents
-are never shuffled, and what a block holds doesn't grow with them.
+documents pass by it within their own partitions, without a shuffle.  What a
+block holds doesn't grow with the documents.  With more blocks than one, each
+makes one pass that leaves hits by the digest of their text, and these are
+joined to the documents.
 
 Defined results: null texts have no words and no hits; items without words
 have no window; repeated items and repeated documents each count by
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, row_slices, stored
+from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, small_batches, stored
 
 WINDOW, GRAM = 13, 5
 BLOCK_WINDOWS = 400_000
@@ -145,16 +147,24 @@ def mark(df: DataFrame, items: DataFrame, text_col: str = "text", keep: list[str
     windows = benchmark_windows(items, item_col, item_text_col, window, gram)
     blocks = max(1, -(-windows.count() // block_windows))
     names = [f"_{i}" for i in range(len(keep))]  # plain names within: the columns' own may clash
-    out = df.select(F.struct(*(named(c).alias(n) for c, n in zip(keep, names, strict=True)),
-                             F.lit(None).cast("int").alias("none")).alias("kept"),
-                    named(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
-                    F.array().cast("array<struct<start:int,end:int>>").alias("hits"),
-                    F.array().cast("array<string>").alias("items"))
-    schema = out.schema
-    for b in range(blocks):
+    rows = df.select(F.struct(*(named(c).alias(n) for c, n in zip(keep, names, strict=True)),
+                              F.lit(None).cast("int").alias("none")).alias("kept"), named(text_col).alias("text"))
+
+    def part(b: int):
         found = windows.where(F.pmod(F.xxhash64("hi", "lo", "item"), F.lit(blocks)) == b).toArrow()
         block = Block(found, window, gram)
-        out = out.mapInArrow(_pass(bounded_broadcast(spark, block, block.n_bytes())), schema)
+        return bounded_broadcast(spark, block, block.n_bytes())
+
+    if blocks == 1:
+        out = _passed(rows, part(0))
+    else:  # each block's hits by the text's digest, then all blocks' hits to the rows
+        digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+        hit = [_passed(rows.select(F.struct(digest.alias("key")).alias("kept"), "text"), part(b)).where("size(hits) > 0")
+               for b in range(1, blocks)]
+        more = stored(_all(hit).groupBy("kept.key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("more_hits"),
+                                                        F.array_distinct(F.flatten(F.collect_list("items"))).alias("more_items")),
+                      "more-hits")
+        out = _merged_rows(_passed(rows, part(0), keep_text=True).withColumn("key", digest).join(more, "key", "left"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return (out.withColumn("n_hit", n_hit)
             .select(*(F.col(f"kept.{n}").alias(c) for c, n in zip(keep, names, strict=True)),
@@ -170,34 +180,51 @@ def clean(df: DataFrame, items: DataFrame, text_col: str = "text", **options) ->
     return marked.where(~F.col(f"{result}.contaminated")).select(*(named(c) for c in df.columns))
 
 
-def _pass(block):
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _merged_rows(joined: DataFrame) -> DataFrame:
     def task(batches):
-        hasher, windows = wordhash.Hasher(), block.value
         for batch in batches:
+            hits = [_merged([(s["start"], s["end"]) for x in pair if x for s in x])
+                    for pair in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            items = [sorted({i for x in pair if x for i in x})
+                     for pair in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _spans(hits), pa.array(items, pa.list_(pa.string()))],
+                                             ["kept", "n_words", "hits", "items"])
+
+    kind = joined.schema["kept"].dataType.simpleString()
+    return (joined.select("kept", "n_words", "hits", "items", "more_hits", "more_items")
+            .mapInArrow(task, f"kept {kind}, {_STATE}"))
+
+
+def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in x] for x in rows], _HITS)
+
+
+def _passed(rows: DataFrame, block, keep_text: bool = False) -> DataFrame:
+    """``rows`` (kept, text) past one block: kept, n_words, hits, items."""
+
+    def task(batches):
+        hasher, windows = wordhash.Hasher(), block.value
+        for batch in small_batches(batches, 1):
             buf, offs = bytes_of(batch.column(1))
-            n_words = np.zeros(batch.num_rows, dtype=np.int64)
-            hits, items = None, None
-            for i, j in row_slices(offs, wordhash.TEXT_SLICE):
-                w = hasher.words(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], wordhash.ALPHANUMERIC, True)
-                n_words[i:j] = w.counts
-                for n, at, sets in windows.hits(w):
-                    if not len(at):
-                        continue
-                    if hits is None:
-                        hits = [[(s["start"], s["end"]) for s in x] for x in batch.column(3).to_pylist()]
-                        items = [set(x) for x in batch.column(4).to_pylist()]
-                    rows = np.searchsorted(w.first, at, side="right") - 1
-                    begin = at - w.first[rows]
-                    for row, a in zip((i + rows).tolist(), begin.tolist(), strict=True):
-                        hits[row].append((a, a + n))
-                    for row, number in {*zip((i + rows).tolist(), sets.tolist(), strict=True)}:
-                        items[row] |= windows.sets[number]
-            if hits is None:
-                columns = [batch.column(3), batch.column(4)]
-            else:
-                columns = [pa.array([[{"start": a, "end": b} for a, b in _merged(x)] for x in hits], _HITS),
-                           pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), *columns],
-                                             ["kept", "text", "n_words", "hits", "items"])
-
-    return task
+            w = hasher.words(buf, offs, wordhash.ALPHANUMERIC, True)
+            hits, items = [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
+            for n, at, sets in windows.hits(w):
+                rows = np.searchsorted(w.first, at, side="right") - 1
+                for row, a in zip(rows.tolist(), (at - w.first[rows]).tolist(), strict=True):
+                    hits[row].append((a, a + n))
+                for row, number in {*zip(rows.tolist(), sets.tolist(), strict=True)}:
+                    items[row] |= windows.sets[number]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(w.counts.astype(np.int64)), _spans([_merged(x) for x in hits]),
+                 pa.array([sorted(x) for x in items], pa.list_(pa.string())), *([batch.column(1)] if keep_text else [])],
+                ["kept", "n_words", "hits", "items", *(["text"] if keep_text else [])])
+
+    kind = rows.schema["kept"].dataType.simpleString()
+    return rows.mapInArrow(task, f"kept {kind}, {_STATE}" + (", text string" if keep_text else ""))
