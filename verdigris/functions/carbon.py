@@ -48,5 +48,10 @@ def to_wei(credits) -> Column:
 
 
 def from_wei(wei, scale: int = 18) -> Column:
-    """Token units -> credits as decimal(38,18) (exact)."""
-    return (col_(wei).cast("decimal(38,0)") / F.lit(10 ** 18).cast("decimal(38,0)")).cast(f"decimal(38,{scale})")
+    """Token units -> credits as decimal(38,18), exact to the last unit: the
+    digits are moved as text, as a quotient of decimals keeps six places only."""
+    w = col_(wei).cast("decimal(38,0)")
+    digits = F.lpad(F.abs(w).cast("string"), 39, "0")
+    text = F.concat(F.when(w < 0, F.lit("-")).otherwise(F.lit("")), F.substring(digits, 1, 21), F.lit("."),
+                    F.substring(digits, 22, 18))
+    return text.cast(f"decimal(38,{scale})")

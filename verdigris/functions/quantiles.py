@@ -34,24 +34,41 @@ DEFAULT_ACCURACY = 100_000
 _MARGIN = 8.0
 MAX_BAND = 2_000_000        # distinct values one task may rank
 REFINE_BINS = 1024
+SALTS = 32                  # tasks that one group's rows are dealt to
 
 
-def _refine(attach, band: DataFrame, keys: list[str], below: Column, inside: Column, max_band: int,
-            max_rounds: int = 8) -> DataFrame:
+def _stored(band: DataFrame) -> DataFrame:
+    """The band table, written to a folder of this call below the shared
+    checkpoint folder and read back: the passes that use it share one sketch
+    pass, and no later read of the input can meet a stale cache."""
+    from verdigris.operators.tables import scratch_path
+    path = scratch_path(band.sparkSession, "quantile-band")
+    band.write.parquet(path)
+    return band.sparkSession.read.schema(band.schema).parquet(path)
+
+
+def _refine(attach, band: DataFrame, keys: list[str], below: Column, inside: Column, max_band: int) -> DataFrame:
     """Narrow bands holding more than ``max_band`` distinct values (see the
-    module doc).  Checks run as small aggregates; groups already small pass
-    through unchanged."""
+    module doc) until all fit.  Checks run as small aggregates; groups already
+    small pass through unchanged.  A round divides a band's value range by
+    ``REFINE_BINS``, so doubles run out of values between its edges long before
+    the loop could be called endless; a round that narrows nothing raises."""
     gk = [*keys, "_qi"]
     p = F.col("_q") * (F.col("_n") - 1)
-    for _ in range(max_rounds):
+    last = None
+    while True:
         j = attach(band)
         st = j.groupBy(*gk).agg(F.count_if(below).alias("_below"),
                                 F.approx_count_distinct(F.when(inside, F.col("_v"))).alias("_d"),
                                 F.min(F.when(inside, F.col("_v"))).alias("_bmin"),
                                 F.max(F.when(inside, F.col("_v"))).alias("_bmax"))
         big = st.filter(F.col("_d") > max_band)
-        if big.limit(1).count() == 0:
+        size = big.agg(F.sum("_d")).first()[0]
+        if size is None:
             return band
+        if size == last:
+            raise RuntimeError("a quantile band does not narrow")
+        last = size
         jb = j.join(big, gk).filter(inside)
         w = (F.col("_bmax") - F.col("_bmin")) / REFINE_BINS
         b = F.least(F.lit(REFINE_BINS - 1), F.floor(F.try_divide(F.col("_v") - F.col("_bmin"), w)).cast("int"))
@@ -67,9 +84,7 @@ def _refine(attach, band: DataFrame, keys: list[str], below: Column, inside: Col
         band = (band.join(new.select(*gk, "_lo2", "_hi2"), gk, "left")
                     .withColumn("_lo", F.coalesce("_lo2", "_lo")).withColumn("_hi", F.coalesce("_hi2", "_hi"))
                     .drop("_lo2", "_hi2"))
-        from verdigris.session import cut_lineage
-        band = cut_lineage(band)
-    return band
+        band = _stored(band)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
@@ -118,9 +133,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     inside = ~below & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
     if keys:
         band = stats.select(*keys, "_n", F.inline(F.array(*band_items)))
+        salted = base.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
 
         def attach(b):
-            return base.join(b, keys)
+            # The value's hash takes part in the join, so a key that holds a
+            # third of the rows is dealt to SALTS tasks instead of one.
+            parts = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            return salted.join(parts, [*keys, "_salt"])
     else:
         band = stats.select("_n", F.inline(F.array(*band_items)))
 
@@ -129,18 +148,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
             # each value is paired with the requested quantiles by an explode.
             s = b.select(F.struct(F.first("_n").alias("_n"), F.collect_list(
                 F.struct("_qi", "_q", "_lo", "_hi")).alias("_items")).alias("_s")).scalar()
-            return base.select("_v", s["_n"].alias("_n"), F.inline(s["_items"]))
-    # The band table (one row per group and quantile) is small; persisting it
-    # lets the size test below and the final pass share one sketch pass
-    # (a lost block is recomputed from lineage).
-    band = band.persist()
+            return base.select("_v", F.lit(0).alias("_salt"), s["_n"].alias("_n"), F.inline(s["_items"]))
+    band = _stored(band)
     largest = band.agg(F.max("_n")).first()[0] or 0
     if largest * (2 * _MARGIN + 2) / accuracy > max_band:     # a band could exceed the bound
         band = _refine(attach, band, keys, below, inside, max_band)
     cand = attach(band)
     cand = (cand.filter(below | inside)
-                .groupBy(*keys, "_qi", "_q", "_n", F.when(inside, F.col("_v")).alias("_vv"))
-                .agg(F.count("*").alias("_c")))
+                .groupBy(*keys, "_salt", "_qi", "_q", "_n", F.when(inside, F.col("_v")).alias("_vv"))
+                .agg(F.count("*").alias("_c")).drop("_salt"))
     w = (Window.partitionBy(*keys, "_qi").orderBy(F.col("_vv").asc_nulls_first())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cand = cand.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))

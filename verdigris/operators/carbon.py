@@ -40,25 +40,22 @@ def factor_lookup(records: DataFrame, categories: DataFrame, ts: str = "ts",
                .select("r.*", F.col("c.co2e_factor")).drop("_y"))
 
 
-MAX_SCENARIOS = 1000
-
-
 def scenario_analysis(base: DataFrame, scenarios) -> DataFrame:
     """JOIN-06 + PRJ-13 + SET-02: each base case unchanged (scenario
     'base') plus every base case adjusted by every scenario.
 
-    Scenarios are request parameters -- (name, efficiency, renewable)
-    tuples, or a small DataFrame of them, size-checked -- so they become a
-    literal array exploded on each base row: no join, no shuffle."""
-    if isinstance(scenarios, DataFrame):
-        rows = scenarios.select("name", "efficiency", "renewable").limit(MAX_SCENARIOS + 1).collect()
-        if len(rows) > MAX_SCENARIOS:
-            raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
-        scenarios = [tuple(r) for r in rows]
-    arr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(e)).alias("efficiency"),
-                             F.lit(float(r)).alias("renewable")) for n, e, r in scenarios])
+    Scenarios are (name, efficiency, renewable) tuples or a DataFrame of
+    them, any number.  They are gathered into one array on the executors (a
+    scalar subquery) that each base row explodes: no join, no shuffle of the
+    base cases, nothing on the driver."""
+    if not isinstance(scenarios, DataFrame):
+        scenarios = base.sparkSession.createDataFrame([(n, float(e), float(r)) for n, e, r in scenarios],
+                                                      "name string, efficiency double, renewable double")
+    one = F.struct(F.col("name"), F.col("efficiency").cast("double").alias("efficiency"),
+                   F.col("renewable").cast("double").alias("renewable"))
+    arr = scenarios.select(F.sort_array(F.collect_list(one))).scalar()
     keep = [c for c in base.columns if c not in ("energy_usage", "water_usage")]
-    exp = base.select("*", F.explode(arr).alias("_s"))
+    exp = base.withColumn("_all", arr).select("*", F.explode("_all").alias("_s"))
     adj = exp.select(
         *keep, F.col("_s.name").alias("scenario"),
         C.scenario_energy("energy_usage", "_s.efficiency", "_s.renewable").alias("energy_usage"),

@@ -270,19 +270,33 @@ def apply_robust(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFr
     return df
 
 
-def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> dict[str, list[str]]:
-    """ML-03 fit: sorted category vocabulary per column ('missing' for NULL).
+def _category(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("missing"))
 
-    The vocabulary is model state, so it comes to the driver -- but only
-    after a distinct on the executors and behind a size check."""
-    vocab = {}
+
+def category_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """ML-03 fit: the vocabulary as a table (column, category, index), the
+    index in the categories' order ('missing' for NULL).  It stays on the
+    executors, whatever its size."""
+    found = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _category(c).alias("category")) for c in cols]))).distinct()
+    return found.withColumn("index", F.row_number().over(Window.partitionBy("column").orderBy("category")) - 1)
+
+
+def category_index(df: DataFrame, table: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """ML-03 transform, sparse: ``{col}_index``, the place of the 1 in the
+    one-hot row; NULL (all zeros) for an unseen category."""
     for c in cols:
-        d = (df.select(F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias("v"))
-               .distinct().limit(max_categories + 1).collect())
-        if len(d) > max_categories:
-            raise ValueError(f"column {c} has more than {max_categories} categories")
-        vocab[c] = sorted(r.v for r in d)
-    return vocab
+        part = table.filter(F.col("column") == c).select(F.col("category").alias("_c"), F.col("index").alias(f"{c}_index"))
+        df = df.withColumn("_c", _category(c)).join(part, "_c", "left").drop("_c")
+    return df
+
+
+def fit_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """ML-03 fit for the wide form: the sorted categories of each column.  They
+    name the columns of the result, so the driver needs them; for columns with
+    very many categories use ``category_table``."""
+    rows = category_table(df, cols).orderBy("column", "index").collect()
+    return {c: [r["category"] for r in rows if r["column"] == c] for c in cols}
 
 
 def one_hot(df: DataFrame, vocab: Mapping[str, Sequence[str]], drop: bool = True) -> DataFrame:

@@ -97,21 +97,19 @@ def statement(events: DataFrame, blocks: DataFrame | None = None, account=None,
     """LED-07 + SRT-04 + JOIN-09: the last ``limit`` transactions of each
     account (or one account) in log order, with block time and whole-credit
     amount.  ``row_number <= limit`` is planned as a group limit before the
-    shuffle."""
+    shuffle; rows come in no order between accounts, a report sorts its own."""
     if not 1 <= limit <= 1000:
         raise ValueError("1 <= limit <= 1000")
-    ev = events
-    if blocks is not None:                                       # JOIN-09
-        ev = ev.drop("block_time").join(blocks, "block", "left")
-    d = deltas(ev, ("tx_hash", "block_time", "from_acct", "to_acct"))
+    timed = ("block_time",) if "block_time" in events.columns else ()
+    d = deltas(events, ("tx_hash", *timed, "from_acct", "to_acct"))
     if account is not None:
         d = d.filter(F.col("account") == F.lit(account))
     w = Window.partitionBy("account").orderBy(F.desc("seq"), F.asc("delta"))
     last = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
-    return (last.select("account", "seq", "tx_hash", "block_time", "kind", "from_acct", "to_acct",
-                        from_wei(F.abs(F.col("delta"))).alias("amount_credits"),
-                        F.lit("confirmed").alias("status"))
-                .orderBy("account", "seq"))
+    if blocks is not None:                                       # JOIN-09, for the listed transactions only
+        last = last.drop("block_time").join(blocks, "block", "left")
+    return last.select("account", "seq", "tx_hash", "block_time", "kind", "from_acct", "to_acct",
+                       from_wei(F.abs(F.col("delta"))).alias("amount_credits"), F.lit("confirmed").alias("status"))
 
 
 def recent_transfers(events: DataFrame, sender, num_blocks: int = 1000) -> DataFrame:
@@ -160,60 +158,3 @@ def classify_contract_error(raw) -> Column:
 def address(account) -> Column:
     """Account key -> 0x-prefixed 40-hex-digit address text."""
     return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(col_(account))), 40, "0"))
-
-
-# ---------------------------------------------------------------- LED-03 exact replay
-def account_groups(events: DataFrame, checkpoint_every: int = 2, max_iter: int | None = None) -> DataFrame:
-    """Connected groups of accounts linked by transfers (min-label
-    propagation).  Each round is a join plus a partial ``min`` aggregate, so
-    a hub account costs map-side work only; the label table is checkpointed
-    into the shared checkpoint folder every few rounds to cut lineage.
-    Runs to convergence unless ``max_iter`` is given."""
-    from verdigris.session import cut_lineage
-    tr = events.filter((F.col("kind") == "transfer") & F.col("from_acct").isNotNull() & F.col("to_acct").isNotNull())
-    edges = tr.select(F.col("from_acct").alias("src"), F.col("to_acct").alias("dst")).unionByName(
-        tr.select(F.col("to_acct").alias("src"), F.col("from_acct").alias("dst"))).distinct()
-    edges = cut_lineage(edges)
-    nodes = deltas(events).select("account").distinct()
-    labels = cut_lineage(nodes.select("account", F.col("account").alias("group_id")))
-    i = 0
-    while max_iter is None or i < max_iter:
-        i += 1
-        msgs = (edges.join(labels.withColumnRenamed("account", "src"), "src")
-                     .groupBy(F.col("dst").alias("account")).agg(F.min("group_id").alias("_m")))
-        new = (labels.join(msgs, "account", "left")
-                     .select("account", F.least("group_id", F.coalesce("_m", "group_id")).alias("group_id")))
-        if i % checkpoint_every == 0:
-            new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("group_id", "_old"), "account") \
-                     .filter(F.col("group_id") != F.col("_old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    return labels
-
-
-def replay_with_reverts(events: DataFrame, max_rounds: int = 10, seq_per_bucket: int = 1 << 20):
-    """LED-03 exact replay: checked subtractions revert, and a revert also
-    changes the receiver, so flags can move.  Within a connected group of
-    accounts the earliest flagged event is certainly reverted (everything
-    before it replayed cleanly), and groups do not interact; each round
-    reverts that event in every group and recomputes.
-
-    Returns (reverted events with their round, converged flag).  Rounds run
-    up to ``max_rounds``; ``converged`` is False when flags remained."""
-    from verdigris.session import cut_lineage
-    groups = account_groups(events)
-    spark = events.sparkSession
-    reverted = spark.createDataFrame([], "seq long, round int")
-    for rnd in range(1, max_rounds + 1):
-        active = events.join(reverted.select("seq"), "seq", "left_anti")
-        flags = overdraft_screen(active, seq_per_bucket)
-        first = (flags.join(groups, "account").groupBy("group_id").agg(F.min("seq").alias("seq"))
-                      .select("seq", F.lit(rnd).alias("round")))
-        first = cut_lineage(first)
-        if first.limit(1).count() == 0:
-            return reverted, True
-        reverted = cut_lineage(reverted.unionByName(first))
-    active = events.join(reverted.select("seq"), "seq", "left_anti")
-    return reverted, overdraft_screen(active, seq_per_bucket).limit(1).count() == 0

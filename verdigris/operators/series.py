@@ -46,6 +46,16 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def _join_back(x: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+    """Equi-join in which NULL keys and NULL buckets (rows without a time) meet
+    each other, as they do in a window's partitions."""
+    a, b = x.alias("_x"), table.alias("_y")
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(f"_x.`{n}`").eqNullSafe(F.col(f"_y.`{n}`"))
+    return a.join(b, on).select("_x.*", *[F.col(f"_y.`{c}`") for c in table.columns if c not in names])
+
+
 def _bucket_table(x: DataFrame, keys: list[str], back: int, ahead: int) -> DataFrame:
     counts = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*keys).orderBy("_b")
@@ -71,7 +81,7 @@ def _positioned(df: DataFrame, keys: list[str], order: Sequence[Column], bucket:
     x = df.withColumn("_b", bucket)
     x = x.withColumn("_li", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1)
     counts = _bucket_table(x.select(*keys, "_b"), keys, back, ahead)
-    x = x.join(counts, keys + ["_b"]).withColumn("_i", F.col("_cb") + F.col("_li"))
+    x = _join_back(x, counts, keys + ["_b"]).withColumn("_i", F.col("_cb") + F.col("_li"))
     return x, counts
 
 
@@ -94,13 +104,13 @@ def with_halo(df: DataFrame, key, order: Sequence[Column], bucket: Column, back:
     if back:
         cand = x.filter((F.col("_li") >= F.col("_c") - back) & (F.col("_reachB") > 0))
         cand = cand.withColumn("_t", F.explode(F.sequence(F.col("_o") + 1, F.col("_o") + F.col("_reachB"))))
-        h = cand.join(tgt, keys + ["_t"]).filter(F.col("_tcb") <= F.col("_i") + back)
+        h = _join_back(cand, tgt, keys + ["_t"]).filter(F.col("_tcb") <= F.col("_i") + back)
         parts.append(h.withColumn("_home", F.col("_t")).withColumn("_halo", F.lit(True))
                       .drop("_t", "_tcb", "_tend"))
     if ahead:
         cand = x.filter((F.col("_li") < ahead) & (F.col("_reachA") > 0))
         cand = cand.withColumn("_t", F.explode(F.sequence(F.col("_o") - F.col("_reachA"), F.col("_o") - 1)))
-        h = cand.join(tgt, keys + ["_t"]).filter(F.col("_tend") + ahead - 1 >= F.col("_i"))
+        h = _join_back(cand, tgt, keys + ["_t"]).filter(F.col("_tend") + ahead - 1 >= F.col("_i"))
         parts.append(h.withColumn("_home", F.col("_t")).withColumn("_halo", F.lit(True))
                       .drop("_t", "_tcb", "_tend"))
     out = parts[0]
@@ -137,7 +147,7 @@ def running_sum(df: DataFrame, key, order: Sequence[Column], value: Column | str
     tot = x.groupBy(*keys, "_b").agg(F.sum("_v").alias("_bt"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_before", F.sum("_bt").over(wb)).drop("_bt")
-    x = x.join(tot, keys + ["_b"])
+    x = _join_back(x, tot, keys + ["_b"])
     zero = F.lit(0).cast(x.schema["_local"].dataType)
     return x.withColumn(out, F.coalesce(F.col("_before"), zero) + F.col("_local")).drop(
         "_b", "_v", "_local", "_before")
@@ -162,6 +172,6 @@ def carry_known(df: DataFrame, key, order: Sequence[Column], value: str, payload
     summ = (summ.withColumn("_cp", F.last("_bl", True).over(wb.rowsBetween(Window.unboundedPreceding, -1)))
                 .withColumn("_cn", F.first("_bf", True).over(wb.rowsBetween(1, Window.unboundedFollowing)))
                 .select(*keys, "_b", "_cp", "_cn"))
-    x = x.join(summ, keys + ["_b"])
+    x = _join_back(x, summ, keys + ["_b"])
     return (x.withColumn("_prev", F.coalesce("_pl", "_cp")).withColumn("_next", F.coalesce("_nl", "_cn"))
              .drop("_b", "_pl", "_nl", "_cp", "_cn"))

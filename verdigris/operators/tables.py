@@ -54,11 +54,13 @@ def stamp_new_records(records: DataFrame, created_by, as_of, start_version: int
                .withColumn("deleted_at", F.lit(None).cast("timestamp_ntz")))
 
 
-def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    w = df.write.mode("append")
+def append_run(df: DataFrame, path: str, run_id: str, partition_by: Sequence[str] = ()) -> None:
+    """Appends one run's rows below ``path``: each run has its own folder
+    ``run_id=...`` and overwrites it, so a retried run doesn't write twice."""
+    w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    w.parquet(f"{path.rstrip('/')}/run_id={run_id}")
 
 
 # ---------------------------------------------------------------- SNK-04
@@ -66,12 +68,18 @@ UPDATABLE = ("co2_kg", "energy_kwh", "water_l")
 
 
 def apply_updates(table: DataFrame, updates: DataFrame, user_id, is_admin: bool, as_of,
-                  key: str = "record_id", cols: Sequence[str] = UPDATABLE) -> DataFrame:
+                  key: str = "record_id", cols: Sequence[str] = UPDATABLE, order: str | None = None) -> DataFrame:
     """Partial update: only supplied (non-NULL) fields change, ``updated_at``
     is bumped and ``version`` incremented -- for rows the caller may change
-    (admin, or the record's creator).  Returns the whole table with updates
-    applied; unaffected rows pass through unchanged."""
-    u = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn("_hit", F.lit(True))
+    (admin, or the record's creator).  Of several updates for one key each
+    field takes its newest supplied value by ``order`` (without it, the
+    greatest).  Returns the whole table with updates applied; unaffected rows
+    pass through unchanged."""
+    def newest(c: str) -> Column:
+        given = F.col(c).isNotNull()
+        return F.max_by(c, F.when(given, F.struct(order, c))) if order else F.max(c)
+
+    u = updates.groupBy(key).agg(*[newest(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
     j = table.join(u, key, "left")
     allowed = F.coalesce(F.col("_hit"), F.lit(False)) & (F.lit(bool(is_admin)) | (F.col("created_by") == F.lit(user_id)))
     out = j
@@ -124,35 +132,54 @@ def audit_trail(old: DataFrame, new: DataFrame, key: str, compare: Sequence[str]
 CHUNK = {"emission_metrics": "1 week", "energy_usage": "1 day", "emission_records": "7 days"}
 
 
+def _chunk_of(width: str, ts: str) -> Column:
+    return F.to_date(time_bucket(width, ts))
+
+
+def _write_chunks(rows: DataFrame, path: str, width: str, ts: str, mode: str = "overwrite", compression: str | None = None,
+                  order: Sequence[Column] = ()) -> None:
+    """Rows dealt by chunk; a rebalance, so a chunk that holds much of the
+    table is split over tasks.  The width is kept as metadata of the time
+    column, for readers that prune chunks."""
+    out = rows.hint("rebalance", "chunk")
+    if order:
+        out = out.sortWithinPartitions("chunk", *order)
+    w = (out.withMetadata(ts, {"chunk_width": width}).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy("chunk"))
+    (w.option("compression", compression) if compression else w).parquet(path)
+
+
 def write_chunked(df: DataFrame, path: str, width: str = "1 day", ts: str = "ts", mode: str = "overwrite") -> None:
     """SNK-07: time-chunked layout: a derived ``chunk`` column (bucket start
     date) is the partition column, so readers that filter on it prune whole
     folders; rows are clustered by chunk before the write so each task
     writes few files."""
-    out = df.withColumn("chunk", F.to_date(time_bucket(width, ts)))
-    (out.repartition("chunk").write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path))
+    _write_chunks(df.withColumn("chunk", _chunk_of(width, ts)), path, width, ts, mode)
+
+
+def chunk_width(df: DataFrame, ts: str = "ts", default: str = "1 day") -> str:
+    """The chunk width that the table's writer recorded."""
+    return df.schema[ts].metadata.get("chunk_width", default)
 
 
 def compact_cold(df: DataFrame, path: str, as_of, older_than_days: int = 30, ts: str = "ts",
-                 segment_by: str = "facility_id", width: str = "1 day") -> DataFrame:
-    """SNK-08: rewrite chunks older than the cut-off, clustered by the segment
-    key and ordered newest first within files (zstd).  Only those chunks are
-    overwritten (dynamic partition overwrite); returns the rewritten rows.
+                 segment_by: str = "facility_id", width: str | None = None) -> DataFrame:
+    """SNK-08: rewrite the chunks that end at or before the cut-off, clustered
+    by the segment key and ordered newest first within files (zstd).  A chunk
+    that the cut-off divides stays as it is.  Only those chunks are overwritten
+    (dynamic partition overwrite); returns the rewritten rows.
 
     ``df`` is usually the table at ``path`` itself, so the cold rows are
     first materialised with a reliable checkpoint in the shared checkpoint
     folder: the overwrite then reads the checkpoint, not the files it
     replaces, and a lost executor recomputes from the checkpoint."""
     from verdigris.session import cut_lineage
+    width = width or chunk_width(df, ts)
     cut = _ts(as_of) - F.expr(f"INTERVAL {int(older_than_days)} DAYS")
-    cold = df.filter(F.col(ts) < cut)
-    if "chunk" not in cold.columns:
-        cold = cold.withColumn("chunk", F.to_date(time_bucket(width, ts)))
+    # rows of chunks before the one that holds the cut-off, that is chunks that end by then
+    cold = df.filter(F.col(ts) < time_bucket(width, cut)).withColumn("chunk", _chunk_of(width, ts))
     cold = cut_lineage(cold)
-    (cold.repartition("chunk", segment_by).sortWithinPartitions(segment_by, F.desc(ts))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-         .partitionBy("chunk").parquet(path))
+    _write_chunks(cold, path, width, ts, compression="zstd", order=[F.col(segment_by), F.desc(ts)])
     return cold
 
 
@@ -207,21 +234,49 @@ def reveal_column(df: DataFrame, col: str, key_hex: str, out: str | None = None)
 
 
 # ---------------------------------------------------------------- merge by partition rewrite
-def merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str = "ts", width: str = "1 day") -> DataFrame:
-    """Upsert ``changed`` rows (updated, soft-deleted or new) into the
-    time-chunked table at ``path`` (SNK-07 layout) without a table format:
-    only the chunks the changes touch are rewritten, by dynamic partition
-    overwrite.  Rows of those chunks are (existing rows minus changed keys)
-    plus the changed rows; they are checkpointed before the overwrite because
-    the job reads the folders it replaces.  Returns the rewritten rows."""
+#: Chunks whose list a merge reads back to prune folders; beyond, folders are pruned by their range only.
+MAX_LISTED_CHUNKS = 10_000
+
+
+def merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str = "ts", width: str | None = None) -> DataFrame:
+    """Upsert ``changed`` rows (updated, soft-deleted or new; one per key) into
+    the time-chunked table at ``path`` (SNK-07 layout) without a table format:
+    only the chunks that hold an old or the new row of a changed key are
+    rewritten, by dynamic partition overwrite, so a row whose time moved leaves
+    its old chunk.  The touched chunks' list (a few dates, size-checked; else
+    their range) is a literal filter, so other folders aren't read.  Rows are
+    checkpointed before the overwrite because the job reads the folders it
+    replaces.  A chunk that loses all its rows keeps none: its folder is
+    emptied by the caller's retention.  Returns the rewritten rows."""
     from verdigris.session import cut_lineage
     spark = changed.sparkSession
     table = spark.read.parquet(path)
-    ch = changed if "chunk" in changed.columns else changed.withColumn("chunk", F.to_date(time_bucket(width, ts)))
-    touched = ch.select("chunk").distinct()
-    keep = (table.join(touched, "chunk", "left_semi")
-                 .join(ch.select(key), key, "left_anti"))
-    rows = cut_lineage(keep.unionByName(ch.select(*table.columns)))
-    (rows.repartition("chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("chunk").parquet(path))
+    width = width or chunk_width(table, ts)
+    ch = cut_lineage(changed.withColumn("chunk", _chunk_of(width, ts)).select(*table.columns))
+    old = table.select(key, "chunk").join(ch.select(key), key, "left_semi").select("chunk")
+    touched = cut_lineage(old.unionByName(ch.select("chunk")).distinct())
+    listed = [r.chunk for r in touched.limit(MAX_LISTED_CHUNKS + 1).collect()]
+    if len(listed) <= MAX_LISTED_CHUNKS:
+        part = table.filter(F.col("chunk").isin(listed))
+    else:
+        low, high = touched.agg(F.min("chunk"), F.max("chunk")).first()
+        part = table.filter(F.col("chunk").between(low, high)).join(touched, "chunk", "left_semi")
+    rows = cut_lineage(part.join(ch.select(key), key, "left_anti").select(*table.columns).unionByName(ch))
+    _write_chunks(rows, path, width, ts)
     return rows
+
+
+def expire_chunks(spark: SparkSession, path: str, as_of, days: int, ts: str = "ts") -> list:
+    """SNK-09 on a time-chunked table: removes the chunks that end at or before
+    the horizon (``as_of - days``) and returns their dates.  A chunk that the
+    horizon divides stays; ``retain`` filters its rows on reading."""
+    table = spark.read.parquet(path)
+    width = chunk_width(table, ts)
+    horizon = time_bucket(width, _ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
+    gone = [r.chunk for r in table.filter(F.col("chunk") < F.to_date(horizon)).select("chunk").distinct()
+            .orderBy("chunk").collect()]  # one date per expired chunk
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for chunk in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"chunk={chunk.isoformat()}"), True)
+    return gone

@@ -42,26 +42,28 @@ def trailing(df: DataFrame, days: int, as_of=None, ts: str = "ts",
     """FLT-02 (strict ``ts > as_of - N days``) / FLT-03 (inclusive BETWEEN)."""
     a = resolve_as_of(df, as_of, ts)
     start = a - interval(f"{int(days)} DAYS")
-    df = prune_chunks(df, start, a)
+    df = prune_chunks(df, start, a if inclusive else None, ts)
     if inclusive:
         return df.filter(F.col(ts).between(start, a))
     return df.filter(F.col(ts) > start)
 
 
 CHUNK_COL = "chunk"
-MAX_CHUNK_DAYS = 7
 
 
-def prune_chunks(df: DataFrame, start, end=None) -> DataFrame:
+def prune_chunks(df: DataFrame, start=None, end=None, ts: str = "ts") -> DataFrame:
     """On a time-chunked table (SNK-07: partition column ``chunk`` = bucket
-    start date, buckets of at most 7 days), add the partition predicate
-    implied by a time range so whole folders are skipped; no-op otherwise."""
-    if CHUNK_COL not in df.columns:
+    start date, its width kept as metadata of the time column), add the
+    partition predicate implied by a time range so whole folders are skipped;
+    no-op on a table without chunks or without a recorded width."""
+    width = df.schema[ts].metadata.get("chunk_width") if CHUNK_COL in df.columns else None
+    if width is None:
         return df
-    cond = F.col(CHUNK_COL) >= F.date_sub(F.to_date(start), MAX_CHUNK_DAYS - 1)
+    if start is not None:
+        df = df.filter(F.col(CHUNK_COL) >= F.to_date(time_bucket(width, start)))
     if end is not None:
-        cond = cond & (F.col(CHUNK_COL) <= F.to_date(end))
-    return df.filter(cond)
+        df = df.filter(F.col(CHUNK_COL) <= F.to_date(end))
+    return df
 
 
 CHART_RANGES = {"24h": 1, "7d": 7, "30d": 30}
@@ -76,7 +78,7 @@ def filter_emissions(df: DataFrame, start=None, end=None, source_type=None,
                      min_co2e=None, ts: str = "ts") -> DataFrame:
     """FLT-01: optional filters; both dates -> inclusive BETWEEN; ``min_co2e=0``
     counts as unset (falsy), like the reference's truthiness test."""
-    out = df
+    out = prune_chunks(df, *(F.lit(x).cast("timestamp_ntz") if x is not None else None for x in (start, end)), ts)
     if start is not None and end is not None:
         out = out.filter(F.col(ts).between(F.lit(start).cast("timestamp_ntz"),
                                            F.lit(end).cast("timestamp_ntz")))
@@ -93,9 +95,8 @@ def filter_emissions(df: DataFrame, start=None, end=None, source_type=None,
 
 def facility_range(df: DataFrame, facility_id, start, end, ts: str = "ts") -> DataFrame:
     """FLT-04: one facility within [start, end]."""
-    return df.filter((F.col("facility_id") == F.lit(facility_id))
-                     & F.col(ts).between(F.lit(start).cast("timestamp_ntz"),
-                                         F.lit(end).cast("timestamp_ntz")))
+    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    return prune_chunks(df, lo, hi, ts).filter((F.col("facility_id") == F.lit(facility_id)) & F.col(ts).between(lo, hi))
 
 
 def active_rows(df: DataFrame, include_deleted: bool = True) -> DataFrame:
@@ -134,7 +135,7 @@ def gapfilled_daily_stats(records: DataFrame, days: int, as_of=None, ts: str = "
     """
     a = resolve_as_of(records, as_of, ts)
     start = a - interval(f"{int(days)} DAYS")
-    recent = records.filter(F.col(ts).between(start, a))
+    recent = prune_chunks(records, start, a, ts).filter(F.col(ts).between(start, a))
     agg = (recent.groupBy(*keys, time_bucket(width, ts).alias("bucket"))
                  .agg(F.avg("co2e_kg").alias("avg_co2e"),
                       F.sum("energy_kwh").alias("total_energy"),

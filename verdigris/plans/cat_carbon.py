@@ -198,6 +198,28 @@ def prj13(spark, d):
                       r("water_usage").alias("water_usage"))
 
 
+@register("prj13_many_scenarios", "PRJ-13", L.with_ctes(f"""
+SELECT scenario, count(*) AS n, {sql_r('sum(e)')} AS energy_usage FROM (
+  SELECT 'base' AS scenario, energy_usage AS e FROM bc
+  UNION ALL SELECT 's' || CAST(c_custkey AS VARCHAR), energy_usage * (1 - (c_custkey % 100) / 100.0) FROM bc CROSS JOIN customer)
+GROUP BY 1""", bc=BASE_CASES_SQL))
+def prj13_many(spark, d):
+    sc = L.table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("name"),
+                                              (F.col("c_custkey") % 100 / 100.0).alias("efficiency"), F.lit(0.0).alias("renewable"))
+    out = CO.scenario_analysis(base_cases(spark, d), sc)
+    return out.groupBy("scenario").agg(F.count("*").alias("n"), r(F.sum("energy_usage")).alias("energy_usage"))
+
+
+@register("prj15_wei_exact", "PRJ-15", L.with_ctes("""
+SELECT o_orderkey, CAST(w // 1000000000000000000::HUGEINT AS VARCHAR) || '.' ||
+       lpad(CAST(w % 1000000000000000000::HUGEINT AS VARCHAR), 18, '0') AS credits
+FROM (SELECT o_orderkey, o_orderkey::HUGEINT * 1234567890123456789::HUGEINT + 1 AS w FROM orders)"""))
+def prj15_exact(spark, d):
+    from verdigris.functions.carbon import from_wei
+    wei = F.col("o_orderkey").cast("decimal(18,0)") * F.lit(1234567890123456789).cast("decimal(19,0)") + F.lit(1).cast("decimal(1,0)")
+    return L.table(spark, d, "orders").select("o_orderkey", from_wei(wei).cast("string").alias("credits"))
+
+
 @register("prj14_prediction_interval", "PRJ-14", L.with_ctes("""
 SELECT facility_id, round(avg(co2_kg) - 1.96 * stddev_pop(co2_kg), 2) AS lower_bound,
        round(avg(co2_kg) + 1.96 * stddev_pop(co2_kg), 2) AS upper_bound FROM em GROUP BY 1""",

@@ -148,6 +148,13 @@ def ml03(spark, d):
     return FE.one_hot(sf.select("reading_id", "kind"), vocab)
 
 
+@register("ml03_many_categories", "ML-03", L.with_ctes("""
+SELECT o_orderkey, dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS customer_index FROM orders"""))
+def ml03_many(spark, d):
+    o = L.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("customer"))
+    return FE.category_index(o, FE.category_table(o, ["customer"]), ["customer"]).select("o_orderkey", "customer_index")
+
+
 @register("ml04_standard_scaling", "ML-04", L.with_ctes(f"""
 SELECT ts, facility_id,
   {sql_r('(co2_kg - s.mc) / CASE WHEN s.sc = 0 THEN 1.0 ELSE s.sc END')} AS co2_kg,

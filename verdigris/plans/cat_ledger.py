@@ -142,9 +142,3 @@ def val16b(spark, d):
     ce = L.credit_events(spark, d)
     acc = ce.select(F.col("to_acct").alias("account")).filter(F.col("account").isNotNull()).distinct()
     return acc.select("account", LG.address("account").alias("address"))
-
-
-@register("led03_exact_replay_rounds", "LED-03")
-def led03r(spark, d):
-    rev, converged = LG.replay_with_reverts(L.credit_events(spark, d), max_rounds=3, seq_per_bucket=4096)
-    return rev.withColumn("converged", F.lit(converged))

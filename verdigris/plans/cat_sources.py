@@ -54,7 +54,7 @@ SELECT ts, facility_id, kwh, source FROM h WHERE part IN ('F', 'O') AND kwh IS N
 def src01(spark, d):
     root = _write_landing(spark, d)
     ok, _ = SF.load_historical_csv(spark, f"{root}/csv")
-    return ok.select("ts", "facility_id", "kwh", "source")
+    return ok.select("ts", F.col("facility_id").cast("bigint").alias("facility_id"), "kwh", "source")
 
 
 @register("src01_val14_rejects", "VAL-14", L.with_ctes("""
@@ -62,7 +62,7 @@ SELECT ts, facility_id, source FROM h WHERE part IN ('F', 'O') AND kwh IS NULL""
 def src01r(spark, d):
     root = _write_landing(spark, d)
     _, bad = SF.load_historical_csv(spark, f"{root}/csv")
-    return bad.select("ts", "facility_id", "source")
+    return bad.select("ts", F.col("facility_id").cast("bigint").alias("facility_id"), "source")
 
 
 @register("src02_historical_json", "SRC-02", L.with_ctes("""
@@ -70,20 +70,38 @@ SELECT ts, facility_id, kwh, source FROM h WHERE part = 'P' AND kwh IS NOT NULL"
 def src02(spark, d):
     root = _write_landing(spark, d)
     ok, _ = SF.load_historical_json(spark, f"{root}/json")
+    return ok.select("ts", F.col("facility_id").cast("bigint").alias("facility_id"), "kwh", "source")
+
+
+def _headers_differ(spark, d, root):
+    """The export in two layouts: other column orders, an extra column, text ids."""
+    rows = _historical_rows(spark, d).withColumn("FacilityID", F.concat(F.lit("plant-"), "FacilityID"))
+    layouts = (["Timestamp", "FacilityID", "Energy_kWh", "Source"], ["Source", "Extra", "Energy_kWh", "Timestamp", "FacilityID"])
+    for n, names in enumerate(layouts):
+        (rows.withColumn("Extra", F.lit("x, y")).filter((F.length("FacilityID") % 2 == n)).select(*names)
+             .write.option("header", True).csv(f"{root}/layout={n}"))
+    return root
+
+
+@register("src01_headers_by_name", "SRC-01", L.with_ctes("""
+SELECT ts, 'plant-' || CAST(facility_id AS VARCHAR) AS facility_id, kwh, source FROM h WHERE kwh IS NOT NULL""", h=HISTORICAL_SQL))
+def src01_names(spark, d):
+    ok, _ = SF.load_historical_csv(spark, _headers_differ(spark, d, scratch_path(spark, "layouts")))
     return ok.select("ts", "facility_id", "kwh", "source")
 
 
-@register("src03_file_inventory", "SRC-03")
+@register("src03_file_inventory", "SRC-03", L.with_ctes("""
+SELECT * FROM (VALUES ('csv', true), ('json', true), ('txt', false)) v(extension, supported)"""))
 def src03(spark, d):
     root = _write_landing(spark, d)
     inv = SF.file_inventory(spark, root)
-    return inv.groupBy("extension", "supported").agg(F.count("*").alias("files"))
+    return inv.select("extension", "supported").distinct()
 
 
 @register("src03_ingest_report", "SRC-03", L.with_ctes("""
-SELECT 'csv' AS extension, true AS supported, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS rows_loaded
-FROM orders
-UNION ALL SELECT 'json', true, count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders
+SELECT 'csv' AS extension, true AS supported,
+       count(*) FILTER (WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority <> '5-LOW') AS rows_loaded FROM orders
+UNION ALL SELECT 'json', true, count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority <> '5-LOW') FROM orders
 UNION ALL SELECT 'txt', false, 0"""))
 def src03r(spark, d):
     root = _write_landing(spark, d)
@@ -91,10 +109,16 @@ def src03r(spark, d):
     return rep.groupBy("extension", "supported").agg(F.sum("rows_loaded").alias("rows_loaded"))
 
 
-@register("src04_raw_staging", "SRC-04")
+@register("src04_raw_staging", "SRC-04", L.with_ctes("""
+SELECT strftime(ts, '%Y-%m-%d') || '|' || CAST(facility_id AS VARCHAR) || '|' || source AS raw_data,
+       TIMESTAMP '2024-06-01 00:00:00' AS ingested_at FROM h""", h=HISTORICAL_SQL))
 def src04(spark, d):
-    root = _write_landing(spark, d)
-    return SF.stage_raw(spark, f"{root}/json", "2024-06-01 00:00:00", "*.json")
+    # every row of the export as a line of text, staged as it is
+    o = L.table(spark, d, "orders")
+    root = scratch_path(spark, "staging")
+    o.select(F.concat_ws("|", F.date_format(o.o_orderdate + F.make_dt_interval(mins=(F.col("o_orderkey") % 720).cast("int")),
+                                            "yyyy-MM-dd"), "o_custkey", "o_orderpriority")).write.text(f"{root}/part")
+    return SF.stage_raw(spark, root, "2024-06-01 00:00:00", "*.txt").select("raw_data", "ingested_at")
 
 
 @register("src05_parquet_columns", "SRC-05", L.with_ctes("SELECT l_orderkey, l_quantity FROM lineitem"))
@@ -107,10 +131,7 @@ SELECT reading_id, sensor_id, value FROM sf WHERE kind IN ('click', 'view', 'pur
     sf=L.SENSOR_FEED_SQL))
 def src07(spark, d):
     sf = L.sensor_feed(spark, d)
-    batches = [sf.filter(F.col("kind") == k).withColumn(
-        "status", F.when(F.col("error").isNotNull(), F.lit("failed"))) for k in
-        ("click", "view", "purchase", "signup", "error")]
-    ok, _ = SS.bulk_read(batches)
+    ok, _ = SS.bulk_read(sf.withColumn("status", F.when(F.col("error").isNotNull(), F.lit("failed"))))
     return ok.select("reading_id", "sensor_id", "value")
 
 

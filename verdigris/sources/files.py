@@ -17,37 +17,59 @@ from pyspark.sql import types as T
 from verdigris.functions.time import parse_timestamp
 from verdigris.operators.validate import required_present, split_valid
 
-# Historical CSV header, as written by the meter export.
+# Historical meter export: its field names, as the files' headers give them.
 CSV_SCHEMA = T.StructType([
     T.StructField("Timestamp", T.StringType()), T.StructField("FacilityID", T.StringType()),
     T.StructField("Energy_kWh", T.StringType()), T.StructField("Source", T.StringType()),
 ])
 SUPPORTED_EXTENSIONS = ("csv", "json")
+#: Columns that a CSV file may have, known ones and others.
+MAX_CSV_COLUMNS = 64
 
 
 def _to_energy_usage(raw: DataFrame) -> DataFrame:
     return raw.select(
         parse_timestamp("Timestamp").alias("ts"),
-        F.col("FacilityID").try_cast("bigint").alias("facility_id"),
+        F.col("FacilityID").alias("facility_id"),
         F.col("Energy_kWh").try_cast("double").alias("kwh"),
         F.col("Source").alias("source"),
-        F.col("_metadata.file_name").alias("file_name"),
+        "file_path", F.regexp_extract("file_path", "[^/]*$", 0).alias("file_name"),
     )
 
 
+def read_csv_by_header(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """All ``*.csv`` under ``path`` as text columns ``names`` plus
+    ``file_path``; each file's own header says where a column is, so files may
+    order their columns differently and have others beside them.  A file
+    without one of the columns gives NULLs there; one without any header line
+    gives only NULLs (its rows are rejected, not lost)."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+             .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_at"))
+             .where(F.trim("value") != ""))
+    generic = ", ".join(f"c{i} string" for i in range(MAX_CSV_COLUMNS))
+    fields = F.array(*[F.col("_f")[f"c{i}"] for i in range(MAX_CSV_COLUMNS)])
+    split = lines.withColumn("_f", F.from_csv("value", generic)).select("file_path", "_at", fields.alias("_v"))
+    known = F.size(F.array_intersect(F.transform("_v", lambda x: F.trim(x)), F.array(*map(F.lit, names))))
+    is_header = (F.col("_at") == 0) & (known >= 2)
+    headers = (split.where(is_header).groupBy("file_path")
+               .agg(F.first(F.transform("_v", lambda x: F.trim(x))).alias("_h")))
+    rows = split.where(~is_header).join(headers, "file_path", "left")
+    return rows.select("file_path", *[F.get("_v", (F.array_position("_h", n) - 1).cast("int")).alias(n) for n in names])
+
+
 def load_historical_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SRC-01 (+ VAL-14): all ``*.csv`` under ``path`` -> (energy_usage rows,
-    rejects).  A row missing a required value, or with an unparseable
-    timestamp / kWh, is rejected alone (the rest of its file is kept)."""
-    raw = (spark.read.schema(CSV_SCHEMA).option("header", True).option("recursiveFileLookup", True)
-                .option("pathGlobFilter", "*.csv").option("mode", "PERMISSIVE").csv(path))
+    rejects).  Columns are bound by header name and facility ids stay text.  A
+    row missing a required value, or with an unparseable timestamp / kWh, is
+    rejected alone (the rest of its file is kept)."""
+    raw = read_csv_by_header(spark, path, CSV_SCHEMA.names)
     return split_valid(_to_energy_usage(raw), required_present(["ts", "facility_id", "kwh"]))
 
 
 def load_historical_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SRC-02: JSON lines with the same fields -> same target as SRC-01."""
     raw = (spark.read.schema(CSV_SCHEMA).option("recursiveFileLookup", True)
-                .option("pathGlobFilter", "*.json").json(path))
+                .option("pathGlobFilter", "*.json").json(path).withColumn("file_path", F.col("_metadata.file_path")))
     return split_valid(_to_energy_usage(raw), required_present(["ts", "facility_id", "kwh"]))
 
 
@@ -82,11 +104,10 @@ def read_chunked(spark: SparkSession, path: str, start=None, end=None, ts: str =
         return df
     lo = F.lit(start).cast("timestamp_ntz") if start is not None else None
     hi = F.lit(end).cast("timestamp_ntz") if end is not None else None
+    df = prune_chunks(df, lo, hi, ts)
     if lo is not None:
-        df = prune_chunks(df, lo, hi).filter(F.col(ts) >= lo)
-    if hi is not None:
-        df = df.filter((F.col("chunk") <= F.to_date(hi)) & (F.col(ts) <= hi))
-    return df
+        df = df.filter(F.col(ts) >= lo)
+    return df.filter(F.col(ts) <= hi) if hi is not None else df
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -106,16 +127,12 @@ def long_to_wide(df: DataFrame, kinds: Sequence[str], keys: Sequence[str] = ("ti
 
 def ingest_report(spark: SparkSession, path: str) -> DataFrame:
     """SRC-03: one row per file under ``path``: extension, whether it is
-    loaded, and the rows it contributed (0 for skipped, unsupported files).
-    Row counts are partial aggregates over ``_metadata.file_path``."""
+    loaded, and the rows it contributed, rejects not counted (0 for skipped,
+    unsupported files).  Row counts are partial aggregates over the file path."""
     inv = file_inventory(spark, path)
-    csv_rows = (spark.read.schema(CSV_SCHEMA).option("header", True).option("recursiveFileLookup", True)
-                     .option("pathGlobFilter", "*.csv").csv(path)
-                     .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("_r")))
-    json_rows = (spark.read.schema(CSV_SCHEMA).option("recursiveFileLookup", True)
-                      .option("pathGlobFilter", "*.json").json(path)
-                      .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("_r")))
-    counts = csv_rows.unionByName(json_rows)
+    loaded = [load(spark, path)[0].groupBy("file_path").agg(F.count("*").alias("_r"))
+              for load in (load_historical_csv, load_historical_json)]
+    counts = loaded[0].unionByName(loaded[1]).withColumnRenamed("file_path", "path")
     return (inv.join(counts, "path", "left")
                .select("path", "extension", "supported",
                        F.when(F.col("supported"), F.coalesce("_r", F.lit(0))).otherwise(F.lit(0))

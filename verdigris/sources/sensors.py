@@ -65,23 +65,14 @@ def split_failed_readings(df: DataFrame, error: str = "error") -> tuple[DataFram
     return df.filter(F.col(error).isNull()), df.filter(F.col(error).isNotNull())
 
 
-def read_landed_json(spark, path: str, schema: T.StructType = READING_SCHEMA) -> DataFrame:
-    """SRC-08: landed reading files with the union schema (no inference)."""
-    return spark.read.schema(schema).json(path)
+def read_sensor_batches(spark, paths: Sequence[str], schema: T.StructType = READING_SCHEMA) -> DataFrame:
+    """SRC-07 / SRC-08: the landed reading files of all sensors, one
+    multi-path read with the union schema (no inference)."""
+    return spark.read.schema(schema).json(list(paths))
 
 
-def bulk_read(batches: Sequence[DataFrame], status: str = "status") -> tuple[DataFrame, DataFrame]:
-    """SRC-07: union of per-sensor batches; failed sensors are removed from
+def bulk_read(batch: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:
+    """SRC-07: one batch over all sensors; failed readings are removed from
     the result and returned separately."""
-    u = batches[0]
-    for b in batches[1:]:
-        u = u.unionByName(b, allowMissingColumns=True)
     ok = F.coalesce(F.col(status), F.lit("ok")) == "ok"
-    return u.filter(ok), u.filter(~ok)
-
-
-def long_to_wide(df: DataFrame, kinds: Sequence[str], ts: str = "timestamp", kind: str = "sensor_kind",
-                 value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
-    """SRC-09: long sensor batch -> one column per sensor kind.  The kinds
-    are given, so the pivot needs no extra distinct pass."""
-    return df.groupBy(*keys, ts).pivot(kind, list(kinds)).agg(F.first(value, ignorenulls=True))
+    return batch.filter(ok), batch.filter(~ok)
