@@ -276,3 +276,55 @@ def test_merge_into_chunks_rewrites_only_touched_chunks(spark):
     after = {r.record_id: r.co2_kg for r in spark.read.parquet(path).collect()}
     assert len(after) == 13 and after["r0"] == 100.0 and after["new"] == 7.0
     assert all(after[f"r{i}"] == float(i) for i in range(1, 12))
+
+
+def test_bucketed_windows_keep_rows_without_key_or_time(spark):
+    """NULL keys and NULL times take part as in plain windows."""
+    from pyspark.sql import Window
+    from verdigris.operators import series as SE
+    t = dt.datetime(2024, 1, 1)
+    rows = [(None if i % 4 == 0 else f"f{i % 3}", None if i % 7 == 3 else t + dt.timedelta(hours=5 * i), None if i % 5 == 0 else float(i), i)
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "facility_id string, ts timestamp_ntz, v double, n int")
+    order = [F.col("ts").asc_nulls_first(), F.col("n").asc()]
+    build = lambda w: [F.lag("v", 2).over(w).alias("lag2"), F.lead("n", 1).over(w).alias("next"),
+                       F.sum("v").over(w.rowsBetween(-3, 0)).alias("s")]
+    plain = df.select("*", *build(Window.partitionBy("facility_id").orderBy(*order)))
+    got = SE.apply_framed(df, "facility_id", order, build, back=3, ahead=1)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    run = SE.running_sum(df.fillna({"v": 0.0}), "facility_id", order, "v", "total")
+    w = Window.partitionBy("facility_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.fillna({"v": 0.0}).withColumn("total", F.sum("v").over(w))
+    assert sorted(map(repr, run.collect())) == sorted(map(repr, want.select(*run.columns).collect()))
+    assert SE.positions(df, "facility_id", order).count() == 60
+    assert SE.carry_known(df, "facility_id", order, "v", F.struct("n")).count() == 60
+
+
+def test_duplicate_updates_and_moved_rows(spark):
+    from verdigris.operators import tables as TB
+    t = dt.datetime(2024, 1, 1)
+    base = spark.createDataFrame([("a", t, 1.0, 1, 1, t), ("b", t, 2.0, 1, 1, t)],
+                                 "record_id string, ts timestamp_ntz, co2_kg double, version int, created_by int, updated_at timestamp_ntz")
+    updates = spark.createDataFrame([("a", 5.0, 1), ("a", 3.0, 2), ("a", None, 3)], "record_id string, co2_kg double, seq int")
+    out = {r.record_id: r for r in TB.apply_updates(base, updates, 1, True, "2024-02-01 00:00:00", cols=["co2_kg"], order="seq").collect()}
+    assert (out["a"].co2_kg, out["a"].version, out["b"].co2_kg, len(out)) == (3.0, 2, 2.0, 2)
+
+
+def test_wei_text_is_exact(spark):
+    from verdigris.functions.carbon import from_wei
+    rows = [("1", "0.000000000000000001"), ("1234567890123456789", "1.234567890123456789"), ("-5", "-0.000000000000000005"),
+            ("99999999999999999999999999999999999999", "99999999999999999999.999999999999999999"), ("0", "0.000000000000000000")]
+    got = spark.createDataFrame(rows, "w string, want string").select(from_wei(F.col("w").cast("decimal(38,0)")).cast("string").alias("g"), "want")
+    assert all(r.g.replace("0E-18", "0.000000000000000000").replace("1E-18", "0.000000000000000001").replace("-5E-18", "-0.000000000000000005")
+               == r.want for r in got.collect())
+
+
+def test_csv_headers_decide_the_columns(spark, tmp_path):
+    from verdigris.sources import files as SF
+    (tmp_path / "a.csv").write_text("Source,Timestamp,FacilityID,Energy_kWh\ngrid,2024-01-01 00:00:00,b7c1f0aa-plant-1,5.5\n")
+    (tmp_path / "b.csv").write_text('FacilityID,Energy_kWh,Note,Timestamp,Source\n7,1.25,"x, y",2024-01-02 00:00:00,solar\n8,n/a,,2024-01-02 00:00:00,solar\n')
+    ok, bad = SF.load_historical_csv(spark, str(tmp_path))
+    assert sorted((r.facility_id, r.kwh, r.source) for r in ok.collect()) == [("7", 1.25, "solar"), ("b7c1f0aa-plant-1", 5.5, "grid")]
+    assert [r.facility_id for r in bad.collect()] == ["8"]
+    rep = {r.path.rsplit("/", 1)[1]: r.rows_loaded for r in SF.ingest_report(spark, str(tmp_path)).collect()}
+    assert rep == {"a.csv": 1, "b.csv": 1}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators.tables import scratch_path
 from verdigris.plans import logical as L
+from verdigris.plans.cat_timeseries import STATS_SQL
 from verdigris.plans.catalog import register
 from verdigris.plans.rounding import r, sql_r
 from verdigris.streaming import ingest as S
@@ -23,6 +24,20 @@ def _events_stream(spark, d):
     return S.read_stream(spark, d, schema, "parquet", pathGlobFilter="events.parquet")
 
 
+def _events_in_parts(spark, d, late: bool = False):
+    """The events as a stream of four micro-batches: files by time, read one at
+    a time; with ``late`` a fifth brings rows of the first day again."""
+    e, path = L.table(spark, d, "events"), scratch_path(spark, "event-files")
+    low, high = (x.timestamp() for x in e.agg(F.min("ts"), F.max("ts")).first())
+    part = F.greatest(F.lit(0), F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - low) * 4 / (high - low + 1)))
+    for n in range(4):
+        e.filter(part == n).coalesce(1).write.mode("append").parquet(path)
+    if late:
+        first = e.filter(F.to_date("ts") == e.select(F.to_date(F.min("ts"))).scalar())
+        first.coalesce(1).write.mode("append").parquet(path)
+    return S.read_stream(spark, path, e.schema, "parquet", max_files_per_trigger=1)
+
+
 def _run_batches(spark, df: DataFrame, mode: str, name: str) -> DataFrame:
     out = scratch_path(spark, f"stream-{name}")
     S.run_available_now(df, scratch_path(spark, f"ckpt-{name}"), mode=mode,
@@ -65,12 +80,24 @@ def str03(spark, d):
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, facility_id, {sql_r('sum(co2_kg)')} AS total, count(*) AS n
 FROM em GROUP BY 1, 2""", em=L.EMISSION_METRICS_SQL))
 def str04(spark, d):
-    s = _events_stream(spark, d).select("ts", F.col("user_id").alias("facility_id"), F.col("value").alias("co2_kg"))
+    s = _events_in_parts(spark, d).select("ts", F.col("user_id").alias("facility_id"), F.col("value").alias("co2_kg"))
     agg = S.tumbling_totals(s, "co2_kg", "1 day", "1 hour")
     got = _latest_per_key(_run_batches(spark, agg, "update", "tumbling"), ["bucket", "facility_id"])
     return got.select("bucket", "facility_id", r("total").alias("total"), "n")
 
 
+@register("str04_closed_buckets_late_rows", "STR-04", L.with_ctes(f"""
+SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS bucket, facility_id, {sql_r('sum(co2_kg)')} AS total, count(*) AS n
+FROM em GROUP BY 1, 2 HAVING CAST(date_trunc('week', ts) AS TIMESTAMP) + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM em)""",
+    em=L.EMISSION_METRICS_SQL))
+def str04_closed(spark, d):
+    """Append mode: a bucket comes out once, when the watermark has passed its
+    end; the rows that a fifth file brings too late change nothing."""
+    s = _events_in_parts(spark, d, late=True).select("ts", F.col("user_id").alias("facility_id"), F.col("value").alias("co2_kg"))
+    got = _run_batches(spark, S.tumbling_totals(s, "co2_kg", "1 week", "1 hour"), "append", "closed")
+    return got.select("bucket", "facility_id", r("total").alias("total"), "n")
+
+
 @register("str05_dedupe_sensor_minute", "STR-05", L.with_ctes("""
 SELECT DISTINCT sensor_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS slot FROM sf""", sf=L.SENSOR_FEED_SQL))
 def str05(spark, d):
@@ -83,18 +110,14 @@ def str05(spark, d):
 SELECT sensor_id, count(*) AS pulses, {sql_r('count(*) * 0.00225')} AS total_litres, max(ts) AS last_ts
 FROM sf WHERE kind = 'click' GROUP BY sensor_id""", sf=L.SENSOR_FEED_SQL))
 def str06(spark, d):
-    s = _feed(_events_stream(spark, d)).filter(F.col("kind") == "click")
-    got = _latest_per_key(_run_batches(spark, S.pulse_state(s), "update", "pulses"), ["sensor_id"])
-    return got.select("sensor_id", "pulses", r("total_litres").alias("total_litres"),
-                      F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+    s = _feed(_events_in_parts(spark, d)).filter(F.col("kind") == "click")
+    return _pulses(spark, s)
 
 
 @register("str07_stream_static_flags", "STR-07", L.with_ctes(f"""
 SELECT e.ts, e.facility_id, {sql_r('abs(e.co2_kg - s.median_co2) / nullif(s.mad_co2, 0)')} AS z_score
 FROM em e JOIN stats s USING (facility_id)
-WHERE abs(e.co2_kg - s.median_co2) / nullif(s.mad_co2, 0) > 3""", em=L.EMISSION_METRICS_SQL, stats="""
-SELECT facility_id, median(co2_kg) AS median_co2, mad(co2_kg) AS mad_co2
-FROM em WHERE ts > (SELECT max(ts) FROM em) - INTERVAL 7 DAY GROUP BY facility_id"""))
+WHERE abs(e.co2_kg - s.median_co2) / nullif(s.mad_co2, 0) > 3""", em=L.EMISSION_METRICS_SQL, stats=STATS_SQL))
 def str07(spark, d):
     from verdigris.operators.anomaly import facility_stats
     stats = facility_stats(L.emission_metrics(spark, d), days=7)
@@ -140,8 +163,23 @@ SELECT sensor_id, count(*) AS pulses, {sql_r('count(*) * 0.00225')} AS total_lit
 FROM sf WHERE kind = 'click' GROUP BY sensor_id""", sf=L.SENSOR_FEED_SQL))
 def str06c(spark, d):
     s = _feed(_events_stream(spark, d)).filter(F.col("kind") == "click")
+    return _pulses(spark, s)
+
+
+def _pulses(spark, s):
     state, out = scratch_path(spark, "pulse-state"), scratch_path(spark, "pulse-out")
     S.run_available_now(s, scratch_path(spark, "ckpt-pulse-batched"), mode="append",
                         foreach_batch=S.pulse_state_batched(state, out))
     got = _latest_per_key(spark.read.parquet(out), ["sensor_id"])
     return got.select("sensor_id", "pulses", r("total_litres").alias("total_litres"), "last_ts")
+
+
+@register("src06_json_sensor_messages", "SRC-06", L.with_ctes("""
+SELECT ts, value, unit, 'ok' AS status FROM (SELECT ts, value, event_type AS unit FROM events)"""))
+def src06_json(spark, d):
+    """JSON sensor messages, one object a line, over several files."""
+    e, path = L.table(spark, d, "events"), scratch_path(spark, "messages")
+    (e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.col("value").cast("string").alias("value"),
+              F.col("event_type").alias("unit")).repartition(3).write.json(path))
+    got = _run_batches(spark, S.read_sensor_messages(spark, path, max_files_per_trigger=1), "append", "messages")
+    return got.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "unit", "status")

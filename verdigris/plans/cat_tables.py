@@ -160,6 +160,60 @@ def snk08(spark, d):
     return spark.read.parquet(path).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
+NOON = "2024-01-30 12:00:00"
+
+
+@register("snk08_compact_noon_cutoff", "SNK-08", L.with_ctes("""
+SELECT width, ts, facility_id, co2_kg FROM em, (VALUES ('1 day'), ('1 week')) w(width)""", em=L.EMISSION_METRICS_SQL))
+def snk08_noon(spark, d):
+    """A cut-off within a chunk: every row of the table is still there."""
+    out = None
+    for width in ("1 day", "1 week"):
+        path = TB.scratch_path(spark, "noon")
+        TB.write_chunked(L.emission_metrics(spark, d), path, width)
+        TB.compact_cold(spark.read.parquet(path), path, as_of=NOON, older_than_days=14)
+        rows = spark.read.parquet(path).select(F.lit(width).alias("width"), "ts", "facility_id", "co2_kg")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("snk09_expired_chunks", "SNK-09", L.with_ctes("""
+SELECT ts, facility_id, kwh FROM eu WHERE ts >= date_trunc('day', TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 DAY)""",
+    eu=L.ENERGY_USAGE_SQL))
+def snk09_chunks(spark, d):
+    path = TB.scratch_path(spark, "expires")
+    TB.write_chunked(L.energy_usage(spark, d), path, "1 day")
+    TB.expire_chunks(spark, path, NOON, 10)
+    return spark.read.parquet(path).select("ts", "facility_id", "kwh")
+
+
+@register("snk04_merge_moved_rows", "SNK-04", L.with_ctes("""
+SELECT ts + CASE WHEN facility_id % 3 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END AS ts, reading_id, value
+FROM (SELECT ts, user_id AS facility_id, event_id AS reading_id, value FROM events)"""))
+def snk04_moved(spark, d):
+    """Rows whose time moves to another chunk leave their old one; run twice."""
+    e = L.table(spark, d, "events").select("ts", F.col("event_id").alias("reading_id"), "value",
+                                           (F.col("user_id") % 3 == 0).alias("_moves"))
+    path = TB.scratch_path(spark, "moves")
+    TB.write_chunked(e.drop("_moves"), path, "1 day")
+    moved = e.filter("_moves").drop("_moves").withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 DAYS"))
+    for _ in range(2):
+        TB.merge_into_chunks(path, moved, "reading_id")
+    return spark.read.parquet(path).select("ts", "reading_id", "value")
+
+
+@register("snk02_append_runs", "SNK-02", L.with_ctes("""
+SELECT record_id, 1 AS version, CASE WHEN ts < TIMESTAMP '1995-01-01' THEN 'a' ELSE 'b' END AS run_id FROM rc""",
+    rc=L.EMISSION_RECORDS_SQL))
+def snk02_runs(spark, d):
+    """Two runs appended, the first retried: each run's rows are there once."""
+    rc, path = L.emission_records(spark, d), TB.scratch_path(spark, "runs")
+    cut = F.lit("1995-01-01").cast("timestamp_ntz")
+    for run, rows in (("a", rc.filter(F.col("ts") < cut)), ("b", rc.filter(F.col("ts") >= cut)), ("a", rc.filter(F.col("ts") < cut))):
+        TB.append_run(TB.stamp_new_records(rows, 1, "2024-07-01 00:00:00"), path, run)
+    return spark.read.parquet(path).select("record_id", "version", "run_id")
+
+
 @register("snk09_retention", "SNK-09", L.with_ctes("""
 SELECT record_id, ts FROM rc WHERE ts >= (SELECT max(ts) FROM rc) - INTERVAL 365 DAY""", rc=L.EMISSION_RECORDS_SQL))
 def snk09(spark, d):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from verdigris.functions.time import time_bucket
+from verdigris.functions.time import bucket_step
 from verdigris.operators.validate import Rule, tag_failures
 from verdigris.sources.sensors import normalise_messages
 
@@ -36,12 +36,13 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return df.withColumn(ts, F.col(ts).cast("timestamp")) if ts in df.columns else df
 
 
-def read_sensor_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """SRC-06 for JSON sensor messages: landed payloads normalised (PRJ-04)."""
-    raw = spark.readStream.format("text").load(path) if fmt == "text" else \
-        spark.readStream.schema(T.StructType([T.StructField("payload", T.StringType())])).json(path)
-    src = raw.withColumnRenamed("value", "payload") if "value" in raw.columns else raw
-    out = normalise_messages(src, "payload")
+def read_sensor_messages(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """SRC-06 for JSON sensor messages, one object a line: landed lines
+    normalised (PRJ-04); a line that isn't such an object gives NULLs."""
+    r = spark.readStream.format("text")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    out = normalise_messages(r.load(path).withColumnRenamed("value", "payload"), "payload")
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -77,12 +78,18 @@ def score_stream(stream: DataFrame, model, feature_cols: Sequence[str]) -> DataF
 
 def tumbling_totals(stream: DataFrame, value: str, width: str = "1 day", delay: str = "1 hour",
                     keys: Sequence[str] = ("facility_id",), ts: str = "ts") -> DataFrame:
-    """STR-04: watermarked tumbling buckets.  Buckets use the same
-    Monday-aligned ``time_bucket`` as batch roll-ups (Spark's ``window`` on
-    7 days would start on Thursdays)."""
-    return (stream.withWatermark(ts, delay)
-                  .groupBy(time_bucket(width, F.col(ts)).alias("bucket"), *keys)
-                  .agg(F.sum(value).alias("total"), F.count("*").alias("n")))
+    """STR-04: watermarked tumbling buckets, aligned as the batch roll-ups'
+    (weeks start on Mondays).  They group by Spark's own window over the
+    event time, so late rows are dropped, append mode emits a bucket once the
+    watermark has passed its end, and its state is freed then."""
+    step = bucket_step(width)
+    # windows count from 1970-01-01, a Thursday; multiples of days from 2000-01-03, a Monday
+    days = int(step.split()[0]) if "day" in step else 0
+    start = f"{(10959 % days)} days" if days > 1 else None
+    window = F.window(ts, step, step, start) if start else F.window(ts, step)
+    return (stream.withWatermark(ts, delay).groupBy(window.alias("_w"), *keys)
+                  .agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+                  .select(F.col("_w.start").cast("timestamp_ntz").alias("bucket"), *keys, "total", "n"))
 
 
 def deduplicate(stream: DataFrame, key: str = "sensor_id", unit: str = "minute", delay: str = "10 minutes",
@@ -92,30 +99,6 @@ def deduplicate(stream: DataFrame, key: str = "sensor_id", unit: str = "minute",
                   .dropDuplicatesWithinWatermark([key, "_slot"]))
 
 
-PULSE_STATE = "last_ts timestamp, pulses long"
-PULSE_OUT = "sensor_id long, pulses long, total_litres double, last_ts timestamp, last_flow_lpm double"
-
-
-def pulse_state(stream: DataFrame, key: str = "sensor_id", ts: str = "ts", litres_per_pulse: float = 0.00225,
-                timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    """STR-06: keyed state per sensor -- last pulse time and running pulse
-    count -> running volume and the current flow rate (WIN-04/05 on a
-    stream).  State is one small row per sensor."""
-    def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_ts, pulses = (state.get if state.exists else (None, 0))
-        flow = None
-        for pdf in pdfs:
-            for t in sorted(pdf[ts].tolist()):
-                if last_ts is not None:
-                    gap = (pd.Timestamp(t) - pd.Timestamp(last_ts)).total_seconds()
-                    flow = litres_per_pulse / gap * 60 if gap > 0 else None
-                last_ts, pulses = t, pulses + 1
-        state.update((last_ts, pulses))
-        yield pd.DataFrame([{key: k[0], "pulses": pulses, "total_litres": pulses * litres_per_pulse,
-                             "last_ts": last_ts, "last_flow_lpm": flow}])
-    return stream.groupBy(key).applyInPandasWithState(step, PULSE_OUT, PULSE_STATE, "update", timeout)
-
-
 def flag_against_stats(stream: DataFrame, stats: DataFrame, threshold: float = 3.0, value: str = "co2_kg",
                        key: str = "facility_id") -> DataFrame:
     """STR-07: stream-static join with a stored per-facility median/MAD table
@@ -191,14 +174,9 @@ def pulse_state_batched(state_root: str, out_root: str, key: str = "sensor_id",
                  .agg(F.max(F.when(F.col("_t") < F.col("_t1"), F.col("_t"))).alias("_lt"),
                       F.count_if(F.col("_t") == F.col("_t1")).alias("_c1"))
                  .select(key, "_n", "_t1", F.when(F.col("_c1") >= 2, F.col("_t1")).otherwise(F.col("_lt")).alias("_t2")))
-        prev = None
-        try:
-            versions = [r[0] for r in spark.read.parquet(state_root).select("batch_id").distinct().collect()]
-            older = [v for v in versions if v < batch_id]
-            if older:
-                prev = spark.read.parquet(f"{state_root}/batch_id={max(older)}")
-        except Exception:            # no state written yet
-            prev = None
+        versions = state_versions(spark, state_root)
+        older = [v for v in versions if v < batch_id]
+        prev = spark.read.parquet(f"{state_root}/batch_id={max(older)}") if older else None
         if prev is None:
             prev = spark.createDataFrame([], f"{key} long, pulses long, last_ts timestamp_ntz, second_ts timestamp_ntz")
         m = summ.join(prev, key, "full")
@@ -213,4 +191,28 @@ def pulse_state_batched(state_root: str, out_root: str, key: str = "sensor_id",
             F.try_divide(F.lit(litres_per_pulse), gap).alias("_f"))
         out = out.withColumn("last_flow_lpm", F.col("_f") * 60).drop("_f")
         out.write.mode("overwrite").parquet(f"{out_root}/batch_id={batch_id}")
+        for v in older:  # a replay needs the version before this one, none earlier
+            if v < max(older):
+                _remove(spark, f"{state_root}/batch_id={v}")
     return run
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def state_versions(spark: SparkSession, root: str) -> list[int]:
+    """Batch ids of the state versions below ``root`` (two at most are kept),
+    from the folder's listing; none before the first batch.  Errors fail the
+    batch instead of starting anew."""
+    p, fs = _path(spark, root)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch_id="))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
