@@ -34,8 +34,8 @@ def latest_energy_water(energy: DataFrame, water: DataFrame, per_facility: bool
     """JOIN-02.  ``per_facility=False`` is the literal reading: one newest
     row per table, joined on facility (empty unless they share it)."""
     if per_facility:
-        e = energy.groupBy("facility_id").agg(F.max_by("kwh", "ts").alias("kwh"), F.max("ts").alias("ts"))
-        w = water.groupBy("facility_id").agg(F.max_by("cubic_meters", "ts").alias("cubic_meters"),
+        e = energy.groupBy("facility_id").agg(F.max_by("kwh", F.struct("ts", "kwh")).alias("kwh"), F.max("ts").alias("ts"))
+        w = water.groupBy("facility_id").agg(F.max_by("cubic_meters", F.struct("ts", "cubic_meters")).alias("cubic_meters"),
                                              F.max("ts").alias("ts"))
     else:
         e = newest(energy.select("facility_id", "kwh", "ts"))
@@ -50,10 +50,10 @@ def current_readings(energy: DataFrame, water: DataFrame, metrics: DataFrame) ->
     """WIN-07: current time, energy, water and CO2 per facility.  Each input
     is reduced to one row per facility by a partial aggregate before the
     (full outer) joins, so the joins see one row per key."""
-    e = energy.groupBy("facility_id").agg(F.max_by("kwh", "ts").alias("last_energy"), F.max("ts").alias("e_ts"))
-    w = water.groupBy("facility_id").agg(F.max_by("cubic_meters", "ts").alias("last_water"),
+    e = energy.groupBy("facility_id").agg(F.max_by("kwh", F.struct("ts", "kwh")).alias("last_energy"), F.max("ts").alias("e_ts"))
+    w = water.groupBy("facility_id").agg(F.max_by("cubic_meters", F.struct("ts", "cubic_meters")).alias("last_water"),
                                          F.max("ts").alias("w_ts"))
-    m = metrics.groupBy("facility_id").agg(F.max_by("co2_kg", "ts").alias("last_co2"), F.max("ts").alias("m_ts"))
+    m = metrics.groupBy("facility_id").agg(F.max_by("co2_kg", F.struct("ts", "co2_kg")).alias("last_co2"), F.max("ts").alias("m_ts"))
     j = e.join(w, "facility_id", "full").join(m, "facility_id", "full")
     return j.select("facility_id", "last_energy", "last_water", "last_co2",
                     F.greatest("e_ts", "w_ts", "m_ts").alias("last_reading"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,14 +35,14 @@ def forecast_accuracy(df: DataFrame, actual: str = "actual", predicted: str = "p
 
 
 def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
-                       keys: Sequence[str] = ()) -> DataFrame:
+                       keys: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
     """AGG-14 (AGG-15 with ``keys``): MAE, MSE, RMSE and R^2 = 1 - SSres/SStot
     with SStot = n var_pop(actual); R^2 is NULL when SStot = 0."""
     e = F.col(actual) - F.col(predicted)
     ss_tot = F.var_pop(actual) * F.count(actual)
     aggs = [F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"),
             (F.lit(1.0) - F.try_divide(F.sum(e * e), F.when(ss_tot != 0, ss_tot))).alias("r2"),
-            F.count("*").alias("n")]
+            F.count("*").alias("n"), *more]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
@@ -52,9 +52,7 @@ def metrics_by_version(preds: DataFrame, as_of=None, days: int = 30, ts: str = "
     the latest prediction."""
     from verdigris.operators.timeseries import trailing
     recent = trailing(preds, days, as_of, ts)
-    m = regression_metrics(recent, actual, predicted, ["model_version"])
-    last = recent.groupBy("model_version").agg(F.max(ts).alias("last_prediction"))
-    return m.join(last, "model_version")
+    return regression_metrics(recent, actual, predicted, ["model_version"], [F.max(ts).alias("last_prediction")])
 
 
 def _binned(df: DataFrame, value: str, lo, hi, bins: int) -> DataFrame:

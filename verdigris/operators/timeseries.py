@@ -10,6 +10,8 @@ subquery would do neither.  Streaming inputs keep the in-plan form.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,9 +175,11 @@ def page_summary(page_df: DataFrame) -> DataFrame:
                        F.round(F.coalesce(F.sum("co2e_kg"), F.lit(0.0)), 2).alias("total_co2e"))
 
 
-def newest(df: DataFrame, ts: str = "ts", n: int = 1) -> DataFrame:
-    """SRT-02: the newest row(s) (top-k, not a global sort)."""
-    return df.orderBy(F.desc(ts)).limit(n)
+def newest(df: DataFrame, ts: str = "ts", n: int = 1, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """SRT-02: the newest row(s) (top-k, not a global sort); of rows with one
+    time the first by ``tiebreak``, or by all other columns."""
+    rest = list(tiebreak) or [c for c in df.columns if c != ts]
+    return df.orderBy(F.desc(ts), *[F.asc(c) for c in rest]).limit(n)
 
 
 def latest_per_key(df: DataFrame, key: str, ts: str = "ts") -> DataFrame:

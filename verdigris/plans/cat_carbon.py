@@ -291,10 +291,12 @@ def prj19(spark, d):
     return out.select("ts", "facility_id", r("abs_error").alias("abs_error"))
 
 
-@register("prj20_prediction_ids", "PRJ-20")
+@register("prj20_prediction_ids", "PRJ-20", L.with_ctes("""
+SELECT ts, facility_id, day, 'pred_' || substr(sha256(CAST(facility_id AS VARCHAR) || '|' || CAST(day AS VARCHAR)), 1, 16) AS prediction_id
+FROM (SELECT ts, facility_id, CAST(ts AS DATE) AS day FROM em)""", em=L.EMISSION_METRICS_SQL))
 def prj20(spark, d):
-    em = L.emission_metrics(spark, d).select("ts", "facility_id")
-    return CO.prediction_ids(em, ["facility_id", "ts"])
+    em = L.emission_metrics(spark, d).select("ts", "facility_id", F.to_date("ts").alias("day"))
+    return CO.prediction_ids(em, ["facility_id", "day"])
 
 
 # Validity-dated CO2e factors per source type (code, factor, from, to).

@@ -3,11 +3,11 @@ AGG-13..16, AGG-19, JOIN-03, JOIN-04)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdigris.operators import monitor as MO
 from verdigris.operators import reports as RP
+from verdigris.operators.series import apply_framed
 from verdigris.operators.joins import combined_metrics, with_facility, with_owner
 from verdigris.plans import logical as L
 from verdigris.plans.catalog import register
@@ -21,9 +21,9 @@ def predictions(spark, d):
     em = L.emission_metrics(spark, d)
     v1 = em.join(em.groupBy("facility_id").agg(F.avg("co2_kg").alias("predicted")), "facility_id").select(
         "ts", "facility_id", F.lit("v1").alias("model_version"), F.col("co2_kg").alias("actual"), "predicted")
-    w = Window.partitionBy("facility_id").orderBy("ts")
-    v2 = em.select("ts", "facility_id", F.lit("v2").alias("model_version"), F.col("co2_kg").alias("actual"),
-                   F.lag("co2_kg").over(w).alias("predicted"))
+    lagged = apply_framed(em.select("ts", "facility_id", F.col("co2_kg").alias("actual")), "facility_id", [F.col("ts").asc()],
+                          lambda w: [F.lag("actual").over(w).alias("predicted")], back=1)
+    v2 = lagged.select("ts", "facility_id", F.lit("v2").alias("model_version"), "actual", "predicted")
     return v1.unionByName(v2)
 
 
@@ -38,17 +38,16 @@ FROM ({L.EMISSION_METRICS_SQL})"""
 @register("agg09_batch_summary", "AGG-09", L.with_ctes("""
 SELECT round(avg(v), 2) AS mean, round(stddev_pop(v), 2) AS std_dev, round(sum(v), 2) AS total,
        round(min(v), 2) AS min, round(max(v), 2) AS max
-FROM (SELECT round(predicted, 2) AS v FROM pr WHERE model_version = 'v1')""", pr=PREDICTIONS_SQL))
+FROM (SELECT round(predicted, 2) AS v FROM pr)""", pr=PREDICTIONS_SQL))
 def agg09(spark, d):
-    p = predictions(spark, d).filter(F.col("model_version") == "v1")
-    return MO.batch_summary(p, "predicted")
+    return MO.batch_summary(predictions(spark, d), "predicted")
 
 
 @register("agg10_processed_failed", "AGG-10", L.with_ctes("""
 SELECT count_if(predicted IS NOT NULL) AS processed, count_if(predicted IS NULL) AS failed
-FROM pr WHERE model_version = 'v2'""", pr=PREDICTIONS_SQL))
+FROM pr""", pr=PREDICTIONS_SQL))
 def agg10(spark, d):
-    return MO.processed_failed(predictions(spark, d).filter(F.col("model_version") == "v2"), "predicted")
+    return MO.processed_failed(predictions(spark, d), "predicted")
 
 
 @register("agg13_forecast_accuracy", "AGG-13", L.with_ctes("""
@@ -71,10 +70,10 @@ SELECT {key}{sql_r('avg(abs(actual - predicted))')} AS mae, {sql_r('avg((actual
 FROM pr WHERE {where}{' GROUP BY model_version' if group else ''}"""
 
 
-@register("agg14_regression_metrics", "AGG-14", L.with_ctes(_metrics_sql("model_version = 'v1'", False),
+@register("agg14_regression_metrics", "AGG-14", L.with_ctes(_metrics_sql("predicted IS NOT NULL", False),
                                                               pr=PREDICTIONS_SQL))
 def agg14(spark, d):
-    m = MO.regression_metrics(predictions(spark, d).filter(F.col("model_version") == "v1"))
+    m = MO.regression_metrics(predictions(spark, d).filter(F.col("predicted").isNotNull()))
     return m.select(*[r(c).alias(c) for c in ("mae", "mse", "rmse", "r2")], "n")
 
 

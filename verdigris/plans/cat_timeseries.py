@@ -90,10 +90,15 @@ def flt04(spark, d):
 
 
 @register("flt05_chart_24h", "FLT-05", L.with_ctes("""
-SELECT ts, facility_id, kwh FROM eu WHERE ts > (SELECT max(ts) FROM eu) - INTERVAL 1 DAY""",
+SELECT p AS preset, ts, facility_id, kwh FROM eu, (VALUES ('24h', 1), ('7d', 7), ('30d', 30)) v(p, days)
+WHERE ts > (SELECT max(ts) FROM eu) - days * INTERVAL 1 DAY""",
     eu=L.ENERGY_USAGE_SQL))
 def flt05(spark, d):
-    return T.chart_range(L.energy_usage(spark, d), "24h").select("ts", "facility_id", "kwh")
+    out = None
+    for preset in T.CHART_RANGES:
+        rows = T.chart_range(L.energy_usage(spark, d), preset).select(F.lit(preset).alias("preset"), "ts", "facility_id", "kwh")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # ---------------------------------------------------------------- AGG-02/03/04/11
@@ -153,17 +158,16 @@ def srt01(spark, d):
 
 @register("agg12_page_summary", "AGG-12", L.with_ctes("""
 SELECT count(*) AS count, round(coalesce(sum(co2e_kg), 0), 2) AS total_co2e FROM (
-  SELECT * FROM rc WHERE source_type = 'RF' ORDER BY ts DESC, record_id ASC LIMIT 50 OFFSET 100)""",
+  SELECT * FROM rc ORDER BY ts DESC, record_id ASC LIMIT 50 OFFSET 100)""",
     rc=RECORDS_CO2E_SQL))
 def agg12(spark, d):
-    rc = T.filter_emissions(records_co2e(spark, d), source_type="RF")
-    return T.page_summary(T.page(rc, 3, 50))
+    return T.page_summary(T.page(records_co2e(spark, d), 3, 50))
 
 
 @register("srt02_newest_energy", "SRT-02", L.with_ctes("""
-SELECT ts, facility_id, kwh FROM eu ORDER BY ts DESC LIMIT 1""", eu=L.ENERGY_USAGE_SQL))
+SELECT ts, facility_id, kwh FROM eu ORDER BY ts DESC, facility_id, kwh LIMIT 1""", eu=L.ENERGY_USAGE_SQL))
 def srt02(spark, d):
-    return T.newest(L.energy_usage(spark, d)).select("ts", "facility_id", "kwh")
+    return T.newest(L.energy_usage(spark, d), tiebreak=("facility_id", "kwh")).select("ts", "facility_id", "kwh")
 
 
 @register("srt03_daily_ordered_desc", "SRT-03", L.with_ctes("""
@@ -177,10 +181,10 @@ def srt03(spark, d):
 # ---------------------------------------------------------------- WIN-06/07, AGG-20, JOIN-02
 @register("win06_last30_per_facility", "WIN-06", L.with_ctes("""
 SELECT ts, facility_id, kwh FROM (
-  SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY ts DESC) AS rn FROM eu) WHERE rn <= 30""",
+  SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY ts DESC, kwh) AS rn FROM eu) WHERE rn <= 30""",
     eu=L.ENERGY_USAGE_SQL))
 def win06(spark, d):
-    return T.last_n_per_key(L.energy_usage(spark, d), "facility_id", 30).select("ts", "facility_id", "kwh")
+    return T.last_n_per_key(L.energy_usage(spark, d), "facility_id", 30, tiebreak="kwh").select("ts", "facility_id", "kwh")
 
 
 @register("win07_current_per_facility", "WIN-07", L.with_ctes("""
