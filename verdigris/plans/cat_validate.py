@@ -161,7 +161,16 @@ def val07(spark, d):
     return V.range_check(L.emission_metrics(spark, d), {"co2_kg": (0, 400), "anomaly_score": (0, 1)})
 
 
-@register("val08_dtype_check", "VAL-08")
+_SPARK_TYPES = "CASE WHEN t LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE lower(t) END"
+
+
+@register("val08_dtype_check", "VAL-08", L.with_ctes(f"""
+SELECT c AS "column", e AS expected, {_SPARK_TYPES} AS actual, {_SPARK_TYPES} = e AS passed, n AS n_values FROM (
+  SELECT 'ts' AS c, 'timestamp_ntz' AS e, typeof(any_value(ts)) AS t, count(ts) AS n FROM em
+  UNION ALL SELECT 'facility_id', 'bigint', typeof(any_value(facility_id)), count(facility_id) FROM em
+  UNION ALL SELECT 'co2_kg', 'double', typeof(any_value(co2_kg)), count(co2_kg) FROM em
+  UNION ALL SELECT 'anomaly_score', 'float', typeof(any_value(anomaly_score)), count(anomaly_score) FROM em)""",
+    em=L.EMISSION_METRICS_SQL))
 def val08(spark, d):
     return V.dtype_check(L.emission_metrics(spark, d),
                          {"ts": "timestamp_ntz", "facility_id": "bigint", "co2_kg": "double",
