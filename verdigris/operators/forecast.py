@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -226,34 +225,31 @@ def recursive_forecast(history: DataFrame, value: str, intercept: float, coefs:
     """ML-12: autoregressive multi-step forecast; each prediction becomes the
     newest lag for the next step.  ``coefs[i]`` multiplies lag ``i+1``.
 
-    Only the last ``len(coefs)`` rows of each series are shipped to the
-    per-series Python step (a row_number <= k filter, planned as a group
-    limit), so a long or hot series never lands whole in one task."""
+    Only the last ``len(coefs)`` rows of each series are kept (a row_number <=
+    k filter, planned as a group limit), so a long or hot series never lands
+    whole in one task; the recursion is a fold over the steps within the row.
+    A series shorter than that has its oldest value for the lags before it."""
     k = len(coefs)
     order = [F.desc(ts)] + ([F.desc(tiebreak)] if tiebreak else [])
     w = Window.partitionBy(key).orderBy(*order)
-    tail = (history.select(key, ts, *([tiebreak] if tiebreak else []), value)
-                   .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-                   .select(key, ts, F.col(value).cast("double").alias("_v"), "_rn"))
-    step = pd.Timedelta(step_interval)
-    c = list(coefs)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")                       # newest first
-        lags = pdf["_v"].tolist()
-        last = pdf[ts].iloc[0]
-        rows = []
-        for s in range(1, steps + 1):
-            if len(lags) < k:
-                break
-            pred = intercept + sum(ci * li for ci, li in zip(c, lags))
-            rows.append((pdf[key].iloc[0], s, last + step * s, pred))
-            lags = [pred] + lags[:-1]
-        return pd.DataFrame(rows, columns=[key, "step", "forecast_ts", "forecast"])
-
-    key_type = history.schema[key].dataType.simpleString()
-    return tail.groupBy(key).applyInPandas(
-        run, f"{key} {key_type}, step int, forecast_ts timestamp_ntz, forecast double")
+    tail = (history.select(key, ts, *([tiebreak] if tiebreak else []), F.col(value).cast("double").alias("_v"))
+                   .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k))
+    known = F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_v"))), lambda x: x["_v"])
+    series = tail.groupBy(key).agg(F.max(ts).alias("_last"), known.alias("_k"))
+    lags = F.concat("_k", F.array_repeat(F.element_at("_k", -1), F.lit(k) - F.size("_k")))
+    start = F.struct(lags.alias("lags"), F.array().cast("array<double>").alias("out"))
+
+    def one(acc, _):
+        terms = [F.lit(float(c)) * acc["lags"][i] for i, c in enumerate(coefs)]
+        pred = sum(terms[1:], terms[0]) + F.lit(float(intercept)) if terms else F.lit(float(intercept))
+        newer = F.slice(F.concat(F.array(pred), acc["lags"]), 1, max(k, 1))
+        return F.struct(newer.alias("lags"), F.array_append(acc["out"], pred).alias("out"))
+
+    out = series.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, one, lambda acc: acc["out"]))
+    return (out.select(key, "_last", F.posexplode("_f").alias("_p", "forecast"))
+               .select(key, (F.col("_p") + 1).alias("step"),
+                       (F.col("_last") + F.expr(f"INTERVAL {step_interval}") * (F.col("_p") + 1)).cast("timestamp_ntz").alias("forecast_ts"),
+                       "forecast"))
 
 
 # ---------------------------------------------------------------- ML-13/16, AGG-17

@@ -154,10 +154,11 @@ def batch_cap(df: DataFrame, batch: str, cap: int = 1000) -> tuple[DataFrame, Da
     Batch sizes come from a partial aggregate joined back by key, not from a
     window, so one huge batch does not land in a single task; the size table
     is broadcast when its row count is proven small (few batches would
-    otherwise mean a shuffle into few tasks)."""
+    otherwise mean a shuffle into few tasks).  Rows without a batch id are one
+    batch."""
     from verdigris.operators.joins import broadcast_if_small
-    sizes, _ = broadcast_if_small(df.groupBy(batch).agg(F.count("*").alias("_batch_rows")))
-    j = df.join(sizes, batch)
+    sizes, _ = broadcast_if_small(df.groupBy(F.col(batch).alias("_batch")).agg(F.count("*").alias("_batch_rows")))
+    j = df.join(sizes, F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
     ok = j.filter(F.col("_batch_rows") <= cap).drop("_batch_rows")
     bad = j.filter(F.col("_batch_rows") > cap)
     return ok, bad

@@ -1,5 +1,5 @@
 """Registered checks: forecasting (ML-05, ML-07..16, WIN-13, AGG-17).
-Model outputs have no SQL twin; these are rows-only checks, with
+Trained models have no SQL twin; those are rows-only checks, with
 properties asserted in tests/."""
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from verdigris.operators.carbon import with_interval
 from verdigris.operators.tables import scratch_path
 from verdigris.plans import logical as L
 from verdigris.plans.catalog import register
+from verdigris.plans.rounding import r, sql_r
 
 
 def _features(spark, d):
@@ -77,6 +78,23 @@ def ml12(spark, d):
     return with_interval(fc.withColumn("sigma", F.lit(res["sigma"])), pred="forecast")
 
 
+@register("ml12_given_coefficients", "ML-12", L.with_ctes(f"""
+SELECT facility_id, step, last + step * INTERVAL 1 DAY AS forecast_ts, {sql_r('f')} AS forecast FROM (
+  SELECT *, 1 AS step, f1 AS f FROM s3 UNION ALL SELECT *, 2, f2 FROM s3 UNION ALL SELECT *, 3, f3 FROM s3)""",
+    em=L.EMISSION_METRICS_SQL, daily="SELECT facility_id, date_trunc('day', ts) AS ts, sum(co2_kg) AS v FROM em GROUP BY 1, 2",
+    lagged="""SELECT facility_id, max(ts) AS last, arg_max(v, ts) AS a, list(v ORDER BY ts DESC)[2] AS b2,
+       list(v ORDER BY ts DESC)[3] AS c3, list(v ORDER BY ts)[1] AS oldest FROM daily GROUP BY 1""",
+    s1="SELECT *, coalesce(b2, oldest) AS b, coalesce(c3, oldest) AS c FROM lagged",
+    s1f="SELECT *, 1.5 + 0.5 * a + 0.3 * b + 0.1 * c AS f1 FROM s1",
+    s2="SELECT *, 1.5 + 0.5 * f1 + 0.3 * a + 0.1 * b AS f2 FROM s1f",
+    s3="SELECT *, 1.5 + 0.5 * f2 + 0.3 * f1 + 0.1 * a AS f3 FROM s2"))
+def ml12_given(spark, d):
+    em = L.emission_metrics(spark, d)
+    daily = em.groupBy("facility_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.sum("co2_kg").alias("co2_kg"))
+    fc = FC.recursive_forecast(daily, "co2_kg", 1.5, [0.5, 0.3, 0.1], steps=3, step_interval="1 day")
+    return fc.select("facility_id", "step", "forecast_ts", r("forecast").alias("forecast"))
+
+
 @register("ml13_ml16_agg17_attributions", "ML-13")
 def ml13(spark, d):
     feats, cols = _features(spark, d)
