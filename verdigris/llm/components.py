@@ -13,32 +13,33 @@ from verdigris.llm.common import stored
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Stored (node, root) for every node of ``edges`` (a, b; any orderable
     type, loops allowed); the root is the component's least node."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
-    while True:
-        large = _star(now, larger_only=True)
-        small = stored(_star(large, larger_only=False), name)
-        # a fixed point is a forest of stars: no root of one edge is the upper end of another
-        open_edges = small.join(small.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        repeated = small.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-        if open_edges.isEmpty() and repeated.isEmpty():
-            break
-        now = small
-    return stored(nodes.join(small, F.col("node") == F.col("a"), "left")
-                  .select("node", F.coalesce("b", "node").alias("root")), name)
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    loops, now = now.where("a = b"), now.where("a != b")
+    while not _is_forest_of_stars(now):
+        now = stored(_star(_star(now, larger_only=True), larger_only=False).distinct(), name)
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root"))
+    return stored(now.toDF("node", "root").unionByName(roots).unionByName(loops.toDF("node", "root"))
+                  .groupBy("node").agg(F.min("root").alias("root")), name)
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """No node has two edges down, and none both an edge down and one up."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")),
+                                         F.struct(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))))
+    each = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return each.where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     """Edges a > b in, edges a > b out.  Large-star joins each node's larger
     neighbours to its least neighbour; small-star its smaller ones and itself."""
+    both = edges
     if larger_only:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = edges
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     least = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("u"), F.least("a", "least").alias("m"))
     moved = both.join(least, F.col("a") == F.col("u"))
     if larger_only:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-    return out.where("a != b").distinct()
+    return out.where("a != b")

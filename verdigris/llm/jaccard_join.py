@@ -12,8 +12,11 @@ Jaccard distance, a metric.  The result is the classes of the link graph.
    The nearest pivot of a document is its first shingle; the documents within
    r of it may miss that one but none of the first n - ceil(s n) + 1, so a
    document is replicated to the cells of these: each linked pair shares one.
-   Documents that share cells form a region (connected components of cells);
-   regions don't link to each other.
+   Cells are cut where neighbouring sizes differ by more than s.
+   A parity signature of 4 n to 8 n bits bounds the symmetric difference of two
+   sets from below; members of a cell that no chain of pairs within the bound
+   joins are kept apart.  Documents that cells join form a region (connected
+   components); regions don't link to each other.
 3. A region that fits in a task is joined there: members become pivots in
    turn, a pivot's distances to all others come from the region's inverted
    lists, and a member is compared only while some member outside its class
@@ -51,8 +54,12 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 SKETCH_BITS = 18
 #: Text whose entries one bucket holds on average, and shingles that a region may have in one task.
 BUCKET_BYTES, REGION_SHINGLES = 32 << 20, 3_000_000
+#: Members of a cell that are told apart by signatures; beyond, a cell counts as joined.
+CELL_MEMBERS = 4000
 #: Members of a region that become pivots of a split, and parts that a region's rows are salted into.
 PIVOTS, SALTS = 8, 16
+#: Bits (2**WANTED_BITS) of the filter that tells which texts a region may want.
+WANTED_BITS = 26
 #: Distances of a region's pivots that the windows look at.
 WINDOW_PIVOTS = 12
 #: Slack of the windows for rounding.
@@ -88,6 +95,20 @@ class Sets:
         return tuple(_row_sums(wordhash.mix(self.hash, seed), self.first).view(np.int64) for seed in (31, 32))
 
 
+    def signatures(self) -> list[bytes]:
+        """For each row the parity of its shingles by their low bits, packed."""
+        bits = np.array([_signature_bits(n) for n in self.sizes.tolist()], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(bits)])
+        place = (self.hash & (bits[self.row] - 1).astype(np.uint64)).astype(np.int64) + first[self.row]
+        odd = np.bincount(place, minlength=int(first[-1])).astype(np.uint8) & 1
+        packed = np.packbits(odd, bitorder="little")
+        return [packed[a:b].tobytes() for a, b in zip((first // 8).tolist(), (first[1:] // 8).tolist(), strict=False)]
+
+
+def _signature_bits(n: int) -> int:
+    return 1 << max(6, (4 * n - 1).bit_length()) if n else 64
+
+
 def _row_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(x) + 1, dtype=np.uint64)
     np.cumsum(x, out=sums[1:])
@@ -106,28 +127,31 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _surveyed(docs: DataFrame, size: int) -> DataFrame:
-    """Stored: (id, t, n, k1, k2) of each row, and of each task the chunks of
-    its count sketch (chunk, counts)."""
+    """Stored: (id, t, n, k1, k2, signature) of each row, and of each task the
+    chunks of its count sketch (chunk, counts)."""
 
     def task(batches):
         hasher, sketch = wordhash.Hasher(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             n, k1, k2 = (np.zeros(batch.num_rows, dtype=np.int64) for _ in range(3))
+            signatures: list[bytes] = []
             for i, j, sets in _sliced(batch, 2, hasher, size):
                 n[i:j] = sets.sizes
+                signatures += sets.signatures()
                 k1[i:j], k2[i:j] = sets.keys()
                 sketch += np.bincount((sets.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(k1), pa.array(k2), *none],
-                                             names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(k1), pa.array(k2),
+                                              pa.array(signatures, pa.binary()), *none], names)
         chunks = sketch.reshape(-1, _CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(len(used), pa.int64()) for _ in range(5)), pa.array(used.astype(np.int32)),
+            [*(pa.nulls(len(used), pa.int64()) for _ in range(5)), pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)),
              pa.array([chunks[c].tobytes() for c in used], pa.binary())], names)
 
-    names = ["id", "t", "n", "k1", "k2", "chunk", "counts"]
-    return stored(docs.mapInArrow(task, "id long, t long, n long, k1 long, k2 long, chunk int, counts binary"), "sets")
+    names = ["id", "t", "n", "k1", "k2", "signature", "chunk", "counts"]
+    return stored(docs.mapInArrow(task, "id long, t long, n long, k1 long, k2 long, signature binary, chunk int, counts binary"),
+                  "sets")
 
 
 def _rarity(surveyed: DataFrame) -> np.ndarray:
@@ -154,18 +178,17 @@ def _rarity(surveyed: DataFrame) -> np.ndarray:
     return np.where(beyond > 0, 1 + np.log2(np.maximum(1, beyond)), 0).astype(np.uint8)
 
 
-def _shared_cells(docs: DataFrame, rarity: np.ndarray, size: int, buckets: int, share: tuple[int, int]) -> DataFrame:
-    """Edges (a, b) between classes that share a cell."""
-    spark = docs.sparkSession
-    ranks = bounded_broadcast(spark, rarity, rarity.nbytes)
+def _cells(docs: DataFrame, rarity: np.ndarray, size: int, buckets: int, share: tuple[int, int]) -> DataFrame:
+    """Distinct rows (cell, node) of the cells with several classes; cells with
+    the same members count once."""
+    ranks = bounded_broadcast(docs.sparkSession, rarity, rarity.nbytes)
     num, den = share
 
     def deal(batches):
         hasher = wordhash.Hasher()
         for batch in batches:
-            keys, entries = [], []
+            keys, sizes, entries = [], [], []
             for i, _, sets in _sliced(batch, 0, hasher, size):
-                k1, _ = sets.keys()
                 rank = ranks.value[(sets.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((sets.hash, rank, sets.row))
                 row = sets.row[order]
@@ -173,10 +196,11 @@ def _shared_cells(docs: DataFrame, rarity: np.ndarray, size: int, buckets: int,
                 n = sets.sizes[row]
                 cells = order[within < n - -(-num * n // den) + 1]
                 entries.append((sets.hash[cells], sets.row[cells] + i))
-                keys.append(k1)
+                keys.append(sets.keys()[0])
+                sizes.append(sets.sizes)
             if not keys:
                 continue
-            key = np.concatenate(keys)
+            key, n = np.concatenate(keys), np.concatenate(sizes).astype("<u4")
             h, row = (np.concatenate(x) for x in zip(*entries, strict=True))
             _, first, one = np.unique(key, return_index=True, return_inverse=True)
             some = first[one][row] == row  # of equal sets in a batch one sends its cells
@@ -190,30 +214,39 @@ def _shared_cells(docs: DataFrame, rarity: np.ndarray, size: int, buckets: int,
                 part = slice(bounds[b], bounds[b + 1])
                 used, which = np.unique(row[part], return_inverse=True)
                 which = which.astype("<u2" if len(used) <= 1 << 16 else "<u4")
-                out.append((int(b), key[used].tobytes(), which.tobytes(),
+                out.append((int(b), key[used].tobytes(), n[used].tobytes(), which.tobytes(),
                             (h[part] >> np.uint64(24)).astype("<u4").tobytes(), (h[part] >> np.uint64(56)).astype("u1").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
                                                  names)
 
-    names, types = ["bucket", "keys", "which", "low", "high"], [pa.int32(), *[pa.binary()] * 4]
+    names, types = ["bucket", "keys", "sizes", "which", "low", "high"], [pa.int32(), *[pa.binary()] * 5]
 
     def meet(batches):
         held, now = [], None
 
         def out():
-            node = np.concatenate([np.frombuffer(r["keys"], np.int64)[np.frombuffer(r["which"], f"<u{len(r['which']) // len(r['high'])}")]
-                                   for r in held])
+            which = [np.frombuffer(r["which"], f"<u{len(r['which']) // len(r['high'])}") for r in held]
+            node = np.concatenate([np.frombuffer(r["keys"], np.int64)[w] for r, w in zip(held, which, strict=True)])
+            n = np.concatenate([np.frombuffer(r["sizes"], "<u4")[w] for r, w in zip(held, which, strict=True)]).astype(np.int64)
             h = np.concatenate([np.frombuffer(r["low"], "<u4") for r in held]).astype(np.uint64)
             h |= np.concatenate([np.frombuffer(r["high"], "u1") for r in held]).astype(np.uint64) << np.uint64(32)
-            order = np.lexsort((node, h))
-            h, node = h[order], node[order]
+            order = np.lexsort((node, n, h))
+            h, n, node = h[order], n[order], node[order]
+            one = np.ones(len(h), dtype=bool)  # equal sets of several batches count once
+            one[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+            h, n, node = h[one], n[one], node[one]
             new = np.ones(len(h), dtype=bool)
-            new[1:] = h[1:] != h[:-1]
-            head = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            pairs = np.unique(np.stack([node, head], axis=1)[node != head], axis=0) if np.any(node != head) \
-                else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            new[1:] = (h[1:] != h[:-1]) | (den * n[:-1] < num * n[1:])
+            start = np.flatnonzero(new)
+            length = np.diff(np.append(start, len(h)))
+            cell = np.add.reduceat(wordhash.mix(node.view(np.uint64), 40), start) if len(start) else h
+            start, length, cell = start[length > 1], length[length > 1], cell[length > 1]
+            cell, at = np.unique(cell, return_index=True)
+            start, length = start[at], length[at]
+            members = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(cell, length).view(np.int64)), pa.array(node[members])],
+                                              ["cell", "node"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -225,17 +258,104 @@ def _shared_cells(docs: DataFrame, rarity: np.ndarray, size: int, buckets: int,
         if held:
             yield out()
 
-    return (docs.select("text").mapInArrow(deal, "bucket int, keys binary, which binary, low binary, high binary")
-            .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct())
+    return (docs.select("text").mapInArrow(deal, "bucket int, keys binary, sizes binary, which binary, low binary, high binary")
+            .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "cell long, node long").distinct())
+
+
+def _near(signatures: list[bytes], sizes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """For each member of a cell the least member that a chain of pairs, each
+    within the bound that its signatures give, joins it to."""
+    num, den = share
+    of, done = np.arange(len(sizes)), np.zeros(len(sizes), dtype=bool)
+    words = np.array([len(x) // 8 for x in signatures])
+    folded: dict[int, np.ndarray] = {}
+
+    def fold(width: int) -> np.ndarray:
+        if width not in folded:
+            folded[width] = np.zeros((len(sizes), width), dtype=np.uint64)
+            for i in np.flatnonzero(words >= width):
+                folded[width][i] = np.bitwise_xor.reduce(np.frombuffer(signatures[i], np.uint64).reshape(-1, width), axis=0)
+        return folded[width]
+
+    for x in range(len(sizes)):
+        done[x] = True
+        n = sizes[x]
+        other = np.flatnonzero(~done & (of != of[x]) & (den * np.minimum(sizes, n) >= num * np.maximum(sizes, n)))
+        if not len(other):
+            continue
+        table = fold(int(min(words[x], words[other].min())))
+        apart = np.bitwise_count(table[other] ^ table[x]).sum(axis=1, dtype=np.int64)
+        joined = other[(num + den) * apart <= (den - num) * (sizes[other] + n)]
+        if len(joined):
+            classes = np.unique(of[np.append(joined, x)])
+            of[np.isin(of, classes)] = classes[0]
+    return of
+
+
+def _joined_cells(cells: DataFrame, classes: DataFrame, share: tuple[int, int], cell_members: int) -> DataFrame:
+    """Edges (a, b) between classes that a cell joins."""
+    sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("members"), F.min("node").alias("first")), "cells")
+    large = sizes.where(F.col("members") > cell_members)
+    stars = cells.join(large, "cell").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    small = cells.join(sizes.where(F.col("members") <= cell_members).select("cell"), "cell", "left_semi")
+    rows = small.join(classes.select(F.col("k1").alias("node"), "n", "signature"), "node")
+
+    def task(batches):
+        held, now = [], None
+
+        def out():
+            held.sort(key=lambda r: r[1])  # links then go to the least node, as components wants them
+            of = _near([r[3] for r in held], np.array([r[2] for r in held]), share)
+            links = [(held[i][1], held[c][1]) for i, c in enumerate(of.tolist()) if c != i]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()),
+                                               pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and r[0] != now:
+                    yield out()
+                    held = []
+                now = r[0]
+                held.append(r)
+        if held:
+            yield out()
+
+    parts = partitions_for(cells, 0, 1)
+    near = (rows.select("cell", "node", "n", "signature").repartition(parts, "cell").sortWithinPartitions("cell")
+            .mapInArrow(task, "a long, b long"))
+    return near.unionByName(stars).distinct()
 
 
 _MEMBER = "region long, k1 long, k2 long, n long, shingles binary"
 
 
-def _members(docs: DataFrame, classes: DataFrame, regions: DataFrame, size: int) -> DataFrame:
-    """Classes in regions with their sets, taken from one document of each."""
-    wanted = classes.join(regions, F.col("k1") == F.col("node")).select("id", "t", "k1", "k2", F.col("root").alias("region"))
-    d, w = docs.alias("d"), wanted.alias("w")
+def _wanted_bits(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the wanted texts' hashes, 2**WANTED_BITS bits at any size."""
+    bit = F.pmod(F.col("t"), F.lit(1 << WANTED_BITS)) + 1
+    parts = (wanted.groupBy(F.bitmap_bucket_number(bit).alias("part"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect())  # 4 KB each
+    out = np.zeros(1 << WANTED_BITS - 3, dtype=np.uint8)
+    for r in parts:
+        out[4096 * (r["part"] - 1):4096 * r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents that may be wanted: others are left out before a shuffle."""
+    bits = _wanted_bits(wanted)
+    shared = bounded_broadcast(docs.sparkSession, bits, bits.nbytes)
+
+    def task(batches):
+        for batch in batches:
+            at = batch.column(1).to_numpy() % (1 << WANTED_BITS)
+            yield batch.filter(pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
+
+    return docs.select("id", "t", "text").mapInArrow(task, "id long, t long, text string")
+
+
+def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Classes (id, t, k1, k2, region) with their sets, taken from one document of each."""
+    d, w = _maybe(docs, wanted).alias("d"), wanted.alias("w")
     rows = (d.join(w, F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.t") == F.col("w.t")))
             .select("d.text", "w.region", "w.k1", "w.k2"))
 
@@ -320,6 +440,7 @@ def _joined(members: DataFrame, share: tuple[int, int]) -> DataFrame:
         def out():
             if len(held) < 2:
                 return []
+            held.sort()  # links then go to the least node, as components wants them
             of = Region([np.frombuffer(s, np.uint64) for _, s in held], share).classes()
             return [(held[i][0], held[c][0]) for i, c in enumerate(of.tolist()) if i != c]
 
@@ -341,7 +462,7 @@ def _joined(members: DataFrame, share: tuple[int, int]) -> DataFrame:
         yield rows(out())
 
     parts = partitions_for(members, 0, 1)
-    return members.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(task, "a binary, b binary")
+    return members.select(*(c.split()[0] for c in _MEMBER.split(", "))).repartition(parts, "region").sortWithinPartitions("region").mapInArrow(task, "a binary, b binary")
 
 
 def _split(members: DataFrame, share: tuple[int, int], pivots: int, level: int) -> tuple[DataFrame, DataFrame]:
@@ -399,37 +520,39 @@ def _split(members: DataFrame, share: tuple[int, int], pivots: int, level: int)
 
 
 def _blocks(members: DataFrame, limit: int) -> DataFrame:
-    """Regions that don't shrink, dealt into blocks: a region for each pair of
+    """Regions (with their ``total``) that don't shrink, dealt into blocks: a region for each pair of
     blocks, so that all pairs of members meet."""
-    totals = members.groupBy("region").agg(F.sum("n").alias("total"))
     count = F.ceil(2 * F.col("total") / limit).cast("int")
-    rows = (members.join(totals, "region").withColumn("blocks", F.greatest(F.lit(2), count))
+    rows = (members.withColumn("blocks", F.greatest(F.lit(2), count))
             .withColumn("mine", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     return rows.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("block")).alias("region"),
                        "k1", "k2", "n", "shingles")
 
 
-def links_of(members: DataFrame, share: tuple[int, int] = (NUMERATOR, DENOMINATOR),
+def links_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE, share: tuple[int, int] = (NUMERATOR, DENOMINATOR),
              region_shingles: int = REGION_SHINGLES, pivots: int = PIVOTS) -> DataFrame:
-    """Links whose components are the classes of linked members."""
-    found, level = [], 0
-    members = stored(members, "members")
+    """Links whose components are the classes of linked members; ``wanted``
+    has id, t, k1, k2, n and region."""
+    totals = wanted.groupBy("region").agg(F.sum("n").alias("total"))
+    wanted = stored(wanted.join(totals, "region"), "wanted")
+    found = [_joined(_members(docs, wanted.where(F.col("total") <= region_shingles), size), share)]
+    large = wanted.where(F.col("total") > region_shingles)
+    if large.isEmpty():
+        return found[0]
+    before = large.select("region", F.col("total").alias("before")).distinct()
+    rest, level = stored(_members(docs, large, size).join(before, "region"), "members"), 0
     while True:
+        links, members = _split(rest, share, pivots, level)
+        members = stored(members, "members")
         totals = members.groupBy("region").agg(F.sum("n").alias("total"))
-        large = totals.where(F.col("total") > region_shingles)
-        found.append(_joined(members.join(large.select("region"), "region", "left_anti"), share))
-        rest = members.join(large, "region")
-        if "before" in members.columns:
-            stuck = F.col("total") > 0.8 * F.col("before")
-            found.append(_joined(_blocks(rest.where(stuck).drop("before", "total"), region_shingles), share))
-            rest = rest.where(~stuck).drop("before")
-        rest = stored(rest.withColumnRenamed("total", "before"), "regions")
+        members = members.join(totals, "region")
+        fits = F.col("total") <= region_shingles
+        stuck = ~fits & (F.col("total") > 0.8 * F.col("before"))
+        found += [links, _joined(members.where(fits), share), _joined(_blocks(members.where(stuck), region_shingles), share)]
+        rest = stored(members.where(~fits & ~stuck).withColumn("before", F.col("total")).drop("total"), "regions")
         if rest.isEmpty():
             break
-        links, members = _split(rest, share, pivots, level)
-        found.append(links)
-        members = stored(members, "members")
         level += 1
     out = found[0]
     for links in found[1:]:
@@ -439,29 +562,33 @@ def links_of(members: DataFrame, share: tuple[int, int] = (NUMERATOR, DENOMINATO
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
          share: tuple[int, int] = (NUMERATOR, DENOMINATOR), region_shingles: int = REGION_SHINGLES,
-         pivots: int = PIVOTS) -> DataFrame:
+         pivots: int = PIVOTS, cell_members: int = CELL_MEMBERS) -> DataFrame:
     """One row per row of ``df``: id, t (a hash of the text), n_shingles,
     component_id (the least id of its class) and representative (whether this
     is the class's first document by id, null last, and text hash)."""
     docs = _documents(df, id_col, text_col)
     surveyed = _surveyed(docs, shingle)
-    rows = surveyed.where("chunk is null").drop("chunk", "counts")
+    rows = surveyed.where("chunk is null").select("id", "t", "n", "k1", "k2", "signature")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t"))
-    classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(first.alias("f"), F.first("n").alias("n"))
-                     .select("k1", "k2", "n", "f.id", "f.t"), "classes")
+    classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(first.alias("f"), F.first("n").alias("n"),
+                                                                 F.first("signature").alias("signature"))
+                     .select("k1", "k2", "n", "signature", "f.id", "f.t"), "classes")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = _shared_cells(docs, _rarity(surveyed), shingle, partitions_for(df, size, BUCKET_BYTES), share)
-    regions = components(cells, "regions")
-    links = links_of(_members(docs, classes, regions, shingle), share, region_shingles, pivots)
+    cells = stored(_cells(docs, _rarity(surveyed), shingle, partitions_for(df, size, BUCKET_BYTES), share), "cells")
+    regions = components(_joined_cells(cells, classes, share, cell_members), "regions")
+    wanted = (classes.join(regions, F.col("k1") == F.col("node"))
+              .select("id", "t", "k1", "k2", "n", F.col("root").alias("region")))
+    links = links_of(docs, wanted, shingle, share, region_shingles, pivots)
     roots = components(links, "links")
     me = F.unhex(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
     placed = (classes.withColumn("node", me).join(roots, "node", "left")
               .select("k1", "k2", F.coalesce("root", "node").alias("root"),
                       F.struct(F.col("id").isNull().alias("last"), "id", "t").alias("f")))
     least = placed.groupBy("root").agg(F.min("f").alias("least"))
-    named = stored(placed.join(least, "root").select("k1", "k2", "least"), "named")
+    labelled = stored(placed.join(least, "root").select("k1", "k2", "least"), "labelled")
     own = F.struct(F.col("id").isNull().alias("last"), "id", "t")
-    return (rows.join(named, ["k1", "k2"], "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(own))
+    return (rows.drop("signature").join(labelled, ["k1", "k2"], "left")
+            .withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(own))
             .select(F.col("id").alias(id_col), "t", F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"),
                     (F.col("least") == own).alias("representative")))
 
