@@ -3,6 +3,7 @@ broadcasts and Arrow batch access."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -99,3 +100,20 @@ def small_batches(batches, column: int, limit: int = 4 << 20):
         _, offs = bytes_of(batch.column(column))
         for i, j in row_slices(offs, limit):
             yield batch.slice(i, j - i)
+
+
+def released(task):
+    """The task, and after it the memory that its worker process would keep
+    though nothing uses it: workers serve one task after another."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, small_batches, stored
+from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, released, small_batches, stored
 
 WINDOW, GRAM = 13, 5
 BLOCK_WINDOWS = 400_000
@@ -71,7 +71,7 @@ def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str
                  batch.column(0).take(pa.array(row))], ["length", "mark", "hi", "lo", "item"])
 
     narrow = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    return stored(narrow.mapInArrow(task, "length int, mark long, hi long, lo long, item string").distinct(), "benchmark")
+    return stored(narrow.mapInArrow(released(task), "length int, mark long, hi long, lo long, item string").distinct(), "benchmark")
 
 
 class Block:
@@ -199,7 +199,7 @@ def _merged_rows(joined: DataFrame) -> DataFrame:
 
     kind = joined.schema["kept"].dataType.simpleString()
     return (joined.select("kept", "n_words", "hits", "items", "more_hits", "more_items")
-            .mapInArrow(task, f"kept {kind}, {_STATE}"))
+            .mapInArrow(released(task), f"kept {kind}, {_STATE}"))
 
 
 def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
@@ -227,4 +227,4 @@ def _passed(rows: DataFrame, block, keep_text: bool = False) -> DataFrame:
                 ["kept", "n_words", "hits", "items", *(["text"] if keep_text else [])])
 
     kind = rows.schema["kept"].dataType.simpleString()
-    return rows.mapInArrow(task, f"kept {kind}, {_STATE}" + (", text string" if keep_text else ""))
+    return rows.mapInArrow(released(task), f"kept {kind}, {_STATE}" + (", text string" if keep_text else ""))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import free_name, named, partitions_for, stored
+from verdigris.llm.common import free_name, named, partitions_for, released, small_batches, stored
 
 #: Digests that one bucket is meant to hold.
 BUCKET_DIGESTS = 100_000
@@ -135,14 +135,14 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.xxhash64(text).alias("t"), text.alias("text"))
 
     def task(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 3):
             texts = batch.column(3).cast(pa.large_binary()).to_pylist()
             marks = [hashlib.sha256(t.translate(_UPPER_TO_LOWER)).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.binary())],
                                              ["id", "row", "t", "digest"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    return stored(narrow.mapInArrow(task, f"id {kind}, row long, t long, digest binary"), "digests")
+    return stored(narrow.mapInArrow(released(task), f"id {kind}, row long, t long, digest binary"), "digests")
 
 
 def changes(rows: DataFrame, buckets: int) -> DataFrame:
@@ -165,7 +165,7 @@ def changes(rows: DataFrame, buckets: int) -> DataFrame:
                 ["bucket", "digest", "keep_id", "keep_row", "rows"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "row", "digest").mapInArrow(task, _CHANGES.format(kind))
+    return rows.select("id", "row", "digest").mapInArrow(released(task), _CHANGES.format(kind))
 
 
 def buckets_for(n_rows: int) -> int:
@@ -224,7 +224,7 @@ def updated(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame | No
 
     parts_n = partitions_for(steps, 0, 1)
     dealt = steps.repartition(parts_n, "bucket").sortWithinPartitions("bucket", "step")
-    return stored(dealt.mapInArrow(task, _INDEX.format(kind)), name)
+    return stored(dealt.mapInArrow(released(task), _INDEX.format(kind)), name)
 
 
 def live_groups(index: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def live_groups(index: DataFrame) -> DataFrame:
                      batch.column("keep_rows")[i].values, batch.column("rows")[i].values],
                     ["digest", "keep_id", "keep_row", "group_size"])
 
-    return index.mapInArrow(task, f"digest binary, keep_id {kind}, keep_row long, group_size long")
+    return index.mapInArrow(released(task), f"digest binary, keep_id {kind}, keep_row long, group_size long")
 
 
 def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, row_slices
+from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, released, row_slices, small_batches
 
 BITS, MAX_ROWS, EPOCHS = 18, 12_000, 5
 #: FTRL-proximal: learning rate, its offset, and the L1 and L2 weights.
@@ -130,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         w = weights(np.arange(2**bits + 1)).astype("<f4")
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
-    learned = (rows.mapInArrow(featurise, "place long, y int, which binary, value binary")
-               .repartition(1).sortWithinPartitions("place", "y", "which").mapInArrow(learn, "w binary").collect())
+    learned = (rows.mapInArrow(released(featurise), "place long, y int, which binary, value binary")
+               .repartition(1).sortWithinPartitions("place", "y", "which").mapInArrow(released(learn), "w binary").collect())
     return np.frombuffer(learned[0]["w"], "<f4") if learned else np.zeros(2**bits + 1, "<f4")
 
 
@@ -148,7 +148,7 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: list
 
     def task(batches):
         hasher, w = wordhash.Hasher(), shared.value
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             buf, offs = bytes_of(batch.column(1))
             margin = np.full(batch.num_rows, w[-1])
             for i, j in row_slices(offs, wordhash.TEXT_SLICE):
@@ -159,7 +159,7 @@ def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: list
                                              ["kept", "score"])
 
     kind = rows.schema["kept"].dataType.simpleString()
-    return (rows.mapInArrow(task, f"kept {kind}, score double")
+    return (rows.mapInArrow(released(task), f"kept {kind}, score double")
             .select(*(F.col(f"kept.{n}").alias(c) for c, n in zip(keep, names, strict=True)),
                     F.struct("score", (F.col("score") >= threshold).cast("int").alias("predicted")).alias(result)))
 

@@ -30,7 +30,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verdigris.llm.common import named, vocabulary
+from verdigris.llm.common import named, released, small_batches, vocabulary
 
 #: Characters of a chunk, and of the first overlap between two chunks.
 CHUNK_CHARS = 32768
@@ -166,7 +166,7 @@ def count_tokens(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = Counter(raw.value, kind, chunk_chars, overlap_chars)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = batch.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()
             counts = [counter.count(t.decode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -175,5 +175,5 @@ def count_tokens(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
 
     narrow = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
-    return (narrow.mapInArrow(task, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return (narrow.mapInArrow(released(task), f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
             .withColumnRenamed("id", id_col))

@@ -12,7 +12,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes hashed at a time, and bytes of text whose words are taken at a time.
-_SLICE, TEXT_SLICE = 1 << 20, 4 << 20
+_SLICE, TEXT_SLICE = 1 << 18, 2 << 20
 _STEP = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 
