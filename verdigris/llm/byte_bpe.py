@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verdigris.llm.common import named, vocabulary
+from verdigris.llm.common import named, released, small_batches, vocabulary
 
 #: Unicode white space, as the pattern's \s has it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -87,7 +87,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     def task(batches):
         encoder = make_encoder(ranks.value, pattern)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = batch.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()
             ids = [encode_text(encoder, t.decode("utf-8", "replace"), segment_chars) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -96,7 +96,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     narrow = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return (narrow.mapInArrow(task, f"id {kind}, n_tokens long, ids binary")
+    return (narrow.mapInArrow(released(task), f"id {kind}, n_tokens long, ids binary")
             .withColumnRenamed("id", id_col))
 
 
@@ -106,7 +106,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     def task(batches):
         encoder = make_encoder(ranks.value, pattern)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids = [np.frombuffer(x or b"", dtype="<u4") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), batch.column(1),
@@ -115,5 +115,5 @@ def decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     narrow = df.select(named(id_col).alias("id"), named(ids_col).alias("ids"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return (narrow.mapInArrow(task, f"id {kind}, n_tokens long, ids binary, decoded binary")
+    return (narrow.mapInArrow(released(task), f"id {kind}, n_tokens long, ids binary, decoded binary")
             .withColumnRenamed("id", id_col))
