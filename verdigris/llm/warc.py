@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import named, scratch_path, stored
+from verdigris.llm.common import named, released, scratch_path, stored
 
 #: Rows of one archive file at most, so that a file fits in a reader's memory.
 ARCHIVE_RECORDS = 5_000
@@ -112,7 +112,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             yield pa.RecordBatch.from_arrays(
                 [pa.array([record(i, u, s, p, r, f, date) for i, u, s, p, r, f in rows], pa.binary())], ["value"])
 
-    (joined.mapInArrow(task, "value binary").select(F.col("value").cast("string"))
+    (joined.mapInArrow(released(task), "value binary").select(F.col("value").cast("string"))
      .write.mode("overwrite").option("lineSep", "\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path))
     return path
@@ -194,23 +194,28 @@ def records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                         held = []
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    return files.mapInArrow(task, "page_id long, url string, record_id string, record_type string, "
+    return files.mapInArrow(released(task), "page_id long, url string, record_id string, record_type string, "
                                   "refers_to_id string, payload binary, payload_bytes long, payload_digest string")
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """Revisit records joined to their original responses."""
-    originals = (found.where("record_type = 'response'").groupBy("record_id")
+    """Revisit records joined to their original responses; responses, which
+    refer to nothing, pass by the join."""
+    response = F.col("record_type") == "response"
+    originals = (found.where(response).groupBy("record_id")
                  .agg(F.min("page_id").alias("original"), F.min("payload_bytes").alias("original_bytes"),
                       F.min("payload_digest").alias("original_digest")))
-    r, o = found.alias("r"), originals.alias("o")
-    return (r.join(o, F.col("r.refers_to_id") == F.col("o.record_id"), "left")
-            .select("r.page_id", "r.url", F.coalesce("r.payload_bytes", "o.original_bytes").alias("payload_bytes"),
-                    F.coalesce("o.original_digest", "r.payload_digest").alias("payload_digest"),
-                    "r.record_type", F.col("o.original").alias("refers_to"), "r.payload"))
+    r, o = found.where(~response).alias("r"), originals.alias("o")
+    revisits = (r.join(o, F.col("r.refers_to_id") == F.col("o.record_id"), "left")
+                .select("r.page_id", "r.url", F.col("o.original_bytes").alias("payload_bytes"),
+                        F.coalesce("o.original_digest", "r.payload_digest").alias("payload_digest"),
+                        "r.record_type", F.col("o.original").alias("refers_to"), "r.payload"))
+    plain = found.where(response).select("page_id", "url", "payload_bytes", "payload_digest", "record_type",
+                                         F.lit(None).cast("long").alias("refers_to"), "payload")
+    return plain.unionByName(revisits)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, path: str | None = None, **options) -> DataFrame:
-    """Writes the pages' archives and reads their headers back."""
+    """Writes the pages' archives and reads their headers back, once."""
     path = write(pages, path or scratch_path(spark, "warc"), **options)
-    return resolve(records(spark, path, payloads=False)).drop("payload")
+    return resolve(stored(records(spark, path, payloads=False), "warc-read")).drop("payload")
