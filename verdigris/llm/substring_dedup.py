@@ -12,7 +12,7 @@ windows share an aligned anchor inside.  Passes over the corpus:
 1. Anchors are hashed and dealt by hash; those that start more than once go
    back to their documents.
 2. Shared anchors are extended: only windows around one are hashed in full
-   (96 bits) and dealt by that hash, and in each group of equal windows all but
+   (32 bits choose the bucket, 80 more are compared there) and dealt by that hash, and in each group of equal windows all but
    the earliest are repeats.
 3. Repeats go back to their documents, and the covered words are left out.
 
@@ -35,18 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bytes_of, named, partitions_for, row_slices
+from verdigris.llm.common import bytes_of, named, partitions_for, released, row_slices, small_batches
 
 WINDOW = 20
 #: A perfect difference set: each remainder modulo 13 is a difference of two of its members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Text whose hashes one bucket holds, on average.
 BUCKET_BYTES = 32 << 20
+#: Text that a task compares with itself before it deals out the rest.
+BATCH_BYTES = 16 << 20
 
-#: kind 0: places known to be reported; kind 1: one batch's hashes of one bucket.
-_DEALT = ("bucket int, kind int, id long, t long, pos binary, ids binary, ts binary, nulls binary, row binary, "
-          "high binary, low binary")
-_REPORT = "id long, t long, pos binary"
+#: Places of several documents, packed: their ids, text hashes and null marks, and of each place the document and word.
+#: kind 0: places to report, by their documents' bucket; kind 1: places to compare, by their hashes' bucket.
+_DEALT = ("bucket int, kind int, ids binary, ts binary, nulls binary, row binary, pos binary, high binary, low binary")
+_NAMES = [f.split()[0] for f in _DEALT.split(", ")]
+_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
 
 
 class Places:
@@ -80,18 +83,71 @@ class Places:
         report = other if not first_too else np.logical_or.reduceat(other, start)[group]
         return order[report], order[start]
 
-    def by_document(self, places: np.ndarray):
-        """(ids, ts, positions) with one row for each document of these places."""
-        row, pos = self.row[places], self.pos[places]
-        order = np.lexsort((pos, row))
-        row, pos = row[order], pos[order].astype("<u4")
-        start = np.flatnonzero(np.diff(row, prepend=-1))
-        offsets = (4 * np.append(start, len(row))).astype(np.int32)
+    def rows(self, places: np.ndarray, bucket: np.ndarray, buckets: int, kind: int) -> list[tuple]:
+        """Rows of ``_DEALT`` for some places with the bucket of each."""
+        order = np.lexsort((self.pos[places], self.row[places], bucket))
+        places = places[order]
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out = []
+        for b in np.flatnonzero(bounds[1:] > bounds[:-1]):
+            part = places[bounds[b]:bounds[b + 1]]
+            docs, which = np.unique(self.row[part], return_inverse=True)
+            out.append((int(b), kind, self.ids[docs].tobytes(), self.ts[docs].tobytes(), self.nulls[docs].tobytes(),
+                        _packed(which), _packed(self.pos[part]), *((self.high[part].tobytes(), self.low[part].tobytes())
+                                                                   if kind else (None, None))))
+        return out
+
+    def reported(self, places: np.ndarray, buckets: int) -> list[tuple]:
+        """The same for places to report, by a bucket of their documents."""
+        row = self.row[places]
+        return self.rows(places, (self.ids[row] ^ self.ts[row]) % buckets, buckets, 0)
+
+    def by_document(self):
+        """(ids, ts, positions): one row for each document, repeated rows of one document joined."""
+        rank = self.rank[self.row]
+        order = np.lexsort((self.pos, rank))
+        rank, pos = rank[order], self.pos[order]
+        one = np.ones(len(order), dtype=bool)
+        one[1:] = (rank[1:] != rank[:-1]) | (pos[1:] != pos[:-1])
+        rank, pos, docs = rank[one], pos[one].astype("<u4"), self.row[order][one]
+        start = np.flatnonzero(np.diff(rank, prepend=-1))
+        offsets = (4 * np.append(start, len(rank))).astype(np.int32)
         blobs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(pos.tobytes())])
-        docs = row[start]
+        docs = docs[start]
         return pa.array(self.ids[docs], mask=self.nulls[docs]), pa.array(self.ts[docs]), blobs
 
 
+def _unpacked_places(held: list[dict]) -> Places:
+    """The places of several rows of ``_DEALT`` of one kind."""
+    sizes = np.cumsum([0] + [len(r["ids"]) // 8 for r in held])
+    columns = [np.concatenate([np.frombuffer(r[c], t) for r in held])
+               for c, t in (("ids", np.int64), ("nulls", bool), ("ts", np.int64))]
+    row = np.concatenate([_unpacked(r["row"]) + s for r, s in zip(held, sizes, strict=False)])
+    pos = np.concatenate([_unpacked(r["pos"]) for r in held])
+    if not held[0]["kind"]:
+        return Places(*columns, row, pos, None, None)
+    n = len(_unpacked(held[0]["row"]))
+    hashes = [np.concatenate([np.frombuffer(r[c], f"<u{len(held[0][c]) // n}") for r in held]) for c in ("high", "low")]
+    return Places(*columns, row, pos, *hashes)
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+
+def _by_bucket(batches):
+    """Lists of rows of one bucket, from rows sorted by bucket."""
+    held: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and (r["bucket"], r["kind"]) != (held[0]["bucket"], held[0]["kind"]):
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
 def _packed(x: np.ndarray) -> bytes:
     """The array as unsigned integers of two or four bytes, after that size."""
     size = 2 if not len(x) or int(x.max()) < 1 << 16 else 4
@@ -103,15 +159,14 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def compare(docs: DataFrame, find, buckets: int, first_too: bool) -> DataFrame:
-    """Places whose hash another place has (``Places.compared``), one or more
-    rows (id, t, positions) for each document.  ``docs`` has id, t, text and
-    marks; ``find(words, marks of the rows)`` gives arrays of row, position,
-    bucket hash and the two parts of the hash that is compared."""
-    names = [f.split()[0] for f in _DEALT.split(", ")]
+    """Places whose hash another place has (``Places.compared``), one row (id,
+    t, marks: their positions) for each document that has some.  ``docs`` has
+    id, t, text and marks; ``find(words, marks of the rows)`` gives arrays of
+    row, position, bucket hash and the two parts of the hash that is compared."""
 
     def deal(batches):
         hasher = wordhash.Hasher()
-        for batch in batches:
+        for batch in small_batches(batches, 2, BATCH_BYTES):
             buf, offs = bytes_of(batch.column(2))
             marks, parts = batch.column(3), []
             for i, j in row_slices(offs, wordhash.TEXT_SLICE):
@@ -124,59 +179,29 @@ def compare(docs: DataFrame, find, buckets: int, first_too: bool) -> DataFrame:
             places = Places(batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False),
                             batch.column(1).to_numpy(), row, pos, high, low)
             report, heads = places.compared(first_too)
-            ids, ts, blobs = places.by_document(report)
-            n = len(ids)
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((ts.to_numpy() % buckets).astype(np.int32)), pa.array(np.zeros(n, np.int32)), ids, ts, blobs,
-                 none, none, none, none, none, none], names)
-            bucket = (deal_by[heads] % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((pos[heads], row[heads], bucket))
-            heads, bucket = heads[order], bucket[order]
-            bounds = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in np.flatnonzero(bounds[1:] > bounds[:-1]):
-                part = heads[bounds[b]:bounds[b + 1]]
-                used, which = np.unique(row[part], return_inverse=True)
-                out.append((int(b), 1, None, None, _packed(pos[part]), places.ids[used].tobytes(), places.ts[used].tobytes(),
-                            places.nulls[used].tobytes(), _packed(which), high[part].tobytes(), low[part].tobytes()))
+            out = places.reported(report, buckets)
+            out += places.rows(heads, (deal_by[heads] % np.uint64(buckets)).astype(np.int64), buckets, 1)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema, strict=True)],
-                                                 names)
-
-    schema = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
+                yield _batch_of(out)
 
     def settle(batches):
-        held, now = [], None
-
-        def out():
-            high_type, low_type = held[0]["kinds"]
-            sizes = np.cumsum([0] + [len(r["ids"]) // 8 for r in held])
-            places = Places(*(np.concatenate([np.frombuffer(r[c], t) for r in held])
-                              for c, t in (("ids", np.int64), ("nulls", bool), ("ts", np.int64))),
-                            np.concatenate([_unpacked(r["row"]) + s for r, s in zip(held, sizes, strict=False)]),
-                            np.concatenate([_unpacked(r["pos"]) for r in held]),
-                            *(np.concatenate([np.frombuffer(r[c], t) for r in held])
-                              for c, t in (("high", high_type), ("low", low_type))))
-            return pa.RecordBatch.from_arrays([*places.by_document(places.compared(first_too)[0])], ["id", "t", "pos"])
-
-        for batch in batches:
-            known = batch.filter(pa.array(batch.column("kind").to_numpy() == 0))
-            if known.num_rows:
-                yield known.select(["id", "t", "pos"])
-            for r in batch.filter(pa.array(batch.column("kind").to_numpy() == 1)).to_pylist():
-                if held and r["bucket"] != now:
-                    yield out()
-                    held = []
-                n = len(r["row"]) // r["row"][0]  # the leading size byte doesn't add an element
-                r["kinds"] = (f"<u{len(r['high']) // n}", f"<u{len(r['low']) // n}")
-                now = r["bucket"]
-                held.append(r)
-        if held:
-            yield out()
-
-    dealt = docs.select("id", "t", "text", "marks").mapInArrow(deal, _DEALT)
-    return (dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(settle, _REPORT))
+        for held in _by_bucket(batches):
+            if held[0]["kind"] == 0:
+                rows = [tuple(r[c] for c in _NAMES) for r in held]
+            else:
+                places = _unpacked_places(held)
+                rows = places.reported(places.compared(first_too)[0], buckets)
+            if rows:
+                yield _batch_of(rows)
+
+    def gather(batches):
+        for held in _by_bucket(batches):
+            yield pa.RecordBatch.from_arrays([*_unpacked_places(held).by_document()], ["id", "t", "marks"])
+
+    dealt = docs.select("id", "t", "text", "marks").mapInArrow(released(deal), _DEALT)
+    settled = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(released(settle), _DEALT)
+    return (settled.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(released(gather), "id long, t long, marks binary"))
 
 
 def _anchors(window: int, period: int, cover: tuple[int, ...]):
@@ -197,23 +222,21 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
 def _windows(window: int, period: int):
     def find(w: wordhash.Words, marks):
         change = np.zeros(len(w.hash) + 1, dtype=np.int32)
-        for r, blobs in enumerate(marks.to_pylist()):
-            for blob in blobs or ():
-                at = np.frombuffer(blob, "<u4").astype(np.int64) + w.first[r]
-                np.add.at(change, np.maximum(at - (period - 1), w.first[r]), 1)
-                np.add.at(change, at + 1, -1)
+        for r, blob in enumerate(marks.to_pylist()):
+            at = np.frombuffer(blob or b"", "<u4").astype(np.int64) + w.first[r]
+            np.add.at(change, np.maximum(at - (period - 1), w.first[r]), 1)
+            np.add.at(change, at + 1, -1)
         near = np.cumsum(change[:-1]) > 0
         rows = w.rows()
         at = np.flatnonzero(near & (np.arange(len(rows)) + window <= w.row_ends()))
         high, low = wordhash.gram_at(w.hash, at, window), wordhash.gram_at(w.hash, at, window, 1)
-        return rows[at], at - w.first[rows[at]], low >> np.uint64(32), high, (low & np.uint64(0xFFFFFFFF)).astype("<u4")
+        return rows[at], at - w.first[rows[at]], low >> np.uint64(32), high, (low & np.uint64(0xFFFF)).astype("<u2")
 
     return find
 
 
 def _to_documents(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    marks = places.groupBy("id", "t").agg(F.collect_list("pos").alias("marks"))
-    d, m = docs.alias("d"), marks.alias("m")
+    d, m = docs.alias("d"), places.alias("m")
     return (d.join(m, F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.t") == F.col("m.t")), how)
             .select("d.id", "d.t", "d.text", "m.marks"))
 
@@ -228,26 +251,25 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     docs = df.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = partitions_for(df, size, BUCKET_BYTES)
-    unmarked = docs.withColumn("marks", F.lit(None).cast("array<binary>"))
+    unmarked = docs.withColumn("marks", F.lit(None).cast("binary"))
     shared = compare(unmarked, _anchors(window, period, cover), buckets, True)
     repeats = compare(_to_documents(docs, shared, "inner"), _windows(window, period), buckets, False)
 
     def task(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             counts, removed, kept = [], [], []
             texts = batch.column(2).cast(pa.large_binary()).to_pylist()
-            for text, blobs in zip(texts, batch.column(3).to_pylist(), strict=True):
+            for text, blob in zip(texts, batch.column(3).to_pylist(), strict=True):
                 words = text.split()
                 counts.append(len(words))
-                if not blobs:
+                if not blob:
                     removed.append([])
                     kept.append(b" ".join(words))
                     continue
                 change = np.zeros(len(words) + 1, dtype=np.int32)
-                for blob in blobs:
-                    at = np.frombuffer(blob, "<u4")
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + window, -1)
+                at = np.frombuffer(blob, "<u4")
+                np.add.at(change, at, 1)
+                np.add.at(change, at + window, -1)
                 edges = np.flatnonzero(np.diff(np.cumsum(change) > 0, prepend=False, append=False)).tolist()
                 removed.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 rest = zip([0, *edges[1::2]], [*edges[::2], len(words)], strict=True)
@@ -258,5 +280,5 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                  pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "removed", "kept_text"])
 
     return (_to_documents(docs, repeats, "left")
-            .mapInArrow(task, "id long, n_words long, removed array<struct<start:int,end:int>>, kept_text string")
+            .mapInArrow(released(task), "id long, n_words long, removed array<struct<start:int,end:int>>, kept_text string")
             .withColumnRenamed("id", id_col))
