@@ -13,7 +13,7 @@ Jaccard distance, a metric.  The result is the classes of the link graph.
    r of it may miss that one but none of the first n - ceil(s n) + 1, so a
    document is replicated to the cells of these: each linked pair shares one.
    Cells are cut where neighbouring sizes differ by more than s.
-   A parity signature of 4 n to 8 n bits bounds the symmetric difference of two
+   A parity signature of n to 2 n bits bounds the symmetric difference of two
    sets from below; members of a cell that no chain of pairs within the bound
    joins are kept apart.  Documents that cells join form a region (connected
    components); regions don't link to each other.
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, partitions_for, row_slices, stored
+from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, partitions_for, released, row_slices, stored
 from verdigris.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -106,7 +106,7 @@ class Sets:
 
 
 def _signature_bits(n: int) -> int:
-    return 1 << max(6, (4 * n - 1).bit_length()) if n else 64
+    return 1 << max(6, (n - 1).bit_length()) if n else 64
 
 
 def _row_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def _surveyed(docs: DataFrame, size: int) -> DataFrame:
              pa.array([chunks[c].tobytes() for c in used], pa.binary())], names)
 
     names = ["id", "t", "n", "k1", "k2", "signature", "chunk", "counts"]
-    return stored(docs.mapInArrow(task, "id long, t long, n long, k1 long, k2 long, signature binary, chunk int, counts binary"),
+    return stored(docs.mapInArrow(released(task), "id long, t long, n long, k1 long, k2 long, signature binary, chunk int, counts binary"),
                   "sets")
 
 
@@ -168,7 +168,7 @@ def _rarity(surveyed: DataFrame) -> np.ndarray:
 
     parts = (1 << SKETCH_BITS) // _CHUNK
     rows = (surveyed.where("chunk is not null").select("chunk", "counts").repartition(parts, "chunk")
-            .mapInArrow(add, "chunk int, counts binary").collect())  # one row a chunk: 2**SKETCH_BITS counters in all
+            .mapInArrow(released(add), "chunk int, counts binary").collect())  # one row a chunk: 2**SKETCH_BITS counters in all
     sketch = np.zeros((parts, _CHUNK), dtype=np.int64)
     for r in rows:
         sketch[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -258,8 +258,8 @@ def _cells(docs: DataFrame, rarity: np.ndarray, size: int, buckets: int, share:
         if held:
             yield out()
 
-    return (docs.select("text").mapInArrow(deal, "bucket int, keys binary, sizes binary, which binary, low binary, high binary")
-            .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "cell long, node long").distinct())
+    return (docs.select("text").mapInArrow(released(deal), "bucket int, keys binary, sizes binary, which binary, low binary, high binary")
+            .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(meet), "cell long, node long").distinct())
 
 
 def _near(signatures: list[bytes], sizes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
@@ -322,7 +322,7 @@ def _joined_cells(cells: DataFrame, classes: DataFrame, share: tuple[int, int],
 
     parts = partitions_for(cells, 0, 1)
     near = (rows.select("cell", "node", "n", "signature").repartition(parts, "cell").sortWithinPartitions("cell")
-            .mapInArrow(task, "a long, b long"))
+            .mapInArrow(released(task), "a long, b long"))
     return near.unionByName(stars).distinct()
 
 
@@ -350,7 +350,7 @@ def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = batch.column(1).to_numpy() % (1 << WANTED_BITS)
             yield batch.filter(pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
 
-    return docs.select("id", "t", "text").mapInArrow(task, "id long, t long, text string")
+    return docs.select("id", "t", "text").mapInArrow(released(task), "id long, t long, text string")
 
 
 def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -372,7 +372,7 @@ def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                      pa.array([sets.hash[sets.first[r]:sets.first[r + 1]].tobytes() for r in same], pa.binary())],
                     ["region", "k1", "k2", "n", "shingles"])
 
-    return rows.mapInArrow(task, _MEMBER)
+    return rows.mapInArrow(released(task), _MEMBER)
 
 
 class Region:
@@ -462,7 +462,7 @@ def _joined(members: DataFrame, share: tuple[int, int]) -> DataFrame:
         yield rows(out())
 
     parts = partitions_for(members, 0, 1)
-    return members.select(*(c.split()[0] for c in _MEMBER.split(", "))).repartition(parts, "region").sortWithinPartitions("region").mapInArrow(task, "a binary, b binary")
+    return members.select(*(c.split()[0] for c in _MEMBER.split(", "))).repartition(parts, "region").sortWithinPartitions("region").mapInArrow(released(task), "a binary, b binary")
 
 
 def _split(members: DataFrame, share: tuple[int, int], pivots: int, level: int) -> tuple[DataFrame, DataFrame]:
@@ -498,7 +498,7 @@ def _split(members: DataFrame, share: tuple[int, int], pivots: int, level: int)
                                               pa.array(distance, pa.list_(pa.float64()))],
                                              ["region", "k1", "k2", "n", "before", "shingles", "linked", "distance"])
 
-    measured = stored(rows.mapInArrow(measure, "region long, k1 long, k2 long, n long, before long, shingles binary, "
+    measured = stored(rows.mapInArrow(released(measure), "region long, k1 long, k2 long, n long, before long, shingles binary, "
                                                "linked array<binary>, distance array<double>"), "measured")
     me = F.unhex(F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
     links = (measured.select(me.alias("a"), F.explode("linked").alias("b")).where("b is not null and a != b"))
