@@ -278,6 +278,28 @@ def test_merge_into_chunks_rewrites_only_touched_chunks(spark):
     assert all(after[f"r{i}"] == float(i) for i in range(1, 12))
 
 
+@pytest.mark.parametrize("listed", [10_000, 1])
+def test_merge_that_empties_a_chunk_leaves_no_old_rows(spark, monkeypatch, listed):
+    """All rows of one day move, one to no time at all; a row without a time gets one."""
+    from verdigris.operators import tables as TB
+    monkeypatch.setattr(TB, "MAX_LISTED_CHUNKS", listed)
+    t, schema = dt.datetime(2024, 1, 1), "record_id string, ts timestamp_ntz, co2_kg double"
+    rows = {f"r{i}": (t + dt.timedelta(days=i % 4, hours=i), float(i)) for i in range(16)} | {"n0": (None, 20.0), "n1": (None, 21.0)}
+    path = TB.scratch_path(spark, "merge-empties")
+    TB.write_chunked(spark.createDataFrame([(k, *v) for k, v in rows.items()], schema), path, "1 day")
+    moved = {k: (v[0] + dt.timedelta(days=2), v[1] + 100) for k, v in rows.items() if v[0] and v[0].date() == t.date()}
+    moved |= {"n0": (t + dt.timedelta(days=1), 120.0), "r0": (None, 100.0)}
+    for _ in range(2):
+        TB.merge_into_chunks(path, spark.createDataFrame([(k, *v) for k, v in moved.items()], schema), "record_id")
+        after = spark.read.parquet(path).collect()
+        assert len(after) == len(rows)
+        assert {r.record_id: (r.ts, r.co2_kg) for r in after} == rows | moved
+    assert t.date() not in {r.chunk for r in after}
+    TB.merge_into_chunks(path, spark.createDataFrame([("r0", t, 1.0), ("n1", t, 2.0)], schema), "record_id")
+    after = spark.read.parquet(path).collect()
+    assert len(after) == len(rows) and all(r.ts is not None for r in after)
+
+
 def test_bucketed_windows_keep_rows_without_key_or_time(spark):
     """NULL keys and NULL times take part as in plain windows."""
     from pyspark.sql import Window

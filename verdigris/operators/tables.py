@@ -246,8 +246,9 @@ def merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str = "ts", w
     its old chunk.  The touched chunks' list (a few dates, size-checked; else
     their range) is a literal filter, so other folders aren't read.  Rows are
     checkpointed before the overwrite because the job reads the folders it
-    replaces.  A chunk that loses all its rows keeps none: its folder is
-    emptied by the caller's retention.  Returns the rewritten rows."""
+    replaces.  The overwrite leaves the folders of touched chunks that have no
+    row any more, so these are deleted after it.  Rows without a time are a
+    chunk like others.  Returns the rewritten rows."""
     from verdigris.session import cut_lineage
     spark = changed.sparkSession
     table = spark.read.parquet(path)
@@ -257,15 +258,30 @@ def merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str = "ts", w
     touched = cut_lineage(old.unionByName(ch.select("chunk")).distinct())
     listed = [r.chunk for r in touched.limit(MAX_LISTED_CHUNKS + 1).collect()]
     if len(listed) <= MAX_LISTED_CHUNKS:
-        part = table.filter(F.col("chunk").isin(listed))
+        none = F.col("chunk").isNull() if None in listed else F.lit(False)
+        part = table.filter(F.col("chunk").isin([c for c in listed if c is not None]) | none)
     else:
         low, high = touched.agg(F.min("chunk"), F.max("chunk")).first()
-        part = table.filter(F.col("chunk").between(low, high)).join(touched, "chunk", "left_semi")
+        part = _in_chunks(table.filter(F.col("chunk").between(low, high) | F.col("chunk").isNull()), touched, "left_semi")
     rows = cut_lineage(part.join(ch.select(key), key, "left_anti").select(*table.columns).unionByName(ch))
     _write_chunks(rows, path, width, ts)
+    _delete_chunks(spark, path, [r.chunk for r in _in_chunks(touched, rows.select("chunk").distinct(), "left_anti").collect()])
     return rows
 
 
+def _in_chunks(df: DataFrame, chunks: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join by chunk, null-safe."""
+    return df.alias("d").join(chunks.alias("c"), F.col("d.chunk").eqNullSafe(F.col("c.chunk")), how)
+
+
+def _delete_chunks(spark: SparkSession, path: str, chunks: Sequence) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for chunk in chunks:
+        name = "__HIVE_DEFAULT_PARTITION__" if chunk is None else chunk.isoformat()
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"chunk={name}"), True)
+
+
 def expire_chunks(spark: SparkSession, path: str, as_of, days: int, ts: str = "ts") -> list:
     """SNK-09 on a time-chunked table: removes the chunks that end at or before
     the horizon (``as_of - days``) and returns their dates.  A chunk that the
@@ -275,8 +291,5 @@ def expire_chunks(spark: SparkSession, path: str, as_of, days: int, ts: str = "t
     horizon = time_bucket(width, _ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
     gone = [r.chunk for r in table.filter(F.col("chunk") < F.to_date(horizon)).select("chunk").distinct()
             .orderBy("chunk").collect()]  # one date per expired chunk
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for chunk in gone:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"chunk={chunk.isoformat()}"), True)
+    _delete_chunks(spark, path, gone)
     return gone
