@@ -230,6 +230,28 @@ def test_scenarios_from_frame_or_list(spark):
     assert x.count() == 3
 
 
+def test_scenarios_in_blocks(spark):
+    """Blocks of scenarios give the rows of plain Python, repeated and null names too, and no plan gathers them in one array."""
+    from verdigris.operators import carbon as CO
+    cases = [(i, 100.0 * i, 10.0 * i) for i in range(1, 6)]
+    base = spark.createDataFrame(cases, "id int, energy_usage double, water_usage double")
+    sc = [(f"s{i % 9}", i % 4 / 8, i % 3 / 4) for i in range(20)] + [("twice", 0.5, 0.0)] * 2 + [(None, 0.25, 0.0), ("base", 0.5, 0.0)]
+    frame = spark.createDataFrame(sc, "name string, efficiency double, renewable double")
+    want = [(i, e, w, "base") for i, e, w in cases]
+    want += [(i, e * (1 - x) * (1 - 0.3 * y if y > 0 else 1), w * (1 - x), n) for i, e, w in cases for n, x, y in sc]
+    near = lambda rows: sorted((str(n), i, round(e, 6), round(w, 6)) for i, e, w, n in rows)
+    totals = {}
+    for _, e, w, n in want:
+        t = totals.get(n, (0, 0.0, 0.0))
+        totals[n] = (t[0] + 1, t[1] + e, t[2] + w)
+    for size in (3, 100):
+        rows = CO.scenario_analysis(base, frame, block_scenarios=size)
+        assert near(map(tuple, rows.select("id", "energy_usage", "water_usage", "scenario").collect())) == near(want)
+        assert "collect_list" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        got = CO.scenario_totals(base, frame, block_scenarios=size).collect()
+        assert {r.scenario: (r.n, pytest.approx(r.energy_usage), pytest.approx(r.water_usage)) for r in got} == totals
+
+
 def test_trailing_window_prunes_chunks_and_pushes_time_filter(spark):
     import re
     from conftest import SF_SMALL

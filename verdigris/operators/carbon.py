@@ -40,28 +40,81 @@ def factor_lookup(records: DataFrame, categories: DataFrame, ts: str = "ts",
                .select("r.*", F.col("c.co2e_factor")).drop("_y"))
 
 
-def scenario_analysis(base: DataFrame, scenarios) -> DataFrame:
+#: Scenarios that the base cases pass by at once, the bytes that a block of them may have, and the scenarios from which
+#: base cases are dealt out first (a few rows in one task would meet all of them there).
+BLOCK_SCENARIOS, MAX_BLOCK_BYTES, DEAL_FROM = 100_000, 64 << 20, 1_000
+
+
+def _stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    from verdigris.operators.tables import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _scenario_passes(base: DataFrame, scenarios, block_scenarios: int, finish) -> list[DataFrame]:
+    """``finish`` of the base cases adjusted by each block of scenarios.  With
+    more blocks than one each pass is stored before the next begins, so the
+    driver and the executors need one block at a time."""
+    spark = base.sparkSession
+    if not isinstance(scenarios, DataFrame):
+        scenarios = spark.createDataFrame([(n, float(e), float(r)) for n, e, r in scenarios],
+                                          "name string, efficiency double, renewable double")
+    sc = scenarios.select(F.col("name").alias("_name"), F.col("efficiency").cast("double").alias("_efficiency"),
+                          F.col("renewable").cast("double").alias("_renewable"))
+    n_bytes = F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("_name").cast("string")), F.lit(0)) + 64), F.lit(0))
+    n, size = sc.agg(F.count("*"), n_bytes).first()
+    blocks = max(1, -(-n // block_scenarios), -(-2 * size // MAX_BLOCK_BYTES))
+    if n >= DEAL_FROM:
+        base = base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = [sc]
+    if blocks > 1:
+        # dealt by a row number that the write fixes, so repeated scenarios are spread too
+        dealt = sc.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+        dealt = _stored(_stored(dealt, "scenarios").repartition("_block"), "scenario-blocks", "_block")
+        size = dealt.groupBy("_block").agg(n_bytes.alias("b")).agg(F.max("b")).first()[0]
+        parts = [dealt.where(F.col("_block") == b).drop("_block") for b in range(blocks)]
+        base = _stored(base, "base-cases")
+    if size > MAX_BLOCK_BYTES:
+        raise ValueError(f"{size} bytes of scenarios exceed the broadcast bound of {MAX_BLOCK_BYTES}")
+    keep = [c for c in base.columns if c not in ("energy_usage", "water_usage")]
+    done = []
+    for part in parts:
+        out = finish(base.crossJoin(F.broadcast(part)).select(
+            *keep, F.col("_name").alias("scenario"),
+            C.scenario_energy("energy_usage", "_efficiency", "_renewable").alias("energy_usage"),
+            C.scenario_water("water_usage", "_efficiency").alias("water_usage")))
+        done.append(_stored(out, "scenario-pass") if blocks > 1 else out)
+    return done
+
+
+def scenario_analysis(base: DataFrame, scenarios, block_scenarios: int = BLOCK_SCENARIOS) -> DataFrame:
     """JOIN-06 + PRJ-13 + SET-02: each base case unchanged (scenario
     'base') plus every base case adjusted by every scenario.
 
     Scenarios are (name, efficiency, renewable) tuples or a DataFrame of
-    them, any number.  They are gathered into one array on the executors (a
-    scalar subquery) that each base row explodes: no join, no shuffle of the
-    base cases, nothing on the driver."""
-    if not isinstance(scenarios, DataFrame):
-        scenarios = base.sparkSession.createDataFrame([(n, float(e), float(r)) for n, e, r in scenarios],
-                                                      "name string, efficiency double, renewable double")
-    one = F.struct(F.col("name"), F.col("efficiency").cast("double").alias("efficiency"),
-                   F.col("renewable").cast("double").alias("renewable"))
-    arr = scenarios.select(F.sort_array(F.collect_list(one))).scalar()
-    keep = [c for c in base.columns if c not in ("energy_usage", "water_usage")]
-    exp = base.withColumn("_all", arr).select("*", F.explode("_all").alias("_s"))
-    adj = exp.select(
-        *keep, F.col("_s.name").alias("scenario"),
-        C.scenario_energy("energy_usage", "_s.efficiency", "_s.renewable").alias("energy_usage"),
-        C.scenario_water("water_usage", "_s.efficiency").alias("water_usage"))
-    base_rows = base.withColumn("scenario", F.lit("base"))
-    return base_rows.unionByName(adj)
+    them, any number: a stated query set, dealt by hash into blocks that are
+    broadcast (through the driver, size-checked); the base cases pass by each.
+    The result has a row for each base case and scenario; for totals of many
+    scenarios use ``scenario_totals``, which doesn't keep these rows."""
+    out = base.withColumn("scenario", F.lit("base"))
+    for rows in _scenario_passes(base, scenarios, block_scenarios, lambda adjusted: adjusted):
+        out = out.unionByName(rows)
+    return out
+
+
+def scenario_totals(base: DataFrame, scenarios, block_scenarios: int = BLOCK_SCENARIOS) -> DataFrame:
+    """``scenario_analysis`` as one row per scenario: n, energy_usage and
+    water_usage, aggregated in each block's own pass."""
+    sums = [F.sum(c).alias(c) for c in ("energy_usage", "water_usage")]
+
+    def totals(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("scenario").agg(F.count("*").alias("n"), *sums)
+
+    out = totals(base.withColumn("scenario", F.lit("base")))
+    for part in _scenario_passes(base, scenarios, block_scenarios, totals):
+        out = out.unionByName(part)
+    return out.groupBy("scenario").agg(F.sum("n").alias("n"), *sums)  # a name may be in several blocks
 
 
 def with_interval(df: DataFrame, pred: str = "prediction", sigma: str = "sigma", z: float = 1.96) -> DataFrame:

@@ -206,8 +206,8 @@ GROUP BY 1""", bc=BASE_CASES_SQL))
 def prj13_many(spark, d):
     sc = L.table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("name"),
                                               (F.col("c_custkey") % 100 / 100.0).alias("efficiency"), F.lit(0.0).alias("renewable"))
-    out = CO.scenario_analysis(base_cases(spark, d), sc)
-    return out.groupBy("scenario").agg(F.count("*").alias("n"), r(F.sum("energy_usage")).alias("energy_usage"))
+    out = CO.scenario_totals(base_cases(spark, d), sc)
+    return out.select("scenario", "n", r("energy_usage").alias("energy_usage"))
 
 
 @register("prj15_wei_exact", "PRJ-15", L.with_ctes("""
