@@ -209,6 +209,32 @@ def test_decontamination(spark, docs, window, gram, block_windows):  # noqa: F81
     assert all(r.found == "f" for r in got)
 
 
+def test_copies_of_a_contaminated_text_count_once_in_each_block(spark, monkeypatch):
+    """Of 400 copies only one row for each block gets to the lists of hits."""
+    plans, kept = [], decontaminate.stored
+
+    def stored(df, name):
+        if name == "more-hits":
+            plans.append(df._jdf.queryExecution().optimizedPlan())
+        return kept(df, name)
+
+    monkeypatch.setattr(decontaminate, "stored", stored)
+    hot, other = sentence(3, 45), sentence(5, 60)
+    texts = [(i, hot) for i in range(400)] + [(400, other), (401, "nothing of it"), (402, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    items = [(1, hot), (2, other), (3, hot[10:])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.mark(df, table, block_windows=9, result="f").collect()
+    want = brute_contamination(items, texts, 13)
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.f.n_words, r.f.n_hit, r.f["items"], r.f.contaminated)) for r in got)
+    groups, node = [], plans[0]
+    while node.children().size() == 1:
+        if node.nodeName() == "Aggregate":
+            groups.append((node.groupingExpressions().size(), "collect_list" in node.aggregateExpressions().toString()))
+        node = node.children().head()
+    assert groups == [(1, True), (2, False)]  # lists by digest, of one row by digest and block
+
+
 def test_decontamination_of_empty_tables(spark, docs, no_docs):  # noqa: F811
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, sentence(3, 45))], "item_id long, text string")

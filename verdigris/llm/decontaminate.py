@@ -14,8 +14,8 @@ The benchmark is a stated query set: its windows are dealt by hash into blocks
 of about ``BLOCK_WINDOWS``, each block is broadcast (size-checked), and the
 documents pass by it within their own partitions, without a shuffle.  What a
 block holds doesn't grow with the documents.  With more blocks than one, each
-makes one pass that leaves hits by the digest of their text, and these are
-joined to the documents.
+makes one pass that leaves hits by the digest of their text, one row for each
+digest and block, and these are joined to the documents.
 
 Defined results: null texts have no words and no hits; items without words
 have no window; repeated items and repeated documents each count by
@@ -160,9 +160,11 @@ def mark(df: DataFrame, items: DataFrame, text_col: str = "text", keep: list[str
     else:  # each block's hits by the text's digest, then all blocks' hits to the rows
         digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
         hit = [_passed(rows.select(F.struct(digest.alias("key")).alias("kept"), "text"), part(b)).where("size(hits) > 0")
-               for b in range(1, blocks)]
-        more = stored(_all(hit).groupBy("kept.key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("more_hits"),
-                                                        F.array_distinct(F.flatten(F.collect_list("items"))).alias("more_items")),
+               .select("kept.key", F.lit(b).alias("block"), F.struct("hits", "items").alias("h")) for b in range(1, blocks)]
+        # copies of a text have equal hits: each task keeps one row for a digest and block before they meet
+        once = _all(hit).groupBy("key", "block").agg(F.first("h").alias("h"))
+        more = stored(once.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("h.hits"))).alias("more_hits"),
+                                              F.array_distinct(F.flatten(F.collect_list("h.items"))).alias("more_items")),
                       "more-hits")
         out = _merged_rows(_passed(rows, part(0), keep_text=True).withColumn("key", digest).join(more, "key", "left"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
