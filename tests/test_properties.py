@@ -252,6 +252,19 @@ def test_scenarios_in_blocks(spark):
         assert {r.scenario: (r.n, pytest.approx(r.energy_usage), pytest.approx(r.water_usage)) for r in got} == totals
 
 
+def test_csv_columns_after_many_others(spark, tmp_path):
+    """Known columns are found wherever the header has them, also beside narrow files."""
+    from verdigris.sources.files import load_historical_csv
+    for n in (0, 70, 300):
+        head = [f"x{i}" for i in range(n)] + ["Source", "Energy_kWh", "FacilityID", "Timestamp"]
+        rows = [['"a, b"'] * n + ["meter", f"{i}.5", f"plant-{n}-{i}", f"2024-01-0{i} 00:00:00"] for i in range(1, 4)]
+        (tmp_path / f"wide{n}.csv").write_text("\n".join(",".join(r) for r in [head, *rows]) + "\n")
+    ok, bad = load_historical_csv(spark, str(tmp_path))
+    got = sorted((r.facility_id, r.ts, r.kwh, r.source) for r in ok.collect())
+    assert got == sorted((f"plant-{n}-{i}", dt.datetime(2024, 1, i), i + 0.5, "meter") for n in (0, 70, 300) for i in range(1, 4))
+    assert bad.count() == 0
+
+
 def test_trailing_window_prunes_chunks_and_pushes_time_filter(spark):
     import re
     from conftest import SF_SMALL

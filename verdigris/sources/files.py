@@ -23,8 +23,6 @@ CSV_SCHEMA = T.StructType([
     T.StructField("Energy_kWh", T.StringType()), T.StructField("Source", T.StringType()),
 ])
 SUPPORTED_EXTENSIONS = ("csv", "json")
-#: Columns that a CSV file may have, known ones and others.
-MAX_CSV_COLUMNS = 64
 
 
 def _to_energy_usage(raw: DataFrame) -> DataFrame:
@@ -42,13 +40,20 @@ def read_csv_by_header(spark: SparkSession, path: str, names: Sequence[str]) ->
     ``file_path``; each file's own header says where a column is, so files may
     order their columns differently and have others beside them.  A file
     without one of the columns gives NULLs there; one without any header line
-    gives only NULLs (its rows are rejected, not lost)."""
+    gives only NULLs (its rows are rejected, not lost).  Lines are parsed into
+    as many columns as the widest header may have (its commas and one more),
+    which one aggregate over the lines finds."""
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
              .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_at"))
              .where(F.trim("value") != ""))
-    generic = ", ".join(f"c{i} string" for i in range(MAX_CSV_COLUMNS))
-    fields = F.array(*[F.col("_f")[f"c{i}"] for i in range(MAX_CSV_COLUMNS)])
-    split = lines.withColumn("_f", F.from_csv("value", generic)).select("file_path", "_at", fields.alias("_v"))
+    named = sum((F.contains("value", F.lit(n)).cast("int") for n in names), F.lit(0))
+    widest = lines.where((F.col("_at") == 0) & (named >= 2)).agg(F.max(F.regexp_count("value", F.lit(",")))).first()[0]
+    width = max(len(names), (widest or 0) + 1)
+    generic = ", ".join(f"c{i} string" for i in range(width))
+    parsed = F.from_csv("value", generic, {"maxColumns": str(max(20480, width))})  # 20480 is the parser's own bound
+    # in a lambda, as Spark would parse the line once for each column else
+    fields = F.transform(F.array(parsed), lambda f: F.array(*[f[f"c{i}"] for i in range(width)]))[0]
+    split = lines.select("file_path", "_at", fields.alias("_v"))
     known = F.size(F.array_intersect(F.transform("_v", lambda x: F.trim(x)), F.array(*map(F.lit, names))))
     is_header = (F.col("_at") == 0) & (known >= 2)
     headers = (split.where(is_header).groupBy("file_path")
