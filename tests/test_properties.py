@@ -265,6 +265,31 @@ def test_csv_columns_after_many_others(spark, tmp_path):
     assert bad.count() == 0
 
 
+def test_event_parts_have_as_many_files_as_the_scan_has_partitions(spark, tmp_path):
+    """Four micro-batches, each of several files; every row comes once."""
+    from conftest import SF_CHECK
+    from verdigris.plans import cat_streaming as CS
+    from verdigris.plans import logical as L
+    from verdigris.streaming import ingest as S
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    batches = []
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        e = L.table(spark, SF_CHECK, "events")
+        files = e.rdd.getNumPartitions()
+        stream = CS._events_in_parts(spark, SF_CHECK).withColumn("_file", F.col("_metadata.file_path"))
+
+        def keep(df, _):
+            batches.append((df.count(), df.select("_file").distinct().count(), df.agg(F.min("ts"), F.max("ts")).first()))
+
+        S.run_available_now(stream, str(tmp_path / "ckpt"), mode="append", foreach_batch=keep)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert files > 1 and [n for _, n, _ in batches] == [files] * 4
+    assert sum(n for n, _, _ in batches) == e.count()
+    assert all(a[2][1] < b[2][0] for a, b in zip(batches, batches[1:]))
+
+
 def test_trailing_window_prunes_chunks_and_pushes_time_filter(spark):
     import re
     from conftest import SF_SMALL

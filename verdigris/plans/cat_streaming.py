@@ -25,17 +25,19 @@ def _events_stream(spark, d):
 
 
 def _events_in_parts(spark, d, late: bool = False):
-    """The events as a stream of four micro-batches: files by time, read one at
-    a time; with ``late`` a fifth brings rows of the first day again."""
+    """The events as a stream of four micro-batches by time; with ``late`` a
+    fifth brings rows of the first day again.  Each part is dealt to as many
+    files as the table's scan has partitions, and a micro-batch reads so many."""
     e, path = L.table(spark, d, "events"), scratch_path(spark, "event-files")
+    files = max(1, e.rdd.getNumPartitions())
     low, high = (x.timestamp() for x in e.agg(F.min("ts"), F.max("ts")).first())
     part = F.greatest(F.lit(0), F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - low) * 4 / (high - low + 1)))
     for n in range(4):
-        e.filter(part == n).coalesce(1).write.mode("append").parquet(path)
+        e.filter(part == n).repartition(files).write.mode("append").parquet(path)
     if late:
         first = e.filter(F.to_date("ts") == e.select(F.to_date(F.min("ts"))).scalar())
-        first.coalesce(1).write.mode("append").parquet(path)
-    return S.read_stream(spark, path, e.schema, "parquet", max_files_per_trigger=1)
+        first.repartition(files).write.mode("append").parquet(path)
+    return S.read_stream(spark, path, e.schema, "parquet", max_files_per_trigger=files)
 
 
 def _run_batches(spark, df: DataFrame, mode: str, name: str) -> DataFrame:
