@@ -290,6 +290,21 @@ def test_event_parts_have_as_many_files_as_the_scan_has_partitions(spark, tmp_pa
     assert all(a[2][1] < b[2][0] for a, b in zip(batches, batches[1:]))
 
 
+def test_inventory_check_notices_a_lost_file(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from verdigris.plans import cat_sources as CS
+    from verdigris.plans.catalog import entries
+    whole, inventory = entries()["src03_inventory_files"].build(spark, SF_SMALL).collect(), CS.SF.file_inventory
+
+    def losing(session, path):
+        files = inventory(session, path)
+        return files.where(F.col("path") != files.select(F.max("path")).first()[0])
+
+    monkeypatch.setattr(CS.SF, "file_inventory", losing)
+    lost = entries()["src03_inventory_files"].build(spark, SF_SMALL).collect()
+    assert sum(r.files for r in whole) == 1 + sum(r.files for r in lost)
+
+
 def test_trailing_window_prunes_chunks_and_pushes_time_filter(spark):
     import re
     from conftest import SF_SMALL

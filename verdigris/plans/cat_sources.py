@@ -98,6 +98,21 @@ def src03(spark, d):
     return inv.select("extension", "supported").distinct()
 
 
+@register("src03_inventory_files", "SRC-03", L.with_ctes("""
+SELECT 'csv' AS extension, true AS supported, count(*) AS files, sum(length(CAST(n AS VARCHAR)) + 1)::BIGINT AS bytes
+FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority)
+UNION ALL SELECT 'json', true, count(*), sum(length(CAST(n AS VARCHAR)) + 7)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)
+UNION ALL SELECT 'txt', false, count(*), sum(length(CAST(n AS VARCHAR)) + 1)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority)"""))
+def src03_files(spark, d):
+    """A known number of files of known sizes: one for each group, with its count."""
+    o, root = L.table(spark, d, "orders"), scratch_path(spark, "inventory")
+    for fmt, keys in (("csv", ["o_orderstatus", "o_orderpriority"]), ("json", ["o_orderstatus"]), ("text", ["o_orderpriority"])):
+        n = F.count("*").cast("string") if fmt == "text" else F.count("*")
+        (o.groupBy(*keys).agg(n.alias("n")).repartition(*keys).write.partitionBy(*keys).format(fmt).save(f"{root}/{fmt}"))
+    return (SF.file_inventory(spark, root).groupBy("extension", "supported")
+            .agg(F.countDistinct("path").alias("files"), F.sum("length").alias("bytes")))
+
+
 @register("src03_ingest_report", "SRC-03", L.with_ctes("""
 SELECT 'csv' AS extension, true AS supported,
        count(*) FILTER (WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority <> '5-LOW') AS rows_loaded FROM orders
