@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale jobs and their queries.
+"""Training-data operators: thirteen corpus-scale jobs and their queries.
 
 Nothing else in the library imports this subpackage.  Functions that run in
 Python workers are shipped by value, so an executor needs only the public

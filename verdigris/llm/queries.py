@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import (byte_bpe, decontaminate, exact_dedup, jaccard_join, quality, secret_scan, substring_dedup,
-                           token_count, url_filter, warc)
+from verdigris.llm import (byte_bpe, decontaminate, deobfuscate, exact_dedup, jaccard_join, period_runs, quality, secret_scan,
+                           substring_dedup, token_count, toxicity, url_filter, warc, whitening)
 from verdigris.llm.common import table
 
 #: The URL rules of the contract (host, path, verdict).
@@ -74,9 +74,35 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    characters = deobfuscate.model(deobfuscate.count_trigrams(docs))
+    weights = toxicity.train(docs, labels.where(toxicity.training_fold(F.col("doc_id"))), characters)
+    return (toxicity.score(docs, characters, weights, keep=["doc_id"])
+            .select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
+                    "toxicity.score", "toxicity.predicted", "toxicity.n_restored"))
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = period_runs.with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = F.transform("periodic.runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    best = period_runs.best_run(F.col("periodic.runs"))
+    return (period_runs.mark(docs, keep=["doc_id"])
+            .select("doc_id", F.size("periodic.runs").cast("long").alias("n_runs"), best.alias("best"),
+                    F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "").alias("lines"), "periodic.kept_text")
+            .select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                    F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                    F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_url_filter, op4_token_count, op5_warc, op6_substring_dedup, op7_secret_scan,
-                              op8_quality, op9_decontaminate, op10_jaccard_join)
+                              op8_quality, op9_decontaminate, op10_jaccard_join, op11_toxicity, op12_period_runs, op13_whitening)
 }
 
 OP2_SQL = """
