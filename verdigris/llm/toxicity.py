@@ -10,7 +10,7 @@ lower-cased) and their first ``PREFIXES`` letters, as 64-bit hashes.  The score
 regression on which of them are present, with an L1 penalty, fitted by
 accelerated proximal gradient steps: words that better ones explain get no
 weight, so neither names nor copies of one text add up, and no word has a
-negative one.
+negative one.  The bias makes the mean score the share of toxic texts.
 
 Training reads labelled rows in the order of a hash of their id, at most
 ``MAX_ROWS`` and ``MAX_BYTES`` of text (documented bounds; all where there are
@@ -129,6 +129,19 @@ def fit_logistic(y: np.ndarray, rows: np.ndarray, which: np.ndarray, n: int, pen
     return w, float(bias)
 
 
+def calibrated(margin: np.ndarray, y: np.ndarray) -> float:
+    """What to add to the margins so that the mean score is the share of
+    y = 1: a text without evidence never scores above that share."""
+    low, high = -60.0, 60.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        if np.mean(1 / (1 + np.exp(-np.clip(margin + middle, -500, 500)))) < y.mean():
+            low = middle
+        else:
+            high = middle
+    return (low + high) / 2
+
+
 def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, max_features: int = MAX_FEATURES,
           min_toxic: int = MIN_TOXIC, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -171,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "
         number[telling] = np.arange(len(telling))
         kept = number[which] >= 0
         some, bias = fit_logistic(y, rows[kept], number[which[kept]], len(telling), penalty, steps)
+        bias += calibrated(np.bincount(rows[kept], weights=some[number[which[kept]]], minlength=len(y)) + bias, y)
         w = np.zeros(len(given.value))
         w[telling] = some
         yield pa.RecordBatch.from_arrays([pa.array([np.append(w, bias).astype("<f8").tobytes()], pa.binary())], ["w"])
