@@ -37,14 +37,18 @@ REFINE_BINS = 1024
 SALTS = 32                  # tasks that one group's rows are dealt to
 
 
-def _stored(band: DataFrame) -> DataFrame:
-    """The band table, written to a folder of this call below the shared
-    checkpoint folder and read back: the passes that use it share one sketch
-    pass, and no later read of the input can meet a stale cache."""
+def stored(table: DataFrame, name: str) -> DataFrame:
+    """A table written to a folder of this call below the shared checkpoint
+    folder and read back: the passes that use it share one computation, and no
+    later read of the input can meet a stale cache."""
     from verdigris.operators.tables import scratch_path
-    path = scratch_path(band.sparkSession, "quantile-band")
-    band.write.parquet(path)
-    return band.sparkSession.read.schema(band.schema).parquet(path)
+    path = scratch_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def _stored(band: DataFrame) -> DataFrame:
+    return stored(band, "quantile-band")
 
 
 def _refine(attach, band: DataFrame, keys: list[str], below: Column, inside: Column, max_band: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import carbon as C
+from verdigris.operators.intervals import interval_lookup
 
 
 def with_co2e(records: DataFrame, gwp_ch4: float = C.GWP_CH4, gwp_n2o: float = C.GWP_N2O) -> DataFrame:
@@ -16,28 +17,14 @@ def with_co2e(records: DataFrame, gwp_ch4: float = C.GWP_CH4, gwp_n2o: float = C
 
 
 def factor_lookup(records: DataFrame, categories: DataFrame, ts: str = "ts",
-                  key: str = "source_type", max_broadcast_rows: int = 100_000) -> DataFrame:
+                  key: str = "source_type", max_broadcast_rows: int | None = None) -> DataFrame:
     """JOIN-05: validity-dated factor: effective_from <= ts < effective_to
-    (NULL = open), left outer.
-
-    The join key (a source type) has few values, so a shuffle on it alone
-    would put all records into a handful of tasks.  The category table is
-    therefore broadcast once its row count is proven small; beyond that
-    bound each category version is exploded over the years it is valid and
-    the join runs on (type, year), which spreads the shuffle."""
-    from verdigris.operators.joins import broadcast_if_small
-    cond = ((F.col(f"r.{key}") == F.col("c.category_code"))
-            & (F.col(f"r.{ts}") >= F.col("c.effective_from"))
-            & (F.col("c.effective_to").isNull() | (F.col(f"r.{ts}") < F.col("c.effective_to"))))
-    small, ok = broadcast_if_small(categories, max_broadcast_rows)
-    if ok:
-        return records.alias("r").join(small.alias("c"), cond, "left").select("r.*", F.col("c.co2e_factor"))
-    last = records.select(F.max(ts)).scalar()
-    cats = categories.withColumn("_y", F.explode(F.sequence(
-        F.year("effective_from"), F.year(F.coalesce(F.col("effective_to"), last)))))
-    rec = records.withColumn("_y", F.year(ts))
-    return (rec.alias("r").join(cats.alias("c"), cond & (F.col("r._y") == F.col("c._y")), "left")
-               .select("r.*", F.col("c.co2e_factor")).drop("_y"))
+    (NULL = open), left outer, with any number of versions per category
+    (``operators.intervals``): dealt by category and day, so a category with
+    all records and daily versions spreads over as many tasks as it has days.
+    ``max_broadcast_rows`` is accepted for older callers and has no effect:
+    one plan serves every size."""
+    return interval_lookup(records, categories, key, "category_code", ["co2e_factor"], ts)
 
 
 #: Scenarios that the base cases pass by at once, the bytes that a block of them may have, and the scenarios from which

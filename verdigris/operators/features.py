@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.quantiles import DEFAULT_ACCURACY, exact_quantiles
+from verdigris.functions.ranking import numbered
 from verdigris.functions.time import epoch_hours, epoch_micros
 from verdigris.operators import series as S
 from verdigris.operators.series import DEFAULT_BUCKET
@@ -162,30 +163,44 @@ def interpolate_linear(df: DataFrame, value: str, key=None, ts: str = "ts", tieb
 
 
 # ---------------------------------------------------------------- WIN-09..12
+def dense_series(df: DataFrame, features: Sequence[str], target: str, ahead: int, key: str = "facility_id", ts: str = "ts",
+                 tiebreak: str | None = None, bucket=DEFAULT_BUCKET) -> DataFrame:
+    """One row per series and bucket with the bucket's rows, and the ``ahead``
+    rows after it, as arrays in series order: ``t`` times, ``x`` features,
+    ``y`` targets; ``own`` of them are the bucket's, ``i`` is the series
+    position of the first and ``n`` the series length.  Rows are shuffled once
+    with their neighbours' few, whatever the length of the windows that are
+    cut from them."""
+    src = df.select(key, ts, *([tiebreak] if tiebreak else []), *sorted({*features, target} - {key, ts, tiebreak}))
+    framed = S.with_halo(src, key, _order(ts, tiebreak), bucket, ahead=ahead, ts=ts)
+    row = F.struct("_i", F.col(ts).alias("t"), F.struct(*features).alias("x"), F.col(target).alias("y"))
+    return (framed.groupBy(key, "_home").agg(F.sort_array(F.collect_list(row)).alias("_rows"), F.count_if(~F.col("_halo")).alias("own"),
+                                             F.max("_n").alias("n"))
+            .select(key, F.col("_rows.t").alias("t"), F.col("_rows.x").alias("x"), F.col("_rows.y").alias("y"),
+                    F.col("own").cast("int").alias("own"), F.col("_rows")[0]["_i"].alias("i"), "n"))
+
+
 def training_windows(df: DataFrame, features: Sequence[str], target: str, window: int, horizon: int,
                      key: str = "facility_id", ts: str = "ts", tiebreak: str | None = None,
                      drop_last: bool = False, bucket=DEFAULT_BUCKET) -> DataFrame:
     """WIN-09 / WIN-10: for each start row, ``window`` rows of features and the
-    next ``horizon`` targets; only complete windows are kept, giving
-    n - window - horizon + 1 samples per series (one fewer with
-    ``drop_last``).  Arrays are built after column pruning."""
-    feat = F.struct(*[F.col(c) for c in features])
-    src = df.select(key, ts, *([tiebreak] if tiebreak else []), *{*features, target})
+    next ``horizon`` targets; only complete windows are kept (``window``
+    feature rows and ``horizon`` known targets), giving n - window - horizon + 1
+    samples per series (one fewer with ``drop_last``).
 
-    def build(w):
-        return [F.collect_list(feat).over(w.rowsBetween(0, window - 1)).alias("x"),
-                F.collect_list(F.col(target)).over(w.rowsBetween(window, window + horizon - 1)).alias("y")]
-    if bucket is None:
-        w = series_window(key, ts, tiebreak)
-        out = src.select("*", *build(w), (F.row_number().over(w) - 1).alias("_i"),
-                         F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n"))
-    else:
-        out = S.apply_framed(src, key, _order(ts, tiebreak), build, ahead=window + horizon - 1,
-                             bucket=bucket, ts=ts, keep_positions=True)
-    out = out.filter((F.size("x") == window) & (F.size("y") == horizon))
-    if drop_last:
-        out = out.filter(F.col("_i") + 1 < F.col("_n") - window - horizon + 1)
-    return out.select(key, F.col(ts).alias("window_start"), "x", "y")
+    Windows are slices of ``dense_series``: rows aren't copied before a window
+    is used.  ``bucket=None`` takes a series as one bucket."""
+    d = dense_series(df, features, target, window + horizon - 1, key, ts, tiebreak, bucket)
+    complete = F.least("own", F.size("x") - (window + horizon - 1))
+    starts = F.when(complete > 0, F.sequence(F.lit(0), complete - 1)).otherwise(F.array().cast("array<int>"))
+
+    def wanted(j):
+        known = F.forall(F.slice("y", j + 1 + window, horizon), lambda v: v.isNotNull())
+        return known & (F.col("i") + j + 1 < F.col("n") - window - horizon + 1) if drop_last else known
+    d = d.withColumn("_starts", F.filter(starts, wanted))  # before the rows are made, which then are plain slices
+    return (d.select(key, "t", "x", "y", F.explode("_starts").alias("_j"))
+            .select(key, F.get("t", "_j").alias("window_start"), F.slice("x", F.col("_j") + 1, F.lit(window)).alias("x"),
+                    F.slice("y", F.col("_j") + 1 + window, F.lit(horizon)).alias("y")))
 
 
 def multi_horizon_targets(df: DataFrame, target: str, window: int, horizons: Sequence[int] = (1, 6, 24),
@@ -277,9 +292,12 @@ def _category(c: str) -> Column:
 def category_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """ML-03 fit: the vocabulary as a table (column, category, index), the
     index in the categories' order ('missing' for NULL).  It stays on the
-    executors, whatever its size."""
+    executors, whatever its size: distinct categories are range-partitioned
+    and numbered from the sizes of the partitions, so no task ranks a column."""
     found = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _category(c).alias("category")) for c in cols]))).distinct()
-    return found.withColumn("index", F.row_number().over(Window.partitionBy("column").orderBy("category")) - 1)
+    placed = numbered(found, [F.col("column"), F.col("category")])
+    first = placed.groupBy("column").agg(F.min("_pos").alias("_first"))
+    return placed.join(F.broadcast(first), "column").select("column", "category", (F.col("_pos") - F.col("_first")).alias("index"))
 
 
 def category_index(df: DataFrame, table: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -11,19 +11,21 @@ history length.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions.time import epoch_micros
 from verdigris.operators import features as FE
 from verdigris.operators.monitor import regression_metrics
 
@@ -162,18 +164,83 @@ def train_forecaster(features: DataFrame, feature_cols: Sequence[str], label: st
     return {"model": model, "metrics": metrics, "sigma": float(sigma)}
 
 
-def tune(features: DataFrame, feature_cols: Sequence[str], label: str, parallelism: int = 4,
-         seed: int = 42) -> TrainValidationSplit:
-    """ML-09: grid search over a declared space with a train/validation
-    split; returns the fitted TrainValidationSplitModel (best model kept)."""
+def rolling_origin(features: DataFrame, folds: int = 3, test_size: float = 0.3, gap: int = 0, key: str = "facility_id",
+                   ts: str = "ts", tiebreak: str | None = None) -> DataFrame:
+    """Chronological folds for validation: the last ``test_size`` share of
+    each series is cut into ``folds`` blocks; block f (column ``fold``, NULL
+    before the blocks) validates what was fitted on the rows that end at least
+    ``gap`` rows before it.  Choose the gap as window + horizon and no training
+    window overlaps a validation row.  ``first_fold`` is the first fold that the
+    row may train (NULL: none); ``train_rows`` and ``fold`` select.  Positions
+    come without a series-wide sort."""
+    from verdigris.operators import series as S
+    order = [F.col(ts)] + ([F.col(tiebreak)] if tiebreak else [])
+    pos = S.positions(features, key, order, ts=ts)
+    starts = [F.floor(F.col("_n") * (1 - test_size + test_size * f / folds) + 1e-9) for f in range(folds)]
+    fold = F.when(F.lit(False), F.lit(0))
+    first = F.when(F.lit(False), F.lit(0))
+    for f in range(folds):
+        first = first.when(F.col("_i") < starts[f] - gap, F.lit(f))
+    for f in reversed(range(folds)):
+        fold = fold.when(F.col("_i") >= starts[f], F.lit(f))
+    return pos.withColumn("fold", fold).withColumn("first_fold", first).drop("_i", "_n")
+
+
+def train_rows(folded: DataFrame, fold: int) -> DataFrame:
+    """Rows that a fold is fitted on."""
+    return folded.where(F.col("first_fold") <= fold)
+
+
+def fold_metrics(scored: DataFrame, actual: str, predicted: str = "prediction") -> DataFrame:
+    """n, mae and rmse of each validation block."""
+    off = F.col(actual) - F.col(predicted)
+    return (scored.where(F.col("fold").isNotNull()).groupBy("fold")
+            .agg(F.count("*").alias("n"), F.avg(F.abs(off)).alias("mae"), F.sqrt(F.avg(off * off)).alias("rmse")).orderBy("fold"))
+
+
+@dataclass
+class Tuned:
+    """Outcome of ``tune``: the parameter maps, the mean validation RMSE of
+    each, the best one's index, and its model fitted on all rows."""
+
+    params: list[dict]
+    validationMetrics: list[float]
+    best: int
+    bestModel: PipelineModel
+
+
+#: Parameters that ``tune`` tries by default.
+GRID = [{"regParam": p, "elasticNetParam": e} for p in (0.0, 0.01, 0.1) for e in (0.0, 0.5)]
+
+
+def tune(features: DataFrame, feature_cols: Sequence[str], label: str, parallelism: int = 4, seed: int = 42,
+         grid: Sequence[dict] = GRID, folds: int = 3, gap: int = 30, key: str = "facility_id", ts: str = "ts",
+         tiebreak: str | None = None) -> Tuned:
+    """ML-07 / ML-09: grid search over a declared space, validated by rolling
+    origin (``rolling_origin``): every fit sees rows before its validation
+    block only, with a gap between.  Folds and features are stored once; fits
+    run ``parallelism`` at a time.  ``seed`` is kept for callers; nothing is
+    random."""
+    from verdigris.functions.quantiles import stored
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="skip")
-    lr = LinearRegression(labelCol=label, maxIter=50)
-    grid = (ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1])
-            .addGrid(lr.elasticNetParam, [0.0, 0.5]).build())
-    tvs = TrainValidationSplit(estimator=Pipeline(stages=[asm, lr]), estimatorParamMaps=grid,
-                               evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-                               trainRatio=0.8, parallelism=parallelism, seed=seed)
-    return tvs.fit(features)
+    folded = rolling_origin(features.select(key, ts, *([tiebreak] if tiebreak else []), *feature_cols,
+                                            *([label] if label not in feature_cols else [])), folds, 0.3, gap, key, ts, tiebreak)
+    folded = stored(folded, "tune-folds")
+
+    def fit(rows: DataFrame, params: dict) -> PipelineModel:
+        return Pipeline(stages=[asm, LinearRegression(labelCol=label, maxIter=50, **params)]).fit(rows)
+
+    def error(task) -> float:
+        params, f = task
+        scored = fit(train_rows(folded, f), params).transform(folded.where(F.col("fold") == f))
+        return scored.agg(F.sqrt(F.avg((F.col(label) - F.col("prediction")) ** 2))).first()[0]
+
+    tasks = [(p, f) for p in grid for f in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        errors = [*pool.map(error, tasks)]
+    means = [sum(errors[i:i + folds]) / folds for i in range(0, len(errors), folds)]
+    best = min(range(len(means)), key=means.__getitem__)
+    return Tuned([dict(p) for p in grid], means, best, fit(folded, grid[best]))
 
 
 # ---------------------------------------------------------------- ML-10/15
@@ -252,6 +319,70 @@ def recursive_forecast(history: DataFrame, value: str, intercept: float, coefs:
                        "forecast"))
 
 
+def refreshed_forecast(history: DataFrame, value: str, intercept: float, coefs: Mapping[str, float], steps: int,
+                       key: str = "facility_id", ts: str = "ts", step_micros: int = 3_600_000_000,
+                       tiebreak: str | None = None) -> DataFrame:
+    """ML-12 / WIN-13 for models on all features of ``forecast_features``: each
+    prediction becomes the newest value, and all features are made anew for
+    the next step.  ``coefs`` maps ``lag_k`` (the k-th newest value),
+    ``mean_n`` (mean of the n newest), ``hour_sin``, ``hour_cos`` and
+    ``day_of_week`` (0 = Monday) to coefficients; ``forecast_row`` gives them
+    for a fitted model.
+
+    Only the newest values of each series are kept (as many as the longest lag
+    or mean; a group limit before the shuffle), and the recursion is a fold
+    within the row that carries a buffer of them, a running sum for each mean
+    and the time of the next row.  A series shorter than that has its oldest
+    value for those before it; null values and rows without a time are left
+    out."""
+    lags = {int(c[4:]): float(v) for c, v in coefs.items() if c.startswith("lag_")}
+    means = {int(c[5:]): float(v) for c, v in coefs.items() if c.startswith("mean_")}
+    unknown = set(coefs) - {f"lag_{k}" for k in lags} - {f"mean_{n}" for n in means} - {"hour_sin", "hour_cos", "day_of_week"}
+    if unknown:
+        raise ValueError(f"no feature for {sorted(unknown)}")
+    size = max([*lags, *means, 1])
+    order = [F.desc(ts)] + ([F.desc(tiebreak)] if tiebreak else [])
+    tail = (history.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
+            .select(key, ts, *([tiebreak] if tiebreak else []), F.col(value).cast("double").alias("_v"))
+            .withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_rn") <= size))
+    known = F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_v"))), lambda x: x["_v"])
+    series = tail.groupBy(key).agg(F.max(ts).cast("timestamp_ntz").alias("_last"), known.alias("_k"))
+    series = series.withColumn("_buffer", F.concat("_k", F.array_repeat(F.element_at("_k", -1), F.lit(size) - F.size("_k"))))
+    total = [F.aggregate(F.slice("_buffer", 1, n), F.lit(0.0), lambda a, x: a + x).alias(f"s{n}") for n in means]
+    start = F.struct(F.col("_buffer").alias("buffer"), F.struct(F.lit(0).alias("none"), *total).alias("sums"),
+                     F.array().cast("array<double>").alias("out"))
+    begin = epoch_micros("_last")
+
+    def one(acc, step):
+        at = begin + step.cast("bigint") * F.lit(step_micros).cast("bigint")
+        angle = F.lit(2 * math.pi / 24) * (F.floor(at / F.lit(3_600_000_000.0)) % 24)
+        features = {"hour_sin": F.sin(angle), "hour_cos": F.cos(angle),
+                    "day_of_week": F.pmod(F.floor(at / F.lit(86_400_000_000.0)) + 3, F.lit(7)).cast("double")}  # 1970-01-01 was a Thursday
+        features |= {f"lag_{k}": F.get(acc["buffer"], F.lit(k - 1)) for k in lags}
+        features |= {f"mean_{n}": acc["sums"][f"s{n}"] / F.lit(float(n)) for n in means}
+        pred = F.lit(float(intercept))
+        for name, c in coefs.items():
+            pred = pred + F.lit(float(c)) * features[name]
+        sums = [(acc["sums"][f"s{n}"] + pred - F.get(acc["buffer"], F.lit(n - 1))).alias(f"s{n}") for n in means]
+        newer = F.slice(F.concat(F.array(pred), acc["buffer"]), 1, size)
+        return F.struct(newer.alias("buffer"), F.struct(F.lit(0).alias("none"), *sums).alias("sums"),
+                        F.array_append(acc["out"], pred).alias("out"))
+
+    out = series.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, one, lambda acc: acc["out"]))
+    return (out.select(key, "_last", F.posexplode("_f").alias("_p", "forecast"))
+               .select(key, (F.col("_p") + 1).alias("step"),
+                       F.timestamp_add("MICROSECOND", (F.col("_p") + 1).cast("bigint") * F.lit(step_micros).cast("bigint"), F.col("_last"))
+                       .alias("forecast_ts"), "forecast"))
+
+
+def forecast_row(model: PipelineModel, feature_cols: Sequence[str], value: str) -> tuple[float, dict[str, float]]:
+    """Intercept and coefficients of a linear model on ``forecast_features``,
+    by the names that ``refreshed_forecast`` takes."""
+    intercept, coefs = linear_coefficients(model)
+    names = [c.removeprefix(f"{value}_").replace("prev_mean_", "mean_") for c in feature_cols]
+    return intercept, dict(zip(names, coefs, strict=True))
+
+
 # ---------------------------------------------------------------- ML-13/16, AGG-17
 def background_means(features: DataFrame, feature_cols: Sequence[str], fraction: float = 0.1,
                      seed: int = 42) -> DataFrame:

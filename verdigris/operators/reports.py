@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions.time import time_bucket
 from verdigris.operators.joins import combined_metrics
-from verdigris.operators.timeseries import resolve_as_of
+from verdigris.operators.timeseries import prune_chunks, resolve_as_of
 
 
 def esg_daily(energy: DataFrame, water: DataFrame, metrics: DataFrame, facility_id, start, end) -> DataFrame:
@@ -43,12 +44,16 @@ def esg_period_totals(energy: DataFrame, water: DataFrame, metrics: DataFrame, p
 
 
 def nightly_rollup(metrics: DataFrame, path: str | None = None, as_of=None, days: int = 30) -> DataFrame:
-    """AGG-19: AGG-01 roll-up per facility and day; when ``path`` is given it
-    is written with dynamic partition overwrite on the day, so a nightly
-    re-run replaces only the days it recomputed."""
-    from verdigris.operators.timeseries import daily_emissions
-    out = daily_emissions(metrics, as_of, days)
+    """AGG-19 as a recomputation: the AGG-01 roll-up per facility and day of
+    the whole days that the trailing window touches, from the day in which it
+    begins.  With ``path`` it is written with dynamic partition overwrite on
+    the day; every written day is whole, so a nightly re-run never cuts an
+    earlier one.  ``operators.rollups`` recomputes only the days that changed."""
+    start = time_bucket("1 day", resolve_as_of(metrics, as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
+    recent = prune_chunks(metrics, start).filter(F.col("ts") >= start)
+    out = (recent.groupBy(time_bucket("1 day", "ts").alias("bucket"), "facility_id")
+           .agg(F.sum("co2_kg").alias("total_co2"), F.avg("anomaly_score").alias("avg_anomaly")))
     if path:
-        (out.withColumn("day", F.to_date("bucket")).repartition("day").write.mode("overwrite")
+        (out.withColumn("day", F.to_date("bucket")).hint("rebalance", "day").write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
     return out

@@ -19,22 +19,29 @@ day) and window functions run per (series, bucket):
 The per-bucket table has one row per (series, bucket), so it is windowed per
 series cheaply however long the series is.  Bucket expressions must be
 non-decreasing in the series order.
+
+Fixed units of time make large buckets where readings are dense.  As a bucket,
+``EqualDepth(rows)`` cuts each series at quantiles of its own times instead, so
+that buckets have about equally many rows wherever these lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions.time import epoch_micros
+
 DEFAULT_BUCKET = "day"
 _HELPERS = ("_b", "_li", "_o", "_c", "_cb", "_end", "_n", "_i", "_reachB", "_reachA", "_home", "_halo")
 
 
 def bucket_expr(bucket, ts: str) -> Column:
     """A bucket column: a ``date_trunc`` unit name, a Column, or None (one
-    bucket per series, i.e. a plain window)."""
+    bucket per series, i.e. a plain window); see also ``EqualDepth``."""
     if bucket is None:
         return F.lit(0)
     if isinstance(bucket, Column):
@@ -42,6 +49,53 @@ def bucket_expr(bucket, ts: str) -> Column:
     return F.date_trunc(bucket, F.col(ts))
 
 
+@dataclass(frozen=True)
+class EqualDepth:
+    """Buckets of about ``rows`` rows: the edges are quantiles of the times of
+    each series and ``within`` (a longer unit of time, None for the series as
+    a whole), from one mergeable sketch (``percentile_approx``, partial
+    aggregation).  A unit is cut into up to 256 buckets; rows of one time stay
+    together."""
+
+    rows: int = 100_000
+    within: str | None = "month"
+
+
+#: Quantiles that cut a unit of an EqualDepth bucket, in blocks of which one is searched; the sketch's accuracy; tasks
+#: that one unit's rows are dealt to when the edges are attached.
+_CUTS, _BLOCK, _ACCURACY, _SALTS = 255, 16, 10_000, 32
+
+
+def _equal_depth(df: DataFrame, keys: list[str], bucket: EqualDepth, ts: str) -> DataFrame:
+    from verdigris.functions.quantiles import stored
+    x = df.withColumn("_u", bucket_expr(bucket.within, ts)).withColumn("_t", epoch_micros(ts))
+    sketch = x.groupBy(*keys, "_u").agg(F.count("_t").alias("_c"), F.percentile_approx(
+        "_t", [(i + 1) / (_CUTS + 1) for i in range(_CUTS)], _ACCURACY).alias("_q"))
+    # every m-th quantile, so that a bucket gets about `rows` rows
+    m = F.greatest(F.lit(1), F.ceil(F.lit(bucket.rows * (_CUTS + 1.0)) / F.greatest(F.col("_c"), F.lit(1)))).cast("bigint")
+    edges = F.array_distinct(F.filter("_q", lambda e, i: (i + 1) % F.col("_m") == 0))
+    # stored: all passes over the rows must cut them at the same edges
+    table = stored(sketch.withColumn("_m", m).select(*keys, "_u", F.coalesce(edges, F.array().cast("array<bigint>")).alias("_e")),
+                   "series-edges")
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    x = x.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_t"), F.lit(_SALTS)).cast("int"), F.lit(0)))
+    x = _join_back(x, table, [*keys, "_u", "_salt"])
+    # edges at or before the row's time: whole blocks by their last edge, then within one block
+    blocks = F.size(F.filter(F.transform(F.sequence(F.lit(_BLOCK), F.lit(_CUTS + 1), F.lit(_BLOCK)), lambda i: F.get("_e", i - 1)),
+                             lambda e: e <= F.col("_t")))
+    x = x.withColumn("_k", blocks * _BLOCK)
+    rest = F.size(F.filter(F.slice("_e", F.col("_k") + 1, F.lit(_BLOCK)), lambda e: e <= F.col("_t")))
+    place = F.coalesce(F.when(F.col("_t").isNotNull(), F.col("_k") + rest), F.lit(0))
+    return x.withColumn("_b", F.struct(F.col("_u").alias("u"), place.alias("k"))).drop("_u", "_t", "_salt", "_e", "_k")
+
+
+def _bucketed(df: DataFrame, keys: list[str], bucket, ts: str) -> DataFrame:
+    """``df`` with its bucket in ``_b``."""
+    if isinstance(bucket, EqualDepth):
+        return _equal_depth(df, keys, bucket, ts)
+    return df.withColumn("_b", bucket_expr(bucket, ts))
+
+
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
@@ -76,9 +130,9 @@ def _bucket_table(x: DataFrame, keys: list[str], back: int, ahead: int) -> DataF
     return counts
 
 
-def _positioned(df: DataFrame, keys: list[str], order: Sequence[Column], bucket: Column,
-                back: int, ahead: int) -> tuple[DataFrame, DataFrame]:
-    x = df.withColumn("_b", bucket)
+def _positioned(df: DataFrame, keys: list[str], order: Sequence[Column], bucket,
+                back: int, ahead: int, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    x = _bucketed(df, keys, bucket, ts)
     x = x.withColumn("_li", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1)
     counts = _bucket_table(x.select(*keys, "_b"), keys, back, ahead)
     x = _join_back(x, counts, keys + ["_b"]).withColumn("_i", F.col("_cb") + F.col("_li"))
@@ -88,17 +142,17 @@ def _positioned(df: DataFrame, keys: list[str], order: Sequence[Column], bucket:
 def positions(df: DataFrame, key, order: Sequence[Column], bucket=DEFAULT_BUCKET, ts: str = "ts") -> DataFrame:
     """``df`` plus ``_i`` (0-based position in the series) and ``_n``
     (series length), without a series-wide window."""
-    x, _ = _positioned(df, _keys(key), order, bucket_expr(bucket, ts), 0, 0)
+    x, _ = _positioned(df, _keys(key), order, bucket, 0, 0, ts)
     return x.drop("_b", "_li", "_o", "_c", "_cb", "_end")
 
 
-def with_halo(df: DataFrame, key, order: Sequence[Column], bucket: Column, back: int = 0,
-              ahead: int = 0) -> DataFrame:
+def with_halo(df: DataFrame, key, order: Sequence[Column], bucket, back: int = 0,
+              ahead: int = 0, ts: str = "ts") -> DataFrame:
     """Rows of ``df`` tagged with their home bucket ordinal ``_home`` plus
     halo copies (``_halo`` true) of neighbouring rows that frames of up to
     ``back`` preceding / ``ahead`` following rows need."""
     keys = _keys(key)
-    x, counts = _positioned(df, keys, order, bucket, back, ahead)
+    x, counts = _positioned(df, keys, order, bucket, back, ahead, ts)
     tgt = counts.select(*keys, F.col("_o").alias("_t"), F.col("_cb").alias("_tcb"), F.col("_end").alias("_tend"))
     parts = [x.withColumn("_home", F.col("_o")).withColumn("_halo", F.lit(False))]
     if back:
@@ -128,7 +182,7 @@ def apply_framed(df: DataFrame, key, order: Sequence[Column], build: Callable[[W
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *build(w))
-    framed = with_halo(df, keys, order, bucket_expr(bucket, ts), back, ahead)
+    framed = with_halo(df, keys, order, bucket, back, ahead, ts)
     w = Window.partitionBy(*keys, "_home").orderBy(*order)
     extra = ["_i", "_n"] if keep_positions else []
     out = framed.select(*df.columns, *extra, "_halo", *build(w))
@@ -141,7 +195,7 @@ def running_sum(df: DataFrame, key, order: Sequence[Column], value: Column | str
     the totals of all earlier buckets of the series."""
     keys = _keys(key)
     v = F.col(value) if isinstance(value, str) else value
-    x = df.withColumn("_b", bucket_expr(bucket, ts)).withColumn("_v", v)
+    x = _bucketed(df, keys, bucket, ts).withColumn("_v", v)
     local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("_local", F.sum("_v").over(local))
     tot = x.groupBy(*keys, "_b").agg(F.sum("_v").alias("_bt"))
@@ -159,7 +213,7 @@ def carry_known(df: DataFrame, key, order: Sequence[Column], value: str, payload
     or before / at or after each row where ``value`` is not NULL, searching
     across buckets through a per-bucket summary."""
     keys = _keys(key)
-    x = df.withColumn("_b", bucket_expr(bucket, ts))
+    x = _bucketed(df, keys, bucket, ts)
     known = F.when(F.col(value).isNotNull(), payload)
     w = Window.partitionBy(*keys, "_b").orderBy(*order)
     x = (x.withColumn("_pl", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))

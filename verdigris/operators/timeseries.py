@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.time import bucket_step, interval, time_bucket
+from verdigris.functions.ranking import numbered
+from verdigris.functions.time import bucket_step, epoch_micros, interval, time_bucket
 
 
 def _ntz_literal(v) -> Column:
@@ -162,13 +163,67 @@ def period_stats(records: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 # ------------------------------------------------------------------ ordering
+#: Rows up to the end of a page that one top-k selection may hold; deeper pages are selected in place.
+SHALLOW_ROWS = 10_000
+
+
 def page(df: DataFrame, page_no: int, size: int, ts: str = "ts", tiebreak: str = "record_id") -> DataFrame:
-    """SRT-01: newest first, page ``page_no`` (1-based) of ``size`` (1..1000)."""
+    """SRT-01: newest first, page ``page_no`` (1-based) of ``size`` (1..1000).
+    A page that ends within ``SHALLOW_ROWS`` rows is a top-k selection, which
+    gathers that many rows; see ``deep_page`` for others."""
     if not 1 <= size <= 1000 or page_no < 1:
         raise ValueError("page >= 1 and 1 <= size <= 1000")
+    if page_no * size > SHALLOW_ROWS:
+        return deep_page(df, page_no, size, ts, tiebreak)
     return df.orderBy(F.desc(ts), F.asc(tiebreak)).offset((page_no - 1) * size).limit(size)
 
 
+#: Bins of a histogram of the sort key, and rows from which a band of times isn't narrowed any more.
+PAGE_BINS, PAGE_BAND = 1024, 50_000
+
+
+def deep_page(df: DataFrame, page_no: int, size: int, ts: str = "ts", tiebreak: str = "record_id",
+              bins: int = PAGE_BINS, band_rows: int = PAGE_BAND) -> DataFrame:
+    """``page`` at any depth: histograms of the time (partial aggregates of at
+    most ``bins`` rows) narrow the band of times that holds the page, and only
+    the band's rows are numbered, by ranges of the order, and not by one task.
+    Just the page's rows leave the executors.  Rows without a time come last."""
+    first, last = (page_no - 1) * size, page_no * size
+    none = -(1 << 62)
+    t = F.coalesce(epoch_micros(ts).cast("bigint"), F.lit(none).cast("bigint"))
+    low = high = None
+    before, held, last_band = 0, None, None
+    while True:
+        band = df if low is None else df.where(t.between(F.lit(low), F.lit(high)))
+        if low is not None and low > none:  # on the column itself, for the scan's statistics
+            band = band.where(F.col(ts).between(_at_micros(low), _at_micros(high)))
+        edges = band.select(t.alias("_t")).where(F.col("_t") > none).agg(F.min("_t"), F.max("_t")).first() if low is None else (low, high)
+        if low is not None and (held <= band_rows or (low, high) == last_band):
+            break  # small enough, or many rows of few times
+        last_band = low, high
+        least, most = edges[0] if edges[0] is not None else none, edges[1] if edges[1] is not None else none
+        width = max(1, -(-(most - least + 1) // bins))
+        spread = F.when(t == none, F.lit(-1)).otherwise(F.floor((t - F.lit(least)) / F.lit(width)))
+        hist = (band.groupBy(spread.alias("_bin")).agg(F.count("*").alias("c"), F.min(t).alias("lo"), F.max(t).alias("hi"))
+                .orderBy(F.desc("_bin")).collect())
+        low, held, new_high, seen = None, 0, None, before
+        for r in hist:
+            if seen + r["c"] > first and seen < last:
+                new_high, before = (r["hi"], seen) if new_high is None else (new_high, before)
+                low, held = r["lo"], held + r["c"]
+            seen += r["c"]
+        if low is None:  # beyond the last row
+            return df.limit(0)
+        high = new_high
+    placed = numbered(band, [F.desc(ts), F.asc(tiebreak)], "_place")
+    wanted = placed.where((F.col("_place") >= first - before) & (F.col("_place") < last - before))
+    return wanted.orderBy("_place").drop("_place")
+
+
+def _at_micros(micros: int) -> Column:
+    return F.timestamp_add("MICROSECOND", F.lit(micros).cast("bigint"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def page_summary(page_df: DataFrame) -> DataFrame:
     """AGG-12: count of the page and its CO2e total rounded to 2."""
     return page_df.agg(F.count("*").alias("count"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.sql import functions as F
@@ -326,6 +327,42 @@ def join05(spark, d):
     return out.select("record_id", "co2e_factor")
 
 
+DAILY_FACTORS_SQL = """
+SELECT 'NO' AS category_code, 1 + (date_diff('day', DATE '1990-01-01', day) % 97) / 97.0 AS co2e_factor,
+       day + INTERVAL 12 HOUR AS effective_from, day + INTERVAL 36 HOUR AS effective_to
+FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)
+UNION ALL SELECT 'AF', 2.5, TIMESTAMP '1994-06-01 00:00:00', NULL
+UNION ALL SELECT 'RF', 0.5, TIMESTAMP '1992-01-01 00:00:00', TIMESTAMP '1993-03-01 00:00:00'
+UNION ALL SELECT 'RF', 0.75, TIMESTAMP '1993-01-01 00:00:00', TIMESTAMP '1996-01-01 00:00:00'"""
+
+
+def daily_factors(spark, d):
+    """A factor for each day of one category, from noon to noon; a category
+    with an open version and one with versions that overlap."""
+    days = L.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
+    at = F.col("day").cast("timestamp_ntz")
+    hot = days.select(F.lit("NO").alias("category_code"),
+                      (1 + (F.datediff("day", F.lit("1990-01-01").cast("date")) % 97) / 97.0).alias("co2e_factor"),
+                      (at + F.expr("INTERVAL 12 HOURS")).alias("effective_from"), (at + F.expr("INTERVAL 36 HOURS")).alias("effective_to"))
+    t = dt.datetime
+    rest = spark.createDataFrame([("AF", 2.5, t(1994, 6, 1), None), ("RF", 0.5, t(1992, 1, 1), t(1993, 3, 1)),
+                                  ("RF", 0.75, t(1993, 1, 1), t(1996, 1, 1))],
+                                 "category_code string, co2e_factor double, effective_from timestamp_ntz, effective_to timestamp_ntz")
+    return hot.unionByName(rest)
+
+
+@register("join05_daily_factors", "JOIN-05", L.with_ctes(f"""
+SELECT r.record_id, r.at, {sql_r('c.co2e_factor')} AS co2e_factor
+FROM (SELECT record_id, source_type, ts + (order_key % 24) * INTERVAL 1 HOUR AS at FROM rc) r
+LEFT JOIN cat c ON r.source_type = c.category_code AND r.at >= c.effective_from
+ AND (c.effective_to IS NULL OR r.at < c.effective_to)""", rc=L.EMISSION_RECORDS_SQL, cat=DAILY_FACTORS_SQL))
+def join05_daily(spark, d):
+    rc = L.emission_records(spark, d)
+    at = F.timestamp_add("HOUR", (F.col("order_key") % 24).cast("int"), F.col("ts").cast("timestamp_ntz"))
+    out = CO.factor_lookup(rc.select("record_id", "source_type", at.alias("at")), daily_factors(spark, d), ts="at")
+    return out.select("record_id", "at", r("co2e_factor").alias("co2e_factor"))
+
+
 @register("prj18_protect_reveal_payload", "PRJ-18", L.with_ctes("""
 SELECT event_id, props AS raw_data FROM events"""))
 def prj18(spark, d):

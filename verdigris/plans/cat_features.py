@@ -113,6 +113,49 @@ def win12(spark, d):
     return out.select("ts", "facility_id", "in_train", "in_test")
 
 
+CROWDED_SQL = """
+SELECT event_id, user_id % 2 AS facility_id, value AS kwh,
+       CASE WHEN event_id % 10 = 0 THEN ts
+            ELSE TIMESTAMP '2024-01-10 07:00:00' + (event_id * 7919 % 3600) * INTERVAL 1 SECOND END AS ts
+FROM events"""
+
+
+def crowded(spark, d):
+    """Two series with nine tenths of their rows in one hour."""
+    e = L.table(spark, d, "events")
+    at = F.timestamp_add("SECOND", (F.col("event_id") * 7919 % 3600).cast("int"), F.lit("2024-01-10 07:00:00").cast("timestamp_ntz"))
+    return e.select("event_id", (F.col("user_id") % 2).alias("facility_id"), F.col("value").alias("kwh"),
+                    F.when(F.col("event_id") % 10 == 0, F.col("ts").cast("timestamp_ntz")).otherwise(at).alias("ts"))
+
+
+@register("win02_03_crowded_hour", "WIN-02", L.with_ctes(f"""
+SELECT event_id, lag(kwh, 1) OVER w AS kwh_lag_1, lag(kwh, 24) OVER w AS kwh_lag_24,
+       {sql_r("CASE WHEN count(kwh) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) = 24 THEN avg(kwh) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END")} AS kwh_roll_mean_24,
+       row_number() OVER w - 1 AS position
+FROM c WINDOW w AS (PARTITION BY facility_id ORDER BY ts, event_id)""", c=CROWDED_SQL))
+def win02_crowded(spark, d):
+    from verdigris.operators import series as S
+    c, bucket = crowded(spark, d), S.EqualDepth(2_000)
+    lags = FE.lag_features(c, {"kwh": [1, 24]}, tiebreak="event_id", bucket=bucket)
+    means = FE.rolling_features(c, "kwh", [24], [], tiebreak="event_id", bucket=bucket)
+    places = S.positions(c, "facility_id", [F.col("ts"), F.col("event_id")], bucket)
+    out = lags.join(means.select("event_id", r("kwh_roll_mean_24").alias("kwh_roll_mean_24")), "event_id")
+    return (out.join(places.select("event_id", F.col("_i").alias("position")), "event_id")
+            .select("event_id", "kwh_lag_1", "kwh_lag_24", "kwh_roll_mean_24", "position"))
+
+
+@register("win08_09_crowded_hour", "WIN-09", L.with_ctes("""
+SELECT facility_id, x, y FROM (
+  SELECT facility_id, list(kwh) OVER (w ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS x,
+         list(kwh) OVER (w ROWS BETWEEN 12 FOLLOWING AND 14 FOLLOWING) AS y
+  FROM c WINDOW w AS (PARTITION BY facility_id ORDER BY ts, event_id))
+WHERE len(x) = 12 AND len(y) = 3""", c=CROWDED_SQL))
+def win09_crowded(spark, d):
+    from verdigris.operators import series as S
+    out = FE.training_windows(crowded(spark, d), ["kwh"], "kwh", 12, 3, tiebreak="event_id", bucket=S.EqualDepth(2_000))
+    return out.select("facility_id", F.transform("x", lambda e: e["kwh"]).alias("x"), "y")
+
+
 @register("ml01_iqr_capping", "ML-01", L.with_ctes(f"""
 SELECT ts, facility_id,
   {sql_r('least(greatest(co2_kg, b.q1c - 1.5 * (b.q3c - b.q1c)), b.q3c + 1.5 * (b.q3c - b.q1c))')} AS co2_kg,

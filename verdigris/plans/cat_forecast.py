@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdigris.operators import features as FE
 from verdigris.operators import forecast as FC
 from verdigris.operators.carbon import with_interval
 from verdigris.operators.tables import scratch_path
@@ -95,6 +96,53 @@ def ml12_given(spark, d):
     return fc.select("facility_id", "step", "forecast_ts", r("forecast").alias("forecast"))
 
 
+@register("ml12_refreshed_features", "ML-12", L.with_ctes(f"""
+SELECT facility_id, step, last + step * INTERVAL 6 HOUR AS forecast_ts, {sql_r('buf[1]')} AS forecast FROM steps WHERE step > 0""",
+    em=L.EMISSION_METRICS_SQL, slots="SELECT facility_id, time_bucket(INTERVAL 6 HOUR, ts) AS ts, sum(co2_kg) AS v FROM em GROUP BY 1, 2",
+    newest="SELECT facility_id, max(ts) AS last, list(v ORDER BY ts DESC)[1:4] AS l FROM slots GROUP BY 1",
+    padded="SELECT facility_id, last, list_concat(l, list_transform(range(0, 4 - len(l)), lambda i: l[len(l)])) AS buf FROM newest",
+    # a plain recursion: the row of each step from the one before
+    steps="""SELECT * FROM (WITH RECURSIVE s(facility_id, last, step, buf) AS (
+      SELECT facility_id, last, 0, buf FROM padded
+      UNION ALL
+      SELECT facility_id, last, step + 1, list_concat([2.0 + 0.3 * buf[1] + 0.2 * buf[3] + 0.25 * (buf[1] + buf[2] + buf[3] + buf[4]) / 4
+        + 0.1 * (buf[1] + buf[2]) / 2 + 1.5 * sin(2 * pi() * hour(last + (step + 1) * INTERVAL 6 HOUR) / 24)
+        - 0.5 * cos(2 * pi() * hour(last + (step + 1) * INTERVAL 6 HOUR) / 24)
+        + 0.05 * (isodow(last + (step + 1) * INTERVAL 6 HOUR) - 1)], buf[1:3])
+      FROM s WHERE step < 7) SELECT * FROM s)"""))
+def ml12_refreshed(spark, d):
+    """Seven steps with lags, means and the calendar made anew in each."""
+    from verdigris.functions.time import time_bucket
+    slots = (L.emission_metrics(spark, d).groupBy("facility_id", time_bucket("6 hours", "ts").alias("ts"))
+             .agg(F.sum("co2_kg").alias("co2_kg")))
+    coefs = {"lag_1": 0.3, "lag_3": 0.2, "mean_4": 0.25, "mean_2": 0.1, "hour_sin": 1.5, "hour_cos": -0.5, "day_of_week": 0.05}
+    fc = FC.refreshed_forecast(slots, "co2_kg", 2.0, coefs, 7, step_micros=6 * 3_600_000_000)
+    return fc.select("facility_id", "step", "forecast_ts", r("forecast").alias("forecast"))
+
+
+@register("ml09_rolling_origin_folds", "ML-09", L.with_ctes(f"""
+SELECT f.fold, count(*) AS n, {sql_r('avg(abs(v - p))')} AS mae, {sql_r('sqrt(avg((v - p) * (v - p)))')} AS rmse, any_value(t.train_rows) AS train_rows
+FROM (SELECT *, 1.0 + 0.6 * lag1 + 0.2 * lag2 AS p FROM folds) f JOIN trained t USING (fold) GROUP BY f.fold""",
+    em=L.EMISSION_METRICS_SQL,
+    lagged="""SELECT facility_id, ts, co2_kg AS v, lag(co2_kg, 1) OVER w AS lag1, lag(co2_kg, 2) OVER w AS lag2
+              FROM em WINDOW w AS (PARTITION BY facility_id ORDER BY ts)""",
+    placed="""SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY facility_id) AS c
+              FROM lagged WHERE lag2 IS NOT NULL""",
+    cuts="SELECT *, floor(c * 0.7 + 1e-9) AS s0, floor(c * 0.8 + 1e-9) AS s1, floor(c * 0.9 + 1e-9) AS s2 FROM placed",
+    folds="SELECT *, CASE WHEN i >= s2 THEN 2 WHEN i >= s1 THEN 1 WHEN i >= s0 THEN 0 END AS fold FROM cuts",
+    trained="""SELECT 0 AS fold, count(*) AS train_rows FROM folds WHERE i < s0 - 7
+               UNION ALL SELECT 1, count(*) FROM folds WHERE i < s1 - 7 UNION ALL SELECT 2, count(*) FROM folds WHERE i < s2 - 7"""))
+def ml09_folds(spark, d):
+    """Blocks and errors of a given model, and the number of rows that each
+    fold is fitted on, which end seven rows before its block."""
+    x = FE.lag_features(L.emission_metrics(spark, d), {"co2_kg": [1, 2]}).where(F.col("co2_kg_lag_2").isNotNull())
+    folded = FC.rolling_origin(x, 3, 0.3, gap=7)
+    scored = folded.withColumn("prediction", 1.0 + 0.6 * F.col("co2_kg_lag_1") + 0.2 * F.col("co2_kg_lag_2"))
+    trained = folded.agg(*[F.count_if(F.col("first_fold") <= f).alias(f"n{f}") for f in range(3)])
+    trained = trained.select(F.inline(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"n{f}").alias("train_rows")) for f in range(3)])))
+    return FC.fold_metrics(scored, "co2_kg").join(trained, "fold").select("fold", "n", r("mae").alias("mae"), r("rmse").alias("rmse"), "train_rows")
+
+
 @register("ml13_ml16_agg17_attributions", "ML-13")
 def ml13(spark, d):
     feats, cols = _features(spark, d)

@@ -90,6 +90,21 @@ def src01_names(spark, d):
     return ok.select("ts", "facility_id", "kwh", "source")
 
 
+@register("src01_quoted_line_breaks", "SRC-01", L.with_ctes("""
+SELECT ts, 'plant ' || chr(10) || '"' || CAST(facility_id AS VARCHAR) || '", north' AS facility_id, kwh, source || chr(10) || chr(10) || 'two, three' AS source
+FROM h WHERE kwh IS NOT NULL""", h=HISTORICAL_SQL))
+def src01_quoted(spark, d):
+    """Ids and sources with line breaks, commas and quotes, in two layouts."""
+    rows, root = _historical_rows(spark, d), scratch_path(spark, "quoted")
+    rows = (rows.withColumn("FacilityID", F.concat(F.lit('plant \n"'), "FacilityID", F.lit('", north')))
+            .withColumn("Source", F.concat("Source", F.lit("\n\ntwo, three"))).withColumn("Note", F.lit("")))
+    for n, names in enumerate((["Timestamp", "FacilityID", "Energy_kWh", "Source"], ["Note", "Source", "FacilityID", "Energy_kWh", "Timestamp"])):
+        (rows.where((F.length("Energy_kWh") % 2) == n).select(*names).write.option("header", True).option("escape", '"')
+             .option("quoteAll", True).csv(f"{root}/layout={n}"))
+    ok, _ = SF.load_historical_csv(spark, root)
+    return ok.select("ts", "facility_id", "kwh", "source")
+
+
 @register("src03_file_inventory", "SRC-03", L.with_ctes("""
 SELECT * FROM (VALUES ('csv', true), ('json', true), ('txt', false)) v(extension, supported)"""))
 def src03(spark, d):

@@ -8,12 +8,14 @@ answer on the same rows."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.operators.tables import scratch_path
 from verdigris.plans import logical as L
-from verdigris.plans.cat_timeseries import STATS_SQL
+from verdigris.plans.cat_timeseries import STATS_SQL, stats_sql
 from verdigris.plans.catalog import register
 from verdigris.plans.rounding import r, sql_r
 from verdigris.streaming import ingest as S
@@ -185,3 +187,57 @@ def src06_json(spark, d):
               F.col("event_type").alias("unit")).repartition(3).write.json(path))
     got = _run_batches(spark, S.read_sensor_messages(spark, path, max_files_per_trigger=1), "append", "messages")
     return got.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "unit", "status")
+
+
+@register("str07_versioned_flags", "STR-07", L.with_ctes(f"""
+SELECT e.ts, e.facility_id, s.valid_from, {sql_r('abs(e.co2_kg - s.median_co2) / nullif(s.mad_co2, 0)')} AS z_score
+FROM em e ASOF JOIN versions s ON e.facility_id = s.facility_id AND e.ts >= s.valid_from
+WHERE abs(e.co2_kg - s.median_co2) / nullif(s.mad_co2, 0) > 3""", em=L.EMISSION_METRICS_SQL,
+    half="SELECT min(ts) AS low, date_trunc('day', min(ts) + (max(ts) - min(ts)) / 2) AS middle FROM em",
+    one=stats_sql("SELECT * FROM em WHERE ts < (SELECT middle FROM half)"), two=stats_sql("SELECT * FROM em"),
+    versions="SELECT one.*, date_trunc('day', low) + INTERVAL 1 DAY AS valid_from FROM one, half UNION ALL SELECT two.*, middle FROM two, half"))
+def str07_versions(spark, d):
+    """A version of the statistics is there before the stream starts; after
+    two of four files the second one is published, valid from the middle of
+    the time on, and the stream goes on from its checkpoint."""
+    from verdigris.operators.anomaly import facility_stats
+    em = L.emission_metrics(spark, d)
+    low, high = em.agg(F.min("ts"), F.max("ts")).first()
+    middle = (low + (high - low) / 2).replace(hour=0, minute=0, second=0, microsecond=0)
+    root, out, ckpt = (scratch_path(spark, n) for n in ("stats-versions", "versioned-flags", "ckpt-versions"))
+    days = (high - low).days + 2
+    first_day = low.replace(hour=0, minute=0, second=0, microsecond=0) + dt.timedelta(days=1)
+    S.publish_stats(facility_stats(em.where(F.col("ts") < F.lit(middle)), middle, days), root, first_day, "1")
+    e, path = L.table(spark, d, "events"), scratch_path(spark, "event-halves")
+    for n, late in enumerate((False, True)):  # files of early rows, then files of late ones with some early rows among them
+        half = e.where((F.col("ts") >= F.lit(middle)) | (F.col("event_id") % 5 == 0) if late else
+                       (F.col("ts") < F.lit(middle)) & (F.col("event_id") % 5 != 0))
+        half.repartition(2).write.mode("append").parquet(path)
+        if late:
+            S.publish_stats(facility_stats(em, high, days), root, middle, "2")
+        s = S.read_stream(spark, path, e.schema, "parquet", max_files_per_trigger=1).select(
+            "ts", F.col("user_id").alias("facility_id"), F.col("value").alias("co2_kg"))
+        S.run_available_now(s, ckpt, foreach_batch=S.flag_by_version(root, f"{out}/run={n}"))
+    got = spark.read.option("recursiveFileLookup", True).parquet(out)
+    return got.select("ts", "facility_id", "valid_from", r("z_score").alias("z_score"))
+
+
+@register("str06_last30_text_ids", "STR-06", L.with_ctes("""
+SELECT ts, 'meter-' || CAST(facility_id AS VARCHAR) AS meter, kwh FROM (
+  SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY ts DESC) AS rn FROM eu) WHERE rn <= 30""", eu=L.ENERGY_USAGE_SQL))
+def str06_text(spark, d):
+    """The last 30 readings of meters with text ids over three files, with a
+    restart after the first."""
+    e, path = L.table(spark, d, "events"), scratch_path(spark, "meter-files")
+    out, ckpt = scratch_path(spark, "last-readings"), scratch_path(spark, "ckpt-last-readings")
+    for n in range(3):
+        e.where(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(path)
+        if n == 1:
+            continue
+        s = S.read_stream(spark, path, e.schema, "parquet", max_files_per_trigger=1).filter(F.col("event_type").isin("click", "view"))
+        s = s.select(F.concat(F.lit("meter-"), "user_id").alias("meter"), "ts", F.col("value").alias("kwh"))
+        S.run_available_now(S.last_n_readings(s, 30, "meter"), ckpt, mode="update", foreach_batch=S.idempotent_parquet_sink(out),
+                            rocksdb=True)
+    got = spark.read.parquet(out)
+    last = got.withColumn("_m", F.max("batch_id").over(Window.partitionBy("meter"))).filter(F.col("batch_id") == F.col("_m"))
+    return last.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "meter", "kwh")

@@ -263,7 +263,7 @@ def agg05(spark, d):
 @register("win01_robust_anomalies", "WIN-01", L.with_ctes("""
 SELECT ts, facility_id, co2_kg, (floor(score * 10000 + 0.5001) / 10000) AS z_score
 FROM (SELECT em.*, CASE WHEN mad_co2 > 0 THEN abs(co2_kg - median_co2) / mad_co2 END AS score FROM stats JOIN em USING (facility_id))
-WHERE score > 3 AND date_diff('microsecond', ts, (SELECT max(ts) FROM em)) < 86400000000""", em=L.EMISSION_METRICS_SQL, stats=STATS_SQL))
+WHERE score > 3 AND ts > (SELECT max(ts) - INTERVAL 1 DAY FROM em)""", em=L.EMISSION_METRICS_SQL, stats=STATS_SQL))
 def win01(spark, d):
     from verdigris.operators.anomaly import robust_anomalies
     out = robust_anomalies(L.emission_metrics(spark, d))
@@ -362,3 +362,30 @@ def agg05_added(spark, d):
         stats.select(F.lit(phase).alias("phase"), "facility_id", r("median_co2").alias("median_co2")).write.parquet(done)
         out.append(spark.read.parquet(done))
     return out[0].unionByName(out[1])
+
+
+@register("agg05_daily_sketches", "AGG-05", L.with_ctes("""
+SELECT facility_id, (floor((median_co2) * 10000 + 0.5001) / 10000) AS median_co2, (floor((mad_co2) * 10000 + 0.5001) / 10000) AS mad_co2 FROM stats""",
+    em=L.EMISSION_METRICS_SQL, stats=STATS_SQL))
+def agg05_sketches(spark, d):
+    """The week's statistics from stored sketches: all days but the newest
+    were kept before, the newest is read and added, the week is merged."""
+    from verdigris.operators import daysketch as DS
+    from verdigris.operators import tables as TB
+    em, root = L.emission_metrics(spark, d), TB.scratch_path(spark, "day-sketches")
+    now = em.agg(F.max("ts")).first()[0]
+    for rows in (em.filter(F.to_date("ts") < F.lit(now.date())), em.filter(F.to_date("ts") == F.lit(now.date()))):
+        DS.sketch_days(rows, root)
+    s = DS.trailing_stats(spark, root, em, now, 7)
+    return s.select("facility_id", r("median_co2").alias("median_co2"), r("mad_co2").alias("mad_co2"))
+
+
+@register("srt01_deep_page", "SRT-01", L.with_ctes("""
+SELECT 10000 AS page_no, * FROM (SELECT record_id, ts, order_key FROM rc ORDER BY ts DESC, record_id LIMIT 5 OFFSET 49995)
+UNION ALL SELECT 41, * FROM (SELECT record_id, ts, order_key FROM rc ORDER BY ts DESC, record_id LIMIT 1000 OFFSET 40000)""",
+    rc=L.EMISSION_RECORDS_SQL))
+def srt01_deep(spark, d):
+    rc, out = L.emission_records(spark, d).select("record_id", "ts", "order_key"), []
+    for page_no, size in ((10_000, 5), (41, 1000)):
+        out.append(T.page(rc, page_no, size).select(F.lit(page_no).alias("page_no"), "record_id", "ts", "order_key"))
+    return out[0].unionByName(out[1])

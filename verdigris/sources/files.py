@@ -8,7 +8,10 @@ reject row, never a failed file.
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql import types as T
 
 from verdigris.functions.time import parse_timestamp
 from verdigris.operators.validate import required_present, split_valid
+from verdigris.session import hadoop_path
 
 # Historical meter export: its field names, as the files' headers give them.
 CSV_SCHEMA = T.StructType([
@@ -35,31 +39,71 @@ def _to_energy_usage(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_csv_by_header(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+#: Bytes of a file that are read for its header, and files whose headers are read at a time.
+HEADER_BYTES, HEADER_READERS = 1 << 16, 16
+
+
+def _head(fs, path) -> str:
+    """The beginning of a file, after a byte order mark."""
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readNBytes(HEADER_BYTES)).decode("utf-8", "replace").removeprefix("\ufeff")
+    finally:
+        stream.close()
+
+
+def header_catalogue(spark: SparkSession, path: str, names: Sequence[str], suffix: str = ".csv") -> dict[tuple[str, ...] | None, list[str]]:
+    """The distinct headers of the files under ``path`` that end in ``suffix``,
+    each with its files; None for files whose first record has fewer than two
+    of ``names``.  Each file is opened for one short read.  Hidden and empty
+    files are left out, as Spark's readers do."""
+    root, fs = hadoop_path(spark, path)
+    listed, files = fs.listFiles(root, True), []
+    while listed.hasNext():
+        f = listed.next()
+        name = f.getPath().getName()
+        hidden = any(p[:1] in ("_", ".") and "=" not in p for p in str(f.getPath())[len(str(fs.makeQualified(root))):].split("/"))
+        if name.endswith(suffix) and f.getLen() and not hidden:
+            files.append(f.getPath())
+
+    def header(file):
+        lines = csv.reader(io.StringIO(_head(fs, file), newline=""))
+        first = next((x for x in lines if any(v.strip() for v in x)), [])
+        fields = tuple(v.strip() for v in first)
+        return file.toString(), fields if len(set(fields) & set(names)) >= 2 else None
+
+    found: dict[tuple[str, ...] | None, list[str]] = {}
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        for file, fields in pool.map(header, files):
+            found.setdefault(fields, []).append(file)
+    return found
+
+
+def read_csv_by_header(spark: SparkSession, path: str, names: Sequence[str], multi_line: bool = True) -> DataFrame:
     """All ``*.csv`` under ``path`` as text columns ``names`` plus
     ``file_path``; each file's own header says where a column is, so files may
     order their columns differently and have others beside them.  A file
     without one of the columns gives NULLs there; one without any header line
-    gives only NULLs (its rows are rejected, not lost).  Lines are parsed into
-    as many columns as the widest header may have (its commas and one more),
-    which one aggregate over the lines finds."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-             .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_at"))
-             .where(F.trim("value") != ""))
-    named = sum((F.contains("value", F.lit(n)).cast("int") for n in names), F.lit(0))
-    widest = lines.where((F.col("_at") == 0) & (named >= 2)).agg(F.max(F.regexp_count("value", F.lit(",")))).first()[0]
-    width = max(len(names), (widest or 0) + 1)
-    generic = ", ".join(f"c{i} string" for i in range(width))
-    parsed = F.from_csv("value", generic, {"maxColumns": str(max(20480, width))})  # 20480 is the parser's own bound
-    # in a lambda, as Spark would parse the line once for each column else
-    fields = F.transform(F.array(parsed), lambda f: F.array(*[f[f"c{i}"] for i in range(width)]))[0]
-    split = lines.select("file_path", "_at", fields.alias("_v"))
-    known = F.size(F.array_intersect(F.transform("_v", lambda x: F.trim(x)), F.array(*map(F.lit, names))))
-    is_header = (F.col("_at") == 0) & (known >= 2)
-    headers = (split.where(is_header).groupBy("file_path")
-               .agg(F.first(F.transform("_v", lambda x: F.trim(x))).alias("_h")))
-    rows = split.where(~is_header).join(headers, "file_path", "left")
-    return rows.select("file_path", *[F.get("_v", (F.array_position("_h", n) - 1).cast("int")).alias(n) for n in names])
+    gives only NULLs (its rows are rejected, not lost).
+
+    The headers are catalogued first (one short read of each file), then the
+    files of each distinct header are read together, with as many columns as
+    it has.  Quoted fields may hold line breaks, commas and doubled quotes.
+    For that a file is read by one task; without ``multi_line`` large files
+    are split, and a record ends at its line."""
+    catalogue, out = header_catalogue(spark, path, names), None
+    for fields, files in sorted(catalogue.items(), key=lambda x: (x[0] is not None, x[0] or ())):
+        width = len(fields or ()) or 1
+        reader = (spark.read.schema(", ".join(f"c{i} string" for i in range(width))).option("header", fields is not None)
+                  .option("enforceSchema", True).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
+                  .option("maxColumns", max(20480, width)).option("ignoreLeadingWhiteSpace", False))
+        place = {n: i for i, n in reversed([*enumerate(fields or ())])}
+        rows = reader.csv(files).select(F.col("_metadata.file_path").alias("file_path"), *[
+            (F.col(f"c{place[n]}") if n in place else F.lit(None).cast("string")).alias(n) for n in names])
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(["file_path string", *(f"`{n}` string" for n in names)]))
+    return out
 
 
 def load_historical_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

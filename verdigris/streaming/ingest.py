@@ -13,13 +13,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from verdigris.functions.time import bucket_step
+from verdigris.operators.intervals import interval_lookup, version_intervals
 from verdigris.operators.validate import Rule, tag_failures
+from verdigris.session import hadoop_path
 from verdigris.sources.sensors import normalise_messages
 
 
@@ -65,15 +68,19 @@ def validated(stream: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def score_stream(stream: DataFrame, model, feature_cols: Sequence[str]) -> DataFrame:
     """STR-02: per-message scoring; rows missing a feature get an ``error``
-    and no prediction instead of failing the stream."""
-    ok = F.lit(True)
+    and no prediction instead of failing the stream.  All rows pass the model
+    once, with 0 for a missing feature, whose prediction is then dropped."""
+    known = F.lit(True)
     for c in feature_cols:
-        ok = ok & F.col(c).isNotNull()
-    good = model.transform(stream.filter(ok)).withColumn("error", F.lit(None).cast("string"))
-    bad = (stream.filter(~ok).withColumn("prediction", F.lit(None).cast("double"))
-                 .withColumn("error", F.lit("missing feature")))
-    keep = stream.columns + ["prediction", "error"]
-    return good.select(*keep).unionByName(bad.select(*keep))
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    inputs = {c: F.col(c) for c in feature_cols}
+    filled = stream.withColumn("_given", F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(feature_cols)]))
+    filled = filled.withColumn("_known", known).withColumns({c: F.when(F.col("_known"), v).otherwise(F.lit(0)) for c, v in inputs.items()})
+    out = model.transform(filled)
+    given = {c: F.col(f"_given._{i}").alias(c) for i, c in enumerate(feature_cols)}
+    return out.select(*[given.get(c, F.col(c)) for c in stream.columns],
+                      F.when(F.col("_known"), F.col("prediction")).alias("prediction"),
+                      F.when(~F.col("_known"), F.lit("missing feature")).alias("error"))
 
 
 def tumbling_totals(stream: DataFrame, value: str, width: str = "1 day", delay: str = "1 hour",
@@ -107,11 +114,55 @@ def flag_against_stats(stream: DataFrame, stats: DataFrame, threshold: float = 3
     return stream.join(stats, key).withColumn("z_score", z).filter(F.col("z_score") > threshold)
 
 
+def publish_stats(stats: DataFrame, root: str, valid_from, version: str) -> None:
+    """STR-07: adds a version of a per-key statistics table, valid from a time
+    on, below ``root``.  A version is written once and never changed; a retry
+    overwrites its own folder."""
+    stats.withColumn("valid_from", F.lit(valid_from).cast("timestamp_ntz")).write.mode("overwrite").parquet(
+        f"{root.rstrip('/')}/version={version}")
+
+
+def flag_by_version(stats_root: str, out_root: str, threshold: float = 3.0, value: str = "co2_kg", key: str = "facility_id",
+                    ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """STR-07 with statistics that change: a ``foreachBatch`` sink that gives
+    each row the newest version of its key's statistics that isn't after the
+    row (event time), whenever the row arrives.  The versions are read anew
+    for each micro-batch, so published ones take effect without a restart;
+    rows before a key's first version aren't flagged.  The as-of join is an
+    interval join dealt by key and day."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        versions = version_intervals(batch.sparkSession.read.parquet(stats_root).drop("version"), key)
+        rows = batch.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
+        found = interval_lookup(rows, versions, key, key, ["median_co2", "mad_co2", "valid_from"], ts, "valid_from", "valid_to")
+        z = F.try_divide(F.abs(F.col(value) - F.col("median_co2")), F.col("mad_co2"))
+        found.withColumn("z_score", z).filter(F.col("z_score") > threshold).write.mode("overwrite").parquet(
+            f"{out_root.rstrip('/')}/batch_id={batch_id}")
+    return run
+
+
 def run_available_now(query_df: DataFrame, checkpoint: str, mode: str = "append",
                       sink: str = "memory", name: str | None = None, foreach_batch=None,
-                      path: str | None = None, timeout_s: float = 600):
+                      path: str | None = None, timeout_s: float = 600, rocksdb: bool = False):
     """Drive a stream to completion over the data present now (tests, batch
-    back-fills); the same query runs continuously with another trigger."""
+    back-fills); the same query runs continuously with another trigger.  With
+    ``rocksdb`` its state is kept in the RocksDB store; the setting holds for
+    the start of this query and stays in its checkpoint."""
+    conf = query_df.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    if rocksdb:
+        conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return _drive(query_df, checkpoint, mode, sink, name, foreach_batch, path, timeout_s)
+    finally:
+        conf.set(STATE_STORE, before)
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _drive(query_df: DataFrame, checkpoint: str, mode: str, sink: str, name: str | None, foreach_batch, path: str | None,
+           timeout_s: float):
     w = query_df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if foreach_batch is not None:
         w = w.foreachBatch(foreach_batch)
@@ -127,15 +178,17 @@ def run_available_now(query_df: DataFrame, checkpoint: str, mode: str = "append"
     return q
 
 
-BUFFER_OUT = "facility_id long, ts timestamp, kwh double"
-BUFFER_STATE = "ts array<timestamp>, kwh array<double>"
+BUFFER_STATE = "ts array<timestamp>, value array<double>"
 
 
 def last_n_buffer(stream: DataFrame, n: int = 30, key: str = "facility_id", ts: str = "ts",
                   value: str = "kwh") -> DataFrame:
     """STR-06: keyed state holding the last ``n`` readings per facility (the
     live-metrics panel); each trigger emits the current buffer of the keys it
-    touched.  State is at most ``n`` values per key."""
+    touched.  State is at most ``n`` values per key, for keys of any type; see
+    ``last_n_readings`` for state that idle keys give back."""
+    out = f"{key} {stream.schema[key].dataType.simpleString()}, {ts} timestamp, {value} double"
+
     def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             old_ts, old_v = state.get
@@ -147,21 +200,73 @@ def last_n_buffer(stream: DataFrame, n: int = 30, key: str = "facility_id", ts:
         buf = buf.sort_values(ts, kind="stable").tail(n)
         state.update((buf[ts].tolist(), buf[value].tolist()))
         yield pd.DataFrame({key: k[0], ts: buf[ts].tolist(), value: buf[value].tolist()})
-    return stream.groupBy(key).applyInPandasWithState(step, BUFFER_OUT, BUFFER_STATE, "update",
+    return stream.groupBy(key).applyInPandasWithState(step, out, BUFFER_STATE, "update",
                                                       GroupStateTimeout.NoTimeout)
 
 
+class LastReadings(StatefulProcessor):
+    """The last ``n`` readings of a key as list state; with ``idle_ms`` a timer
+    in event time deletes the state of a key without newer readings."""
+
+    def __init__(self, n: int, key: str, ts: str, value: str, idle_ms: int | None):
+        self.n, self.key, self.ts, self.value, self.idle_ms = n, key, ts, value, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.readings = handle.getListState("readings", "ts timestamp, value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = [(pd.Timestamp(r[0]), r[1]) for r in self.readings.get()]
+        for pdf in rows:
+            pdf = pdf[pdf[self.ts].notna()].nlargest(self.n, self.ts, keep="last")
+            kept = sorted([*kept, *zip(pdf[self.ts], pdf[self.value], strict=True)], key=lambda x: x[0])[-self.n:]
+        if not kept:
+            return
+        self.readings.put([(t.to_pydatetime(), v) for t, v in kept])
+        if self.idle_ms is not None:
+            for timer in [*self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(kept[-1][0].timestamp() * 1000) + self.idle_ms)
+        yield pd.DataFrame({self.key: key[0], self.ts: [t for t, _ in kept], self.value: [v for _, v in kept]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.readings.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def last_n_readings(stream: DataFrame, n: int = 30, key: str = "facility_id", ts: str = "ts", value: str = "kwh",
+                    idle: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """STR-06 by ``transformWithState``: the last ``n`` readings per key, kept
+    as list state in the RocksDB store (``run_available_now`` with
+    ``rocksdb=True``), so state need not fit in memory; each trigger emits the
+    buffers of the keys that it touched.  Keys may have any type.  With
+    ``idle`` (an interval, e.g. '2 days') the state of a key is given back when
+    the watermark, ``delay`` behind the newest reading of all, has passed its
+    newest reading by so much; a later reading starts anew."""
+    out = f"{key} {stream.schema[key].dataType.simpleString()}, {ts} timestamp, {value} double"
+    rows = stream.select(key, ts, F.col(value).cast("double").alias(value))
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    if idle:
+        rows = rows.withWatermark(ts, delay)
+    return rows.groupBy(key).transformWithStateInPandas(LastReadings(n, key, ts, value, idle_ms), out, "Update",
+                                                        "EventTime" if idle else "None")
+
+
 def pulse_state_batched(state_root: str, out_root: str, key: str = "sensor_id", ts: str = "ts",
                         litres_per_pulse: float = 0.00225) -> Callable[[DataFrame, int], None]:
     """STR-06 without per-key Python: a ``foreachBatch`` sink that keeps the
     pulse state (count, last two pulse times) in a versioned state table.
 
-    Each micro-batch is first reduced per sensor with partial aggregates
-    (count, newest time, second-newest time with multiplicity), so a busy
-    sensor costs map-side work only; the reduced rows are merged with the
-    newest earlier state version and written as version ``batch_id``.  A
-    replayed batch reads the same earlier version and overwrites its own
-    folder, so the state is exactly-once."""
+    Each micro-batch is first counted per sensor and time with partial
+    aggregates, and of these counts the two newest per sensor are kept (a
+    group limit before the shuffle), so pulses themselves are never shuffled;
+    the reduced rows are merged with the newest earlier state version and
+    written as version ``batch_id``.  A replayed batch reads the same earlier
+    version and overwrites its own folder, so the state is exactly-once.
+    Sensor ids may have any type."""
     def top2(*cands):
         arr = F.sort_array(F.filter(F.array(*cands), lambda x: x.isNotNull()), asc=False)
         return F.get(arr, 0), F.get(arr, 1)          # NULL when fewer than two pulses
@@ -169,16 +274,20 @@ def pulse_state_batched(state_root: str, out_root: str, key: str = "sensor_id",
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         b = batch.select(key, F.col(ts).cast("timestamp_ntz").alias("_t"))
-        first = b.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("_t").alias("_t1"))
-        summ = (b.join(first, key).groupBy(key, "_n", "_t1")
-                 .agg(F.max(F.when(F.col("_t") < F.col("_t1"), F.col("_t"))).alias("_lt"),
-                      F.count_if(F.col("_t") == F.col("_t1")).alias("_c1"))
-                 .select(key, "_n", "_t1", F.when(F.col("_c1") >= 2, F.col("_t1")).otherwise(F.col("_lt")).alias("_t2")))
+        times = b.groupBy(key, "_t").agg(F.count(F.lit(1)).alias("_c"))
+        newest = times.where(F.col("_t").isNotNull()).withColumn(
+            "_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_t")))).where(F.col("_rn") <= 2)
+        two = newest.groupBy(key).agg(F.max("_t").alias("_t1"), F.min("_t").alias("_lt"), F.count("*").alias("_times"),
+                                      F.max(F.when(F.col("_rn") == 1, F.col("_c"))).alias("_c1"))
+        second = F.when(F.col("_c1") >= 2, F.col("_t1")).when(F.col("_times") == 2, F.col("_lt"))
+        summ = (times.groupBy(key).agg(F.sum("_c").alias("_n")).join(two, key, "left")
+                .select(key, "_n", "_t1", second.alias("_t2")))
         versions = state_versions(spark, state_root)
         older = [v for v in versions if v < batch_id]
         prev = spark.read.parquet(f"{state_root}/batch_id={max(older)}") if older else None
         if prev is None:
-            prev = spark.createDataFrame([], f"{key} long, pulses long, last_ts timestamp_ntz, second_ts timestamp_ntz")
+            kind = batch.schema[key].dataType.simpleString()
+            prev = spark.createDataFrame([], f"{key} {kind}, pulses long, last_ts timestamp_ntz, second_ts timestamp_ntz")
         m = summ.join(prev, key, "full")
         t1, t2 = top2(F.col("_t1"), F.col("_t2"), F.col("last_ts"), F.col("second_ts"))
         state = m.select(key, (F.coalesce("_n", F.lit(0)) + F.coalesce("pulses", F.lit(0))).alias("pulses"),
@@ -197,16 +306,11 @@ def pulse_state_batched(state_root: str, out_root: str, key: str = "sensor_id",
     return run
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def state_versions(spark: SparkSession, root: str) -> list[int]:
     """Batch ids of the state versions below ``root`` (two at most are kept),
     from the folder's listing; none before the first batch.  Errors fail the
     batch instead of starting anew."""
-    p, fs = _path(spark, root)
+    p, fs = hadoop_path(spark, root)
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p)]
@@ -214,5 +318,5 @@ def state_versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    p, fs = _path(spark, path)
+    p, fs = hadoop_path(spark, path)
     fs.delete(p, True)
