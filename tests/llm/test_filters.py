@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import pickle
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdigris.llm import decontaminate, quality, queries, secret_scan, url_filter, warc
@@ -196,6 +198,24 @@ def brute_contamination(items, rows, window):
         yield i, len(w), len(hit), sorted(str(x) for x in found if x is not None), bool(hit) and 20 * len(hit) >= len(w)
 
 
+def test_benchmark_with_long_ids_is_dealt_into_smaller_blocks(spark):
+    items = [("i" * 300 + str(i), f"alpha{i} beta{i} gamma{i}") for i in range(4000)]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    df = spark.createDataFrame([(i, f"so alpha{i} beta{i} gamma{i} and on" if i % 3 else "nothing here") for i in range(60)], "doc_id long, text string")
+    windows = decontaminate.benchmark_windows(table)
+    blocks = decontaminate.dealt_blocks(windows, 400_000, 500_000)
+    size = windows.groupBy(decontaminate._block_of(blocks)).agg(F.sum(F.octet_length("item") + decontaminate.WINDOW_BYTES).alias("s"))
+    assert blocks >= 4 and size.agg(F.max("s")).first()[0] <= 500_000
+    got = decontaminate.mark(df, table, block_bytes=500_000).collect()
+    assert all(r.found.items == (["i" * 300 + str(r.doc_id)] if r.doc_id % 3 else []) for r in got)
+
+
+def test_a_block_is_sent_without_this_package(spark):
+    table = spark.createDataFrame([("a", "one two three four"), ("b", "one two three four")], "item_id string, text string")
+    block = decontaminate.prepared(decontaminate.benchmark_windows(table).toArrow())
+    assert b"verdigris" not in pickle.dumps(block)
+
+
 @pytest.mark.parametrize("block_windows", [400_000, 2500])
 @pytest.mark.parametrize("window,gram", [(13, 5), (6, 6), (8, 1)])
 def test_decontamination(spark, docs, window, gram, block_windows):  # noqa: F811

@@ -11,8 +11,9 @@ hash of all its words.  Items shorter than a window are winnowed with k equal
 to their length, which keeps each of a document's k-grams.
 
 The benchmark is a stated query set: its windows are dealt by hash into blocks
-of about ``BLOCK_WINDOWS``, each block is broadcast (size-checked), and the
-documents pass by it within their own partitions, without a shuffle.  What a
+of about ``BLOCK_WINDOWS``, and of ``BLOCK_BYTES`` at most with their items'
+ids (long ids make smaller blocks); each block is broadcast as plain arrays,
+and the documents pass by it within their own partitions, without a shuffle.  What a
 block holds doesn't grow with the documents.  With more blocks than one, each
 makes one pass that leaves hits by the digest of their text, one row for each
 digest and block, and these are joined to the documents.
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
-from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, released, small_batches, stored
+from verdigris.llm.common import bytes_of, free_name, named, released, small_batches, stored
 
 WINDOW, GRAM = 13, 5
 BLOCK_WINDOWS = 400_000
+#: Bytes of a block at most, and those of a window and an id besides the id's own.
+BLOCK_BYTES, WINDOW_BYTES = 48 << 20, 96
 #: Words of a document are contaminated from one part in so many.
 SHARE = 20
 
@@ -74,29 +77,49 @@ def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str
     return stored(narrow.mapInArrow(released(task), "length int, mark long, hi long, lo long, item string").distinct(), "benchmark")
 
 
+def prepared(found: pa.Table) -> tuple[dict, list]:
+    """A block's windows as plain arrays, which need no package to be read:
+    for each length the sorted fingerprints, the two halves of the sorted
+    distinct windows' hashes and the number of the set of items that each has;
+    and the sets."""
+    length, known, by_length = found["length"].to_numpy(), {}, {}
+    for n in np.unique(length):
+        some = found.filter(pa.array(length == n))
+        mark, hi, lo = (some[c].to_numpy().view(np.uint64) for c in ("mark", "hi", "lo"))
+        order = np.lexsort((lo, hi))
+        hi, lo, items = hi[order], lo[order], some["item"].take(pa.array(order)).to_pylist()
+        new = np.ones(len(hi), dtype=bool)
+        new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+        at = np.append(np.flatnonzero(new), len(hi))
+        sets = [known.setdefault(frozenset(i for i in items[a:b] if i is not None), len(known))
+                for a, b in zip(at, at[1:], strict=False)]
+        by_length[int(n)] = (np.unique(mark), hi[new], lo[new], np.array(sets))
+    return by_length, list(known)
+
+
+def dealt_blocks(windows: DataFrame, block_windows: int, block_bytes: int) -> int:
+    """Blocks such that none exceeds the bytes, by a bound that counts each
+    window with its item's id."""
+    size = F.sum(F.octet_length(F.coalesce("item", F.lit(""))) + WINDOW_BYTES)
+    n, total = windows.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    blocks = max(1, -(-n // block_windows), -(-total // block_bytes))
+    while blocks < n:
+        largest = windows.groupBy(_block_of(blocks).alias("b")).agg(size.alias("s")).agg(F.max("s")).first()[0]
+        if largest <= block_bytes:
+            break
+        blocks *= 2
+    return blocks
+
+
+def _block_of(blocks: int):
+    return F.pmod(F.xxhash64("hi", "lo", "item"), F.lit(blocks))
+
+
 class Block:
-    """Windows of one block: for each length the sorted fingerprints, the
-    sorted distinct windows and the set of items that each has."""
-
-    def __init__(self, found: pa.Table, window: int, gram: int):
-        self.window, self.gram, self.by_length, self.sets = window, gram, {}, []
-        length, known = found["length"].to_numpy(), {}
-        for n in np.unique(length):
-            some = found.filter(pa.array(length == n))
-            mark, hi, lo = (some[c].to_numpy().view(np.uint64) for c in ("mark", "hi", "lo"))
-            order = np.lexsort((lo, hi))
-            hi, lo, items = hi[order], lo[order], some["item"].take(pa.array(order)).to_pylist()
-            new = np.ones(len(hi), dtype=bool)
-            new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-            at = np.append(np.flatnonzero(new), len(hi))
-            sets = [known.setdefault(frozenset(i for i in items[a:b] if i is not None), len(known))
-                    for a, b in zip(at, at[1:], strict=False)]
-            self.by_length[int(n)] = (np.unique(mark), hi[new], lo[new], np.array(sets))
-        self.sets = list(known)
-
-    def n_bytes(self) -> int:
-        return sum(x.nbytes for arrays in self.by_length.values() for x in arrays) \
-            + sum(len(i) + 60 for s in self.sets for i in s)
+    """A block in a task."""
+
+    def __init__(self, by_length: dict, sets: list, window: int, gram: int):
+        self.by_length, self.sets, self.window, self.gram = by_length, sets, window, gram
 
     def hits(self, w: wordhash.Words):
         """For each length: the starts (counted over all rows) of the windows
@@ -138,35 +161,34 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def mark(df: DataFrame, items: DataFrame, text_col: str = "text", keep: list[str] | None = None,
          item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
-         block_windows: int = BLOCK_WINDOWS, share: int = SHARE, result: str = "found") -> DataFrame:
+         block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES, share: int = SHARE, result: str = "found") -> DataFrame:
     """The ``keep`` columns of each row (default: all) and, in a struct
     ``result``: n_words, hits (word spans), items (sorted as strings), n_hit,
     contaminated."""
     spark = df.sparkSession
     keep = df.columns if keep is None else keep
     windows = benchmark_windows(items, item_col, item_text_col, window, gram)
-    blocks = max(1, -(-windows.count() // block_windows))
+    blocks = dealt_blocks(windows, block_windows, block_bytes)
     names = [f"_{i}" for i in range(len(keep))]  # plain names within: the columns' own may clash
     rows = df.select(F.struct(*(named(c).alias(n) for c, n in zip(keep, names, strict=True)),
                               F.lit(None).cast("int").alias("none")).alias("kept"), named(text_col).alias("text"))
 
-    def part(b: int):
-        found = windows.where(F.pmod(F.xxhash64("hi", "lo", "item"), F.lit(blocks)) == b).toArrow()
-        block = Block(found, window, gram)
-        return bounded_broadcast(spark, block, block.n_bytes())
+    def passed(rows: DataFrame, b: int, keep_text: bool = False) -> DataFrame:
+        block = prepared(windows.where(_block_of(blocks) == b).toArrow())
+        return _passed(rows, spark.sparkContext.broadcast(block), window, gram, keep_text)
 
     if blocks == 1:
-        out = _passed(rows, part(0))
+        out = passed(rows, 0)
     else:  # each block's hits by the text's digest, then all blocks' hits to the rows
         digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-        hit = [_passed(rows.select(F.struct(digest.alias("key")).alias("kept"), "text"), part(b)).where("size(hits) > 0")
+        hit = [passed(rows.select(F.struct(digest.alias("key")).alias("kept"), "text"), b).where("size(hits) > 0")
                .select("kept.key", F.lit(b).alias("block"), F.struct("hits", "items").alias("h")) for b in range(1, blocks)]
         # copies of a text have equal hits: each task keeps one row for a digest and block before they meet
         once = _all(hit).groupBy("key", "block").agg(F.first("h").alias("h"))
         more = stored(once.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("h.hits"))).alias("more_hits"),
                                               F.array_distinct(F.flatten(F.collect_list("h.items"))).alias("more_items")),
                       "more-hits")
-        out = _merged_rows(_passed(rows, part(0), keep_text=True).withColumn("key", digest).join(more, "key", "left"))
+        out = _merged_rows(passed(rows, 0, keep_text=True).withColumn("key", digest).join(more, "key", "left"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return (out.withColumn("n_hit", n_hit)
             .select(*(F.col(f"kept.{n}").alias(c) for c, n in zip(keep, names, strict=True)),
@@ -208,11 +230,11 @@ def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"start": a, "end": b} for a, b in x] for x in rows], _HITS)
 
 
-def _passed(rows: DataFrame, block, keep_text: bool = False) -> DataFrame:
+def _passed(rows: DataFrame, block, window: int, gram: int, keep_text: bool = False) -> DataFrame:
     """``rows`` (kept, text) past one block: kept, n_words, hits, items."""
 
     def task(batches):
-        hasher, windows = wordhash.Hasher(), block.value
+        hasher, windows = wordhash.Hasher(), Block(*block.value, window, gram)
         for batch in small_batches(batches, 1):
             buf, offs = bytes_of(batch.column(1))
             w = hasher.words(buf, offs, wordhash.ALPHANUMERIC, True)
