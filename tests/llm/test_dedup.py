@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
@@ -83,6 +84,33 @@ def test_index_versions_take_insertions_and_deletions(spark, docs):  # noqa: F81
     assert got == want
 
 
+def test_deletions_insertions_and_retries_keep_the_largest_live_row(spark):
+    r = random.Random(11)
+    texts = ["same", "SAME", "other", "", None, "x" * 50]
+    rows = {k: (k, r.choice([None, *range(8)]) if k % 5 == 0 else k * 7 % 41, r.choice(texts)) for k in range(60)}
+
+    def made(keys):
+        keys = list(keys)
+        df = spark.createDataFrame([rows[k] for k in keys], "key long, doc_id long, text string")
+        return exact_dedup.digests(df, row_col="key")
+
+    live, version = set(), None
+    for step in range(6):
+        put = set(r.sample(sorted(rows), 20))
+        cut = set(r.sample(sorted(rows), 15)) if step else set()
+        for _ in range(2 if step % 2 else 1):  # retried as a whole
+            version = exact_dedup.advanced(version, made(put), made(cut) if cut else None, buckets=3)
+            live = (live - cut) | put
+        want = {}
+        for k in live:
+            d = hashlib.sha256((rows[k][2] or "").translate(LOWER).encode()).digest()
+            want.setdefault(d, []).append(rows[k][1])
+        got = {bytes(x.digest): (x.keep_id, x.group_size) for x in exact_dedup.live_groups(version.index).collect()}
+        assert got == {d: (max((i for i in ids if i is not None), default=None), len(ids)) for d, ids in want.items()}
+    version = exact_dedup.advanced(version, made([]), made(rows))
+    assert exact_dedup.live_groups(version.index).count() == 0 and version.members.count() == 0
+
+
 # --- 6: substring dedup
 
 def brute_substrings(rows, window):

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -127,11 +128,13 @@ def _order(keep: tuple):
     return row_id is not None, row_id if row_id is not None else 0, row
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored rows of id, row (a number of its own), t (a hash of the text as
-    it is) and the normalised text's SHA-256."""
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Stored rows of id, row (a number of its own, or the long key
+    ``row_col``), t (a hash of the text as it is) and the normalised text's
+    SHA-256."""
     text = F.coalesce(named(text_col), F.lit(""))
-    narrow = df.select(named(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
+    row = F.monotonically_increasing_id() if row_col is None else named(row_col).cast("long")
+    narrow = df.select(named(id_col).alias("id"), row.alias("row"),
                        F.xxhash64(text).alias("t"), text.alias("text"))
 
     def task(batches):
@@ -175,7 +178,9 @@ def buckets_for(n_rows: int) -> int:
 def updated(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame | None = None,
             name: str = "digest-index") -> DataFrame:
     """The stored next version of an index after deletions and insertions
-    (both as ``changes`` makes them, with the index's number of buckets)."""
+    (both as ``changes`` makes them, with the index's number of buckets).
+    Deletions lower a group's count and drop it at 0; they don't look for
+    another keeper, which ``advanced`` does."""
     kind = inserts.schema["keep_id"].dataType.simpleString()
     empty = "cast(null as int) places", "cast(null as binary) slots", "cast(null as binary) digests", \
         f"cast(null as array<{kind}>) keep_ids", "cast(null as array<bigint>) keep_rows", "cast(null as array<bigint>) counts"
@@ -227,6 +232,42 @@ def updated(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame | No
     return stored(dealt.mapInArrow(released(task), _INDEX.format(kind)), name)
 
 
+class Version(NamedTuple):
+    """An index and the live rows (id, row, digest) that it stands for."""
+
+    members: DataFrame
+    index: DataFrame
+    buckets: int
+
+
+#: More rows than a group has: a deletion of so many drops it.
+_ALL_ROWS = 1 << 62
+
+
+def advanced(version: Version | None, inserts: DataFrame, deletes: DataFrame | None = None, buckets: int | None = None) -> Version:
+    """The next version after deletions, then insertions (rows of ``digests``
+    with ``row_col``).  A row that is live isn't inserted again, and one that
+    isn't can't be deleted.  Groups that lose a row are counted again from the
+    live rows, with partial aggregation; all others only take their new rows."""
+    rows = inserts.select("id", "row", "digest").dropDuplicates(["row"])
+    if version is None:
+        members = rows.limit(0)
+        index, buckets = None, buckets or buckets_for(rows.count())
+    else:
+        members, index, buckets = version
+    gone = members.limit(0) if deletes is None else members.join(deletes.select("row").distinct(), "row", "left_semi").select("id", "row", "digest")
+    gone = stored(gone, "dedup-gone")
+    stay = members.join(gone.select("row"), "row", "left_anti").select("id", "row", "digest")
+    new = stored(rows.join(stay.select("row"), "row", "left_anti").select("id", "row", "digest"), "dedup-new")
+    members = stored(stay.unionByName(new), "dedup-members")
+    lost = gone.select("digest").distinct()
+    counted = members.join(lost, "digest", "left_semi").select("id", "row", "digest")
+    put = changes(counted.unionByName(new.join(lost, "digest", "left_anti").select("id", "row", "digest")), buckets)
+    drop = changes(gone, buckets).withColumn("rows", F.lit(_ALL_ROWS)).select(*put.columns)
+    index = updated(index, put, drop)
+    return Version(members, index, buckets)
+
+
 def live_groups(index: DataFrame) -> DataFrame:
     """One row per live digest: digest, keep_id, keep_row, group_size."""
     kind = index.schema["keep_ids"].dataType.elementType.simpleString()
