@@ -39,8 +39,8 @@ def _stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _scenario_passes(base: DataFrame, scenarios, block_scenarios: int, finish) -> list[DataFrame]:
-    """``finish`` of the base cases adjusted by each block of scenarios.  With
+def _scenario_passes(base: DataFrame, scenarios, block_scenarios: int) -> list[DataFrame]:
+    """The base cases adjusted by each block of scenarios.  With
     more blocks than one each pass is stored before the next begins, so the
     driver and the executors need one block at a time."""
     spark = base.sparkSession
@@ -67,10 +67,10 @@ def _scenario_passes(base: DataFrame, scenarios, block_scenarios: int, finish) -
     keep = [c for c in base.columns if c not in ("energy_usage", "water_usage")]
     done = []
     for part in parts:
-        out = finish(base.crossJoin(F.broadcast(part)).select(
+        out = base.crossJoin(F.broadcast(part)).select(
             *keep, F.col("_name").alias("scenario"),
             C.scenario_energy("energy_usage", "_efficiency", "_renewable").alias("energy_usage"),
-            C.scenario_water("water_usage", "_efficiency").alias("water_usage")))
+            C.scenario_water("water_usage", "_efficiency").alias("water_usage"))
         done.append(_stored(out, "scenario-pass") if blocks > 1 else out)
     return done
 
@@ -85,23 +85,30 @@ def scenario_analysis(base: DataFrame, scenarios, block_scenarios: int = BLOCK_S
     The result has a row for each base case and scenario; for totals of many
     scenarios use ``scenario_totals``, which doesn't keep these rows."""
     out = base.withColumn("scenario", F.lit("base"))
-    for rows in _scenario_passes(base, scenarios, block_scenarios, lambda adjusted: adjusted):
+    for rows in _scenario_passes(base, scenarios, block_scenarios):
         out = out.unionByName(rows)
     return out
 
 
-def scenario_totals(base: DataFrame, scenarios, block_scenarios: int = BLOCK_SCENARIOS) -> DataFrame:
+def scenario_totals(base: DataFrame, scenarios, block_scenarios: int | None = None) -> DataFrame:
     """``scenario_analysis`` as one row per scenario: n, energy_usage and
-    water_usage, aggregated in each block's own pass."""
-    sums = [F.sum(c).alias(c) for c in ("energy_usage", "water_usage")]
-
-    def totals(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("scenario").agg(F.count("*").alias("n"), *sums)
-
-    out = totals(base.withColumn("scenario", F.lit("base")))
-    for part in _scenario_passes(base, scenarios, block_scenarios, totals):
-        out = out.unionByName(part)
-    return out.groupBy("scenario").agg(F.sum("n").alias("n"), *sums)  # a name may be in several blocks
+    water_usage.  Scenarios scale usage, so their totals are those of the base
+    scaled: the base cases are summed once, and each scenario reads the one
+    row of sums (a scalar).  ``block_scenarios`` is accepted for older callers
+    and has no effect."""
+    from verdigris.operators.joins import one_row
+    spark, sums = base.sparkSession, [F.sum(c).alias(c) for c in ("energy_usage", "water_usage")]
+    if not isinstance(scenarios, DataFrame):
+        scenarios = spark.createDataFrame([(n, float(e), float(r)) for n, e, r in scenarios],
+                                          "name string, efficiency double, renewable double")
+    total = base.agg(F.count("*").alias("n"), *sums)
+    t = one_row(total)
+    efficiency, renewable = F.col("efficiency").cast("double"), F.col("renewable").cast("double")
+    each = scenarios.select(F.col("name").alias("scenario"), t["n"].alias("n"),
+                            C.scenario_energy(t["energy_usage"], efficiency, renewable).alias("energy_usage"),
+                            C.scenario_water(t["water_usage"], efficiency).alias("water_usage"))
+    out = total.select(F.lit("base").alias("scenario"), "n", "energy_usage", "water_usage").unionByName(each).where(F.col("n") > 0)
+    return out.groupBy("scenario").agg(F.sum("n").alias("n"), *sums)  # a name may be there several times
 
 
 def with_interval(df: DataFrame, pred: str = "prediction", sigma: str = "sigma", z: float = 1.96) -> DataFrame:

@@ -255,14 +255,20 @@ def _wide(stats: DataFrame, cols: Sequence[str], fields: Sequence[str]) -> DataF
 
 
 def apply_iqr_caps(df: DataFrame, caps: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """ML-01 transform: clip to the fitted caps (a one-row scalar, no join)."""
+    """ML-01 transform: clip to the fitted caps (a one-row scalar, no join);
+    missing values stay missing."""
     from verdigris.operators.joins import one_row
     s = one_row(_wide(caps, cols, ["lower", "upper"]))
     for c in cols:
-        df = df.withColumn(c, F.least(F.greatest(F.col(c), s[f"{c}__lower"]), s[f"{c}__upper"]))
+        df = df.withColumn(c, clipped(F.col(c), s[f"{c}__lower"], s[f"{c}__upper"]))
     return df
 
 
+def clipped(value: Column, low: Column, high: Column) -> Column:
+    """The value within bounds; NULL for NULL, which least and greatest skip."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
+
+
 def fit_robust(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """ML-02 fit: median for imputation, then median and IQR of the
     imputed column (imputation fills the median, so the median is the same

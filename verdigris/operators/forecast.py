@@ -65,7 +65,7 @@ class TelemetryPreprocessor(Estimator, _PrepParams, DefaultParamsReadable, Defau
                 state["caps"][row["column"]] = [row["lower"], row["upper"]]
             capped = df
             for c, (lo, hi) in state["caps"].items():
-                capped = capped.withColumn(c, F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)))
+                capped = capped.withColumn(c, FE.clipped(F.col(c), F.lit(lo), F.lit(hi)))
             for row in FE.fit_robust(capped, num).collect():
                 state["robust"][row["column"]] = [row["fill"], row["center"], row["scale"]]
         if cat:
@@ -96,7 +96,7 @@ class TelemetryPreprocessorModel(Model, _PrepParams, DefaultParamsReadable, Defa
                 out = FE.apply_iqr_caps(out, FE.fit_iqr_caps(out, [c]), [c])
             else:
                 lo, hi = state["caps"][c]
-                out = out.withColumn(c, F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)))
+                out = out.withColumn(c, FE.clipped(F.col(c), F.lit(lo), F.lit(hi)))
             fill, center, scale = state["robust"][c]
             out = out.withColumn(c, (F.coalesce(F.col(c), F.lit(fill)) - F.lit(center)) / F.lit(scale))
         if state["vocab"]:
@@ -395,9 +395,13 @@ def linear_contributions(scored: DataFrame, model: PipelineModel, feature_cols:
     """ML-13: contribution_j = coef_j (x_j - mean_j), long format; per row
     the contributions sum to prediction - prediction(mean)."""
     _, coefs = linear_coefficients(model)
+    return given_contributions(scored, dict(zip(feature_cols, coefs, strict=True)), background, [*id_cols, "prediction"])
+
+
+def given_contributions(rows: DataFrame, coefs: Mapping[str, float], background: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """``linear_contributions`` by given coefficients of features."""
     from verdigris.operators.joins import one_row
-    bg = one_row(background.select(*feature_cols))            # per-feature means, one row
-    items = F.array(*[F.struct(F.lit(c).alias("feature"),
-                               (F.lit(coefs[i]) * (F.col(c) - bg[c])).alias("contribution"))
-                      for i, c in enumerate(feature_cols)])
-    return scored.select(*id_cols, "prediction", F.inline(items))
+    bg = one_row(background.select(*coefs))            # per-feature means, one row
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), (F.lit(float(k)) * (F.col(c) - bg[c])).alias("contribution"))
+                      for c, k in coefs.items()])
+    return rows.select(*id_cols, F.inline(items))

@@ -63,6 +63,19 @@ def append_run(df: DataFrame, path: str, run_id: str, partition_by: Sequence[str
     w.parquet(f"{path.rstrip('/')}/run_id={run_id}")
 
 
+def insert_ignore_run(incoming: DataFrame, path: str, run_id: str, keys: Sequence[str], order: Sequence[str]) -> None:
+    """SNK-01, written: appends one run's rows whose keys no other run of the
+    table at ``path`` has (a new table: all first rows per key).  The run's own
+    rows don't count as existing, so a retried run writes the same rows."""
+    from verdigris.session import hadoop_path
+    spark = incoming.sparkSession
+    p, fs = hadoop_path(spark, path)
+    others = [s.getPath().toString() for s in fs.listStatus(p)] if fs.exists(p) else []
+    others = [x for x in others if "/run_id=" in x and not x.endswith(f"/run_id={run_id}")]
+    target = spark.read.schema(incoming.schema).parquet(*others) if others else incoming.limit(0)
+    append_run(insert_ignore(target, incoming, keys, order), path, run_id)
+
+
 # ---------------------------------------------------------------- SNK-04
 UPDATABLE = ("co2_kg", "energy_kwh", "water_l")
 

@@ -152,3 +152,83 @@ def ml13(spark, d):
     contrib = FC.linear_contributions(scored, res["model"], cols, bg, ["ts", "facility_id"])
     from verdigris.operators.monitor import feature_importance
     return feature_importance(contrib)
+
+
+GIVEN = {"co2_kg_lag_1": 0.6, "co2_kg_lag_2": -0.2, "hour_sin": 1.5}
+GIVEN_CTES = {
+    "em": L.EMISSION_METRICS_SQL,
+    "feats": """SELECT *, sin(2 * pi() * hour(ts) / 24) AS hour_sin FROM (
+      SELECT facility_id, ts, co2_kg, lag(co2_kg, 1) OVER w AS l1, lag(co2_kg, 2) OVER w AS l2 FROM em
+      WINDOW w AS (PARTITION BY facility_id ORDER BY ts)) WHERE l2 IS NOT NULL""",
+}
+
+
+def _given_features(spark, d):
+    x = FE.lag_features(L.emission_metrics(spark, d), {"co2_kg": [1, 2]}).where(F.col("co2_kg_lag_2").isNotNull())
+    return FE.cyclical_hour(x)
+
+
+@register("ml13_given_coefficients", "ML-13", L.with_ctes(f"""
+SELECT facility_id, ts, {sql_r('0.6 * (l1 - m1)')} AS lag_1, {sql_r('-0.2 * (l2 - m2)')} AS lag_2, {sql_r('1.5 * (hour_sin - m3)')} AS hour_sin
+FROM feats, (SELECT avg(l1) AS m1, avg(l2) AS m2, avg(hour_sin) AS m3 FROM feats)""", **GIVEN_CTES))
+def ml13_given(spark, d):
+    """Contributions of given coefficients, the background being all rows."""
+    x = _given_features(spark, d)
+    c = FC.given_contributions(x, GIVEN, FC.background_means(x, [*GIVEN], 1.0), ["facility_id", "ts"])
+    wide = c.groupBy("facility_id", "ts").pivot("feature", [*GIVEN]).agg(F.first("contribution"))
+    return wide.select("facility_id", "ts", r("co2_kg_lag_1").alias("lag_1"), r("co2_kg_lag_2").alias("lag_2"), r("hour_sin").alias("hour_sin"))
+
+
+@register("agg17_given_importance", "AGG-17", L.with_ctes(f"""
+SELECT feature, {sql_r('avg(abs(c))')} AS importance FROM (
+  SELECT 'co2_kg_lag_1' AS feature, 0.6 * (l1 - (SELECT avg(l1) FROM feats)) AS c FROM feats
+  UNION ALL SELECT 'co2_kg_lag_2', -0.2 * (l2 - (SELECT avg(l2) FROM feats)) FROM feats
+  UNION ALL SELECT 'hour_sin', 1.5 * (hour_sin - (SELECT avg(hour_sin) FROM feats)) FROM feats) GROUP BY feature""", **GIVEN_CTES))
+def agg17_given(spark, d):
+    from verdigris.operators.monitor import feature_importance
+    x = _given_features(spark, d)
+    c = FC.given_contributions(x, GIVEN, FC.background_means(x, [*GIVEN], 1.0), ["facility_id", "ts"])
+    return feature_importance(c).select("feature", r("importance").alias("importance"))
+
+
+@register("ml15_promotions", "ML-15", L.with_ctes(f"""
+SELECT candidate, {sql_r('rmse')} AS candidate_rmse, rmse <= least_before OR least_before IS NULL AS promoted,
+       arg_min_before AS old_version, CASE WHEN rmse <= least_before OR least_before IS NULL THEN candidate ELSE arg_min_before END AS production_version
+FROM (SELECT candidate, rmse, (SELECT min(rmse) FROM errors b WHERE b.candidate < a.candidate) AS least_before,
+             (SELECT arg_min(candidate, rmse) FROM errors b WHERE b.candidate < a.candidate) AS arg_min_before FROM errors a)""",
+    **GIVEN_CTES, errors="""SELECT 'v1' AS candidate, sqrt(avg((co2_kg - l1) ** 2)) AS rmse FROM feats
+              UNION ALL SELECT 'v2', sqrt(avg((co2_kg - 1.5 * l1) ** 2)) FROM feats
+              UNION ALL SELECT 'v3', sqrt(avg((co2_kg - 0.5 * l1 - 0.25 * l2) ** 2)) FROM feats"""))
+def ml15_promotions(spark, d):
+    """Three versions, the second worse and the third better than the first;
+    what production points to after each."""
+    from verdigris.operators.monitor import regression_metrics
+    x, root, current, out = _given_features(spark, d), scratch_path(spark, "promotions"), None, None
+    rules = {"v1": F.col("co2_kg_lag_1"), "v2": 1.5 * F.col("co2_kg_lag_1"), "v3": 0.5 * F.col("co2_kg_lag_1") + 0.25 * F.col("co2_kg_lag_2")}
+    for version, rule in rules.items():
+        rmse = regression_metrics(x.select(F.col("co2_kg").alias("actual"), rule.alias("predicted"))).first()["rmse"]
+        row = FC.promote(spark, root, current, {"version": version, "rmse": rmse})
+        pointed = spark.read.json(f"{root}/production").first()["version"]
+        current = {"version": version, "rmse": rmse} if pointed == version else current
+        row = row.select(F.col("candidate_version").alias("candidate"), r("candidate_rmse").alias("candidate_rmse"), "promoted", "old_version",
+                         F.lit(pointed).alias("production_version"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("ml05_preprocessor_values", "ML-05", L.with_ctes(f"""
+SELECT ts, facility_id, {sql_r('(coalesce(v, med) - m2) / CASE WHEN q3 = q1 THEN 1.0 ELSE q3 - q1 END')} AS value,
+       {sql_r('sin(2 * pi() * hour(ts) / 24)')} AS hour_sin, {', '.join(f"CASE WHEN kind = '{k}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS kind_{k}" for k in ('click', 'error', 'view'))}
+FROM capped, (SELECT median(v) AS med FROM capped),
+  (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS m2, quantile_cont(x, 0.75) AS q3
+   FROM (SELECT coalesce(v, (SELECT median(v) FROM capped)) AS x FROM capped))""",
+    sf=L.SENSOR_FEED_SQL, capped="""SELECT ts, sensor_id AS facility_id, kind, CASE WHEN value IS NOT NULL THEN least(greatest(value, a - 1.5 * (b - a)), b + 1.5 * (b - a)) END AS v
+      FROM sf, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM sf)"""))
+def ml05_values(spark, d):
+    """A saved and reloaded preprocessor's output for readings, of which the
+    failed ones have no value."""
+    x = L.sensor_feed(spark, d).select("ts", F.col("sensor_id").alias("facility_id"), "value", "kind")
+    path = scratch_path(spark, "preprocessor-values")
+    FC.TelemetryPreprocessor(numericCols=["value"], categoricalCols=["kind"]).fit(x).write().overwrite().save(path)
+    out = FC.TelemetryPreprocessorModel.load(path).transform(x)
+    return out.select("ts", "facility_id", r("value").alias("value"), r("hour_sin").alias("hour_sin"), "kind_click", "kind_error", "kind_view")

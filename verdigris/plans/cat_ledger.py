@@ -142,3 +142,20 @@ def val16b(spark, d):
     ce = L.credit_events(spark, d)
     acc = ce.select(F.col("to_acct").alias("account")).filter(F.col("account").isNotNull()).distinct()
     return acc.select("account", LG.address("account").alias("address"))
+
+
+@register("snk13_appended_audit", "SNK-13", L.with_ctes(f"""
+SELECT kind, block % 3 AS run, tx_hash, coalesce(from_acct, operator) AS actor, {sql_r('CAST(amount_wei AS DOUBLE) / 1e18')} AS amount
+FROM ce WHERE kind IN ('transfer', 'mint')""", ce=L.CREDIT_EVENTS_SQL))
+def snk13_appended(spark, d):
+    """Both audit logs over three runs, the first of them retried."""
+    from verdigris.operators.tables import append_run, scratch_path
+    ce, root = L.credit_events(spark, d), scratch_path(spark, "audit-logs")
+    for n in (0, 1, 2, 0):
+        part = ce.where(F.col("block") % 3 == n)
+        append_run(LG.transfer_audit(part), f"{root}/transfers", str(n))
+        append_run(LG.mint_audit(part), f"{root}/mints", str(n))
+    logs = [spark.read.parquet(f"{root}/{name}").select(F.lit(kind).alias("kind"), F.col("run_id").cast("bigint").alias("run"), "tx_hash",
+                                                        F.col(actor).alias("actor"), r(F.col("amount").cast("double")).alias("amount"))
+            for name, kind, actor in (("transfers", "transfer", "user_id"), ("mints", "mint", "admin_id"))]
+    return logs[0].unionByName(logs[1])

@@ -241,3 +241,63 @@ def str06_text(spark, d):
     got = spark.read.parquet(out)
     last = got.withColumn("_m", F.max("batch_id").over(Window.partitionBy("meter"))).filter(F.col("batch_id") == F.col("_m"))
     return last.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "meter", "kwh")
+
+
+@register("str01_ingest_over_files", "STR-01", L.with_ctes("""
+SELECT reading_id, sensor_id, value, 'valid' AS part FROM sf WHERE value IS NOT NULL
+UNION ALL SELECT reading_id, sensor_id, value, 'rejected' FROM sf WHERE value IS NULL""", sf=L.SENSOR_FEED_SQL))
+def str01_files(spark, d):
+    """Valid rows and rejects over four micro-batches, each to its own sink."""
+    from verdigris.operators.validate import required_present
+    out, ckpt = scratch_path(spark, "ingest-parts"), scratch_path(spark, "ckpt-ingest-parts")
+    tagged = S.validated(_feed(_events_in_parts(spark, d)), required_present(["value"]))
+    sinks = {p: S.idempotent_parquet_sink(f"{out}/{p}") for p in ("valid", "rejected")}
+
+    def write(batch, batch_id):
+        sinks["valid"](batch.filter(F.size("failed_rules") == 0).drop("failed_rules"), batch_id)
+        sinks["rejected"](batch.filter(F.size("failed_rules") > 0).drop("failed_rules"), batch_id)
+    S.run_available_now(tagged, ckpt, foreach_batch=write)
+    parts = [spark.read.parquet(f"{out}/{p}").select("reading_id", "sensor_id", "value", F.lit(p).alias("part")) for p in sinks]
+    return parts[0].unionByName(parts[1])
+
+
+@register("str02_scoring_errors", "STR-02", L.with_ctes(f"""
+SELECT reading_id, value, CASE WHEN value IS NOT NULL THEN {sql_r('2 * value + 1')} END AS prediction,
+       CASE WHEN value IS NULL THEN 'missing feature' END AS error FROM sf""", sf=L.SENSOR_FEED_SQL))
+def str02_errors(spark, d):
+    """A model that is known, over four micro-batches; failed readings have no
+    feature and get an error row each."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    known = L.sensor_feed(spark, d).where("value is not null").withColumn("label", 2 * F.col("value") + 1)
+    model = Pipeline(stages=[VectorAssembler(inputCols=["value"], outputCol="features"), LinearRegression(labelCol="label")]).fit(known)
+    scored = S.score_stream(_feed(_events_in_parts(spark, d)), model, ["value"])
+    got = _run_batches(spark, scored, "append", "scoring-errors")
+    return got.select("reading_id", "value", r("prediction").alias("prediction"), "error")
+
+
+@register("str03_live_leak_alerts", "STR-03", L.with_ctes("""
+SELECT reading_id, facility_id, flow_rate FROM (
+  SELECT event_id AS reading_id, user_id AS facility_id, event_type = 'purchase' AS valve_open, value / 100 AS flow_rate
+  FROM events WHERE event_type IN ('purchase', 'signup')) WHERE NOT valve_open AND flow_rate > 0.1"""))
+def str03_leaks(spark, d):
+    from verdigris.operators.anomaly import leak_alerts
+    s = _events_in_parts(spark, d).filter(F.col("event_type").isin("purchase", "signup")).select(
+        F.col("event_id").alias("reading_id"), F.col("user_id").alias("facility_id"), (F.col("event_type") == "purchase").alias("valve_open"),
+        (F.col("value") / 100).alias("flow_rate"))
+    return _run_batches(spark, leak_alerts(s), "append", "leaks").select("reading_id", "facility_id", "flow_rate")
+
+
+@register("str05_dedupe_over_files", "STR-05", L.with_ctes("""
+SELECT sensor_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS slot, count(*) AS n FROM (
+  SELECT DISTINCT sensor_id, date_trunc('day', ts) AS ts FROM sf) GROUP BY 1, 2""", sf=L.SENSOR_FEED_SQL))
+def str05_files(spark, d):
+    """Duplicates of a sensor and day that lie in three files, each a
+    micro-batch: one row of them all passes."""
+    e, path = L.table(spark, d, "events"), scratch_path(spark, "dedupe-files")
+    for n in range(3):
+        e.where(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(path)
+    s = _feed(S.read_stream(spark, path, e.schema, "parquet", max_files_per_trigger=1))
+    got = _run_batches(spark, S.deduplicate(s, "sensor_id", "day", "400 days"), "append", "dedupe-files")
+    return got.groupBy("sensor_id", F.col("_slot").cast("timestamp_ntz").alias("slot")).agg(F.count("*").alias("n"))

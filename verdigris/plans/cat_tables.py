@@ -276,3 +276,97 @@ def snk04m(spark, d):
     TB.merge_into_chunks(path, changed, "record_id", width="7 days")
     back = spark.read.parquet(path)
     return back.select("record_id", r("co2_kg").alias("co2_kg"), "version")
+
+
+@register("snk01_written_runs", "SNK-01", L.with_ctes("""
+SELECT ts, facility_id, kwh, row_no, run_id FROM (
+  SELECT *, CASE status WHEN 'F' THEN 'a' ELSE 'b' END AS run_id,
+         row_number() OVER (PARTITION BY ts, facility_id ORDER BY CASE status WHEN 'F' THEN 0 ELSE 1 END, row_no) AS rn FROM st) WHERE rn = 1""",
+    st=STAGED_SQL))
+def snk01_written(spark, d):
+    """Two runs into one table; each is retried, the first after the second."""
+    st, path = _staged(spark, d), TB.scratch_path(spark, "inserted")
+    first, rest = st.filter(F.col("status") == "F"), st.filter(F.col("status") != "F")
+    for run, rows in (("a", first), ("b", rest), ("b", rest)):
+        TB.insert_ignore_run(rows, path, run, ["ts", "facility_id"], ["row_no"])
+    return spark.read.parquet(path).select("ts", "facility_id", "kwh", "row_no", "run_id")
+
+
+@register("snk03_created_record", "SNK-03", L.with_ctes(f"""
+SELECT record_id, {sql_r('co2e_kg')} AS co2e_kg, 99 AS created_by, TIMESTAMP '{AS_OF}' AS created_at, 1 AS version
+FROM rc WHERE order_key = (SELECT max(order_key) FROM rc)""", rc=RECORDS_CO2E_SQL))
+def snk03_created(spark, d):
+    """The records of one order, created one by one: appended, one of them
+    retried, and read back."""
+    path, rc = TB.scratch_path(spark, "created"), L.emission_records(spark, d)
+    newest = rc.where(F.col("order_key") == F.lit(rc.agg(F.max("order_key")).first()[0]))
+    ids = [x.record_id for x in newest.select("record_id").distinct().orderBy("record_id").collect()]  # an order's lines
+    for n, record_id in [*enumerate(ids), (0, ids[0])]:
+        TB.append_run(TB.stamp_new_records(newest.where(F.col("record_id") == record_id), 99, AS_OF), path, f"create-{n}")
+    return spark.read.parquet(path).select("record_id", r("co2e_kg").alias("co2e_kg"), "created_by", "created_at", "version")
+
+
+@register("snk06_audit_values", "SNK-06", L.with_ctes(f"""
+SELECT coalesce(o.record_id, n.record_id) AS record_id,
+       CASE WHEN o.record_id IS NULL THEN 'C' WHEN n.record_id IS NULL THEN 'D' WHEN n.deleted_at IS NOT NULL THEN 'D' ELSE 'U' END AS operation_type,
+       {sql_r('o.co2_kg')} AS old_co2, {sql_r('n.co2_kg')} AS new_co2, o.water_l AS old_water, n.water_l AS new_water,
+       CASE WHEN n.deleted_at IS NOT NULL THEN '2024-08-01' END AS new_deleted, 0 AS changed_by, TIMESTAMP '{DELETE_AT}' AS changed_at
+FROM (SELECT record_id, co2_kg, energy_kwh, water_l FROM sr WHERE ts < TIMESTAMP '2001-10-01 00:00:00') o
+FULL JOIN (SELECT s.record_id, coalesce(u.co2_kg, s.co2_kg) AS co2_kg, s.energy_kwh, coalesce(u.water_l, s.water_l) AS water_l,
+                  CASE WHEN k.record_id IS NOT NULL THEN 1 END AS deleted_at
+           FROM sr s LEFT JOIN (SELECT record_id, max(co2_kg) AS co2_kg, max(water_l) AS water_l FROM up GROUP BY 1) u USING (record_id)
+           LEFT JOIN (SELECT DISTINCT record_id FROM dk) k USING (record_id)
+           WHERE s.ts >= TIMESTAMP '1995-02-01 00:00:00') n USING (record_id)
+WHERE o.record_id IS NULL OR n.record_id IS NULL OR n.deleted_at IS NOT NULL OR o.co2_kg IS DISTINCT FROM n.co2_kg OR o.water_l IS DISTINCT FROM n.water_l""",
+    rc=L.EMISSION_RECORDS_SQL, sr=STAMPED_SQL, dk=DELETE_KEYS_SQL, up=UPDATES_SQL))
+def snk06_values(spark, d):
+    """The audit log as written (one run, retried), its JSON read back."""
+    st = _stamped(spark, d)
+    old = st.filter(F.col("ts") < F.lit("2001-10-01").cast("timestamp_ntz"))
+    new = st.filter(F.col("ts") >= F.lit("1995-02-01").cast("timestamp_ntz"))
+    new = TB.apply_updates(new, _updates(spark, d), user_id=0, is_admin=True, as_of=UPDATE_AT)
+    new = TB.soft_delete(new, _delete_keys(spark, d), is_admin=True, as_of=DELETE_AT)
+    a = TB.audit_trail(old, new, "record_id", ["co2_kg", "energy_kwh", "water_l", "deleted_at"], changed_by=0, as_of=DELETE_AT)
+    path = TB.scratch_path(spark, "audit")
+    for _ in range(2):
+        TB.append_run(a, path, "run-1")
+    kind = "struct<co2_kg:double,energy_kwh:double,water_l:double,deleted_at:string>"
+    back = spark.read.parquet(path).withColumn("o", F.from_json("old_values", kind)).withColumn("n", F.from_json("new_values", kind))
+    return back.select("record_id", "operation_type", r("o.co2_kg").alias("old_co2"), r("n.co2_kg").alias("new_co2"),
+                       F.col("o.water_l").alias("old_water"), F.col("n.water_l").alias("new_water"),
+                       F.substring("n.deleted_at", 1, 10).alias("new_deleted"), "changed_by", "changed_at")
+
+
+@register("snk11_appended_log", "SNK-11", L.with_ctes("""
+SELECT kind AS run_id, 'batch' AS kind, count(*) AS batch_size, count_if(value IS NOT NULL) AS success_count
+FROM sf GROUP BY 1""", sf=L.SENSOR_FEED_SQL))
+def snk11_log(spark, d):
+    """A log row for each run, one of them retried."""
+    feed, path = L.sensor_feed(spark, d).withColumn("ok", F.col("value").isNotNull()), TB.scratch_path(spark, "run-log")
+    kinds = ("click", "error", "purchase", "signup", "view")
+    for run in (*kinds, kinds[0]):
+        TB.append_run(TB.run_log(feed.where(F.col("kind") == run), run).drop("run_id"), path, run)
+    return spark.read.parquet(path).select("run_id", "kind", "batch_size", "success_count")
+
+
+@register("snk12_report_values", "SNK-12", L.with_ctes(f"""
+SELECT 'day' AS part, CAST(day AS VARCHAR) AS day, {sql_r('sum(e)')} AS energy, {sql_r('sum(w)')} AS water, {sql_r('sum(c)')} AS emissions FROM (
+  SELECT CAST(ts AS DATE) AS day, kwh AS e, NULL AS w, NULL AS c FROM eu WHERE facility_id = 7
+  UNION ALL SELECT CAST(ts AS DATE), NULL, cubic_meters, NULL FROM wu WHERE facility_id = 7
+  UNION ALL SELECT CAST(ts AS DATE), NULL, NULL, co2_kg FROM em WHERE facility_id = 7) GROUP BY day
+UNION ALL SELECT 'total', NULL, {sql_r('(SELECT sum(kwh) FROM eu WHERE ts >= (SELECT max(ts) FROM em) - INTERVAL 7 DAY)')},
+  {sql_r('(SELECT sum(cubic_meters) FROM wu WHERE ts >= (SELECT max(ts) FROM em) - INTERVAL 7 DAY)')},
+  {sql_r('(SELECT sum(co2_kg) FROM em WHERE ts >= (SELECT max(ts) FROM em) - INTERVAL 7 DAY)')}""",
+    eu=L.ENERGY_USAGE_SQL, wu=L.WATER_USAGE_SQL, em=L.EMISSION_METRICS_SQL))
+def snk12_values(spark, d):
+    """The exported files, read back: the CSV table and the JSON totals."""
+    from verdigris.operators.reports import esg_daily, esg_period_totals
+    eu, wu, em = L.energy_usage(spark, d), L.water_usage(spark, d), L.emission_metrics(spark, d)
+    path = TB.scratch_path(spark, "report-values")
+    for _ in range(2):
+        TB.export_report(esg_daily(eu, wu, em, 7, "1900-01-01 00:00:00", "2999-01-01 00:00:00"), esg_period_totals(eu, wu, em, "week"), path)
+    table = spark.read.option("header", True).csv(f"{path}/table").select(
+        F.lit("day").alias("part"), F.substring("bucket", 1, 10).alias("day"), *[F.col(c).cast("double").alias(c) for c in ("energy", "water", "emissions")])
+    totals = spark.read.json(f"{path}/metadata").select(F.lit("total").alias("part"), F.lit(None).cast("string").alias("day"), F.col("total_energy").alias("energy"),
+                                                        F.col("total_water").alias("water"), F.col("total_emissions").alias("emissions"))
+    return table.unionByName(totals).select("part", "day", *[r(c).alias(c) for c in ("energy", "water", "emissions")])

@@ -26,19 +26,30 @@ from verdigris.session import hadoop_path
 from verdigris.sources.sensors import normalise_messages
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
+def read_stream(spark: SparkSession, path: str | None, schema: T.StructType, fmt: str = "parquet",
                 ts: str = "ts", max_files_per_trigger: int | None = None, **options) -> DataFrame:
-    """SRC-06: a file (or Kafka) stream with an explicit schema; event time
-    cast to ``timestamp`` for watermarking."""
-    r = spark.readStream.format(fmt).schema(schema)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    """SRC-06: a file stream with an explicit schema, or, with ``fmt='kafka'``
+    (no path; ``subscribe`` and the like as options), the JSON objects of its
+    messages by that schema; event time cast to ``timestamp`` for
+    watermarking."""
+    r = spark.readStream.format(fmt)
     for k, v in options.items():
         r = r.option(k, v)
-    df = r.load(path)
+    if fmt == "kafka":  # a fixed schema of its own, the message in ``value``
+        df = json_messages(r.load(), schema)
+    else:
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+        df = r.schema(schema).load(path)
     return df.withColumn(ts, F.col(ts).cast("timestamp")) if ts in df.columns else df
 
 
+def json_messages(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of JSON objects in the binary or text column ``value``;
+    messages that aren't such objects give NULLs."""
+    return messages.select(F.from_json(F.col("value").cast("string"), schema).alias("_m")).select("_m.*")
+
+
 def read_sensor_messages(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """SRC-06 for JSON sensor messages, one object a line: landed lines
     normalised (PRJ-04); a line that isn't such an object gives NULLs."""
