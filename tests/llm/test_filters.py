@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import pickle
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -142,6 +144,68 @@ def test_ownership_separates_examples_from_live_credentials(spark):
     assert out[22].spans.startswith("assign:") and out[22].n_live == 0
 
 
+def brute_reports(rows, max_owners, max_repos, live_chars=12):
+    """Counts by ownership and all spans, from the rules alone."""
+    def trimmed(v):
+        return v.strip("+/_.=-")
+
+    def live(v):
+        return len(v) >= live_chars and bool(re.search("[0-9]", v)) and bool(re.search("[A-Za-z]", v))
+    base, holders = [], {}
+    for n, (i, t, owner) in enumerate(rows):
+        t, found = t or "", []
+        for a, k, b in brute_spans(t):
+            v = trimmed(re.search(r"[A-Za-z0-9+/_.=-]+$", t[a:b]).group(0) if k == 0 else t[a:b])
+            if k == 0:
+                v = trimmed(ASSIGN.match(t, a).group(2))
+            found.append((a, k, b, v))
+            holders.setdefault(v, set()).add((owner, i))
+        base.append(found)
+    example = {v: len({o for o, _ in h}) > max_owners or len(h) > max_repos for v, h in holders.items()}
+    out = []
+    for (i, t, owner), found in zip(rows, base, strict=True):
+        t, spans = t or "", set()
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t):
+            pieces = [(m.start(), m.group(0))]
+            pieces += [(m.start() + p.start(), p.group(0)) for p in re.finditer("[^=/]+", m.group(0))]
+            for at, word in pieces:
+                a = at + len(word) - len(word.lstrip("+/_.=-"))
+                v = trimmed(word)
+                if live(v) and example.get(v) is False and not any(x < a + len(v) and a < y for x, _, y, _ in found):
+                    spans.add((a, 3, a + len(v)))
+        names = ("assign", "access", "hex", "reuse")
+        listed = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted({(a, k, b) for a, k, b, _ in found} | spans))
+        out.append((i, sum(live(v) and not example[v] for *_, v in found), sum(example[v] for *_, v in found), listed))
+    return out
+
+
+def test_ownership_and_reuse_equal_brute_force(spark):
+    r = random.Random(5)
+    values = [f"k{n}Ey{n * 7919}Qz{n}vv" for n in range(12)] + ["plainlettersonly", "123456789012345", "a1/b2=c3/d4567"]
+    rows = []
+    for i in range(300):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            v = values[min(int(r.expovariate(0.25)), len(values) - 1)]
+            parts.append(r.choice([f"token={v}", f"password: '{v}.'", v, f"{v}.", f"KEY={v}", f"https://h/p/{v}/x", f"x{v}", f"({v})", "words and words"]))
+        rows.append((i, " ".join(parts) if i % 50 else None, f"owner{r.randint(0, 3) if i % 3 else 0}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for max_owners, max_repos in ((2, 10), (3, 25), (4, 1000)):
+        got = secret_scan.report(secret_scan.scan(df, max_owners=max_owners, max_repos=max_repos)).collect()
+        assert sorted((x.doc_id, x.n_live, x.n_example, x.spans) for x in got) == sorted(brute_reports(rows, max_owners, max_repos))
+    assert any(x.n_example and "reuse" in x.spans for x in got) or any("reuse" in x.spans for x in got)
+
+
+def test_many_long_words_take_linear_time(spark):
+    words = [f"abcdefghijk{n}x" for n in range(60_000)]
+    live = "s3cr3tV4lue9876"
+    rows = [(1, f"token={live}", "o"), (2, " ".join([*words, live]), "o")]
+    began = time.time()
+    out = {x.doc_id: x for x in secret_scan.report(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    at = len(" ".join(words)) + 1
+    assert out[2].spans == f"reuse:{at}:{at + len(live)}" and time.time() - began < 60
+
+
 def test_secret_scan_on_all_cases(spark, docs, no_docs):  # noqa: F811
     assert secret_scan.report(secret_scan.scan(docs)).count() == len(documents())
     assert secret_scan.report(secret_scan.scan(no_docs)).count() == 0
