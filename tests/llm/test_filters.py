@@ -240,6 +240,51 @@ def test_classifier_scores_every_case(spark, docs, no_docs):  # noqa: F811
     assert quality.accepted(no_docs, weights).columns == no_docs.columns
 
 
+def plain_ftrl(rows, bits, epochs=quality.EPOCHS, alpha=quality.ALPHA, beta=quality.BETA, l1=quality.L1, l2=quality.L2):
+    """FTRL-proximal by the book, one coordinate at a time; rows are (y, {feature: value})."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return ((1 if z[i] > 0 else -1) * l1 - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+    for _ in range(epochs):
+        for y, x in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return np.array([weight(i) if i in z else 0.0 for i in range(2**bits + 1)])
+
+
+def test_learned_weights_equal_plain_ftrl_and_repeated_rows_change_nothing(spark):
+    from verdigris.llm import wordhash
+    r, bits = random.Random(3), 16
+    texts = [(i, " ".join(r.choice(("good", "fine", "Bad!", "x9", "buy")) for _ in range(r.randint(0, 12))), i % 3 % 2) for i in range(40)]
+    df = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, quality int")
+    got = quality.train(df, labels, bits=bits)
+    order = [x.doc_id for x in df.orderBy(F.xxhash64("doc_id", "text")).collect()]
+    hasher, rows = wordhash.Hasher(), []
+    for i in order:
+        raw = np.frombuffer(texts[i][1].encode(), np.uint8)
+        x = {2**bits: 1.0}
+        parts = []
+        for number, _ in quality.features(hasher, raw, np.array([0, len(raw)]), bits):
+            which, n = np.unique(number, return_counts=True)
+            parts += [(int(a), float(np.float32(quality.SCALE * b / max(1, len(number))))) for a, b in zip(which, n, strict=True)]
+        assert len({a for a, _ in parts}) == len(parts)  # no weight is shared here
+        rows.append((texts[i][2], dict(parts) | x))
+    assert np.count_nonzero(got) > 10 and np.allclose(got, plain_ftrl(rows, bits), atol=1e-5)
+    twice = quality.train(df.union(df), labels.union(labels), bits=bits)
+    assert np.array_equal(got, twice)
+    few = quality.train(df, labels, bits=bits, max_bytes=100)
+    assert not np.array_equal(got, few)
+
+
 # --- 9: decontamination
 
 def brute_contamination(items, rows, window):

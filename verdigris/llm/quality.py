@@ -10,9 +10,9 @@ are on one scale, and a score is a sparse dot product through the logistic
 function.  Whole texts are read; ids, languages, sources and labels are never
 inputs of a score.
 
-Training reads at most ``MAX_ROWS`` labelled rows, those with the smallest hash
-of their id (a documented bound: all labelled rows where there are fewer);
-their features are computed on the executors, then one task, whose input the
+Training reads at most ``MAX_ROWS`` labelled ids, those with the smallest hash,
+and ``MAX_BYTES`` of their texts (documented bounds: all where there are fewer),
+one text for each id; their features are computed on the executors, then one task, whose input the
 bound limits, runs the sequential updates.  The weights (``2**BITS`` floats) are
 broadcast, and scoring is one pass without a shuffle.
 
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from verdigris.llm import wordhash
 from verdigris.llm.common import bounded_broadcast, bytes_of, free_name, named, released, row_slices, small_batches
+from verdigris.llm.labelled import labelled_texts
 
-BITS, MAX_ROWS, EPOCHS = 18, 12_000, 5
+BITS, MAX_ROWS, MAX_BYTES, EPOCHS = 18, 12_000, 64 << 20, 5
 #: FTRL-proximal: learning rate, its offset, and the L1 and L2 weights.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 #: Shares of a view are scaled so that a frequent n-gram's value is about one.
@@ -72,20 +73,12 @@ def features(hasher: wordhash.Hasher, buf: np.ndarray, offs: np.ndarray, bits: i
             np.concatenate([rows, rows[1:][within] if len(rows) > 1 else rows[:0]])
 
 
-def _labelled(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
-    mean = F.avg(F.col(label_col).cast("double"))
-    return (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id"))
-            .agg((mean >= 0.5).cast("int").alias("y"))
-            .orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows))
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", bits: int = BITS, max_rows: int = MAX_ROWS, epochs: int = EPOCHS,
-          alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
+          alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, max_bytes: int = MAX_BYTES) -> np.ndarray:
     """Weights; the last one is the bias."""
-    sample = F.broadcast(_labelled(labels, id_col, label_col, max_rows))
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .join(sample, F.col("id") == F.col("label_id")).select(F.xxhash64("id", "text").alias("place"), "y", "text"))
+    rows = (labelled_texts(docs, labels, id_col, text_col, label_col, max_rows, max_bytes, "quality-sample")
+            .select(F.xxhash64("id", "text").alias("place"), "y", "text"))
 
     def featurise(batches):
         hasher = wordhash.Hasher()

@@ -30,11 +30,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm import deobfuscate, wordhash
-from verdigris.llm.common import bounded_broadcast, bytes_of, named, released, row_slices, small_batches, stored
+from verdigris.llm.common import bounded_broadcast, bytes_of, named, released, row_slices, small_batches
+from verdigris.llm.labelled import labelled_texts
 
 PREFIXES = (4, 5)
 MAX_ROWS, MAX_BYTES, MAX_FEATURES, MIN_TOXIC = 20_000, 64 << 20, 1 << 18, 2
@@ -59,21 +60,6 @@ def features(hasher: wordhash.Hasher, buf: np.ndarray, offs: np.ndarray):
         yield wordhash.mix(hasher.hash_spans(buf, w.starts[longer], ends[longer], True), 30 + n), rows[longer]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """Stored rows of place, y and text: one text for each labelled id, within the bounds."""
-    toxic = F.avg(named(label_col).cast("double")) >= 0.5
-    chosen = (labels.where(named(label_col).isNotNull() & named(id_col).isNotNull()).groupBy(named(id_col).alias("label_id"))
-              .agg(toxic.cast("int").alias("y")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows))
-    rows = (docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-            .join(F.broadcast(chosen), F.col("id") == F.col("label_id")))
-    rows = stored(rows.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text"), F.xxhash64("id").alias("place")),
-                  "toxicity-sample")
-    size = rows.select("id", "place", F.octet_length("text").cast("long").alias("size"))  # max_rows rows at most
-    within = (size.withColumn("upto", F.sum("size").over(Window.orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)))
-              .where(F.col("upto") <= max_bytes).select(F.col("id").alias("within")))
-    return rows.join(F.broadcast(within), F.col("id") == F.col("within")).select("place", "y", "text")
-
-
 def _present(table: np.ndarray, known: np.ndarray | None):
     """For batches of place, y, text: the distinct features of each row, as
     hashes, or as numbers of the ``known`` ones."""
@@ -147,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, id_col: str = "
           min_toxic: int = MIN_TOXIC, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes, their weights, and the bias; ``table`` is the
     character model."""
-    sample = _sample(docs, labels, id_col, text_col, label_col, max_rows, max_bytes)
+    sample = (labelled_texts(docs, labels, id_col, text_col, label_col, max_rows, max_bytes, "toxicity-sample")
+              .select(F.xxhash64("id").alias("place"), "y", "text"))
     none = (np.zeros(0, np.uint64), np.zeros(0))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if toxic in (0, n):
