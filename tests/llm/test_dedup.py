@@ -210,6 +210,13 @@ def test_regions_split_exactly(spark, region_shingles, pivots, cell_members):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == set(brute_classes(rows))
 
 
+def test_cells_are_compared_by_pairs_of_blocks(spark):
+    rows = variants()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard_join.join(df, cell_block=2).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == set(brute_classes(rows))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 130)] + [(200, 200), (7, 300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -32,7 +32,7 @@ Links within regions are joined to classes by connected components.  Nothing
 is capped; hot groups cost one entry for each batch and cell.
 
 Defined results: null and empty texts have empty sets, are linked with nothing
-and are their own class.  Rows with equal ids are told apart by their texts;
+and are their own class.  Ids are integers (cast to long).  Rows with equal ids are told apart by their texts;
 repeated rows get equal results.  A class of rows without ids has a null id.
 """
 
@@ -54,8 +54,9 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 SKETCH_BITS = 18
 #: Text whose entries one bucket holds on average, and shingles that a region may have in one task.
 BUCKET_BYTES, REGION_SHINGLES = 32 << 20, 3_000_000
-#: Members of a cell that are told apart by signatures; beyond, a cell counts as joined.
-CELL_MEMBERS = 4000
+#: Members of a cell that are told apart by signatures; beyond, a cell counts as joined.  Members that one task compares:
+#: larger cells are dealt into blocks of about so many, and pairs of blocks into tasks.
+CELL_MEMBERS, CELL_BLOCK = 4000, 500
 #: Members of a region that become pivots of a split, and parts that a region's rows are salted into.
 PIVOTS, SALTS = 8, 16
 #: Bits (2**WANTED_BITS) of the filter that tells which texts a region may want.
@@ -292,12 +293,19 @@ def _near(signatures: list[bytes], sizes: np.ndarray, share: tuple[int, int]) ->
     return of
 
 
-def _joined_cells(cells: DataFrame, classes: DataFrame, share: tuple[int, int], cell_members: int) -> DataFrame:
-    """Edges (a, b) between classes that a cell joins."""
+def _joined_cells(cells: DataFrame, classes: DataFrame, share: tuple[int, int], cell_members: int, cell_block: int = CELL_BLOCK) -> DataFrame:
+    """Edges (a, b) between classes that a cell joins.  A cell of more than
+    ``cell_block`` members is compared by pairs of blocks of it (a member goes
+    to as many as it has blocks): every two members meet in one of them, and
+    chains over several join in the components."""
     sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("members"), F.min("node").alias("first")), "cells")
     large = sizes.where(F.col("members") > cell_members)
     stars = cells.join(large, "cell").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    small = cells.join(sizes.where(F.col("members") <= cell_members).select("cell"), "cell", "left_semi")
+    small = cells.join(sizes.where(F.col("members") <= cell_members).select("cell", "members"), "cell")
+    blocks = F.ceil(F.col("members") / cell_block).cast("int")
+    small = (small.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .select(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node"))
     rows = small.join(classes.select(F.col("k1").alias("node"), "n", "signature"), "node")
 
     def task(batches):
@@ -562,7 +570,7 @@ def links_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE, share: tup
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
          share: tuple[int, int] = (NUMERATOR, DENOMINATOR), region_shingles: int = REGION_SHINGLES,
-         pivots: int = PIVOTS, cell_members: int = CELL_MEMBERS) -> DataFrame:
+         pivots: int = PIVOTS, cell_members: int = CELL_MEMBERS, cell_block: int = CELL_BLOCK) -> DataFrame:
     """One row per row of ``df``: id, t (a hash of the text), n_shingles,
     component_id (the least id of its class) and representative (whether this
     is the class's first document by id, null last, and text hash)."""
@@ -575,7 +583,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle:
                      .select("k1", "k2", "n", "signature", "f.id", "f.t"), "classes")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = stored(_cells(docs, _rarity(surveyed), shingle, partitions_for(df, size, BUCKET_BYTES), share), "cells")
-    regions = components(_joined_cells(cells, classes, share, cell_members), "regions")
+    regions = components(_joined_cells(cells, classes, share, cell_members, cell_block), "regions")
     wanted = (classes.join(regions, F.col("k1") == F.col("node"))
               .select("id", "t", "k1", "k2", "n", F.col("root").alias("region")))
     links = links_of(docs, wanted, shingle, share, region_shingles, pivots)

@@ -23,8 +23,8 @@ from the corpus's bytes, so one fits in a task.
 
 Defined results: null and empty texts have no words.  Rows with one id and
 equal texts are one document, and each gets that result; rows with one id and
-different texts are ordered by a hash of the text.  Null ids come last.  Texts
-with fewer words than a window keep all.
+different texts are ordered by a hash of the text.  Null ids come last;
+ids are integers (cast to long).  Texts with fewer words than a window keep all.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ Defined results: null payloads count as empty; equal empty payloads are a
 group like others.  Null ids come after all others; every row with the
 smallest id of its group is a response (repeated rows of one page are one
 page).  A null URL leaves out WARC-Target-URI.  Control characters and blanks
-in a URL are percent-encoded.  Empty tables give no archives and no rows.
+in a URL are percent-encoded.  Ids are integers (cast to long).  Empty tables give no archives and no rows.
 """
 
 from __future__ import annotations
