@@ -326,6 +326,33 @@ def test_refreshed_forecast_equals_a_plain_recursion(spark):
         FC.refreshed_forecast(df, "v", 1.0, {"lagg_1": 1.0}, 2, "k")
 
 
+@pytest.mark.parametrize("algo", ["linear", "gbt"])
+def test_trained_models_beat_the_naive_forecast(spark, algo):
+    """An autoregressive series with known noise: the error is near the
+    noise, and well below that of the last value as forecast."""
+    from verdigris.operators import forecast as FC
+    r, rows = random.Random(9), []
+    for k in range(4):
+        v = 50.0
+        for i in range(400):
+            v = 50 - 0.7 * (v - 50) + r.gauss(0, 1)
+            rows.append((k, T0 + dt.timedelta(hours=i), v))
+    df = spark.createDataFrame(rows, "facility_id long, ts timestamp_ntz, co2_kg double")
+    feats, cols = FC.forecast_features(df, "co2_kg", lags=(1, 2), means=(3,))
+    got = FC.train_forecaster(feats, cols, "co2_kg", algo, max_iter=20)
+    m = got["metrics"].first()
+    naive = math.sqrt(feats.agg(F.avg((F.col("co2_kg") - F.col("co2_kg_lag_1")) ** 2)).first()[0])
+    assert 0.85 < m["rmse"] < (1.15 if algo == "linear" else 1.4) and m["rmse"] < 0.6 * naive and abs(got["sigma"] - m["rmse"]) < 0.1
+
+
+def test_too_many_categories_for_the_wide_form_raise(spark):
+    from verdigris.operators import features as FE
+    df = spark.range(30).select(F.col("id").cast("string").alias("c"))
+    assert len(FE.fit_categories(df, ["c"], 30)["c"]) == 30
+    with pytest.raises(ValueError, match="category_table"):
+        FE.fit_categories(df, ["c"], 29)
+
+
 # --- streams
 
 def test_idle_meters_give_their_state_back(spark, tmp_path):

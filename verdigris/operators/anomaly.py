@@ -21,12 +21,15 @@ def facility_stats(metrics: DataFrame, as_of=None, days: int = 7, value: str = "
 
 
 def robust_anomalies(metrics: DataFrame, as_of=None, stats_days: int = 7, recent_days: int = 1,
-                     threshold: float = 3.0, value: str = "co2_kg", key: str = "facility_id") -> DataFrame:
+                     threshold: float = 3.0, value: str = "co2_kg", key: str = "facility_id", stats: DataFrame | None = None) -> DataFrame:
     """WIN-01: |x - median| / MAD > threshold for rows of the last
-    ``recent_days``, against ``stats_days`` statistics.  MAD = 0 gives a NULL
-    score (no anomaly) instead of a division error."""
+    ``recent_days``, against ``stats_days`` statistics, or ``stats`` that are
+    there already (``daysketch.trailing_stats``, which reads no old day in
+    full).  MAD = 0 gives a NULL score (no anomaly) instead of a division
+    error."""
     a = resolve_as_of(metrics, as_of)
-    stats = facility_stats(metrics, a, stats_days, value, key)
+    if stats is None:
+        stats = facility_stats(metrics, a, stats_days, value, key)
     recent = trailing(metrics, recent_days, a)
     z = F.try_divide(F.abs(F.col(value) - F.col("median_co2")), F.col("mad_co2"))
     return (recent.join(stats, key)                       # JOIN-01

@@ -315,11 +315,17 @@ def category_index(df: DataFrame, table: DataFrame, cols: Sequence[str]) -> Data
     return df
 
 
-def fit_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+#: Columns that the wide one-hot form may have.
+MAX_WIDE = 10_000
+
+
+def fit_categories(df: DataFrame, cols: Sequence[str], max_wide: int = MAX_WIDE) -> dict[str, list[str]]:
     """ML-03 fit for the wide form: the sorted categories of each column.  They
-    name the columns of the result, so the driver needs them; for columns with
-    very many categories use ``category_table``."""
-    rows = category_table(df, cols).orderBy("column", "index").collect()
+    name the columns of the result, so the driver needs them, and more than
+    ``max_wide`` raise; ``category_table`` takes any number."""
+    rows = category_table(df, cols).orderBy("column", "index").limit(max_wide + 1).collect()
+    if len(rows) > max_wide:
+        raise ValueError(f"more than {max_wide} categories for the wide form; use category_table and category_index")
     return {c: [r["category"] for r in rows if r["column"] == c] for c in cols}
 
 

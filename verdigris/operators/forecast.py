@@ -136,11 +136,11 @@ def forecast_features(df: DataFrame, value: str, key: str = "facility_id", ts: s
 def train_forecaster(features: DataFrame, feature_cols: Sequence[str], label: str, algo: str = "linear",
                      split: str = "chronological", test_size: float = 0.2, seed: int = 42,
                      key: str = "facility_id", ts: str = "ts", max_iter: int = 50,
-                     validation_tol: float = 0.01) -> dict:
+                     validation_tol: float = 0.01, reg_param: float = 0.01) -> dict:
     """Train and validate.  ``split='chronological'`` holds out the last
     ``test_size`` share of each series (no window leakage, WIN-12);
     ``'random'`` is the seeded 80/20 split.  GBT uses a validation column
-    for early stopping (ML-08).  Returns model, validation metrics (AGG-14)
+    for early stopping (ML-08); ``reg_param`` is the linear model's.  Returns model, validation metrics (AGG-14)
     and the residual sigma used for intervals (ML-14)."""
     if split == "random":
         train, test = features.randomSplit([1 - test_size, test_size], seed)
@@ -155,7 +155,7 @@ def train_forecaster(features: DataFrame, feature_cols: Sequence[str], label: st
                            validationTol=validation_tol, maxDepth=4)
         model = Pipeline(stages=[asm, reg]).fit(data)
     else:
-        reg = LinearRegression(labelCol=label, maxIter=max_iter, regParam=0.01)
+        reg = LinearRegression(labelCol=label, maxIter=max_iter, regParam=reg_param)
         model = Pipeline(stages=[asm, reg]).fit(data.filter(~F.col("is_val")))
     val = model.transform(data.filter(F.col("is_val")))
     val = val.select(F.col(label).alias("actual"), F.col("prediction").alias("predicted"))

@@ -260,8 +260,9 @@ def merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str = "ts", w
     their range) is a literal filter, so other folders aren't read.  Rows are
     checkpointed before the overwrite because the job reads the folders it
     replaces.  The overwrite leaves the folders of touched chunks that have no
-    row any more, so these are deleted after it.  Rows without a time are a
-    chunk like others.  Returns the rewritten rows."""
+    row any more, so these are deleted after it; between the two a reader sees
+    rows that left such a chunk twice, and a retry of an interrupted merge
+    repairs it.  Rows without a time are a chunk like others.  Returns the rewritten rows."""
     from verdigris.session import cut_lineage
     spark = changed.sparkSession
     table = spark.read.parquet(path)

@@ -217,3 +217,17 @@ def ml06(spark, d):
     w = w.withColumn("x_values", F.transform("x", lambda e: e["co2_kg"]))
     out = FE.augment_windows(w, seed=7)
     return out.select("facility_id", "window_start", "x_values", "y")
+
+
+@register("ml06_given_augmentation", "ML-06", L.with_ctes(f"""
+SELECT facility_id, window_start, list_transform(x, lambda v: {sql_r('v * 1.05 + 0.5')}) AS x_values, y FROM (
+  SELECT facility_id, ts AS window_start, list(co2_kg) OVER (w ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS x,
+         list(co2_kg) OVER (w ROWS BETWEEN 12 FOLLOWING AND 12 FOLLOWING) AS y
+  FROM em WINDOW w AS (PARTITION BY facility_id ORDER BY ts)) WHERE len(x) = 12 AND len(y) = 1""", em=L.EMISSION_METRICS_SQL))
+def ml06_given(spark, d):
+    """Augmentation whose coins are certain: every window scaled by 1.05 and
+    shifted by 0.5, none with noise."""
+    w = FE.training_windows(L.emission_metrics(spark, d), ["co2_kg"], "co2_kg", 12, 1)
+    w = w.withColumn("x_values", F.transform("x", lambda e: e["co2_kg"]))
+    out = FE.augment_windows(w, p_noise=0.0, p_scale=1.0, scale_lo=1.05, scale_hi=1.05, shift=0.5)
+    return out.select("facility_id", "window_start", F.transform("x_values", lambda v: r(v)).alias("x_values"), "y")

@@ -232,3 +232,40 @@ def ml05_values(spark, d):
     FC.TelemetryPreprocessor(numericCols=["value"], categoricalCols=["kind"]).fit(x).write().overwrite().save(path)
     out = FC.TelemetryPreprocessorModel.load(path).transform(x)
     return out.select("ts", "facility_id", r("value").alias("value"), r("hour_sin").alias("hour_sin"), "kind_click", "kind_error", "kind_view")
+
+
+@register("ml07_ml14_least_squares", "ML-07", L.with_ctes(f"""
+SELECT count(*) AS n, {sql_r('avg(abs(v - p))')} AS mae, {sql_r('sqrt(avg((v - p) * (v - p)))')} AS rmse, {sql_r('stddev_pop(v - p)')} AS sigma
+FROM (SELECT co2_kg AS v, a + b * l1 AS p FROM placed, (
+        SELECT regr_slope(co2_kg, l1) AS b, regr_intercept(co2_kg, l1) AS a FROM placed WHERE i <= floor(c * 0.8)) WHERE i > floor(c * 0.8))""",
+    em=L.EMISSION_METRICS_SQL, lagged="SELECT *, lag(co2_kg, 1) OVER (PARTITION BY facility_id ORDER BY ts) AS l1 FROM em",
+    placed="""SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY facility_id) AS c
+              FROM lagged WHERE l1 IS NOT NULL"""))
+def ml07_least_squares(spark, d):
+    """Training without a penalty on one lag is least squares on the first four
+    fifths of each series; errors and sigma are those of the last fifth."""
+    x = FE.lag_features(L.emission_metrics(spark, d), {"co2_kg": [1]}).where(F.col("co2_kg_lag_1").isNotNull())
+    res = FC.train_forecaster(x, ["co2_kg_lag_1"], "co2_kg", "linear", reg_param=0.0)
+    return res["metrics"].select("n", r("mae").alias("mae"), r("rmse").alias("rmse"), r(F.lit(res["sigma"])).alias("sigma"))
+
+
+@register("ml10_ml11_known_model", "ML-10", L.with_ctes(f"""
+SELECT reading_id, {sql_r('2 * value + 1')} AS prediction FROM sf WHERE value IS NOT NULL""", sf=L.SENSOR_FEED_SQL))
+def ml10_known(spark, d):
+    """A model that is known, saved as a second version and promoted, loaded as
+    production and scored over a Parquet table (SET-03)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    known = L.sensor_feed(spark, d).where("value is not null").select("reading_id", "value", (2 * F.col("value") + 1).alias("label"),
+                                                                      (5 - F.col("value")).alias("wrong"))
+    root, data = scratch_path(spark, "known-models"), scratch_path(spark, "known-readings")
+    known.select("reading_id", "value").write.parquet(data)
+    current = None
+    for version, label, rmse in (("v1", "wrong", 9.0), ("v2", "label", 0.5)):
+        model = Pipeline(stages=[VectorAssembler(inputCols=["value"], outputCol="features"), LinearRegression(labelCol=label)]).fit(known)
+        FC.save_version(spark, model, root, version, {"rmse": rmse})
+        FC.promote(spark, root, current, {"version": version, "rmse": rmse})
+        current = {"version": version, "rmse": rmse}
+    scored = FC.score_parquet(spark, FC.load_version(spark, root), data)
+    return scored.select("reading_id", r("prediction").alias("prediction"))

@@ -28,17 +28,21 @@ def _events_stream(spark, d):
 
 def _events_in_parts(spark, d, late: bool = False):
     """The events as a stream of four micro-batches by time; with ``late`` a
-    fifth brings rows of the first day again.  Each part is dealt to as many
-    files as the table's scan has partitions, and a micro-batch reads so many."""
-    e, path = L.table(spark, d, "events"), scratch_path(spark, "event-files")
+    fifth brings rows of the first day again.  One scan deals them to parts;
+    each part is then landed as as many files as the table's scan has
+    partitions, and a micro-batch reads so many."""
+    e, path, staged = L.table(spark, d, "events"), scratch_path(spark, "event-files"), scratch_path(spark, "event-parts")
     files = max(1, e.rdd.getNumPartitions())
-    low, high = (x.timestamp() for x in e.agg(F.min("ts"), F.max("ts")).first())
-    part = F.greatest(F.lit(0), F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - low) * 4 / (high - low + 1)))
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    first, span = low.timestamp(), high.timestamp() - low.timestamp() + 1
+    part = F.greatest(F.lit(0), F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - first) * 4 / span)).cast("int")
+    e.withColumn("_part", part).write.partitionBy("_part").parquet(staged)
+    parts = spark.read.schema(e.withColumn("_part", part).schema).parquet(staged)
     for n in range(4):
-        e.filter(part == n).repartition(files).write.mode("append").parquet(path)
-    if late:
-        first = e.filter(F.to_date("ts") == e.select(F.to_date(F.min("ts"))).scalar())
-        first.repartition(files).write.mode("append").parquet(path)
+        parts.where(F.col("_part") == n).drop("_part").repartition(files).write.mode("append").parquet(path)
+    if late:  # the first day lies in the first part, or goes on into the next
+        again = parts.where(F.to_date("ts") == F.lit(low.date())).drop("_part")
+        again.repartition(files).write.mode("append").parquet(path)
     return S.read_stream(spark, path, e.schema, "parquet", max_files_per_trigger=files)
 
 

@@ -370,14 +370,28 @@ SELECT facility_id, (floor((median_co2) * 10000 + 0.5001) / 10000) AS median_co2
 def agg05_sketches(spark, d):
     """The week's statistics from stored sketches: all days but the newest
     were kept before, the newest is read and added, the week is merged."""
+    s, _, _ = _sketched(spark, d)
+    return s.select("facility_id", r("median_co2").alias("median_co2"), r("mad_co2").alias("mad_co2"))
+
+
+def _sketched(spark, d):
     from verdigris.operators import daysketch as DS
     from verdigris.operators import tables as TB
     em, root = L.emission_metrics(spark, d), TB.scratch_path(spark, "day-sketches")
     now = em.agg(F.max("ts")).first()[0]
     for rows in (em.filter(F.to_date("ts") < F.lit(now.date())), em.filter(F.to_date("ts") == F.lit(now.date()))):
         DS.sketch_days(rows, root)
-    s = DS.trailing_stats(spark, root, em, now, 7)
-    return s.select("facility_id", r("median_co2").alias("median_co2"), r("mad_co2").alias("mad_co2"))
+    return DS.trailing_stats(spark, root, em, now, 7), em, now
+
+
+@register("win01_from_sketches", "WIN-01", L.with_ctes("""
+SELECT ts, facility_id, co2_kg, (floor(score * 10000 + 0.5001) / 10000) AS z_score
+FROM (SELECT em.*, CASE WHEN mad_co2 > 0 THEN abs(co2_kg - median_co2) / mad_co2 END AS score FROM stats JOIN em USING (facility_id))
+WHERE score > 3 AND ts > (SELECT max(ts) - INTERVAL 1 DAY FROM em)""", em=L.EMISSION_METRICS_SQL, stats=STATS_SQL))
+def win01_sketches(spark, d):
+    from verdigris.operators.anomaly import robust_anomalies
+    s, em, now = _sketched(spark, d)
+    return robust_anomalies(em, now, stats=s).select("ts", "facility_id", "co2_kg", r("z_score").alias("z_score"))
 
 
 @register("srt01_deep_page", "SRT-01", L.with_ctes("""
