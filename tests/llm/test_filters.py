@@ -413,7 +413,7 @@ def test_each_stage_on_every_case(spark, docs, no_docs, tmp_path):  # noqa: F811
 def test_queries_and_sql_are_registered(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
     assert set(queries.ORACLE_SQL) <= set(names)
 
 
