@@ -46,8 +46,9 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 #: Words of the value alphabet, and their parts between ``=`` and ``/``, that may repeat a credential: from a letter or
-#: digit to the last one, before the check for both.
-WORDS = (r"[A-Za-z0-9][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9]", r"[A-Za-z0-9][A-Za-z0-9+_.-]{10,}[A-Za-z0-9]")
+#: digit to the last one, before the check for both.  A match begins where no letter or digit stands before, so a short
+#: word is tried once.
+WORDS = (r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9]", r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9+_.-]{10,}[A-Za-z0-9]")
 #: Owners and repositories that a live-looking value may have, and its least length.
 MAX_OWNERS, MAX_REPOS, LIVE_CHARS = 2, 10, 12
 #: Matches whose positions are summed at a time.
