@@ -57,13 +57,20 @@ BLOCK = 512
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
+def _let(x: Column, f) -> Column:
+    """``f(x)`` with x computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """(start, end, value) of all non-overlapping matches."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.transform(F.split(text, pattern, -1), F.length)
-    steps = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("gap"), F.transform(whole, F.length).alias("size"), value.alias("value"))
-    return F.when(text.rlike(pattern), _placed(steps)).otherwise(F.array().cast(_SPANS))
+    def steps(whole):
+        value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        pieces = F.transform(F.split(text, pattern, -1), F.length)
+        return F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("gap"), F.transform(whole, F.length).alias("size"), value.alias("value"))
+
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda whole: _let(steps(whole), _placed))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
 def _placed(steps: Column) -> Column:
@@ -89,11 +96,7 @@ def _placed(steps: Column) -> Column:
         none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(cut, none, lambda acc, n: appended(acc, acc["at"] + n, acc["at"]), lambda acc: acc["out"])
 
-    # each let(x, f) gives x a name, so that it is computed once
-    def let(x, f):
-        return F.get(F.transform(F.array(x), f), F.lit(0))
-
-    return let(blocks(steps), lambda cut: let(starts(F.transform(cut, total)), lambda at: F.flatten(
+    return _let(blocks(steps), lambda cut: _let(starts(F.transform(cut, total)), lambda at: F.flatten(
         F.transform(cut, lambda block, i: spans(block, F.get(at, i))))))
 
 
