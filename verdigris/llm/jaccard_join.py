@@ -17,22 +17,25 @@ Jaccard distance, a metric.  The result is the classes of the link graph.
    sets from below; members of a cell that no chain of pairs within the bound
    joins are kept apart.  Documents that cells join form a region (connected
    components); regions don't link to each other.
-3. A region that fits in a task is joined there: members become pivots in
-   turn, a pivot's distances to all others come from the region's inverted
-   lists, and a member is compared only while some member outside its class
-   is within the triangle-inequality windows of all pivots so far.
-4. A larger region is split: ``PIVOTS`` members become pivots, each member goes
-   to the Voronoi region of its nearest pivot and, within the window of 2 r,
-   to others'; members within r of a region's pivot are linked to it and stay
-   only where a member farther out is within the windows.  Regions split again
-   until they fit.  A region that a split doesn't shrink is dealt into blocks
-   and joined block by block, so the join stays exact at any size.
+3. A region is split: ``PIVOTS`` members become pivots and are linked to the
+   members within r of them.  Each other member is at home in the Voronoi
+   region of its nearest pivot and, as a boundary document, in those whose
+   pivot is at most 2 r farther away and of whose members some may be within r
+   by the windows of all pivots' distances.  Home members are compared with
+   home and boundary members, and each Voronoi region is split again in the
+   same way until it has no two classes or no member that wasn't a pivot.
+4. A region of up to ``REGION_SHINGLES`` does all of this in one task, with
+   distances from its inverted lists; a larger one has its first splits across
+   tasks, with its rows salted, until the parts fit.  A part that a split
+   doesn't shrink is dealt into blocks and joined block by block, so the join
+   stays exact at any size.
 
 Links within regions are joined to classes by connected components.  Nothing
 is capped; hot groups cost one entry for each batch and cell.
 
 Defined results: null and empty texts have empty sets, are linked with nothing
-and are their own class.  Ids are integers (cast to long).  Rows with equal ids are told apart by their texts;
+and are their own class.  Ids keep their type, any that Spark orders; "least"
+is by its order.  Rows with equal ids are told apart by their texts;
 repeated rows get equal results.  A class of rows without ids has a null id.
 """
 
@@ -61,8 +64,6 @@ CELL_MEMBERS, CELL_BLOCK = 4000, 500
 PIVOTS, SALTS = 8, 16
 #: Bits (2**WANTED_BITS) of the filter that tells which texts a region may want.
 WANTED_BITS = 26
-#: Distances of a region's pivots that the windows look at.
-WINDOW_PIVOTS = 12
 #: Slack of the windows for rounding.
 EPSILON = 1e-9
 
@@ -124,7 +125,11 @@ def _sliced(batch, column: int, hasher: wordhash.Hasher, size: int):
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(named(text_col), F.lit(""))
-    return df.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return df.select(named(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["id"].dataType.simpleString()
 
 
 def _surveyed(docs: DataFrame, size: int) -> DataFrame:
@@ -132,8 +137,9 @@ def _surveyed(docs: DataFrame, size: int) -> DataFrame:
     chunks of its count sketch (chunk, counts)."""
 
     def task(batches):
-        hasher, sketch = wordhash.Hasher(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        hasher, sketch, id_type = wordhash.Hasher(), np.zeros(1 << SKETCH_BITS, dtype=np.int64), None
         for batch in batches:
+            id_type = batch.column(0).type
             n, k1, k2 = (np.zeros(batch.num_rows, dtype=np.int64) for _ in range(3))
             signatures: list[bytes] = []
             for i, j, sets in _sliced(batch, 2, hasher, size):
@@ -146,13 +152,15 @@ def _surveyed(docs: DataFrame, size: int) -> DataFrame:
                                               pa.array(signatures, pa.binary()), *none], names)
         chunks = sketch.reshape(-1, _CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
+        if not len(used):
+            return
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(len(used), pa.int64()) for _ in range(5)), pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)),
+            [pa.nulls(len(used), id_type), *(pa.nulls(len(used), pa.int64()) for _ in range(4)), pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)),
              pa.array([chunks[c].tobytes() for c in used], pa.binary())], names)
 
     names = ["id", "t", "n", "k1", "k2", "signature", "chunk", "counts"]
-    return stored(docs.mapInArrow(released(task), "id long, t long, n long, k1 long, k2 long, signature binary, chunk int, counts binary"),
-                  "sets")
+    return stored(docs.mapInArrow(released(task), f"id {_id_type(docs)}, t long, n long, k1 long, k2 long, signature binary, "
+                                                  "chunk int, counts binary"), "sets")
 
 
 def _rarity(surveyed: DataFrame) -> np.ndarray:
@@ -358,7 +366,7 @@ def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = batch.column(1).to_numpy() % (1 << WANTED_BITS)
             yield batch.filter(pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
 
-    return docs.select("id", "t", "text").mapInArrow(released(task), "id long, t long, text string")
+    return docs.select("id", "t", "text").mapInArrow(released(task), f"id {_id_type(docs)}, t long, text string")
 
 
 def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -401,45 +409,80 @@ class Region:
         shared = self.length[number] > 1
         self.numbers = np.split(number[shared], np.cumsum(np.bincount(member[shared], minlength=len(sets)))[:-1])
 
-    def overlaps(self, x: int) -> np.ndarray:
+    def distances(self, x: int, here: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of ``x`` to the members ``here`` and whether they link to
+        it; ``place`` has their places in ``here``, and -1 for other members."""
         of = self.numbers[x]
         length = self.length[of]
         at = np.repeat(self.start[of] - np.cumsum(length) + length, length) + np.arange(length.sum())
-        out = np.bincount(self.lists[at], minlength=len(self.sizes))
-        out[x] = self.sizes[x]
-        return out
+        found = place[self.lists[at]]
+        both = np.bincount(found[found >= 0], minlength=len(here))
+        both[place[x]] = self.sizes[x]
+        either = self.sizes[here] + self.sizes[x] - both
+        return 1 - both / either, self.den * both >= self.num * either
 
-    def classes(self) -> np.ndarray:
+    def classes(self, pivots: int = PIVOTS) -> np.ndarray:
         """For each member the least member of its class."""
-        of = np.arange(len(self.sizes))
-        done, pivots = np.zeros(len(of), dtype=bool), []
-        reach = 1 - self.num / self.den + EPSILON
-        for x in range(len(of)):
-            n = self.sizes[x]
-            open_ = ~done & (of != of[x]) & (self.den * np.minimum(self.sizes, n) >= self.num * np.maximum(self.sizes, n))
-            for d in pivots:
-                open_ &= np.abs(d - d[x]) <= reach
-            done[x] = True
-            if not open_.any():
+        return self.split(pivots)[0]
+
+    def split(self, pivots: int = PIVOTS) -> tuple[np.ndarray, int]:
+        """The classes, and how many Voronoi regions were made on the way.
+
+        A Voronoi region is its home members, each at home in one region of a
+        level, and its boundary members; pairs of a home member and any member
+        are compared in it.  Pivots and members without an open partner are
+        done and don't go on, so every level shrinks."""
+        num, den = self.num, self.den
+        r, of = 1 - num / den, np.arange(len(self.sizes))
+        place, made = np.full(len(of), -1), 0
+        waiting = [(of.copy(), of[:0])]
+        while waiting:
+            home, edge = waiting.pop()
+            here = np.concatenate([home, edge])
+            if (of[here] == of[home[0]]).all():
                 continue
-            both = self.overlaps(x)
-            either = self.sizes + n - both
-            linked = self.den * both >= self.num * either
-            if len(pivots) < WINDOW_PIVOTS:
-                pivots.append(1 - both / either)
-            joined = np.unique(of[linked])
-            if len(joined) > 1:
-                of[np.isin(of, joined)] = joined[0]
-                if not of.any():
+            place[here] = np.arange(len(here))
+            sizes, rest, away = self.sizes[here], np.ones(len(here), dtype=bool), []
+            for x in home.tolist():
+                if len(away) == pivots:
                     break
-        return of
+                n, at = self.sizes[x], place[x]
+                rest[at] = False
+                partners = rest & (of[here] != of[x]) & (den * np.minimum(sizes, n) >= num * np.maximum(sizes, n))
+                for d in away:
+                    partners &= np.abs(d - d[at]) <= r + EPSILON
+                if not partners.any():
+                    continue
+                d, linked = self.distances(x, here, place)
+                away.append(d)
+                joined = np.unique(of[here[linked]])
+                if len(joined) > 1:
+                    of[np.isin(of, joined)] = joined[0]
+            place[here] = -1
+            at_home = rest.copy()
+            at_home[len(home):] = False
+            if not at_home.any():
+                continue
+            table = np.array(away)
+            nearest, own = table.min(axis=0), table.argmin(axis=0)
+            for p in range(len(away)):
+                mine = at_home & (own == p)
+                if not mine.any():
+                    continue
+                inner, low, high = table[:, mine], sizes[mine].min(), sizes[mine].max()
+                near = rest & ~mine & (table[p] - nearest <= 2 * r + EPSILON) & (den * sizes >= num * low) & (den * high >= num * sizes)
+                near &= ((table >= inner.min(axis=1)[:, None] - r - EPSILON)
+                         & (table <= inner.max(axis=1)[:, None] + r + EPSILON)).all(axis=0)
+                waiting.append((here[mine], here[near]))
+                made += 1
+        return of, made
 
 
 def _node(k1: int, k2: int) -> bytes:
     return k1.to_bytes(8, "big", signed=True) + k2.to_bytes(8, "big", signed=True)
 
 
-def _joined(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _joined(members: DataFrame, share: tuple[int, int], pivots: int) -> DataFrame:
     """Links (a, b) that give the classes within each region."""
 
     def task(batches):
@@ -449,7 +492,7 @@ def _joined(members: DataFrame, share: tuple[int, int]) -> DataFrame:
             if len(held) < 2:
                 return []
             held.sort()  # links then go to the least node, as components wants them
-            of = Region([np.frombuffer(s, np.uint64) for _, s in held], share).classes()
+            of = Region([np.frombuffer(s, np.uint64) for _, s in held], share).classes(pivots)
             return [(held[i][0], held[c][0]) for i, c in enumerate(of.tolist()) if i != c]
 
         def rows(links):
@@ -544,7 +587,7 @@ def links_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE, share: tup
     has id, t, k1, k2, n and region."""
     totals = wanted.groupBy("region").agg(F.sum("n").alias("total"))
     wanted = stored(wanted.join(totals, "region"), "wanted")
-    found = [_joined(_members(docs, wanted.where(F.col("total") <= region_shingles), size), share)]
+    found = [_joined(_members(docs, wanted.where(F.col("total") <= region_shingles), size), share, pivots)]
     large = wanted.where(F.col("total") > region_shingles)
     if large.isEmpty():
         return found[0]
@@ -557,7 +600,8 @@ def links_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE, share: tup
         members = members.join(totals, "region")
         fits = F.col("total") <= region_shingles
         stuck = ~fits & (F.col("total") > 0.8 * F.col("before"))
-        found += [links, _joined(members.where(fits), share), _joined(_blocks(members.where(stuck), region_shingles), share)]
+        found += [links, _joined(members.where(fits), share, pivots),
+                  _joined(_blocks(members.where(stuck), region_shingles), share, pivots)]
         rest = stored(members.where(~fits & ~stuck).withColumn("before", F.col("total")).drop("total"), "regions")
         if rest.isEmpty():
             break
@@ -607,6 +651,6 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
             .select(F.col(id_col).alias("keep_id"), F.col("t").alias("keep_t")).distinct())
     t = free_name(df, "t")
     return (df.withColumn(t, F.xxhash64(F.coalesce(named(text_col), F.lit("")))).alias("d")
-            .join(kept.alias("k"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.keep_id"))
+            .join(kept.alias("k"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.keep_id"))
                   & (F.col(f"d.`{t}`") == F.col("k.keep_t")), "left_semi")
             .select(*(named(c) for c in df.columns)))
