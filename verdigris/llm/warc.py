@@ -9,24 +9,27 @@ get fresh headers and are written by Spark's text writer (gzip, one record
 after another, CR LF CR LF between them), so commits, retries and any file
 system Spark knows work as for every other sink.
 
-``read`` streams each archive through a parser that goes by Content-Length,
-recomputes the digest of every payload it meets, and joins each revisit record
-to its original response by record id; payload size and digest of a revisit
-are those of that response.
+``read`` streams the archives as Spark's text source gives them, cut at CR LF,
+through a parser that goes by Content-Length and holds one record at a time,
+so an archive may have any size.  It recomputes the digest of every payload it
+meets, and joins each revisit record to its original response by record id;
+payload size and digest of a revisit are those of that response.
 
 Defined results: null payloads count as empty; equal empty payloads are a
 group like others.  Null ids come after all others; every row with the
 smallest id of its group is a response (repeated rows of one page are one
 page).  A null URL leaves out WARC-Target-URI.  Control characters and blanks
-in a URL are percent-encoded.  Ids are integers (cast to long).  Empty tables give no archives and no rows.
+in a URL are percent-encoded.  Ids keep their type, any that Spark orders and
+casts from its text; archives hold them percent-encoded, and ``read`` is told
+the type (long unless given).  Empty tables give no archives and no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import named, released, scratch_path, stored
 
-#: Rows of one archive file at most, so that a file fits in a reader's memory.
+#: Records of one archive file at most.
 ARCHIVE_RECORDS = 5_000
+#: Payloads that a reader hands on at a time (one at least).
+READ_BYTES = 16 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -46,7 +51,7 @@ def payload_digest(payload: bytes) -> str:
 def headers(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """id, url, payload, SHA-1 (hexadecimal) and size of each page."""
     payload = F.coalesce(named(payload_col).cast("binary"), F.lit(b""))
-    return (pages.select(named(id_col).cast("long").alias("id"), named(url_col).cast("string").alias("url"),
+    return (pages.select(named(id_col).alias("id"), named(url_col).cast("string").alias("url"),
                          payload.alias("payload"))
             .withColumn("sha1", F.sha1("payload")).withColumn("size", F.length("payload").cast("long")))
 
@@ -63,7 +68,7 @@ def decisions(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
                                                       F.col("first_id")).alias("refers_to")))
 
 
-def _record_id(page: int | None, sha1: str) -> str:
+def _record_id(page, sha1: str) -> str:
     h = hashlib.md5(f"{page}/{sha1}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
@@ -72,8 +77,7 @@ def _uri(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def record(page: int | None, url: str | None, sha1: str, payload: bytes | None, refers_to: int | None,
-           first_url: str | None, date: str) -> bytes:
+def record(page, url: str | None, sha1: str, payload: bytes | None, refers_to, first_url: str | None, date: str) -> bytes:
     """A WARC/1.1 record without its last line end; ``payload`` None: a revisit."""
     revisit = payload is None
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
@@ -82,7 +86,7 @@ def record(page: int | None, url: str | None, sha1: str, payload: bytes | None,
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
              f"WARC-Record-ID: {_record_id(page, sha1)}", f"WARC-Date: {date}"]
     if page is not None:
-        lines.append(f"X-Page-ID: {page}")
+        lines.append(f"X-Page-ID: {quote(str(page), safe='')}")
     if url is not None:
         lines.append(f"WARC-Target-URI: {_uri(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -118,84 +122,72 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     return path
 
 
-def parse(stream) -> Iterator[tuple[dict, bytes]]:
-    """Records of a gzip stream (chunks of bytes): header fields and block."""
-    buffer, inflate = b"", zlib.decompressobj(31)
-
-    def more() -> bool:
-        nonlocal buffer, inflate
-        for chunk in stream:
-            out = inflate.decompress(chunk)
-            while inflate.eof and inflate.unused_data:
-                rest, inflate = inflate.unused_data, zlib.decompressobj(31)
-                out += inflate.decompress(rest)
-            buffer += out
-            if out:
-                return True
-        return False
-
-    while True:
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
-            if not more():
-                if buffer.strip():
-                    raise ValueError("an archive ends within a record's header")
-                return
-        fields = dict(line.split(": ", 1) for line in buffer[:end].decode("utf-8", "surrogateescape").split("\r\n")[1:])
-        stop = end + 4 + int(fields["Content-Length"])
-        parts, have = [buffer], len(buffer)
-        while have < stop + 4:
-            buffer = b""
-            if not more():
+def parse(lines: Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """Records of archives cut at CR LF: header fields and block.  Archives may
+    follow each other, as each ends with its last record's line ends."""
+    lines = iter(lines)
+    for line in lines:
+        if not line:
+            continue  # the line ends between records
+        fields = {}
+        while line := next(lines, None):
+            name, _, value = line.decode("utf-8", "surrogateescape").partition(": ")
+            fields[name] = value
+        if line is None:
+            raise ValueError("an archive ends within a record's header")
+        size, block = int(fields["Content-Length"]), []
+        have = -2
+        while have < size:
+            if (line := next(lines, None)) is None:
                 raise ValueError("an archive ends within a record")
-            parts.append(buffer)
-            have += len(buffer)
-        buffer = b"".join(parts)
-        yield fields, buffer[end + 4:stop]
-        buffer = buffer[stop + 4:]
+            block.append(line)
+            have += len(line) + 2
+        if have > size:
+            raise ValueError(f"{fields['WARC-Record-ID']}: the block is longer than its Content-Length")
+        yield fields, b"\r\n".join(block)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """One row per record: page_id, url, payload_bytes, payload_digest,
     record_type, refers_to (the page_id of a revisit's original), payload
     (null for a revisit)."""
-    return resolve(records(spark, path))
-
-
-def records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-
-    def rows(content: bytes):
-        view = memoryview(content)
-        for fields, block in parse(view[i:i + (1 << 20)] for i in range(0, len(view), 1 << 20)):
-            page = fields.get("X-Page-ID")
-            row = {"page_id": int(page) if page is not None else None, "url": fields.get("WARC-Target-URI"),
-                   "record_id": fields["WARC-Record-ID"], "record_type": fields["WARC-Type"],
-                   "refers_to_id": fields.get("WARC-Refers-To"), "payload": None, "payload_bytes": None,
-                   "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
-            if row["record_type"] == "response":
-                payload = block[block.index(b"\r\n\r\n") + 4:]
-                if payload_digest(payload) != row["payload_digest"]:
-                    raise ValueError(f"{row['record_id']}: the payload doesn't have its digest")
-                row |= {"payload": payload if payloads else None, "payload_bytes": len(payload)}
-            yield row
-
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()),
+    return resolve(records(spark, path, id_type=id_type))
+
+
+def records(spark: SparkSession, path: str, payloads: bool = True, id_type: str = "long") -> DataFrame:
+    lines = (spark.read.option("lineSep", "\r\n").option("pathGlobFilter", "*.gz").text(path)
+             .select(F.col("value").cast("binary").alias("line")))
+
+    def row(fields: dict, block: bytes) -> dict:
+        page = fields.get("X-Page-ID")
+        out = {"page_id": unquote(page) if page is not None else None, "url": fields.get("WARC-Target-URI"),
+               "record_id": fields["WARC-Record-ID"], "record_type": fields["WARC-Type"],
+               "refers_to_id": fields.get("WARC-Refers-To"), "payload": None, "payload_bytes": None,
+               "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
+        if out["record_type"] == "response":
+            payload = block[block.index(b"\r\n\r\n") + 4:]
+            if payload_digest(payload) != out["payload_digest"]:
+                raise ValueError(f"{out['record_id']}: the payload doesn't have its digest")
+            out |= {"payload": payload if payloads else None, "payload_bytes": len(payload)}
+        return out
+
+    schema = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("record_id", pa.string()),
                         ("record_type", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary()),
                         ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
     def task(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                held = []
-                for row in rows(content.as_py()):
-                    held.append(row)
-                    if len(held) == 500:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held = []
+        held, size = [], 0
+        for fields, block in parse(line.as_py() for batch in batches for line in batch.column(0)):
+            held.append(row(fields, block))
+            size += len(block) if payloads else 0
+            if len(held) == 500 or size > READ_BYTES:
                 yield pa.RecordBatch.from_pylist(held, schema)
+                held, size = [], 0
+        yield pa.RecordBatch.from_pylist(held, schema)
 
-    return files.mapInArrow(released(task), "page_id long, url string, record_id string, record_type string, "
-                                  "refers_to_id string, payload binary, payload_bytes long, payload_digest string")
+    return (lines.mapInArrow(released(task), "page_id string, url string, record_id string, record_type string, "
+                                             "refers_to_id string, payload binary, payload_bytes long, payload_digest string")
+            .withColumn("page_id", F.col("page_id").cast(id_type)))
 
 
 def resolve(found: DataFrame) -> DataFrame:
@@ -211,11 +203,12 @@ def resolve(found: DataFrame) -> DataFrame:
                         F.coalesce("o.original_digest", "r.payload_digest").alias("payload_digest"),
                         "r.record_type", F.col("o.original").alias("refers_to"), "r.payload"))
     plain = found.where(response).select("page_id", "url", "payload_bytes", "payload_digest", "record_type",
-                                         F.lit(None).cast("long").alias("refers_to"), "payload")
+                                         F.lit(None).cast(found.schema["page_id"].dataType).alias("refers_to"), "payload")
     return plain.unionByName(revisits)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Writes the pages' archives and reads their headers back, once."""
     path = write(pages, path or scratch_path(spark, "warc"), **options)
-    return resolve(stored(records(spark, path, payloads=False), "warc-read")).drop("payload")
+    id_type = pages.select(named(options.get("id_col", "page_id"))).schema[0].dataType.simpleString()
+    return resolve(stored(records(spark, path, payloads=False, id_type=id_type), "warc-read")).drop("payload")
