@@ -210,6 +210,49 @@ def test_regions_split_exactly(spark, region_shingles, pivots, cell_members):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == set(brute_classes(rows))
 
 
+@pytest.mark.parametrize("pivots", [1, 2, 8])
+def test_voronoi_regions_of_a_task_lose_no_link(pivots):
+    import random
+    import numpy as np
+    r, regions = random.Random(pivots), 0
+    for trial in range(12):
+        sets = []
+        for base in range(r.choice((1, 3, 9))):
+            now = set(range(base * 7, base * 7 + r.choice((4, 12, 40))))
+            for _ in range(40):
+                now = set(now)
+                for _ in range(r.choice((0, 1, 1, 3, 9))):
+                    now.discard(r.choice(sorted(now)) if len(now) > 3 else -1)
+                    now.add(r.randrange(2000 if trial % 2 else 90))
+                sets.append(frozenset(now))
+        sets = sorted(set(sets), key=sorted)
+        r.shuffle(sets)
+        of = list(range(len(sets)))
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(of[a], of[b]), min(of[a], of[b])
+                of = [new if x == old else x for x in of]
+        got, made = jaccard_join.Region([np.array(sorted(x), np.uint64) for x in sets], (75, 100)).split(pivots)
+        assert got.tolist() == of
+        regions += made
+    assert regions > 20
+
+
+def text_id(i):
+    return None if i is None else f"doc/{i:03d} é\r\n"
+
+
+def test_jaccard_join_and_substring_dedup_keep_text_ids(spark, docs):  # noqa: F811
+    named = docs.withColumn("doc_id", F.format_string("doc/%03d é\r\n", "doc_id")).withColumn(
+        "doc_id", F.when(~F.col("doc_id").contains("null"), F.col("doc_id")))
+    want = {(text_id(r.doc_id), r.n_shingles, text_id(r.component_id)) for r in jaccard_join.join(docs).collect()}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(named).collect()} == want
+    assert {r.doc_id for r in jaccard_join.one_of_each(named).collect()} == {text_id(r.doc_id) for r in jaccard_join.one_of_each(docs).collect()}
+    plain = [(text_id(r.doc_id), r.n_words, r.removed, r.kept_text) for r in substring_dedup.dedup(docs).collect()]
+    texts = [(r.doc_id, r.n_words, r.removed, r.kept_text) for r in substring_dedup.dedup(named).collect()]
+    assert sorted(map(repr, plain)) == sorted(map(repr, texts))
+
+
 def test_cells_are_compared_by_pairs_of_blocks(spark):
     rows = variants()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)

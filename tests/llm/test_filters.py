@@ -99,6 +99,31 @@ def test_archives_are_plain_warc(spark):
     assert b"WARC-Type: revisit\r\n" in raw and b"WARC-Refers-To: <urn:uuid:" in raw
 
 
+def test_warc_keeps_text_ids_and_line_ends(spark):
+    import random
+    r = random.Random(4)
+    htmls = ["".join(r.choice("\r\n\n\r\ra") for _ in range(n)) for n in (0, 1, 2, 3, 40, 70_000, 400_000)]
+    rows = [(f"page {k % 7}: {'é' * (k % 3)}\r\n{k // 7}", "u", h) for k, h in enumerate(htmls + htmls)]
+    pages = spark.createDataFrame([*rows, (None, "u", "none")], "page_id string, url string, html string").repartition(2)
+    path = scratch_path(spark, "warc-text-ids")
+    got = {x.page_id: x for x in warc.round_trip(spark, pages, path).collect()}
+    assert set(got) == {i for i, *_ in rows} | {None}
+    first = {}
+    for i, _, h in sorted(rows):
+        first.setdefault(h, i)
+    for i, _, h in rows:
+        assert (got[i].payload_bytes, got[i].refers_to) == (len(h), None if first[h] == i else first[h])
+    full = {x.page_id: x.payload for x in warc.read(spark, path, "string").collect() if x.payload is not None}
+    assert all(bytes(full[i]).decode() == h for h, i in first.items())
+
+
+@pytest.mark.parametrize("lines", [[b"WARC/1.1", b"Content-Length: 4"], [b"WARC/1.1", b"Content-Length: 4", b"", b"abc"],
+                                   [b"WARC/1.1", b"WARC-Record-ID: x", b"Content-Length: 4", b"", b"ab", b"c", b""]])
+def test_cut_archives_are_refused(lines):
+    with pytest.raises(ValueError):
+        list(warc.parse(lines))
+
+
 def test_warc_of_an_empty_table(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

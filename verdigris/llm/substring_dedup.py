@@ -24,7 +24,8 @@ from the corpus's bytes, so one fits in a task.
 Defined results: null and empty texts have no words.  Rows with one id and
 equal texts are one document, and each gets that result; rows with one id and
 different texts are ordered by a hash of the text.  Null ids come last;
-ids are integers (cast to long).  Texts with fewer words than a window keep all.
+ids keep their type, any that Spark orders, and "earlier" is by its order: the
+places of ids that are not integers are numbered first.  Texts with fewer words than a window keep all.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from verdigris.functions.ranking import numbered
 from verdigris.llm import wordhash
-from verdigris.llm.common import bytes_of, named, partitions_for, released, row_slices, small_batches
+from verdigris.llm.common import bytes_of, named, partitions_for, released, row_slices, small_batches, stored
 
 WINDOW = 20
 #: A perfect difference set: each remainder modulo 13 is a difference of two of its members.
@@ -248,7 +251,13 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or window < period:
         raise ValueError("not a difference cover of a period within the window")
     text = F.coalesce(named(text_col), F.lit(""))
-    docs = df.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    ids = df.select(named(id_col).alias("key"), text.alias("text"))
+    order = None
+    if not isinstance(ids.schema["key"].dataType, IntegralType):
+        order = stored(numbered(ids.select("key").where("key is not null").distinct(), [F.col("key")], "id"), "id-order")
+        ids = ids.join(order, "key", "left")
+    docs = ids.select((F.col("id") if order is not None else F.col("key").cast("long")).alias("id"),
+                      F.xxhash64("text").alias("t"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = partitions_for(df, size, BUCKET_BYTES)
     unmarked = docs.withColumn("marks", F.lit(None).cast("binary"))
@@ -279,6 +288,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                  pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                  pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "removed", "kept_text"])
 
-    return (_to_documents(docs, repeats, "left")
-            .mapInArrow(released(task), "id long, n_words long, removed array<struct<start:int,end:int>>, kept_text string")
-            .withColumnRenamed("id", id_col))
+    out = (_to_documents(docs, repeats, "left")
+           .mapInArrow(released(task), "id long, n_words long, removed array<struct<start:int,end:int>>, kept_text string"))
+    if order is not None:
+        out = out.join(order, "id", "left").select(F.col("key").alias("id"), "n_words", "removed", "kept_text")
+    return out.withColumnRenamed("id", id_col)
