@@ -267,6 +267,21 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("hub_ends", [0, 3, 256])
+def test_components_with_hubs(spark, monkeypatch, hub_ends):
+    import random
+    monkeypatch.setattr(components, "HUB_ENDS", hub_ends)
+    r = random.Random(1)
+    edges = [(0, x) for x in range(1, 400)] + [(900, x) for x in range(390, 800)] + [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(50)]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges * 2:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {x: new if y == old else y for x, y in root.items()}
+    r.shuffle(edges)
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(4))
+    assert {x.node: x.root for x in got.collect()} == root
+
+
 def test_word_hashes_agree_with_words():
     import numpy as np
     texts = ["", "a b", "  x\ty\r\nz ", "ÄÖ ä", "q" * 50, "a b"]
