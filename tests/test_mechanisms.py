@@ -81,6 +81,28 @@ def test_recomputed_rollup_never_cuts_a_day(spark, metrics, tmp_path):
         assert r.s is None and got[r.b, r.facility_id] is None or abs(got[r.b, r.facility_id] - r.s) < 1e-6
 
 
+def test_compacted_arrivals_count_once(spark, metrics, tmp_path):
+    from verdigris.operators import rollups as RU
+    root = str(tmp_path / "c")
+    assert RU.compact(spark, root) == 0
+    dealt = [metrics.where(F.pmod("event_id", F.lit(4)) == n) for n in range(4)]
+    RU.record_arrivals(dealt[0], root, "r0")
+    RU.record_arrivals(dealt[1], root, "r1")
+    assert RU.compact(spark, root) == 1 and RU.compact(spark, root) == 1
+    assert RU._folders(spark, f"{root}/arrivals") == []
+    RU.record_arrivals(dealt[1], root, "r1")  # retried after the compaction
+    RU.record_arrivals(dealt[2], root, "r2")
+    RU.roll_up_changes(spark, root, "n0")
+    # a compaction that fails before its list of runs is written leaves no trace
+    RU.merged(RU._states(spark, root)).withColumn("day", F.to_date("bucket")).write.partitionBy("day").parquet(f"{root}/base/version=2")
+    RU.record_arrivals(dealt[3], root, "r3")
+    assert RU.compact(spark, root) == 2
+    assert RU._folders(spark, f"{root}/base") == ["version=2"] and RU._folders(spark, f"{root}/arrivals") == []
+    RU.roll_up_changes(spark, root, "n1")
+    got = {(r.bucket, r.facility_id): (r.n, r.value_min, r.value_max) for r in RU.rolled_up(spark, root).collect()}
+    assert got == {k: (v[0], *v[2:]) for k, v in daily(metrics).items()}
+
+
 def test_rollup_of_nothing(spark, metrics, tmp_path):
     from verdigris.operators import rollups as RU
     root = str(tmp_path / "e")

@@ -6,7 +6,9 @@ Rows arrive in runs, late rows of old days among them.  Below ``root``:
   greatest value) per facility and day of the rows that run R brought;
 * ``changes/run_id=R``: the days that run R touched;
 * ``rollup/day=D``: the roll-up, one row per facility;
-* ``done/run_id=R``: the runs that the nightly run R has rolled up.
+* ``done/run_id=R``: the runs that the nightly run R has rolled up;
+* ``base/version=N/day=D``: the merged states of many runs, and
+  ``bases/version=N``: those runs, whose arrivals no longer count.
 
 A nightly run takes the days of all runs that no earlier night has rolled up,
 merges the states of just those days, of all runs, and overwrites those days.
@@ -15,6 +17,12 @@ and raw rows are read once, when they arrive.  Each folder belongs to one run or
 day and is overwritten: a retried arrival or night leaves the same table, and a
 night that fails before its ``done`` entry is taken up by the next one.
 
+``compact`` merges the arrivals of all runs into a new base, so a day doesn't
+keep one state for each run that ever touched it.  The base counts once its
+list of runs is written; what it replaces is deleted after that, by a retry if
+need be.  An arrival of a compacted run that is retried counts no second time.
+A compaction and a night must not run at once.
+
 Rows without a time belong to no day and are left out; a null facility is a
 facility of its own; null values count in no sum (a day without any has NULL).
 """
@@ -69,6 +77,55 @@ def _runs(spark: SparkSession, path: str) -> set[str]:
     return {r.consumed for r in spark.read.schema(_DONE).parquet(path).collect()}  # one name for each run
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    p, fs = hadoop_path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def _base(spark: SparkSession, root: str) -> tuple[int, set[str]]:
+    """The newest base (0: none) and the runs in it."""
+    for version in sorted((int(f.split("=")[1]) for f in _folders(spark, f"{root}/bases")), reverse=True):
+        p, fs = hadoop_path(spark, f"{root}/bases/version={version}/_SUCCESS")
+        if fs.exists(p):
+            return version, _runs(spark, f"{root}/bases/version={version}")
+    return 0, set()
+
+
+def _states(spark: SparkSession, root: str) -> DataFrame | None:
+    """States of the base and of the complete arrivals that came after it."""
+    version, consumed = _base(spark, root)
+    ready = _runs(spark, f"{root}/ready")
+    arrivals = [f"{root}/arrivals/{f}" for f in _folders(spark, f"{root}/arrivals") if f.removeprefix("run_id=") in ready - consumed]
+    arrivals = [a for a in arrivals if any(f.startswith("day=") for f in _folders(spark, a))]  # a run may have no rows
+    parts = []
+    if arrivals:
+        parts.append(spark.read.option("basePath", f"{root}/arrivals").parquet(*arrivals).drop("run_id"))
+    if _folders(spark, f"{root}/base/version={version}"):
+        parts.append(spark.read.parquet(f"{root}/base/version={version}"))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else None
+
+
+def compact(spark: SparkSession, root: str, key: str = "facility_id") -> int:
+    """Merges the arrivals of all runs into a new base; returns its version."""
+    root = root.rstrip("/")
+    version, consumed = _base(spark, root)
+    ready = _runs(spark, f"{root}/ready")
+    states = _states(spark, root)
+    if ready - consumed and states is not None:
+        version += 1
+        (merged(states, key).withColumn("day", F.to_date("bucket")).hint("rebalance", "day")
+         .write.mode("overwrite").partitionBy("day").parquet(f"{root}/base/version={version}"))
+        consumed |= ready
+        _log(spark, f"{root}/bases/version={version}", sorted(consumed))
+    for kept, folder in ((set(), "arrivals"), ({version}, "base"), ({version}, "bases")):
+        for f in _folders(spark, f"{root}/{folder}"):
+            name = f.split("=", 1)[1]
+            if name in consumed if folder == "arrivals" else int(name) not in kept:
+                p, fs = hadoop_path(spark, f"{root}/{folder}/{f}")
+                fs.delete(p, True)
+    return version
+
+
 def roll_up_changes(spark: SparkSession, root: str, run_id: str, key: str = "facility_id") -> list:
     """The nightly run: recomputes the days touched since the last one and
     returns them."""
@@ -79,7 +136,7 @@ def roll_up_changes(spark: SparkSession, root: str, run_id: str, key: str = "fac
     changes = spark.read.schema(_DAY).parquet(*[f"{root}/changes/run_id={r}" for r in open_runs])
     days = sorted(r.day for r in changes.distinct().collect())  # one date for each touched day
     if days:
-        states = spark.read.parquet(f"{root}/arrivals").where(F.col("day").isin(days))  # prunes folders
+        states = _states(spark, root).where(F.col("day").isin(days))  # prunes folders
         out = merged(states, key).withColumn("day", F.to_date("bucket"))
         # by day, but a large day goes to several tasks
         (out.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
