@@ -222,6 +222,21 @@ def test_training_windows_shuffle_does_not_grow_with_the_window(crowded):
     assert sizes[1] < 3 * sizes[0]
 
 
+def test_dense_rows_stay_small_when_a_second_holds_a_series(spark):
+    """1,500 rows of one time, which no bucket of times can part."""
+    from verdigris.operators import features as FE
+    from verdigris.operators import series as S
+    rows = [(i, T0, "k", None if i == 700 else float(i * 37 % 1500)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, k string, v double")
+    for bucket in ("day", S.EqualDepth(100)):
+        dense = FE.dense_series(df, ["v"], "v", 6, "k", "ts", "id", bucket).select(F.size("x").alias("size"), "own", "i", "n").collect()
+        assert max(r["size"] for r in dense) <= FE.DENSE_ROWS + 6 and sum(r.own for r in dense) == 1500
+        assert sorted(r.i for r in dense) == [*range(0, 1500, FE.DENSE_ROWS)] and {r.n for r in dense} == {1500}
+        got = FE.training_windows(df, ["v"], "v", 5, 2, "k", "ts", "id", False, bucket)
+        got = got.select("k", "window_start", F.transform("x", lambda e: e["v"]).alias("x"), "y")
+        assert sorted(((r.k, r.window_start, r.x, r.y) for r in got.collect()), key=repr) == brute_windows(rows, 5, 2, False)
+
+
 # --- AGG-05 by daily sketches
 
 def test_sketched_medians_equal_the_definition(spark, metrics, tmp_path):

@@ -163,16 +163,22 @@ def interpolate_linear(df: DataFrame, value: str, key=None, ts: str = "ts", tieb
 
 
 # ---------------------------------------------------------------- WIN-09..12
+#: Rows of a block of ``dense_series``.
+DENSE_ROWS = 128
+
+
 def dense_series(df: DataFrame, features: Sequence[str], target: str, ahead: int, key: str = "facility_id", ts: str = "ts",
                  tiebreak: str | None = None, bucket=DEFAULT_BUCKET) -> DataFrame:
-    """One row per series and bucket with the bucket's rows, and the ``ahead``
-    rows after it, as arrays in series order: ``t`` times, ``x`` features,
-    ``y`` targets; ``own`` of them are the bucket's, ``i`` is the series
-    position of the first and ``n`` the series length.  Rows are shuffled once
-    with their neighbours' few, whatever the length of the windows that are
-    cut from them."""
+    """One row per series and block of consecutive rows with the block's rows,
+    and the ``ahead`` rows after it, as arrays in series order: ``t`` times,
+    ``x`` features, ``y`` targets; ``own`` of them are the block's, ``i`` is the
+    series position of the first and ``n`` the series length.  A block has
+    ``DENSE_ROWS`` rows (four times ``ahead`` if that is more), so that a row of
+    arrays is as small in a crowded hour as elsewhere; ``bucket`` says how the
+    positions are found.  Rows are shuffled once with their neighbours' few,
+    whatever the length of the windows that are cut from them."""
     src = df.select(key, ts, *([tiebreak] if tiebreak else []), *sorted({*features, target} - {key, ts, tiebreak}))
-    framed = S.with_halo(src, key, _order(ts, tiebreak), bucket, ahead=ahead, ts=ts)
+    framed = S.in_blocks(src, key, _order(ts, tiebreak), bucket, max(DENSE_ROWS, 4 * ahead), ahead, ts)
     row = F.struct("_i", F.col(ts).alias("t"), F.struct(*features).alias("x"), F.col(target).alias("y"))
     return (framed.groupBy(key, "_home").agg(F.sort_array(F.collect_list(row)).alias("_rows"), F.count_if(~F.col("_halo")).alias("own"),
                                              F.max("_n").alias("n"))
@@ -189,7 +195,7 @@ def training_windows(df: DataFrame, features: Sequence[str], target: str, window
     samples per series (one fewer with ``drop_last``).
 
     Windows are slices of ``dense_series``: rows aren't copied before a window
-    is used.  ``bucket=None`` takes a series as one bucket."""
+    is used.  ``bucket=None`` finds positions by one sort of each series."""
     d = dense_series(df, features, target, window + horizon - 1, key, ts, tiebreak, bucket)
     complete = F.least("own", F.size("x") - (window + horizon - 1))
     starts = F.when(complete > 0, F.sequence(F.lit(0), complete - 1)).otherwise(F.array().cast("array<int>"))

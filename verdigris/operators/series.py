@@ -11,6 +11,8 @@ day) and window functions run per (series, bucket):
   before it and the ``ahead`` rows after it (taken from however many
   neighbouring buckets that needs), so any row-based frame within
   [-back, +ahead] gives exactly the result of the unsplit window;
+* ``in_blocks``     -- cuts each series at its positions into blocks of a
+  fixed number of rows, with copies of the rows after each;
 * ``running_sum``   -- an exact cumulative sum: bucket-local running sum
   plus the total of all earlier buckets;
 * ``carry_known``   -- the previous / next non-null value of a column,
@@ -146,6 +148,17 @@ def positions(df: DataFrame, key, order: Sequence[Column], bucket=DEFAULT_BUCKET
     return x.drop("_b", "_li", "_o", "_c", "_cb", "_end")
 
 
+def in_blocks(df: DataFrame, key, order: Sequence[Column], bucket, rows: int, ahead: int = 0, ts: str = "ts") -> DataFrame:
+    """Rows of ``df`` with their positions, dealt to blocks ``_home`` of
+    ``rows`` consecutive positions of a series, plus copies (``_halo`` true) of
+    the ``ahead`` rows after each block.  Unlike buckets, blocks never hold more
+    rows than that, however many rows share a time."""
+    x = positions(df, key, order, bucket, ts)
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("_i") - ahead) / rows))
+    x = x.withColumn("_home", F.explode(F.sequence(first, F.floor(F.col("_i") / rows))))
+    return x.withColumn("_halo", F.col("_i") >= (F.col("_home") + 1) * rows)
+
+
 def with_halo(df: DataFrame, key, order: Sequence[Column], bucket, back: int = 0,
               ahead: int = 0, ts: str = "ts") -> DataFrame:
     """Rows of ``df`` tagged with their home bucket ordinal ``_home`` plus
