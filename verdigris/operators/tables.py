@@ -263,13 +263,13 @@ def merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str = "ts", w
     row any more, so these are deleted after it; between the two a reader sees
     rows that left such a chunk twice, and a retry of an interrupted merge
     repairs it.  Rows without a time are a chunk like others.  Returns the rewritten rows."""
-    from verdigris.session import cut_lineage
+    from verdigris.functions.quantiles import stored
     spark = changed.sparkSession
     table = spark.read.parquet(path)
     width = width or chunk_width(table, ts)
-    ch = cut_lineage(changed.withColumn("chunk", _chunk_of(width, ts)).select(*table.columns))
+    ch = stored(changed.withColumn("chunk", _chunk_of(width, ts)).select(*table.columns), "merge-changed")
     old = table.select(key, "chunk").join(ch.select(key), key, "left_semi").select("chunk")
-    touched = cut_lineage(old.unionByName(ch.select("chunk")).distinct())
+    touched = stored(old.unionByName(ch.select("chunk")).distinct(), "merge-chunks")
     listed = [r.chunk for r in touched.limit(MAX_LISTED_CHUNKS + 1).collect()]
     if len(listed) <= MAX_LISTED_CHUNKS:
         none = F.col("chunk").isNull() if None in listed else F.lit(False)
@@ -277,7 +277,7 @@ def merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str = "ts", w
     else:
         low, high = touched.agg(F.min("chunk"), F.max("chunk")).first()
         part = _in_chunks(table.filter(F.col("chunk").between(low, high) | F.col("chunk").isNull()), touched, "left_semi")
-    rows = cut_lineage(part.join(ch.select(key), key, "left_anti").select(*table.columns).unionByName(ch))
+    rows = stored(part.join(ch.select(key), key, "left_anti").select(*table.columns).unionByName(ch), "merge-rows")
     _write_chunks(rows, path, width, ts)
     _delete_chunks(spark, path, [r.chunk for r in _in_chunks(touched, rows.select("chunk").distinct(), "left_anti").collect()])
     return rows
