@@ -38,8 +38,7 @@ def snk01(spark, d):
 
 
 def _stamped(spark, d):
-    rc = L.emission_records(spark, d).join(L.record_owners(spark, d), "order_key")
-    return TB.stamp_new_records(rc, F.col("created_by"), AS_OF)
+    return TB.stamp_new_records(L.owned_records(spark, d), F.col("created_by"), AS_OF)
 
 
 STAMPED_SQL = f"""

@@ -102,9 +102,8 @@ FROM events"""
 
 
 # ---------------------------------------------------------------- records
-def emission_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(
+def _record_columns() -> list:
+    return [
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey",
                     (F.year("l_shipdate") * 10000 + F.month("l_shipdate") * 100
                      + F.dayofmonth("l_shipdate")).cast("string")).alias("record_id"),
@@ -118,7 +117,20 @@ def emission_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("dev-"), F.col("l_suppkey").cast("string")).alias("device_id"),
         F.col("l_suppkey").alias("facility_id"),
         F.col("l_orderkey").alias("order_key"),
-    )
+    ]
+
+
+def emission_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*_record_columns())
+
+
+def owned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``emission_records`` joined with ``record_owners`` by order.  Derived
+    columns are made after the join: its shuffle carries the stored columns,
+    fewer and narrower than the texts and products made from them."""
+    li = table(spark, sf_dir, "lineitem")
+    joined = li.join(record_owners(spark, sf_dir), F.col("l_orderkey") == F.col("order_key"))
+    return joined.select(*_record_columns(), "created_by")
 
 
 EMISSION_RECORDS_SQL = """
