@@ -141,14 +141,20 @@ def train_forecaster(features: DataFrame, feature_cols: Sequence[str], label: st
     ``test_size`` share of each series (no window leakage, WIN-12);
     ``'random'`` is the seeded 80/20 split.  GBT uses a validation column
     for early stopping (ML-08); ``reg_param`` is the linear model's.  Returns model, validation metrics (AGG-14)
-    and the residual sigma used for intervals (ML-14)."""
+    and the residual sigma used for intervals (ML-14).
+
+    Label, features and split are stored once: the passes of the fit and those
+    of the validation read them.  ``features`` itself is read twice (positions
+    and their counts); store it first if it is costly."""
+    from verdigris.functions.quantiles import stored
     if split == "random":
         train, test = features.randomSplit([1 - test_size, test_size], seed)
         data = train.withColumn("is_val", F.lit(False)).unionByName(test.withColumn("is_val", F.lit(True)))
     else:
         from verdigris.operators import series as S
-        pos = S.positions(features, key, [F.col(ts)], ts=ts)
+        pos = S.positions(features.select(*dict.fromkeys([key, ts, *feature_cols, label])), key, [F.col(ts)], ts=ts)
         data = pos.withColumn("is_val", F.col("_i") + 1 > F.floor(F.col("_n") * (1 - test_size))).drop("_i", "_n")
+    data = stored(data.select(*dict.fromkeys([*feature_cols, label]), "is_val"), "train-split")
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="skip")
     if algo == "gbt":
         reg = GBTRegressor(labelCol=label, maxIter=max_iter, seed=seed, validationIndicatorCol="is_val",

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdigris.functions.quantiles import stored
 from verdigris.operators import features as FE
 from verdigris.operators import forecast as FC
 from verdigris.operators.carbon import with_interval
@@ -16,7 +17,9 @@ from verdigris.plans.rounding import r, sql_r
 
 
 def _features(spark, d):
-    return FC.forecast_features(L.emission_metrics(spark, d), "co2_kg")
+    """Features of the metrics, stored: a model's passes share one computation."""
+    feats, cols = FC.forecast_features(L.emission_metrics(spark, d), "co2_kg")
+    return stored(feats.select("ts", "facility_id", "co2_kg", *cols), "features"), cols
 
 
 @register("ml05_preprocessor_fit_transform", "ML-05")
