@@ -58,14 +58,14 @@ def ml09(spark, d):
 
 @register("ml10_ml11_ml15_versioned_registry", "ML-10")
 def ml10(spark, d):
-    feats, cols = _features(spark, d)
-    root = scratch_path(spark, "models")
+    feats, cols = FC.forecast_features(L.emission_metrics(spark, d), "co2_kg")
+    root, data_path = scratch_path(spark, "models"), scratch_path(spark, "scoring")
+    feats.write.parquet(data_path)              # the table that is scored is also what the model is fitted on
+    feats = spark.read.schema(feats.schema).parquet(data_path)
     res = FC.train_forecaster(feats, cols, "co2_kg", "linear")
     m = res["metrics"].first()
     FC.save_version(spark, res["model"], root, "v1", {"rmse": m["rmse"], "mae": m["mae"]})
     FC.promote(spark, root, None, {"version": "v1", "rmse": m["rmse"]})
-    data_path = scratch_path(spark, "scoring")
-    feats.write.parquet(data_path)
     model = FC.load_version(spark, root, "production")
     return FC.score_parquet(spark, model, data_path).select("ts", "facility_id", "co2_kg", "prediction")
 
