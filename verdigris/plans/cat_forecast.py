@@ -75,7 +75,9 @@ def ml12(spark, d):
     em = L.emission_metrics(spark, d)
     daily = em.groupBy("facility_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(
         F.sum("co2_kg").alias("co2_kg"))
+    daily = stored(daily, "daily")
     feats, cols = FC.forecast_features(daily, "co2_kg", lags=(1, 2, 3), means=())
+    feats = stored(feats.select("ts", "facility_id", "co2_kg", *cols), "features")
     res = FC.train_forecaster(feats, ["co2_kg_lag_1", "co2_kg_lag_2", "co2_kg_lag_3"], "co2_kg", "linear")
     b, coefs = FC.linear_coefficients(res["model"])
     fc = FC.recursive_forecast(daily, "co2_kg", b, coefs, steps=7, step_interval="1 day")
