@@ -150,10 +150,12 @@ def ml09_folds(spark, d):
 
 @register("ml13_ml16_agg17_attributions", "ML-13")
 def ml13(spark, d):
-    feats, cols = _features(spark, d)
+    feats, cols = FC.forecast_features(L.emission_metrics(spark, d), "co2_kg")
+    # the seeded sample depends on how the rows lie, so it is drawn before they are stored
+    bg = stored(FC.background_means(feats, cols, 0.2), "background")
+    feats = stored(feats.select("ts", "facility_id", "co2_kg", *cols), "features")
     res = FC.train_forecaster(feats, cols, "co2_kg", "linear")
     scored = res["model"].transform(feats)
-    bg = FC.background_means(feats, cols, 0.2)
     contrib = FC.linear_contributions(scored, res["model"], cols, bg, ["ts", "facility_id"])
     from verdigris.operators.monitor import feature_importance
     return feature_importance(contrib)
