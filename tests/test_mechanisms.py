@@ -437,3 +437,80 @@ def test_scoring_marks_rows_without_a_feature(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, None), (3, float("nan"))], "id long, x double")
     got = {r.id: (r.x, r.prediction and round(r.prediction, 6), r.error) for r in S.score_stream(rows, model, ["x"]).collect()}
     assert got[1] == (5.0, 10.0, None) and got[2] == (None, None, "missing feature") and got[3][1:] == (None, "missing feature")
+
+
+# --- one computation of what a query's passes share
+
+def counted(spark):
+    """A column unchanged, and the number of times that one of its values was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(v):
+        seen.add(1)
+        return v
+    return seen, F.udf(through, "double").asNondeterministic()
+
+
+@pytest.mark.parametrize(("query", "times"), [("ml07_ml14_train_linear", 1), ("ml08_gbt_early_stopping", 1), ("ml10_ml11_ml15_versioned_registry", 1),
+                                              ("ml12_win13_recursive_forecast", 1), ("ml13_ml16_agg17_attributions", 2)])
+def test_features_of_a_model_are_computed_once(spark, monkeypatch, query, times):
+    """Fit, validation and scoring read stored features; the background sample is drawn before."""
+    from verdigris.operators import forecast as FC
+    from verdigris.plans.catalog import entries
+    (seen, through), made, plain = counted(spark), [], FC.forecast_features
+
+    def features(*a, **kw):
+        feats, cols = plain(*a, **kw)
+        made.append(feats)
+        return feats.withColumn(cols[0], through(cols[0])), cols
+    monkeypatch.setattr(FC, "forecast_features", features)
+    entries()[query].build(spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1 and 0 < seen.value <= times * made[0].count()
+
+
+def test_training_computes_the_split_once(spark):
+    from verdigris.operators import forecast as FC
+    seen, through = counted(spark)
+    df = spark.range(200).select((F.col("id") % 4).alias("facility_id"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"),
+                                 F.sin("id").alias("a"), (2 * F.sin("id") + 1).alias("y"))
+    res = FC.train_forecaster(df.withColumn("a", through("a")), ["a"], "y")
+    assert res["metrics"].first()["n"] == 40 and seen.value == 200
+
+
+def test_a_retried_audit_writes_what_was_found_once(spark, monkeypatch):
+    from verdigris.operators import tables as TB
+    from verdigris.plans.catalog import entries
+    (seen, through), plain = counted(spark), TB.audit_trail
+
+    def audit(*a, **kw):
+        out = plain(*a, **kw)
+        return out.withColumn("changed_by", through(F.col("changed_by").cast("double")).cast("int"))
+    monkeypatch.setattr(TB, "audit_trail", audit)
+    n = entries()["snk06_audit_values"].build(spark, "/root/testdata/sf0.001").count()
+    assert n > 0 and seen.value == n
+
+
+def test_orders_are_joined_before_texts_are_made(spark):
+    from verdigris.plans import cat_tables as CT
+    from verdigris.plans import logical as L
+    d = "/root/testdata/sf0.001"
+    got = CT._stamped(spark, d)
+    plan = got.select("record_id", "co2e_kg")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("concat_ws") < plan.index("Join")
+    want = L.emission_records(spark, d).join(L.record_owners(spark, d), "order_key")
+    assert rows_of(got.select(*sorted(want.columns))) == rows_of(want.select(*sorted(want.columns)))
+
+
+def test_merge_keeps_its_rows_as_parquet(spark, monkeypatch):
+    """A checkpoint of all rows of the touched chunks has several times their bytes."""
+    from verdigris import session
+    from verdigris.operators import tables as TB
+
+    def checkpoint(*a, **kw):
+        raise AssertionError("checkpoint of whole rows")
+    monkeypatch.setattr(session, "cut_lineage", checkpoint)
+    rows = [(f"r{i}", T0 + dt.timedelta(days=i % 3, hours=i), float(i)) for i in range(12)]
+    path = TB.scratch_path(spark, "merge-parquet")
+    TB.write_chunked(spark.createDataFrame(rows, "record_id string, ts timestamp_ntz, co2_kg double"), path, "1 day")
+    TB.merge_into_chunks(path, spark.createDataFrame([("r0", T0, 9.0)], "record_id string, ts timestamp_ntz, co2_kg double"), "record_id")
+    assert {r.record_id: r.co2_kg for r in spark.read.parquet(path).collect()} == {r[0]: r[2] for r in rows} | {"r0": 9.0}
