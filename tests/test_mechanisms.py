@@ -514,3 +514,66 @@ def test_merge_keeps_its_rows_as_parquet(spark, monkeypatch):
     TB.write_chunked(spark.createDataFrame(rows, "record_id string, ts timestamp_ntz, co2_kg double"), path, "1 day")
     TB.merge_into_chunks(path, spark.createDataFrame([("r0", T0, 9.0)], "record_id string, ts timestamp_ntz, co2_kg double"), "record_id")
     assert {r.record_id: r.co2_kg for r in spark.read.parquet(path).collect()} == {r[0]: r[2] for r in rows} | {"r0": 9.0}
+
+
+def test_merge_joins_only_rows_that_may_be_changed(spark, monkeypatch):
+    """Repeated and NULL keys, a row that moves, a new one: as by the definition, without a second copy of the touched
+    chunks' rows, and with the session's settings as before."""
+    from verdigris.functions import quantiles as Q
+    from verdigris.operators import tables as TB
+    kept, plain = [], Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df, name: kept.append(name) or plain(df, name))
+    schema, day = "record_id string, ts timestamp_ntz, v double", dt.timedelta(days=1)
+    rows = [(None if i % 9 == 0 else f"r{i % 40}", T0 + day * (i % 5), float(i)) for i in range(90)]
+    changed = [("r1", T0 + 7 * day, -1.0), ("r2", T0, -2.0), (None, T0, -3.0), ("new", None, -4.0)]
+    path = TB.scratch_path(spark, "merge-may")
+    TB.write_chunked(spark.createDataFrame(rows, schema), path, "1 day")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = [spark.conf.get(n) for n in names]
+    back = TB.merge_into_chunks(path, spark.createDataFrame(changed, schema), "record_id")
+    assert [spark.conf.get(n) for n in names] == before
+    assert "merge-changed" in kept and "merge-rows" not in kept
+    want = [r for r in rows if r[0] not in {"r1", "r2", "new"}] + changed
+    assert rows_of(spark.read.parquet(path).select("record_id", "ts", "v")) == sorted(want, key=repr)
+    assert rows_of(back.select("record_id", "ts", "v")) == sorted(
+        [r for r in want if r[1] is None or r[1].date() in {(T0 + n * day).date() for n in (0, 1, 2, 7)}], key=repr)
+
+
+def test_rows_with_keys_are_sifted_before_the_join(spark):
+    from verdigris.operators import tables as TB
+    table = spark.range(20_000).select(F.when(F.col("id") % 100 > 0, F.concat(F.lit("k"), "id")).alias("key"), "id")
+    keys = spark.range(0, 3_000, 7).select(F.when(F.col("id") % 100 > 0, F.concat(F.lit("k"), "id")).alias("key"), "id")
+    keys = keys.unionByName(keys.limit(50))
+    may = TB.with_may(table, keys, "key").where("_may")
+    want = {i for i in range(0, 3_000, 7) if i % 100}
+    got = {r.id for r in may.collect()}
+    assert want <= got and len(got) < len(want) + 20
+    found = TB.rows_with_keys(table, keys, "key")
+    assert sorted(r.id for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("Join Inner")  # the sifting is below, so its shuffle is of few rows
+    none = TB.rows_with_keys(table, keys.where("false"), "key")
+    assert none.count() == 0 and none.columns == table.columns
+
+
+def test_keys_of_another_type_still_meet(spark):
+    """Equal numbers of two widths hash otherwise; the joins find them equal."""
+    from verdigris.operators import tables as TB
+    wide = spark.range(10).select("id", F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("v"))
+    narrow = wide.where("id < 3").select(F.col("id").cast("int").alias("id"), "ts", F.lit(1).alias("v"))
+    assert TB.rows_with_keys(wide, narrow, "id").count() == 3
+    path = TB.scratch_path(spark, "merge-types")
+    TB.write_chunked(wide, path, "1 day")
+    TB.merge_into_chunks(path, narrow, "id")
+    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(i, int(i < 3)) for i in range(10)]
+
+
+def test_chunks_of_derived_rows_are_dealt_narrow(spark):
+    from verdigris.operators import tables as TB
+    df = spark.range(200).select("id", F.timestamp_seconds(F.col("id") * 9000).cast("timestamp_ntz").alias("at"))
+    made = lambda x: x.select(F.col("at").alias("ts"), "id", F.repeat(F.col("id").cast("string"), 3).alias("text"), "chunk")
+    one, two = (TB.scratch_path(spark, x) for x in ("narrow", "plain"))
+    TB.write_chunked(df, one, "7 days", order=["id"], made=made, at="at")
+    TB.write_chunked(made(df.withColumn("chunk", F.lit(0))).drop("chunk"), two, "7 days")
+    one, two = spark.read.parquet(one), spark.read.parquet(two)
+    assert rows_of(one) == rows_of(two) and TB.chunk_width(one) == TB.chunk_width(two) == "7 days"

@@ -9,8 +9,10 @@ argument, never the wall clock, so a re-run task writes the same bytes.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -149,25 +151,55 @@ def _chunk_of(width: str, ts: str) -> Column:
     return F.to_date(time_bucket(width, ts))
 
 
+#: Bytes of input that a task of a rewrite reads at most: it sorts its rows by chunk, which should fit its memory.
+REWRITE_SPLIT = 32 << 20
+
+
+@contextmanager
+def _lean(spark: SparkSession):
+    """While a table is rewritten: files are read in small splits, and a
+    step's shuffle files are removed when it ends, not when the driver
+    collects garbage, so the disk holds one step's at a time."""
+    split, clean = "spark.sql.files.maxPartitionBytes", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = {k: spark.conf.get(k, None) for k in (split, clean)}
+    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(split))
+    spark.conf.set(split, str(min(least, REWRITE_SPLIT)))
+    spark.conf.set(clean, "true")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _write_chunks(rows: DataFrame, path: str, width: str, ts: str, mode: str = "overwrite", compression: str | None = None,
-                  order: Sequence[Column] = ()) -> None:
+                  order: Sequence[Column] = (), made: Callable[[DataFrame], DataFrame] | None = None, dealt: bool = False) -> None:
     """Rows dealt by chunk; a rebalance, so a chunk that holds much of the
-    table is split over tasks.  The width is kept as metadata of the time
-    column, for readers that prune chunks."""
-    out = rows.hint("rebalance", "chunk")
+    table is split over tasks (``dealt``: they lie by chunk already).  The
+    width is kept as metadata of the time column, for readers that prune
+    chunks.  Without a named compression it is zstd at its quickest."""
+    out = rows if dealt else rows.hint("rebalance", "chunk")
+    if made:
+        out = made(out)
     if order:
         out = out.sortWithinPartitions("chunk", *order)
     w = (out.withMetadata(ts, {"chunk_width": width}).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-         .partitionBy("chunk"))
-    (w.option("compression", compression) if compression else w).parquet(path)
+         .partitionBy("chunk").option("compression", compression or "zstd"))
+    (w if compression else w.option("parquet.compression.codec.zstd.level", "1")).parquet(path)
 
 
-def write_chunked(df: DataFrame, path: str, width: str = "1 day", ts: str = "ts", mode: str = "overwrite") -> None:
+def write_chunked(df: DataFrame, path: str, width: str = "1 day", ts: str = "ts", mode: str = "overwrite",
+                  order: Sequence[str] = (), made: Callable[[DataFrame], DataFrame] | None = None, at: str | None = None) -> None:
     """SNK-07: time-chunked layout: a derived ``chunk`` column (bucket start
     date) is the partition column, so readers that filter on it prune whole
     folders; rows are clustered by chunk before the write so each task
-    writes few files."""
-    _write_chunks(df.withColumn("chunk", _chunk_of(width, ts)), path, width, ts, mode)
+    writes few files, ordered by ``order`` within them, which packs them
+    closer.  ``made`` makes the table's rows, row by row, of those of ``df``
+    (whose time is ``at``) and keeps ``chunk``: it runs after rows are dealt,
+    so the shuffle carries the columns of ``df`` only."""
+    with _lean(df.sparkSession):
+        _write_chunks(df.withColumn("chunk", _chunk_of(width, at or ts)), path, width, ts, mode,
+                      order=[F.col(c) for c in order], made=made)
 
 
 def chunk_width(df: DataFrame, ts: str = "ts", default: str = "1 day") -> str:
@@ -251,36 +283,122 @@ def reveal_column(df: DataFrame, col: str, key_hex: str, out: str | None = None)
 MAX_LISTED_CHUNKS = 10_000
 
 
+#: Bits that stand for the keys of a change, at any number of keys: a broadcast of 32 MB at most, 4 KB a part.
+KEY_BITS = 28
+_PART_BITS = 15
+
+
+def _places(key: str | Column) -> tuple[Column, list[Column]]:
+    """A key's part of the bits and its two places in that part."""
+    h = F.xxhash64(key)
+    low = KEY_BITS - _PART_BITS
+    places = [F.shiftrightunsigned(h, n).bitwiseAND(F.lit((1 << _PART_BITS) - 1)).cast("int") for n in (low, KEY_BITS)]
+    return h.bitwiseAND(F.lit((1 << low) - 1)), places
+
+
+def key_bits(keys: DataFrame, key: str) -> DataFrame:
+    """Bits of all keys: a row for each part that has any, written once; its
+    bytes as 1,024 numbers, the first byte highest."""
+    from verdigris.functions.quantiles import stored
+    part, (one, two) = _places(key)
+    k = keys.filter(F.col(key).isNotNull()).select(part.alias("_part"), one.alias("_one"), two.alias("_two")).repartition("_part")
+    bits = k.select("_part", F.explode(F.array("_one", "_two")).alias("_p")).groupBy("_part").agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_p") + 1)).alias("_bits"))
+    word = lambda i: F.conv(F.hex(F.substring(F.col("_bits"), 4 * i + 1, F.lit(4))), 16, 10).cast("long")
+    signed = lambda v: (v.bitwiseXOR(F.lit(1 << 31)) - (1 << 31)).cast("int")
+    words = F.transform(F.sequence(F.lit(0), F.lit((1 << _PART_BITS) // 32 - 1)), lambda i: signed(word(i)))
+    return stored(bits.select("_part", words.alias("_words")), "key-bits")
+
+
+def _hash_alike(a: DataFrame, b: DataFrame, key: str) -> bool:
+    """Whether equal keys have equal hashes: of one type, compared by bytes."""
+    one, two = (x.schema[key].dataType for x in (a, b))
+    return one == two and "collate" not in one.simpleString()
+
+
+def with_may(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_may``: false where a row's key (or NULL) is surely none
+    of ``keys``.  A few others are true by chance, more of them the more keys
+    there are (all, where keys differ in type), so the exact join still
+    follows; it needs only rows that may be joined, and the others aren't
+    shuffled."""
+    if not _hash_alike(df, keys, key):
+        return df.withColumn("_may", F.col(key).isNotNull())
+    bits, (part, places) = key_bits(keys, key), _places(key)
+
+    def bit(p: Column) -> Column:
+        at = 8 * (3 - F.shiftright(p, 3).bitwiseAND(F.lit(3))) + p.bitwiseAND(F.lit(7))
+        return F.call_function("shiftright", F.get("_words", F.shiftright(p, 5)), at).bitwiseAND(F.lit(1)) == 1
+
+    j = df.withColumn("_part", F.when(F.col(key).isNotNull(), part)).join(F.broadcast(bits), "_part", "left")
+    return j.withColumn("_may", F.col("_words").isNotNull() & bit(places[0]) & bit(places[1])).drop("_part", "_words")
+
+
+def _only_may(marked: DataFrame, key: str) -> DataFrame:
+    """The rows that may have a key.  Their key is said to depend on
+    ``_may``, or Spark would move a semi or anti join by key below it."""
+    return marked.filter("_may").withColumn(key, F.when(F.col("_may"), F.col(key))).drop("_may")
+
+
+def rows_with_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``table`` whose key is in ``keys``: a semi join of the rows
+    whose key may be."""
+    may = _only_may(with_may(table, keys, key), key)
+    return may.join(keys.select(key), key, "left_semi").select(*table.columns)
+
+
 def merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str = "ts", width: str | None = None) -> DataFrame:
     """Upsert ``changed`` rows (updated, soft-deleted or new; one per key) into
     the time-chunked table at ``path`` (SNK-07 layout) without a table format:
     only the chunks that hold an old or the new row of a changed key are
     rewritten, by dynamic partition overwrite, so a row whose time moved leaves
     its old chunk.  The touched chunks' list (a few dates, size-checked; else
-    their range) is a literal filter, so other folders aren't read.  Rows are
-    checkpointed before the overwrite because the job reads the folders it
-    replaces.  The overwrite leaves the folders of touched chunks that have no
-    row any more, so these are deleted after it; between the two a reader sees
-    rows that left such a chunk twice, and a retry of an interrupted merge
-    repairs it.  Rows without a time are a chunk like others.  Returns the rewritten rows."""
+    their range) is a literal filter, so other folders aren't read.
+
+    Rows whose key is surely not changed (``with_may``) go from their folder to
+    the new one without a shuffle; others are joined by key, and what remains
+    of them is dealt by chunk with the changed rows.  So a merge adds about a
+    file to each touched chunk; ``compact_cold`` gathers them.  The overwrite
+    writes beside the folders it reads and replaces them when all tasks are
+    done, so the rows needn't be kept apart.  It leaves the folders of touched
+    chunks that have no row any more, known by their old files, so these are
+    deleted after it; between the two a reader sees rows that left such a chunk
+    twice, and a retry of an interrupted merge repairs it.  Rows without a time
+    are a chunk like others.  Returns the rewritten rows, read from the table."""
+    with _lean(changed.sparkSession):
+        return _merge_into_chunks(path, changed, key, ts, width)
+
+
+def _merge_into_chunks(path: str, changed: DataFrame, key: str, ts: str, width: str | None) -> DataFrame:
     from verdigris.functions.quantiles import stored
     spark = changed.sparkSession
     table = spark.read.parquet(path)
+    before = set(table.inputFiles())
     width = width or chunk_width(table, ts)
     ch = stored(changed.withColumn("chunk", _chunk_of(width, ts)).select(*table.columns), "merge-changed")
-    old = table.select(key, "chunk").join(ch.select(key), key, "left_semi").select("chunk")
-    touched = stored(old.unionByName(ch.select("chunk")).distinct(), "merge-chunks")
+    marked = with_may(table, ch, key)
+    # by the key's hash, narrower than the key: two keys of one hash would only have a chunk more rewritten
+    h = (F.xxhash64(key) if _hash_alike(table, ch, key) else F.col(key)).alias("_h")
+    old = _only_may(marked, key).select(h, "chunk").join(ch.filter(F.col(key).isNotNull()).select(h), "_h", "left_semi")
+    touched = stored(old.select("chunk").unionByName(ch.select("chunk")).distinct(), "merge-chunks")
     listed = [r.chunk for r in touched.limit(MAX_LISTED_CHUNKS + 1).collect()]
     if len(listed) <= MAX_LISTED_CHUNKS:
         none = F.col("chunk").isNull() if None in listed else F.lit(False)
-        part = table.filter(F.col("chunk").isin([c for c in listed if c is not None]) | none)
+        inside = lambda df: df.filter(F.col("chunk").isin([c for c in listed if c is not None]) | none)
     else:
         low, high = touched.agg(F.min("chunk"), F.max("chunk")).first()
-        part = _in_chunks(table.filter(F.col("chunk").between(low, high) | F.col("chunk").isNull()), touched, "left_semi")
-    rows = stored(part.join(ch.select(key), key, "left_anti").select(*table.columns).unionByName(ch), "merge-rows")
-    _write_chunks(rows, path, width, ts)
-    _delete_chunks(spark, path, [r.chunk for r in _in_chunks(touched, rows.select("chunk").distinct(), "left_anti").collect()])
-    return rows
+        inside = lambda df: _in_chunks(df.filter(F.col("chunk").between(low, high) | F.col("chunk").isNull()), touched, "left_semi")
+    part = inside(marked)
+    joined = _only_may(part, key).join(ch.select(key), key, "left_anti").select(*table.columns).unionByName(ch)
+    joined = joined.hint("rebalance", "chunk").sortWithinPartitions("chunk", key)  # near keys pack closer
+    rows = part.filter("NOT _may").select(*table.columns).unionByName(joined)
+    _write_chunks(rows, path, width, ts, dealt=True)
+    read = lambda: inside(spark.read.schema(rows.schema).parquet(path))
+    left = {f.rsplit("/", 2)[-2].partition("=")[2] for f in read().inputFiles() if f in before}
+    left = [None if c == _NO_CHUNK else dt.date.fromisoformat(c) for c in left]
+    gone = _in_chunks(touched, spark.createDataFrame([(c,) for c in left], "chunk date"), "left_semi").collect() if left else []
+    _delete_chunks(spark, path, [r.chunk for r in gone])
+    return read()
 
 
 def _in_chunks(df: DataFrame, chunks: DataFrame, how: str) -> DataFrame:
@@ -288,11 +406,14 @@ def _in_chunks(df: DataFrame, chunks: DataFrame, how: str) -> DataFrame:
     return df.alias("d").join(chunks.alias("c"), F.col("d.chunk").eqNullSafe(F.col("c.chunk")), how)
 
 
+_NO_CHUNK = "__HIVE_DEFAULT_PARTITION__"
+
+
 def _delete_chunks(spark: SparkSession, path: str, chunks: Sequence) -> None:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     for chunk in chunks:
-        name = "__HIVE_DEFAULT_PARTITION__" if chunk is None else chunk.isoformat()
+        name = _NO_CHUNK if chunk is None else chunk.isoformat()
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"chunk={name}"), True)
 
 

@@ -268,11 +268,11 @@ SELECT s.record_id, {sql_r('CASE WHEN u.record_id IS NOT NULL THEN coalesce(u.co
 FROM sr s LEFT JOIN up u USING (record_id)""", rc=L.EMISSION_RECORDS_SQL, sr=STAMPED_SQL, up=UPDATES_SQL))
 def snk04m(spark, d):
     path = TB.scratch_path(spark, "records")
-    st = _stamped(spark, d)
-    TB.write_chunked(st, path, "7 days")
+    stamped = lambda lines: TB.stamp_new_records(L.records_of(lines, "created_by", "chunk"), F.col("created_by"), AS_OF)
+    TB.write_chunked(L.owned_lines(spark, d), path, "7 days", order=["order_key"], made=stamped, at="l_shipdate")
     table = spark.read.parquet(path)
-    changed = TB.apply_updates(table.join(_updates(spark, d).select("record_id"), "record_id", "left_semi"),
-                               _updates(spark, d), user_id=0, is_admin=True, as_of=UPDATE_AT)
+    updates = stored(_updates(spark, d), "updates")
+    changed = TB.apply_updates(TB.rows_with_keys(table, updates, "record_id"), updates, user_id=0, is_admin=True, as_of=UPDATE_AT)
     TB.merge_into_chunks(path, changed, "record_id", width="7 days")
     back = spark.read.parquet(path)
     return back.select("record_id", r("co2_kg").alias("co2_kg"), "version")

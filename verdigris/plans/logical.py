@@ -124,13 +124,22 @@ def emission_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*_record_columns())
 
 
+def owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored columns of records joined with ``record_owners`` by order."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.join(record_owners(spark, sf_dir), F.col("l_orderkey") == F.col("order_key")).drop("order_key")
+
+
+def records_of(lines: DataFrame, *more: str) -> DataFrame:
+    """``emission_records`` of lineitem rows, with ``more`` of their columns."""
+    return lines.select(*_record_columns(), *more)
+
+
 def owned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``emission_records`` joined with ``record_owners`` by order.  Derived
     columns are made after the join: its shuffle carries the stored columns,
     fewer and narrower than the texts and products made from them."""
-    li = table(spark, sf_dir, "lineitem")
-    joined = li.join(record_owners(spark, sf_dir), F.col("l_orderkey") == F.col("order_key"))
-    return joined.select(*_record_columns(), "created_by")
+    return records_of(owned_lines(spark, sf_dir), "created_by")
 
 
 EMISSION_RECORDS_SQL = """
